@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,21 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strandline_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(top):
+        path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), "strandline.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.join("strandline", os.path.relpath(full, top)))
+        sc.addPyFile(path)
+    sc._strandline_shipped = True
