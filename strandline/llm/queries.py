@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontaminate, mixing, near_dedup, packing, toxicity
+from strandline.llm import chat, decontaminate, fingerprint, html_text, mixing, near_dedup, packing, quality, secrets, toxicity
+from strandline.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,6 +20,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by weak labels."""
+    return quality.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-sensitive fingerprints of all documents and of their edited texts."""
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, Jaccard of 0.85 or more."""
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
@@ -28,19 +40,86 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources by weight takes of each document."""
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations, read back from the formatted text."""
+    return chat.digests(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in all documents."""
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_near_dedup, op5_packing, op7_mixing, op10_decontamination)}
+    found = (op1_toxicity, op2_quality, op3_fingerprint, op4_near_dedup, op5_packing, op6_secrets, op7_mixing, op8_html, op9_chat, op10_decontamination)
+    return {f.__name__: f for f in found}
+
+
+_CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length('### ' || role || ': ' || regexp_replace(text, '(\\*)(###|</turn>|<\|)', '\1\1\\\2', 'g') || ' </turn>' || chr(10)) AS size FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_LEAKS = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+           FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
+b AS (SELECT item_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+      FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM benchmark)),
+bw AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS win
+       FROM (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS i FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS win
+       FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM w, sizes WHERE len(words) >= n)),
+m AS (SELECT d.doc_id, d.i, d.n, bw.item_id FROM dw d JOIN bw ON d.win = bw.win AND d.n = bw.n),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+_GROUPS = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 2], ' ')) AS g
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 2) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+df AS (SELECT g, count(*) AS f FROM s GROUP BY g),
+r AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS k FROM s JOIN df USING (g)),
+p AS (SELECT r.doc_id, r.g, n.size FROM r JOIN n USING (doc_id) WHERE k <= size - ceil(0.85 * size) + 1),
+c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)),
+i AS (SELECT x, y, count(*) AS both FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y),
+e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 85 * (a.size + b.size - both)),
+both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach AS (SELECT DISTINCT x AS doc_id, x AS at FROM both_ways UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = at),
+comp AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id, coalesce(comp.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_near_dedup": _GROUPS, "op9_chat": _CHAT, "op10_decontamination": _LEAKS}
