@@ -20,7 +20,7 @@ from strandline.llm.toxicity import fit_linear
 #: Documents that the scorer is fitted on, at most (the smallest hashes of doc_id), and hash bits of its features.
 TRAIN_ROWS, BITS = 20_000, 12
 #: Names of the labellers, in the order of their votes.
-LABELLERS = ("shouting", "symbols", "word_length", "short_words", "length", "punctuation", "repeated_words", "repeated_lines", "digits", "separators")
+LABELLERS = ("shouting", "symbols", "word_length", "short_words", "length", "punctuation", "repeated_words", "repeated_lines", "digits", "separators", "word_runs")
 DENSE = len(LABELLERS)
 
 _U = np.uint64
@@ -59,6 +59,8 @@ def read(column: pa.Array):
         length = ends - starts
         mean = np.bincount(np.repeat(np.arange(n), np.diff(at)), length, n) / words
         short = np.bincount(np.repeat(np.arange(n), np.diff(at)), length <= 3, n) / words
+        same = np.concatenate((np.zeros(1, np.int64), np.cumsum(h[1:] == h[:-1]))) if len(h) else np.zeros(1, np.int64)
+        runs = np.where(np.diff(at) > 1, same[np.maximum(at[1:] - 1, 0)] - same[np.minimum(at[:-1], len(same) - 1)], 0) / words
         distinct, lines = np.ones(n), np.zeros(n)
         for d in range(n):
             own = h[at[d] : at[d + 1]]
@@ -66,13 +68,13 @@ def read(column: pa.Array):
                 distinct[d] = len(np.unique(own)) / len(own)
                 parts = raw[bounds[d] : bounds[d + 1]].tobytes().split(b"\n")
                 lines[d] = 1 - len(set(parts)) / len(parts)
-        values = np.stack([upper / letters, (symbol + bar) / size, mean, short, np.diff(at).astype(float), stop / words, distinct, lines, digit / size, bar / words], 1)
+        values = np.stack([upper / letters, (symbol + bar) / size, mean, short, np.diff(at).astype(float), stop / words, distinct, lines, digit / size, bar / words, runs], 1)
         yield (pair >> BITS, pair & ((1 << BITS) - 1), count), np.concatenate([np.log1p(values[:, 4:5]), np.delete(values, 4, 1)], 1), vote(values)
 
 
 def vote(values: np.ndarray) -> np.ndarray:
-    """Votes of the labellers on (shouting share, symbol share, mean word length, share of short words, words, stops a word, distinct share, repeated lines, digit share, bars a word)."""
-    shout, symbols, mean, short, words, stops, distinct, lines, digits, bars = values.T
+    """Votes of the labellers on (shouting share, symbol share, mean word length, share of short words, words, stops a word, distinct share, repeated lines, digit share, bars a word, share of words that repeat the one before)."""
+    shout, symbols, mean, short, words, stops, distinct, lines, digits, bars, runs = values.T
 
     def say(bad, good):
         return np.where(bad, -1, np.where(good, 1, 0)).astype(np.int8)
@@ -80,7 +82,7 @@ def vote(values: np.ndarray) -> np.ndarray:
     return np.stack(
         [
             say(shout > 0.3, shout < 0.1), say(symbols > 0.04, symbols < 0.005), say((mean < 2.5) | (mean > 12), (mean > 3.5) & (mean < 9)), say(short < 0.08, short > 0.2), say(words < 5, words > 40),
-            say(stops < 0.02, (stops > 0.05) & (stops < 0.4)), say((distinct < 0.25) & (words < 5000), distinct > 0.4), say(lines > 0.3, lines == 0), say(digits > 0.2, digits < 0.02), say(bars > 0.1, bars == 0),
+            say(stops < 0.02, (stops > 0.05) & (stops < 0.4)), say((distinct < 0.25) & (words < 5000), distinct > 0.4), say(lines > 0.3, lines == 0), say(digits > 0.2, digits < 0.02), say(bars > 0.1, bars == 0), say(runs > 0.1, runs < 0.01),
         ],
         1,
     )
@@ -109,7 +111,7 @@ class Labellers:
 
     def fit(self, votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> Labellers:
         onehot = votes[:, :, None] == np.array([-1, 0, 1])
-        post = 1 / (1 + np.exp(-votes.sum(1) / 2.0))  # share of good votes to begin with
+        post = np.array([0.98, 0.4, 0.05])[np.minimum((votes < 0).sum(1), 2)]  # bad votes fire rarely, so they count for more to begin with
         for _ in range(rounds):
             w = np.stack([n * (1 - post), n * post])
             self.prior = np.log((w.sum(1) + 1) / (w.sum() + 2))
@@ -151,7 +153,7 @@ class Model:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``docs(doc_id, text)``: labellers on the votes of all, the scorer on ``train_rows`` at most."""
     model = Model()
-    seen = docs.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 3 ** 10 patterns at most
+    seen = docs.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 3 ** 11 patterns at most
     if not len(seen):
         return model
     patterns = (seen.code.to_numpy()[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 - 1
