@@ -81,8 +81,8 @@ def vote(values: np.ndarray) -> np.ndarray:
 
     return np.stack(
         [
-            say(shout > 0.3, shout < 0.1), say(symbols > 0.04, symbols < 0.005), say((mean < 2.5) | (mean > 12), (mean > 3.5) & (mean < 9)), say(short < 0.08, short > 0.2), say(words < 5, words > 40),
-            say(stops < 0.02, (stops > 0.05) & (stops < 0.4)), say((distinct < 0.25) & (words < 5000), distinct > 0.4), say(lines > 0.3, lines == 0), say(digits > 0.2, digits < 0.02), say(bars > 0.1, bars == 0), say(runs > 0.1, runs < 0.01),
+            say((shout > 0.3) & (words >= 5), shout < 0.1), say(symbols > 0.04, symbols < 0.005), say((mean < 2.5) | (mean > 12), (mean > 3.5) & (mean < 9)), say((short < 0.08) & (words >= 20), short > 0.2), say(words == 0, words > 40),
+            say((stops < 0.02) & (words >= 20), (stops > 0.05) & (stops < 0.4)), say((distinct < 0.25) & (words < 5000), distinct > 0.4), say(lines > 0.3, lines == 0), say(digits > 0.2, digits < 0.02), say(bars > 0.1, bars == 0), say((runs > 0.1) & (words >= 20), runs < 0.01),
         ],
         1,
     )
@@ -116,7 +116,10 @@ class Labellers:
             w = np.stack([n * (1 - post), n * post])
             self.prior = np.log((w.sum(1) + 1) / (w.sum() + 2))
             t = np.einsum("cp,pia->cia", w, onehot) + 0.5
-            self.table = np.log(t / t.sum(2, keepdims=True))
+            t[:, :, 1] = 0  # a labeller that abstains says nothing
+            t = t / t.sum(2, keepdims=True)
+            t[:, :, 1] = 1
+            self.table = np.log(t)
             new = self.posterior(votes)
             done = np.abs(new - post).max() < 1e-8
             post = new
