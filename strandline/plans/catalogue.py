@@ -1,10 +1,555 @@
-"""Registered queries and their DuckDB statements."""
+"""Registered queries over the star-schema tables, each with a DuckDB statement where SQL can express it.
+
+Sequences are document and benchmark texts; points, blocks and intervals come
+from orders and line items; a path is the event sequence of a user, and three
+neighbouring users make one small layered graph.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandline.functions import expr as E
+from strandline.operators import bubbles as B
+from strandline.operators import chain as C
+from strandline.operators import graph as G
+from strandline.operators import intervals as I
+from strandline.operators import layout as L
+from strandline.operators import match as M
+from strandline.operators import msa
+from strandline.operators.components import connected_components
+from strandline.session import ship
+from strandline.sources import text_formats as S
+from strandline.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Least match length of the anchor queries.
+K = 40
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- sequences
+
+@query("SELECT doc_id, " + ", ".join(f"length(text) - length(replace(text, '{b}', '')) AS n_{b.lower()}" for b in "ACGTN") + " FROM documents")
+def base_composition(spark, sf_dir):
+    """Letter counts of every document."""
+    return _t(spark, sf_dir, "documents").select("doc_id", *[E.base_count(F.col("text"), b).alias(f"n_{b.lower()}") for b in "ACGTN"])
+
+
+def _bases(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("seq"))
+
+
+_BASES = "SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq FROM documents"
+
+
+@query(f"SELECT doc_id, length(seq) AS n, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS digest FROM ({_BASES})")
+def reverse_complement(spark, sf_dir):
+    """Reverse complement of the bases among each document's letters."""
+    return _bases(_t(spark, sf_dir, "documents")).select("doc_id", F.length("seq").cast("bigint").alias("n"), F.md5(E.reverse_complement(F.col("seq"))).alias("digest"))
+
+
+@query("""SELECT doc_id, CAST(i AS INTEGER) AS piece, doc_id || '_' || i AS name, length(p[i + 1]) AS n
+FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n+'), lambda x: x <> '') AS p FROM documents))""")
+def split_runs(spark, sf_dir):
+    """Documents cut at runs of a separator, as records are cut at runs of N."""
+    out = S.split_runs(_t(spark, sf_dir, "documents"), "doc_id", "text", "\n+")
+    return out.select("doc_id", "piece", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("name"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("""SELECT n AS multiplicity, count(*) AS kmers FROM (SELECT kmer, count(*) AS n FROM (
+SELECT substring(text, i, 8) AS kmer FROM (SELECT text, unnest(range(1, length(text) - 6)) AS i FROM documents)) GROUP BY kmer) GROUP BY n""")
+def kmer_spectrum(spark, sf_dir):
+    """How many 8-mers occur how often in all documents."""
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = M.kmers(_t(spark, sf_dir, "documents").select("doc_id", "text").repartition(spread), ["doc_id"], "text", 8)
+    return found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("n").alias("multiplicity")).agg(F.count(F.lit(1)).alias("kmers"))
+
+
+@query("""SELECT doc_id, CAST(length(line) AS BIGINT) AS n, md5(line) AS digest FROM (SELECT doc_id, '>' || doc_id || chr(10) || array_to_string(list_transform(range(0, length(seq), 100), lambda i: seq[i + 1:i + 100]), chr(10)) AS line
+FROM (""" + _BASES + """))""")
+def fasta_records(spark, sf_dir):
+    """FASTA records of each document's bases."""
+    rows = _bases(_t(spark, sf_dir, "documents"))
+    line = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit("\n"), F.regexp_replace("seq", rf"(.{{{S.WIDTH}}})(?=.)", "$1\n"))
+    return rows.select("doc_id", line.alias("line")).select("doc_id", F.length("line").cast("bigint").alias("n"), F.md5("line").alias("digest"))
+
+
+# ---------------------------------------------------------------- exact matches
+
+def _mem_sql(k: int) -> str:
+    return f"""WITH a AS (SELECT item_id, i - 1 AS r_pos, substring(text, i, {k}) AS kmer FROM (SELECT item_id, text, unnest(range(1, length(text) - {k - 2})) AS i FROM benchmark)),
+b AS (SELECT doc_id, i - 1 AS q_pos, substring(text, i, {k}) AS kmer FROM (SELECT doc_id, text, unnest(range(1, length(text) - {k - 2})) AS i FROM documents)),
+s AS (SELECT item_id, r_pos, doc_id, q_pos FROM a JOIN b USING (kmer)),
+m AS (SELECT item_id, doc_id, min(r_pos) AS r_start, min(q_pos) AS q_start, count(*) + {k - 1} AS length
+  FROM (SELECT *, r_pos - row_number() OVER (PARTITION BY item_id, doc_id, q_pos - r_pos ORDER BY r_pos) AS g FROM s) GROUP BY item_id, doc_id, q_pos - r_pos, g),
+u AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.item_id = m.item_id AND o.doc_id = m.doc_id AND (o.r_start <> m.r_start OR o.q_start <> m.q_start)
+  AND ((o.r_start <= m.r_start AND o.r_start + o.length >= m.r_start + m.length) OR (o.q_start <= m.q_start AND o.q_start + o.length >= m.q_start + m.length))))
+"""
+
+
+def _seeds(spark, sf_dir) -> DataFrame:
+    return M.seeds(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents").withColumnRenamed("text", "doc_text"), "item_id", "doc_id", "text", "doc_text", K)
+
+
+def _mems(spark, sf_dir) -> DataFrame:
+    return M.mems(_seeds(spark, sf_dir), "item_id", "doc_id", K)
+
+
+@query(_mem_sql(K) + "SELECT item_id, doc_id, count(*) AS seeds FROM s GROUP BY item_id, doc_id")
+def kmer_seeds(spark, sf_dir):
+    """Common 40-mers of benchmark items and documents."""
+    return _seeds(spark, sf_dir).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("seeds"))
+
+
+@query(_mem_sql(K) + "SELECT item_id, doc_id, r_start, q_start, length FROM m")
+def mem_pairs(spark, sf_dir):
+    """Maximal exact matches of benchmark items and documents."""
+    return _mems(spark, sf_dir)
+
+
+@query(_mem_sql(K) + "SELECT item_id, doc_id, r_start, q_start, length FROM u")
+def mum_pairs(spark, sf_dir):
+    """Maximal unique matches of benchmark items and documents."""
+    return M.mums(_mems(spark, sf_dir), "item_id", "doc_id")
+
+
+@query(_mem_sql(K) + "SELECT doc_id, count(*) AS anchors, CAST(sum(length) AS BIGINT) AS aligned, max(length) AS longest FROM u GROUP BY doc_id")
+def anchor_coverage(spark, sf_dir):
+    """How much of each document is anchored to benchmark items."""
+    return mum_pairs(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("anchors"), F.sum("length").alias("aligned"), F.max("length").alias("longest"))
+
+
+@query(_mem_sql(K) + "SELECT doc_id, item_id, r_start, q_start, length, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, item_id, r_start, q_start) AS INTEGER) AS rank FROM m) WHERE rank <= 3")
+def top_anchors(spark, sf_dir):
+    """The three longest matches of each document."""
+    w = Window.partitionBy("doc_id").orderBy(F.col("length").desc(), "item_id", "r_start", "q_start")
+    return _mems(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("doc_id", "item_id", "r_start", "q_start", "length", "rank")
+
+
+@query()
+def multi_mums(spark, sf_dir):
+    """Strings that occur exactly once in each of two or more benchmark items, of 20 letters or more."""
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample"), F.col("item_id").alias("k"), "text")
+    return M.multi_mums(b, "sample", "k", "text", 20).select("string", "length", "samples", F.array_join(F.transform("occurrences", lambda o: F.concat_ws(":", o["sample"].cast("string"), o["pos"].cast("string"))), ",").alias("places"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(1 - exp(ln(1 - pow(0.25, CAST(l_quantity AS INTEGER))) * l_partkey * l_suppkey), 6) AS p FROM lineitem""")
+def match_significance(spark, sf_dir):
+    """Chance of matches as long as the quantity in spaces of the keys' sizes."""
+    p = E.match_pvalue(F.col("l_quantity").cast("int"), F.lit(2), [F.col("l_partkey"), F.col("l_suppkey")])
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(p, 6).alias("p"))
+
+
+@query("""SELECT l_suppkey, count(*) AS kept, CAST(sum(c) AS BIGINT) AS cents FROM (
+SELECT l_suppkey, c, sum(c) OVER (PARTITION BY l_suppkey ORDER BY c DESC, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER (PARTITION BY l_suppkey) AS total
+FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem)) WHERE (upto - c) * 2 <= total GROUP BY l_suppkey""")
+def coverage_cutoff(spark, sf_dir):
+    """The largest items of each supplier up to the first that takes the running share past one half."""
+    rows = _t(spark, sf_dir, "lineitem").withColumn("c", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.col("c").desc(), "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum("c").over(w)).withColumn("total", F.sum("c").over(Window.partitionBy("l_suppkey")))
+    return rows.where((F.col("upto") - F.col("c")) * 2 <= F.col("total")).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("kept"), F.sum("c").alias("cents"))
+
+
+@query("""SELECT samples, CAST(sum(n) AS BIGINT) AS events, CAST(sum(n) * max(k) AS BIGINT) AS weight FROM (
+SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS k, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT DISTINCT unnest(list(event_type)) AS t)) AS samples FROM events GROUP BY user_id, hour(ts), CAST(ts AS DATE)) GROUP BY samples""")
+def sample_subsets(spark, sf_dir):
+    """Weight (events times kinds) of each set of event kinds that meet in a user's hour."""
+    e = _t(spark, sf_dir, "events").groupBy("user_id", F.hour("ts").alias("h"), F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("event_type")).alias("s"))
+    return e.groupBy(F.array_join("s", ",").alias("samples")).agg(F.sum("n").alias("events"), (F.sum("n") * F.max(F.size("s"))).alias("weight"))
+
+
+# ---------------------------------------------------------------- clusters, blocks, chains
+
+_POINTS = """SELECT l_suppkey, l_orderkey AS s1, l_orderkey - l_partkey % 5 + 10 AS s2, CAST(l_quantity AS BIGINT) AS length, l_linenumber % 2 AS orient FROM lineitem"""
+
+
+@query(f"""WITH p AS ({_POINTS}), q AS (SELECT *, s1 + length AS e1, s2 + length AS e2, CASE WHEN orient = 0 THEN s1 - s2 ELSE s1 + s2 + length END AS diag FROM p),
+r AS (SELECT *, CASE WHEN s1 - lag(e1) OVER w < 30 THEN 0 ELSE 1 END AS new FROM q WINDOW w AS (PARTITION BY l_suppkey, orient, diag ORDER BY s1, length)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey, orient, diag ORDER BY s1, length ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT l_suppkey, min(s1) AS s1, max(e1) AS e1, min(s2) AS s2, max(e2) AS e2, orient, CAST(sum(length) AS BIGINT) AS score FROM i GROUP BY l_suppkey, orient, diag, island HAVING sum(length) >= 50""")
+def diagonal_clusters(spark, sf_dir):
+    """Points of each supplier clustered along diagonals."""
+    p = _t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("s1"), (F.col("l_orderkey") - F.col("l_partkey") % 5 + 10).alias("s2"), F.col("l_quantity").cast("bigint").alias("length"), (F.col("l_linenumber") % 2).alias("orient"))
+    return C.cluster_diagonals(p, ["l_suppkey"])
+
+
+_BLOCKS = """SELECT l_orderkey, l_partkey AS s1, l_partkey + CAST(l_quantity AS BIGINT) AS e1, l_suppkey * 10 AS s2, l_suppkey * 10 + CAST(l_quantity AS BIGINT) AS e2, l_linenumber % 2 AS orient, CAST(l_quantity AS BIGINT) AS score FROM lineitem"""
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    q = F.col("l_quantity").cast("bigint")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("s1"), (F.col("l_partkey") + q).alias("e1"), (F.col("l_suppkey") * 10).alias("s2"), (F.col("l_suppkey") * 10 + q).alias("e2"), (F.col("l_linenumber") % 2).alias("orient"), q.alias("score"))
+
+
+@query(f"""WITH b AS ({_BLOCKS}), p AS (SELECT *, lag(s1) OVER w AS ps1, lag(e1) OVER w AS pe1, lag(s2) OVER w AS ps2, lag(e2) OVER w AS pe2, lag(orient) OVER w AS po FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY s1, e1, s2)),
+d AS (SELECT *, s1 - pe1 AS d1, CASE WHEN orient = 0 THEN s2 - pe2 ELSE ps2 - e2 END AS d2, greatest(s1 - pe1, 0) AS c1, greatest(greatest(s2 - pe2, ps2 - e2), 0) AS c2 FROM p),
+c AS (SELECT l_orderkey, score, CASE WHEN ps1 IS NULL THEN 0.0 WHEN po <> orient THEN 6.0 + least(10000.0, 3.0 * abs(c1 - c2)) + 2.0 * least(c1, c2)
+  WHEN d2 < 0 THEN 10001.0 + 2.0 * greatest(d1, 0) ELSE 1.0 + least(10000.0, 3.0 * abs(d1 - d2)) + 2.0 * greatest(least(d1, d2), 0) END AS cost FROM d)
+SELECT l_orderkey, CAST(sum(score) * 2.0 AS DOUBLE) AS weight, CAST(sum(cost) AS DOUBLE) AS cost, CAST(sum(score) * 2.0 AS DOUBLE) - CAST(sum(cost) AS DOUBLE) AS score FROM c GROUP BY l_orderkey""")
+def chain_scores(spark, sf_dir):
+    """Weight and cost of each order's blocks as a chain."""
+    return C.chain_score(_blocks(spark, sf_dir), ["l_orderkey"])
+
+
+@query(f"""WITH b AS ({_BLOCKS}), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s1, e1, s2) AS r1, row_number() OVER (PARTITION BY l_orderkey ORDER BY s2, e2, s1) AS r2 FROM b),
+n AS (SELECT *, CASE WHEN orient = lag(orient) OVER w AND r2 - lag(r2) OVER w = CASE WHEN orient = 0 THEN 1 ELSE -1 END THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY l_orderkey ORDER BY r1)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY r1 ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT l_orderkey, min(s1) AS s1, max(e1) AS e1, min(s2) AS s2, max(e2) AS e2, min(orient) AS orient, CAST(sum(score) AS BIGINT) AS score, count(*) AS blocks FROM i GROUP BY l_orderkey, island""")
+def merged_blocks(spark, sf_dir):
+    """Neighbouring blocks of each order merged."""
+    return C.merge_consecutive(_blocks(spark, sf_dir), ["l_orderkey"])
+
+
+@query(f"""WITH b AS ({_BLOCKS}), p AS (SELECT *, lag(e1) OVER w AS pe, lead(s1) OVER w AS ns FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY s1, e1))
+SELECT l_orderkey, CAST(sum(CASE WHEN pe IS NULL THEN 0 WHEN pe < s1 THEN pe + (s1 - pe) // 2 ELSE s1 END) AS BIGINT) AS starts, CAST(sum(CASE WHEN ns IS NULL THEN 1000000 WHEN ns > e1 THEN e1 + (ns - e1) // 2 ELSE e1 END) AS BIGINT) AS ends FROM p GROUP BY l_orderkey""")
+def extended_blocks(spark, sf_dir):
+    """Blocks of each order stretched to the middle of their gaps."""
+    rows = C.extend_blocks(_blocks(spark, sf_dir).withColumn("high", F.lit(1_000_000).cast("bigint")), ["l_orderkey"], "1", 0, "high")
+    return rows.groupBy("l_orderkey").agg(F.sum("s1").alias("starts"), F.sum("e1").alias("ends"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT l_orderkey, l_partkey AS r, l_suppkey * 20 AS q, CAST(l_quantity AS BIGINT) AS n FROM lineitem),
+c AS (SELECT l_orderkey, r + n AS re, q + n AS qe, CAST(n AS DOUBLE) AS score FROM a
+  UNION ALL SELECT c.l_orderkey, a.r + a.n, a.q + a.n, c.score + a.n - abs((a.r - c.re) - (a.q - c.qe)) FROM c JOIN a ON a.l_orderkey = c.l_orderkey AND a.r >= c.re AND a.q >= c.qe)
+SELECT l_orderkey, max(score) AS chain_score FROM c GROUP BY l_orderkey""")
+def colinear_chains(spark, sf_dir):
+    """Score of the best colinear chain of each order's anchors."""
+    a = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("r_start"), (F.col("l_suppkey") * 20).alias("q_start"), F.col("l_quantity").cast("bigint").alias("length"))
+    return C.colinear_chains(a, "l_orderkey").groupBy("l_orderkey").agg(F.max("chain_score").alias("chain_score"))
+
+
+@query()
+def glocal_chains(spark, sf_dir):
+    """Best chain of each order's blocks with rearrangements."""
+    return C.glocal_chains(_blocks(spark, sf_dir), "l_orderkey")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_partkey AS a1, l_suppkey AS a2, CAST(l_linenumber AS BIGINT) AS a3, lead(l_partkey) OVER w AS b1, lead(l_suppkey) OVER w AS b2, CAST(lead(l_linenumber) OVER w AS BIGINT) AS b3
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+d AS (SELECT *, abs(a1 - b1) AS d1, abs(a2 - b2) AS d2, abs(a3 - b3) AS d3 FROM p WHERE b1 IS NOT NULL)
+SELECT l_orderkey, CAST(sum(abs(d1 - d2) + abs(d1 - d3) + abs(d2 - d3)) AS DOUBLE) AS sum_of_pairs, round(sum(ln(abs(d1 - d2) + 1.0) + ln(abs(d1 - d3) + 1.0) + ln(abs(d2 - d3) + 1.0)), 6) AS convex,
+  CAST(sum(abs(a1 - b1 + a2 - b2 + a3 - b3) // 3) AS DOUBLE) AS star_avg, CAST(sum(list_sort([d1, d2, d3])[2]) AS DOUBLE) AS star_med FROM d GROUP BY l_orderkey""")
+def gap_costs(spark, sf_dir):
+    """Gap costs between consecutive items of each order, by model."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    point = F.array(F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber").cast("bigint"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", point.alias("a"), F.lead(point).over(w).alias("b")).where("b is not null")
+    cost = lambda m: E.gap_cost(F.col("a"), F.col("b"), m)
+    return rows.groupBy("l_orderkey").agg(F.sum(cost("sumofpairs")).alias("sum_of_pairs"), F.round(F.sum(cost("convex")), 6).alias("convex"), F.sum(cost("star-avg")).alias("star_avg"), F.sum(cost("star-med")).alias("star_med"))
+
+
+# ---------------------------------------------------------------- intervals
+
+_SPANS = "SELECT o_custkey, o_orderkey, o_orderkey AS s, o_orderkey + CAST(floor(o_totalprice / 10) AS BIGINT) AS e FROM orders"
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("s"), (F.col("o_orderkey") + F.floor(F.col("o_totalprice") / 10)).alias("e"))
+
+
+@query(f"""WITH i AS ({_SPANS}) SELECT o_custkey, o_orderkey, s, e FROM i WHERE NOT EXISTS (SELECT 1 FROM i o WHERE o.o_custkey = i.o_custkey AND o.o_orderkey <> i.o_orderkey AND o.s <= i.s AND o.e >= i.e AND (o.s < i.s OR o.e > i.e OR o.o_orderkey < i.o_orderkey))""")
+def containment_filter(spark, sf_dir):
+    """Order intervals of a customer that no other of theirs contains."""
+    return I.drop_contained(_spans(spark, sf_dir), ["o_custkey"], "s", "e", ["o_orderkey"])
+
+
+@query()
+def overlap_trim(spark, sf_dir):
+    """Order intervals of each customer after both sides of an overlap gave it up."""
+    return I.trim_overlap(_spans(spark, sf_dir), ["o_custkey"], "s", "e")
+
+
+@query(f"""WITH i AS ({_SPANS}), g AS (SELECT o_custkey, s, e, coalesce(max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM i)
+SELECT o_custkey, upto AS gap_start, least(s, 1000000) AS gap_end FROM g WHERE upto < least(s, 1000000)
+UNION ALL SELECT o_custkey, greatest(max(e), 0), 1000000 FROM i GROUP BY o_custkey HAVING max(e) < 1000000""")
+def interval_complement(spark, sf_dir):
+    """What a customer's order intervals leave uncovered."""
+    return I.complement(_spans(spark, sf_dir), ["o_custkey"], "s", "e", F.lit(0).cast("bigint"), F.lit(1_000_000).cast("bigint"))
+
+
+@query("""SELECT c_custkey, count(*) AS hits, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM customer JOIN orders ON o_orderkey >= c_custkey * 7 AND o_orderkey < c_custkey * 7 + 20 GROUP BY c_custkey""")
+def interval_stab(spark, sf_dir):
+    """Orders whose key lies in a customer's interval."""
+    ranges = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 7).alias("s"), (F.col("c_custkey") * 7 + 20).alias("e"))
+    hits = I.stab_join(_t(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey", "s", "e", 64)
+    return hits.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("hits"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(f"""WITH i AS ({_SPANS}) SELECT a.o_custkey, count(*) AS pairs, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS common FROM i a JOIN i b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND greatest(a.s, b.s) < least(a.e, b.e) GROUP BY a.o_custkey""")
+def interval_overlap(spark, sf_dir):
+    """Overlapping pairs among each customer's order intervals."""
+    a = _spans(spark, sf_dir)
+    b = a.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    pairs = I.overlap_join(a, b, "s", "e", "s2", "e2", 10_000, ["o_custkey"]).where("o_orderkey < other")
+    return pairs.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("common"))
+
+
+# ---------------------------------------------------------------- graphs
+
+_KINDS = "SELECT event_type, row_number() OVER (ORDER BY event_type) AS t FROM (SELECT DISTINCT event_type FROM events)"
+_STEPS = f"""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, event_type, t FROM events JOIN ({_KINDS}) USING (event_type)"""
+_LAYERED = f"""SELECT user_id AS path, step, (user_id // 3) * 100000 + step * 10 + t AS node_id, upper(substring(event_type, 1, 3)) AS seq FROM ({_STEPS})"""
+
+
+def _event_steps(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    kinds = e.select("event_type").distinct().withColumn("t", F.row_number().over(Window.orderBy("event_type")))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.join(F.broadcast(kinds), "event_type").withColumn("step", F.row_number().over(w) - 1)  # a row for each event kind is broadcast
+
+
+def _layered(spark, sf_dir) -> G.Graph:
+    s = _event_steps(spark, sf_dir).select(F.col("user_id").alias("path"), "step", (F.expr("user_id div 3") * 100000 + F.col("step") * 10 + F.col("t")).cast("bigint").alias("node_id"), F.upper(F.substring("event_type", 1, 3)).alias("seq"), F.lit("+").alias("orient"))
+    return G.Graph(s.groupBy("node_id").agg(F.first("seq").alias("seq")), s.select("path", "step", "node_id", "orient"))
+
+
+_EDGE_SQL = f"""WITH s AS ({_STEPS}), p AS (SELECT user_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY step) AS dst FROM s), e AS (SELECT DISTINCT user_id, src, dst FROM p WHERE dst IS NOT NULL)
+"""
+
+
+def _event_edges(spark, sf_dir) -> DataFrame:
+    s = _event_steps(spark, sf_dir).select(F.col("user_id").alias("path"), "step", F.col("event_type").alias("node_id"), F.lit("+").alias("orient"))
+    return G.path_edges(s)
+
+
+@query(_EDGE_SQL + "SELECT src, dst, count(*) AS n_paths, string_agg(user_id, ',' ORDER BY user_id) AS paths FROM e GROUP BY src, dst")
+def path_edges(spark, sf_dir):
+    """Transitions between event kinds with the users that make them."""
+    e = _event_edges(spark, sf_dir)
+    return e.select("src", "dst", F.size("paths").cast("bigint").alias("n_paths"), F.array_join(F.col("paths").cast("array<string>"), ",").alias("paths"))
+
+
+@query(_EDGE_SQL + "SELECT src, dst, count(*) AS n_paths FROM e WHERE user_id % 2 = 0 GROUP BY src, dst")
+def reference_edges(spark, sf_dir):
+    """Transitions of the acyclic view, where odd users are original layouts."""
+    e = G.acyclic_edges(_event_edges(spark, sf_dir), lambda p: p % 2 == 1)
+    return e.select("src", "dst", F.size("paths").cast("bigint").alias("n_paths"))
+
+
+_LAYER_EDGES = f"""WITH RECURSIVE s AS ({_LAYERED}), p AS (SELECT path, node_id AS src, lead(node_id) OVER (PARTITION BY path ORDER BY step) AS dst FROM s), e AS (SELECT DISTINCT path, src, dst FROM p WHERE dst IS NOT NULL), d AS (SELECT DISTINCT src, dst FROM e),
+o AS (SELECT src, count(*) AS n FROM d GROUP BY src), i AS (SELECT dst, count(*) AS n FROM d GROUP BY dst)
+"""
+
+
+@query(_LAYER_EDGES + "SELECT src, dst, count(*) AS n_paths FROM e WHERE (src, dst) IN (SELECT src, dst FROM e GROUP BY src, dst HAVING bool_and(path % 2 = 1)) GROUP BY src, dst")
+def structural_edges(spark, sf_dir):
+    """Edges of the layered graphs that only original layouts traverse."""
+    e = G.structural_edges(_layered(spark, sf_dir).edges(), lambda p: p % 2 == 1)
+    return e.select("src", "dst", F.size("paths").cast("bigint").alias("n_paths"))
+
+
+@query(_LAYER_EDGES + "SELECT n_paths, count(*) AS nodes, CAST(sum(length(seq)) AS BIGINT) AS length FROM (SELECT node_id, max(seq) AS seq, count(DISTINCT path) AS n_paths FROM s GROUP BY node_id) GROUP BY n_paths")
+def shared_by_n(spark, sf_dir):
+    """How many nodes exactly n users share."""
+    return G.shared_by(_layered(spark, sf_dir))
+
+
+@query(_LAYER_EDGES + """SELECT count(*) AS nodes, CAST(sum(length(seq)) AS BIGINT) AS length, """ + ", ".join(f"CAST(sum(length(seq) - length(replace(seq, '{b}', ''))) AS BIGINT) AS n_{b.lower()}" for b in "ACGTN") + " FROM (SELECT node_id, max(seq) AS seq FROM s GROUP BY node_id)")
+def graph_stats(spark, sf_dir):
+    """Letters over all nodes of the layered graphs."""
+    return G.node_stats(_layered(spark, sf_dir))
+
+
+@query(_LAYER_EDGES + ", u AS (SELECT node_id AS n, coalesce(o.n, 0) AS outs, coalesce(i.n, 0) AS ins FROM (SELECT DISTINCT node_id FROM s) LEFT JOIN o ON o.src = node_id LEFT JOIN i ON i.dst = node_id) SELECT outs, ins, count(*) AS nodes FROM u GROUP BY outs, ins")
+def node_degrees(spark, sf_dir):
+    """How many nodes have which degrees."""
+    g = _layered(spark, sf_dir)
+    e = g.edges().select("src", "dst").distinct()
+    outs, ins = e.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("outs")), e.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("ins"))
+    rows = g.nodes.join(outs, "node_id", "left").join(ins, "node_id", "left")
+    return rows.groupBy(F.coalesce("outs", F.lit(0)).alias("outs"), F.coalesce("ins", F.lit(0)).alias("ins")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
+def order_components(spark, sf_dir):
+    """Components of the graph that links consecutive orders of a customer."""
+    ship(spark)
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    edges = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(w).alias("dst"))
+    return connected_components(edges)
+
+
+_BUBBLES = """, mid AS (SELECT o.src AS m FROM o JOIN i ON i.dst = o.src WHERE o.n = 1 AND i.n = 1),
+ways AS (SELECT a.src AS source, b.dst AS sink, a.dst AS m FROM d a JOIN mid ON mid.m = a.dst JOIN d b ON b.src = a.dst UNION ALL SELECT src, dst, NULL FROM d),
+bub AS (SELECT source, sink, count(*) AS ways, string_agg(m, ',' ORDER BY m) AS inner_nodes FROM ways GROUP BY source, sink HAVING count(*) >= 2 AND count(*) = (SELECT n FROM o WHERE o.src = source) AND count(*) = (SELECT n FROM i WHERE i.dst = sink))
+"""
+
+
+@query(_LAYER_EDGES + _BUBBLES + "SELECT source, sink, coalesce(inner_nodes, '') AS inner_nodes FROM bub")
+def simple_bubbles(spark, sf_dir):
+    """Simple bubbles of the layered graphs."""
+    return B.simple_bubbles(_layered(spark, sf_dir).edges()).select("source", "sink", F.array_join(F.col("inner").cast("array<string>"), ",").alias("inner_nodes"))
+
+
+_ALLELES = _BUBBLES + """, al AS (SELECT bub.source, bub.sink, a.path, coalesce(x.seq, '-') AS allele FROM bub JOIN s a ON a.node_id = bub.source JOIN s b ON b.node_id = bub.sink AND b.path = a.path AND b.step - a.step IN (1, 2) LEFT JOIN s x ON x.path = a.path AND x.step = a.step + 1 AND b.step - a.step = 2),
+g AS (SELECT source, sink, allele, min(path) AS first, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM al GROUP BY source, sink, allele),
+v AS (SELECT source, sink, allele, first, paths, count(*) OVER w AS n_alleles, max(CASE WHEN allele = '-' THEN 1 ELSE 0 END) OVER w AS direct, max(length(allele)) OVER w AS longest, min(first) OVER w = first AS reference FROM g WINDOW w AS (PARTITION BY source, sink)),
+t AS (SELECT source, sink, allele, n_alleles, CASE WHEN direct = 1 THEN 'indel' WHEN n_alleles = 2 AND longest = 1 THEN 'snp' WHEN n_alleles = 2 THEN 'region' ELSE 'multi-allelic' END AS type,
+  CAST(row_number() OVER (PARTITION BY source, sink ORDER BY reference DESC, allele) - 1 AS INTEGER) AS allele_index, paths FROM v)
+"""
+
+
+@query(_LAYER_EDGES + _ALLELES + "SELECT source, sink, allele, n_alleles, type, allele_index, paths FROM t")
+def variants(spark, sf_dir):
+    """Alleles of the simple bubbles with their users."""
+    return B.variants(_layered(spark, sf_dir)).withColumn("paths", F.array_join(F.col("paths").cast("array<string>"), ","))
+
+
+@query(_LAYER_EDGES + _ALLELES + ", c AS (SELECT source, sink, type, allele_index, CAST(unnest(string_split(paths, ',')) AS BIGINT) % 3 AS lane FROM t) SELECT source, sink, type, " + ", ".join(f"min(allele_index) FILTER (WHERE lane = {i}) AS lane_{i}" for i in range(3)) + " FROM c GROUP BY source, sink, type")
+def variant_calls(spark, sf_dir):
+    """Variants by path, the three users of a graph in columns."""
+    found = B.variants(_layered(spark, sf_dir)).withColumn("paths", F.transform("paths", lambda p: F.concat(F.lit("lane_"), (p % 3).cast("string"))))
+    return B.calls(found, ["lane_0", "lane_1", "lane_2"])
+
+
+@query()
+def superbubbles(spark, sf_dir):
+    """Superbubbles of the layered graphs, nested ones included."""
+    return B.superbubbles(_layered(spark, sf_dir)).withColumn("inner", F.array_join(F.col("inner").cast("array<string>"), ","))
+
+
+@query(_LAYER_EDGES + "SELECT path, length(seq) AS n, md5(seq) AS digest FROM (SELECT path, string_agg(seq, '' ORDER BY step) AS seq FROM s GROUP BY path)")
+def extract_paths(spark, sf_dir):
+    """The sequence of every path."""
+    return G.extract(_layered(spark, sf_dir)).select("path", F.length("seq").cast("bigint").alias("n"), F.md5("seq").alias("digest"))
+
+
+@query(_LAYER_EDGES + "SELECT path, count(*) AS steps, CAST(max(o) AS BIGINT) AS last_offset, CAST(sum(o) AS BIGINT) AS total FROM (SELECT path, coalesce(sum(length(seq)) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s) GROUP BY path")
+def path_offsets(spark, sf_dir):
+    """Running offsets along every path."""
+    return G.offsets(_layered(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("steps"), F.max("offset").alias("last_offset"), F.sum("offset").alias("total"))
+
+
+@query(_LAYER_EDGES + "SELECT DISTINCT node_id FROM (SELECT path, node_id, seq, coalesce(sum(length(seq)) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s) WHERE path = 1 AND o < 60 AND o + length(seq) > 12")
+def subgraph_range(spark, sf_dir):
+    """Nodes that user 1 visits in an offset range."""
+    return G.subgraph(_layered(spark, sf_dir), 1, 12, 60).nodes.select("node_id")
+
+
+@query()
+def pruned_nodes(spark, sf_dir):
+    """Nodes that are left after equal siblings were merged."""
+    return G.prune(_layered(spark, sf_dir)).nodes
+
+
+@query()
+def contracted_nodes(spark, sf_dir):
+    """Nodes that are left after unary stretches were collapsed."""
+    return G.contract(_layered(spark, sf_dir)).nodes
+
+
+@query()
+def longest_paths(spark, sf_dir):
+    """The longest path of each layered graph."""
+    return G.longest_path(_layered(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+
+
+@query(_LAYER_EDGES + """SELECT 'H' || chr(9) || 'VN:Z:1.0' AS line UNION ALL SELECT 'S' || chr(9) || node_id || chr(9) || max(seq) FROM s GROUP BY node_id
+UNION ALL SELECT 'L' || chr(9) || src || chr(9) || '+' || chr(9) || dst || chr(9) || '+' || chr(9) || '0M' FROM d
+UNION ALL SELECT 'P' || chr(9) || path || chr(9) || string_agg(node_id || '+', ',' ORDER BY step) || chr(9) || array_to_string(list_transform(range(count(*) - 1), lambda x: '0M'), ',') FROM s GROUP BY path""")
+def gfa_records(spark, sf_dir):
+    """The layered graphs as GFA lines."""
+    return S.gfa_lines(_layered(spark, sf_dir))
+
+
+@query(f"WITH i AS ({_SPANS}) SELECT o_custkey || chr(9) || s || chr(9) || e || chr(9) || o_orderkey AS line FROM i")
+def bed_records(spark, sf_dir):
+    """Order intervals as BED lines."""
+    return S.bed_lines(_spans(spark, sf_dir), ["o_custkey", "s", "e", "o_orderkey"])
+
+
+@query()
+def vcf_records(spark, sf_dir):
+    """Variants on user 1's path as VCF lines."""
+    g = _layered(spark, sf_dir)
+    return B.vcf_lines(B.variants(g), g, 1)
+
+
+@query("""WITH c AS (SELECT p_size, CAST(p_partkey AS VARCHAR) AS path, i, substring(p_brand, i, 1) AS base FROM (SELECT *, unnest(range(1, length(p_brand) + 1)) AS i FROM part)),
+n AS (SELECT p_size, i, base, string_agg(path, ',' ORDER BY path) AS paths FROM c WHERE base <> '-' GROUP BY p_size, i, base),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY p_size, paths ORDER BY i) AS run FROM n)
+SELECT p_size, md5(paths) AS paths, min(i) - 1 AS start, count(*) AS length, string_agg(base, '' ORDER BY i) AS seq FROM r GROUP BY p_size, paths, run""")
+def alignment_nodes(spark, sf_dir):
+    """Nodes of the alignments of brand names of equal part size."""
+    rows = _t(spark, sf_dir, "part").select("p_size", F.col("p_partkey").cast("string").alias("path"), "p_brand")
+    return msa.columns_to_nodes(rows, "p_size", "path", "p_brand").withColumn("paths", F.md5("paths"))
+
+
+@query()
+def aligned_regions(spark, sf_dir):
+    """Multiple alignments of the distinct region and nation names of each region."""
+    n = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("bubble"), F.col("n_name").alias("path"), F.col("n_name").alias("seq"))
+    return msa.align_alleles(n, "bubble").withColumn("conf", F.array_join(F.col("conf").cast("array<string>"), ","))
+
+
+@query("""WITH b AS (SELECT item_id, text, length(text) // 2 AS h FROM benchmark)
+SELECT CAST(item_id AS VARCHAR) AS ref, CAST(item_id AS VARCHAR) AS ctg, CAST(0 AS INTEGER) AS orient, h AS s1, length(text) AS e1 FROM b WHERE length(text) - h >= 50""")
+def placed_contigs(spark, sf_dir):
+    """Second halves of benchmark items placed on the items."""
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("seq"))
+    halves = b.select("name", F.expr("substring(seq, int(length(seq) div 2) + 1)").alias("seq"))
+    return L.place_contigs(b, halves, k=20).select("ref", "ctg", "orient", "s1", "e1")
+
+
+# ---------------------------------------------------------------- measures and classes
+
+@query("""WITH c AS (SELECT CAST(count(*) FILTER (WHERE p AND y) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE p AND NOT y) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE NOT p AND y) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE NOT p AND NOT y) AS DOUBLE) AS tn
+FROM (SELECT quality = 0 AS y, text LIKE '%!!%' OR text LIKE '%| %' OR text LIKE '%&&&%' AS p FROM labels JOIN documents USING (doc_id)))
+SELECT tp, fp, fn, tn, round(tp / (tp + fn), 9) AS sensitivity, round(tn / (tn + fp), 9) AS specificity, round(tp / (tp + fp), 9) AS precision, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""")
+def confusion(spark, sf_dir):
+    """How well three marks of junk agree with the quality labels."""
+    t = F.col("text")
+    rows = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id").select((F.col("quality") == 0).alias("y"), (t.contains("!!") | t.contains("| ") | t.contains("&&&")).alias("p"))
+    count = lambda c: F.count_if(F.expr(c)).cast("double")
+    c = rows.agg(count("p and y").alias("tp"), count("p and not y").alias("fp"), count("not p and y").alias("fn"), count("not p and not y").alias("tn"))
+    return c.select("*", F.round(F.expr("try_divide(tp, tp + fn)"), 9).alias("sensitivity"), F.round(F.expr("try_divide(tn, tn + fp)"), 9).alias("specificity"), F.round(F.expr("try_divide(tp, tp + fp)"), 9).alias("precision"), F.round(F.expr("try_divide(2 * tp, 2 * tp + fp + fn)"), 9).alias("f1"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1")
+def best_hits(spark, sf_dir):
+    """The event of highest value of each user; ties keep the first."""
+    best = F.min(F.struct((-F.col("value")).alias("v"), "event_id", "event_type", "value")).alias("b")
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(best).select("user_id", "b.event_id", "b.event_type", "b.value")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size / 50.0 > 0.8 AND p_size / 45.0 > 0.8 AND p_brand <> 'Satellite' THEN 'mei' WHEN p_size / 40.0 > 0.5 THEN
+CASE WHEN p_partkey % 1200 = 1 THEN 'homopolymer' WHEN p_partkey % 1200 <= 6 THEN 'microsatellite' WHEN p_partkey % 1200 < 100 THEN 'minisatellite' WHEN p_partkey % 1200 < 1000 THEN 'macrosatellite' ELSE 'megasatellite' END ELSE 'other' END AS class FROM part""")
+def repeat_classes(spark, sf_dir):
+    """Repeat classes from coverage-like measures of parts."""
+    size = F.col("p_size")
+    return _t(spark, sf_dir, "part").select("p_partkey", E.repeat_class(size / 50.0, size / 45.0, F.col("p_brand"), size / 40.0, F.col("p_partkey") % 1200).alias("class"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INTEGER) + l_linenumber AS BIGINT) AS n FROM lineitem")
+def cigar_lengths(spark, sf_dir):
+    """Lengths of CIGAR strings made of quantity and line number."""
+    cigar = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("M3D"), F.col("l_linenumber").cast("string"), F.lit("I"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", E.cigar_length(cigar).alias("n"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Hourly counts of events, run as a stream over the table's files."""
+    out = stream.drained(spark, sf_dir, "events", stream.windowed)
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
