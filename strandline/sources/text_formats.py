@@ -74,7 +74,8 @@ def gml_lines(graph: Graph) -> DataFrame:
 def read_maf(spark: SparkSession, path: str) -> DataFrame:
     """``block, sample, start, size, strand, src_size, text`` of MAF alignment blocks with more than one row."""
     raw = spark.read.text(path, lineSep="\na").where(F.col("value").contains("\ns"))
-    lines = raw.select(F.monotonically_increasing_id().alias("block"), F.explode(F.split("value", "\n")).alias("l")).where("l like 's%'")
+    blocks = raw.withColumn("block", F.monotonically_increasing_id())  # before the rows of a block are exploded
+    lines = blocks.select("block", F.explode(F.split("value", "\n")).alias("l")).where("l like 's%'")
     c = F.split("l", r"\s+")
     rows = lines.select("block", F.get(c, F.lit(1)).alias("sample"), F.get(c, F.lit(2)).cast("bigint").alias("start"), F.get(c, F.lit(3)).cast("bigint").alias("size"), F.get(c, F.lit(4)).alias("strand"), F.get(c, F.lit(5)).cast("bigint").alias("src_size"), F.get(c, F.lit(6)).alias("text"))
     return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("__n > 1").drop("__n")
