@@ -140,13 +140,13 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epo
     within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = filled.groupBy("rank", "bucket").agg(F.sum("size").alias("here")).select("rank", "bucket", (F.sum("here").over(across) - F.col("here")).alias("base"))
-    placed = filled.withColumn("upto", F.sum("size").over(within)).join(bases, ["rank", "bucket"]).withColumn("from", F.col("base") + F.col("upto") - F.col("size"))
+    placed = filled.withColumn("upto", F.sum("size").over(within)).join(bases.hint("merge"), ["rank", "bucket"]).withColumn("from", F.col("base") + F.col("upto") - F.col("size"))
     to = F.col("from") + F.col("size")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"`from` div {block_words}"), F.expr(f"(`from` + size - 1) div {block_words}"))))
     words = F.least(to, (F.col("block") + 1) * block_words) - F.greatest(F.col("from"), F.col("block") * block_words)
-    joined = pieces.withColumn("words", words).join(times, ["rank", "block"])
+    joined = pieces.withColumn("words", words).join(times.hint("merge"), ["rank", "block"])
     taken = joined.groupBy("rank", "from").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
-    out = placed.join(taken, ["rank", "from"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
+    out = placed.join(taken.hint("merge"), ["rank", "from"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
     return out.unionByName(rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))
 
 
@@ -161,7 +161,7 @@ def repeat_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     by a hash of its id in proportion, so that sources keep their totals.
     Documents without words take no part.
     """
-    share = mixture(docs, seed=seed, **options).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    share = mixture(docs, seed=seed, **options).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("share"))
     copies = share.select(F.col("doc_id").alias("__id"), F.floor(F.coalesce("share", F.lit(0.0)) + _fraction("doc_id", seed + 1)).cast("int").alias("__copies")).where("__copies > 0")
-    out = docs.join(copies, docs.doc_id.eqNullSafe(copies["__id"]))
+    out = docs.join(copies.hint("merge"), docs.doc_id.eqNullSafe(copies["__id"]))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])

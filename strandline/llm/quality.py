@@ -161,7 +161,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         return model
     patterns = (seen.code.to_numpy()[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 - 1
     model.labellers = Labellers().fit(patterns, seen.n.to_numpy(float))
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = docs.sparkSession.createDataFrame(ids.toPandas().drop_duplicates(), ids.schema)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(_examples, "shapes array<int>, counts array<int>, dense array<double>, votes array<tinyint>").limit(2 * train_rows).toPandas()
     dense = np.array(rows.dense.tolist()).reshape(-1, DENSE)

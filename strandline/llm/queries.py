@@ -111,8 +111,8 @@ df AS (SELECT g, count(*) AS f FROM s GROUP BY g),
 r AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS k FROM s JOIN df USING (g)),
 p AS (SELECT r.doc_id, r.g, n.size FROM r JOIN n USING (doc_id) WHERE k <= size - ceil(0.85 * size) + 1),
 c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)),
-i AS (SELECT x, y, count(*) AS both FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y),
-e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both >= 85 * (a.size + b.size - both)),
+i AS (SELECT x, y, count(*) AS n_both FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y),
+e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * n_both >= 85 * (a.size + b.size - n_both)),
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach AS (SELECT DISTINCT x AS doc_id, x AS at FROM both_ways UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = at),
 comp AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id)

@@ -64,13 +64,18 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Selected features: their table, log-odds and families."""
 
-    def __init__(self, ids: np.ndarray, odds: np.ndarray, family: np.ndarray):
-        self.odds, self.family = odds, family
+    def __init__(self, ids: np.ndarray, odds: np.ndarray, family: np.ndarray, alone: np.ndarray):
+        self.odds, self.family, self.alone = odds, family, alone
         self.table = np.full((len(PREFIXES), 1 << BITS), -1, np.int16)
         self.table[family, ids] = np.arange(len(ids))
 
-    def read(self, column: pa.Array):
-        """For each chunk of texts: (text, feature, count) triples, dense values and votes."""
+    def read(self, column: pa.Array, toxic: np.ndarray | None = None):
+        """For each chunk of texts: (text, feature, count) triples, dense values and votes.
+
+        For training texts ``toxic`` has their labels; features that a toxic
+        text has only helped into the lexicon itself are then left out, so
+        that training texts look like unseen ones.
+        """
         raw_all, bounds_all = W.text_bytes(column)
         for a, b in W.chunks(bounds_all):
             raw, bounds = raw_all[bounds_all[a] : bounds_all[b]], bounds_all[a : b + 1]
@@ -83,6 +88,9 @@ class Lexicon:
                 feats.append(got[p].astype(np.int64))
             pair, count = np.unique(np.concatenate(texts) * FEATURES + np.concatenate(feats), return_counts=True)
             text, feat = pair // FEATURES, pair % FEATURES
+            if toxic is not None:
+                m = ~(self.alone[feat] & (toxic[a:b][text] > 0))
+                text, feat, count = text[m], feat[m], count[m]
             n = b - a
             kinds = _TEXT[raw]
             upper, lower, bang, star = (_per_text(kinds == k, bounds) for k in (1, 2, 3, 4))
@@ -141,7 +149,7 @@ def _examples(sent):
         lexicon = sent.value
         for rb in batches:
             a = 0
-            for (text, feat, count), dense, votes in lexicon.read(rb.column(0)):
+            for (text, feat, count), dense, votes in lexicon.read(rb.column(0), np.asarray(rb.column(1)).astype(int)):
                 n = len(votes)
                 cut = np.searchsorted(text, np.arange(n + 1))
                 rows = [(feat[i:j].tolist(), count[i:j].tolist()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -247,10 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     if total is None or not total.n0 or not total.n1:
         return model
     odds = F.log((F.col("n1") + 0.5) / F.lit(total.n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(total.n0 + 1.0))
-    least = max(2, total.n1 // 500)
+    least = max(2, total.n1 // 500)  # toxic rows that a feature must occur in
     best = counts.where((F.col("family") >= 0) & (F.col("n1") >= least)).withColumn("odds", odds).where(F.col("odds") >= LENIENT)
     best = best.orderBy((F.col("n1") * F.col("odds")).desc(), "family", "id").limit(FEATURES).toPandas()
-    model.lexicon = lexicon = Lexicon(best.id.to_numpy(np.int64), best.odds.to_numpy(float), best.family.to_numpy(np.int64))
+    model.lexicon = lexicon = Lexicon(best.id.to_numpy(np.int64), best.odds.to_numpy(float), best.family.to_numpy(np.int64), best.n1.to_numpy() <= least)
     sent = spark.sparkContext.broadcast(lexicon)  # 8 MB whatever the corpus
     seen = docs.select("text").mapInArrow(_vote_counts(sent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 3 ** VOTERS patterns at most
     examples = train.mapInArrow(_examples(sent), "label int, feats array<int>, counts array<int>, dense array<double>, votes array<int>").toPandas()
@@ -271,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     val = 1 + np.log(np.concatenate([np.asarray(x, float) for x in examples.counts]))
     dense = np.array(examples.dense.tolist())
     model.mean, model.scale = dense.mean(0), dense.std(0) + 1e-6
-    model.weights, model.dense, model.bias = fit_linear(row, col, val, (dense - model.mean) / model.scale, target, FEATURES)
+    model.weights, model.dense, model.bias = fit_linear(row, col, val, (dense - model.mean) / model.scale, target, FEATURES, l2=max(1e-4, 0.3 / len(examples)))
     return model
 
 
