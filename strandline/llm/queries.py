@@ -114,8 +114,8 @@ c AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM p a JOIN p b ON a.g = b.
 i AS (SELECT x, y, count(*) AS n_both FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y AND a.g = b.g GROUP BY x, y),
 e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * n_both >= 85 * (a.size + b.size - n_both)),
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-reach AS (SELECT DISTINCT x AS doc_id, x AS at FROM both_ways UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = at),
-comp AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id)
+reach AS (SELECT DISTINCT x AS doc_id, x AS node FROM both_ways UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = reach.node),
+comp AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(comp.component_id, w.doc_id) AS component_id, coalesce(comp.component_id, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """

@@ -162,11 +162,17 @@ def _examples(sent):
 class LabelModel:
     """Class-conditional voters in a forest of dependences, by expectation-maximisation over vote patterns."""
 
-    def fit(self, votes: np.ndarray, n: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-        """``votes`` (patterns x voters, -1 / 0 / 1), their counts and first posteriors."""
+    def fit(self, votes: np.ndarray, n: np.ndarray, start: np.ndarray, known: np.ndarray | None = None, rounds: int = 25) -> LabelModel:
+        """``votes`` (patterns x voters, -1 / 0 / 1), their counts and first posteriors, which stay where ``known``.
+
+        Voters count as independent given the class until the accuracies have
+        settled; then the dependences that are left enter once, so that
+        they cannot explain away the class itself.
+        """
         post = start
+        self.parent, self.order = [-1] * votes.shape[1], list(range(votes.shape[1]))
         onehot = votes[:, :, None] == np.array([-1, 0, 1])
-        for _ in range(rounds):
+        for t in range(rounds):
             w = np.stack([n * (1 - post), n * post])  # class x pattern
             self.prior = np.log((w.sum(1) + 1) / (w.sum() + 2))
             joint = np.einsum("cp,pia,pjb->cijab", w, onehot, onehot, optimize=True) + 0.1
@@ -176,11 +182,14 @@ class LabelModel:
             ind = joint.sum(4, keepdims=True) * joint.sum(3, keepdims=True)
             share = w.sum(1) / w.sum()
             mutual = np.einsum("c,cij->ij", share, (joint * np.log(joint / ind)).sum((3, 4)))
-            self.parent, self.order = self._forest(mutual)
+            if t == rounds * 2 // 3:
+                self.parent, self.order = self._forest(mutual)
             self.mutual, self.single = mutual, single
             self.table = np.log(joint / joint.sum(4, keepdims=True))  # P(v_j = b | v_i = a, class)
             new = self.posterior(votes)
-            if np.abs(new - post).max() < 1e-6:
+            if known is not None:
+                new = np.where(known, start, new)
+            if np.abs(new - post).max() < 1e-6 and t > rounds * 2 // 3:
                 break
             post = new
         return self
@@ -268,7 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     own = LabelModel().fit(votes, np.ones(len(votes)), np.where(y > 0, 0.99, 0.01), rounds=1)
     stacked = np.concatenate([patterns, votes])
     start = np.concatenate([own.posterior(patterns), np.where(y > 0, 0.99, 0.01)])
-    model.labels = LabelModel().fit(stacked, np.concatenate([seen.n.to_numpy(float), np.ones(len(votes))]), start)
+    weight = np.full(len(votes), max(1.0, seen.n.sum() / len(votes)))  # labelled rows count as much as all others
+    known = np.arange(len(stacked)) >= len(patterns)
+    model.labels = LabelModel().fit(stacked, np.concatenate([seen.n.to_numpy(float), weight]), start, known)
     soft = model.labels.posterior(votes)
     agree = np.clip([(1 - soft)[y == 0].mean(), soft[y == 1].mean()], 0.6, 0.99)  # the annotator is one more voter
     odds = np.log(soft / (1 - soft)).clip(-6, 6) + np.where(y > 0, np.log(agree[1] / (1 - agree[0])), np.log((1 - agree[1]) / agree[0])) * 2
