@@ -1,17 +1,16 @@
 """Clustering and chaining of anchors and blocks.
 
 What is an ordered sum, a rank or a neighbour is a window; optimal chains are
-sequential and run as grouped functions over their group's rows.
+sequential and run as folds over their group's rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.expr import block_gap_cost
+from strandline.operators.grouped import map_groups
 from strandline.operators.intervals import islands
 
 
@@ -63,32 +62,30 @@ def chain_score(blocks: DataFrame, partition: list[str], alpha: float = 2, **cos
     return out.withColumn("score", F.col("weight") - F.col("cost"))
 
 
-def best_chain(starts: np.ndarray, lengths: np.ndarray, n: np.ndarray, match: float = 1.0, penalty: float = 1.0) -> tuple[list[int], float]:
-    """Best colinear chain of anchors: each begins at or after the end of the one before in all dimensions.
+def best_chain(anchors: list[tuple], n: int = 2, match: float = 1.0, penalty: float = 1.0) -> tuple[list[int], float]:
+    """Best colinear chain of anchors (start in each dimension ..., length): each begins at or after the end of the one before in all dimensions.
 
     An anchor gains ``match * length * n * (n - 1) / 2``; a link costs
     ``penalty`` times the sum-of-pairs gap cost. Ties go to the smaller start.
     """
-    order = sorted(range(len(lengths)), key=lambda i: (*starts[i].tolist(), int(lengths[i])))
-    starts, lengths, n = starts[order], lengths[order], n[order]
-    ends = starts + lengths[:, None]
-    gain = match * lengths * n * (n - 1) / 2.0
-    score, back = gain.astype(float).copy(), np.full(len(lengths), -1)
-    dims = starts.shape[1]
-    for i in range(len(lengths)):
-        ok = np.flatnonzero((ends[:i] <= starts[i]).all(1))
-        if not len(ok):
-            continue
-        d = np.abs(starts[i] - ends[ok])
-        cost = sum(np.abs(d[:, a] - d[:, b]) for a in range(dims) for b in range(a + 1, dims))
-        total = score[ok] + gain[i] - penalty * cost
-        best = int(total.argmax())
-        if total[best] > score[i]:
-            score[i], back[i] = total[best], ok[best]
-    if not len(score):
+    order = sorted(range(len(anchors)), key=lambda i: anchors[i])
+    starts = [anchors[i][:-1] for i in order]
+    ends = [tuple(x + anchors[i][-1] for x in anchors[i][:-1]) for i in order]
+    gain = [match * anchors[i][-1] * n * (n - 1) / 2.0 for i in order]
+    score, back = list(map(float, gain)), [-1] * len(order)
+    for i, at in enumerate(starts):
+        for j in range(i):
+            if any(e > x for e, x in zip(ends[j], at, strict=True)):
+                continue
+            d = [abs(x - e) for x, e in zip(at, ends[j], strict=True)]
+            cost = sum(abs(d[a] - d[b]) for a in range(len(d)) for b in range(a + 1, len(d)))
+            total = score[j] + gain[i] - penalty * cost
+            if total > score[i]:
+                score[i], back[i] = total, j
+    if not order:
         return [], 0.0
-    at = int(score.argmax())
-    top, path = float(score[at]), []
+    at = max(range(len(order)), key=lambda i: (score[i], -i))
+    top, path = score[at], []
     while at >= 0:
         path.append(order[at])
         at = back[at]
@@ -99,14 +96,12 @@ def colinear_chains(anchors: DataFrame, key: str, match: float = 1.0, penalty: f
     """Best chain of each group of anchors (r_start, q_start, length): the group's anchors on it with ``step`` and ``chain_score``."""
     schema = f"{key} {anchors.schema[key].dataType.simpleString()}, step int, r_start bigint, q_start bigint, length bigint, chain_score double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        path, top = best_chain(pdf[["r_start", "q_start"]].to_numpy(np.int64), pdf.length.to_numpy(np.int64), np.full(len(pdf), 2), match, penalty)
-        out = pdf.iloc[path][[key, "r_start", "q_start", "length"]].copy()
-        out.insert(1, "step", range(len(out)))
-        out["chain_score"] = top
-        return out
+    def fold(cols: list[list]) -> list[tuple]:
+        rows = list(zip(*cols[1:], strict=True))
+        path, top = best_chain(rows, 2, match, penalty)
+        return [(cols[0][0], step, *rows[i], top) for step, i in enumerate(path)]
 
-    return anchors.select(key, "r_start", "q_start", "length").groupBy(key).applyInPandas(run, schema)
+    return map_groups(anchors.select(key, "r_start", "q_start", "length"), [key], ["r_start", "q_start", "length"], fold, schema)
 
 
 def glocal_chains(blocks: DataFrame, key: str, look_back: int = 50, gap_open: float = 1, rearrangement: float = 10_000, inversion: float = 5, alpha: float = 2, lam: float = 3, eps: float = 2) -> DataFrame:
@@ -118,25 +113,25 @@ def glocal_chains(blocks: DataFrame, key: str, look_back: int = 50, gap_open: fl
     """
     schema = f"{key} {blocks.schema[key].dataType.simpleString()}, step int, s1 bigint, e1 bigint, s2 bigint, e2 bigint, orient int, score bigint, chain_score double"
 
-    def cost(p, c) -> float:
-        d1 = c.s1 - p.e1
-        if p.orient != c.orient:
-            a, b = max(d1, 0), max(c.s2 - p.e2, p.s2 - c.e2, 0)
+    def cost(p: tuple, c: tuple) -> float:
+        d1 = c[0] - p[1]
+        if p[4] != c[4]:
+            a, b = max(d1, 0), max(c[2] - p[3], p[2] - c[3], 0)
             return gap_open + inversion + min(rearrangement, lam * abs(a - b)) + eps * min(a, b)
-        d2 = c.s2 - p.e2 if c.orient == 0 else p.s2 - c.e2
+        d2 = c[2] - p[3] if c[4] == 0 else p[2] - c[3]
         if d2 < 0:
             return gap_open + rearrangement + eps * max(d1, 0)
         return gap_open + min(rearrangement, lam * abs(d1 - d2)) + eps * max(min(d1, d2), 0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["s1", "e1", "s2"], kind="stable").itertuples(index=False))
-        best, back = [alpha * r.score for r in rows], [-1] * len(rows)
+    def fold(cols: list[list]) -> list[tuple]:
+        rows = list(zip(*cols[1:], strict=True))  # s1, e1, s2, e2, orient, score
+        best, back = [float(alpha * r[5]) for r in rows], [-1] * len(rows)
         for i, c in enumerate(rows):
             for j in range(i - 1, max(-1, i - 1 - look_back), -1):
                 p = rows[j]
-                if p.s1 == c.s1 or p.e1 >= c.e1 or (p.s2 <= c.s2 and p.e2 >= c.e2):
+                if p[0] == c[0] or p[1] >= c[1] or (p[2] <= c[2] and p[3] >= c[3]):
                     continue
-                total = best[j] + alpha * c.score - cost(p, c)
+                total = best[j] + alpha * c[5] - cost(p, c)
                 if total > best[i]:
                     best[i], back[i] = total, j
         at = max(range(len(rows)), key=lambda i: (best[i], -i))
@@ -144,9 +139,7 @@ def glocal_chains(blocks: DataFrame, key: str, look_back: int = 50, gap_open: fl
         while at >= 0:
             path.append(rows[at])
             at = back[at]
-        out = pd.DataFrame(path[::-1], columns=pdf.columns)
-        out.insert(1, "step", range(len(out)))
-        out["chain_score"] = float(top)
-        return out
+        return [(cols[0][0], step, *r, float(top)) for step, r in enumerate(path[::-1])]
 
-    return blocks.select(key, "s1", "e1", "s2", "e2", F.col("orient").cast("int").alias("orient"), F.col("score").cast("bigint").alias("score")).groupBy(key).applyInPandas(run, schema)
+    rows = blocks.select(key, "s1", "e1", "s2", "e2", F.col("orient").cast("int").alias("orient"), F.col("score").cast("bigint").alias("score"))
+    return map_groups(rows, [key], ["s1", "e1", "s2", "e2"], fold, schema)

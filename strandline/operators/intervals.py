@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.grouped import map_groups
+
 
 def islands(df: DataFrame, partition: list[str], order: list[str], is_new: Column, name: str = "island") -> DataFrame:
     """Number runs of rows: ``is_new`` (over lag columns of the same window) starts a run."""
@@ -60,17 +61,18 @@ def overlap_join(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_
 def trim_overlap(df: DataFrame, partition: list[str], start: str, end: str) -> DataFrame:
     """Along one axis both of two overlapping neighbours lose the overlap; what is left of length 0 or less goes.
 
-    Contained intervals go first. The walk is an ordered fold, so it runs as a
-    grouped function over each partition.
+    Contained intervals go first. The walk is an ordered fold, so each
+    partition is folded in order.
     """
     kept = drop_contained(df, partition, start, end, [])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end], kind="stable").reset_index(drop=True)
-        s, e = pdf[start].to_numpy().copy(), pdf[end].to_numpy().copy()
-        last = -1
-        keep = [True] * len(pdf)
-        for i in range(len(pdf)):
+    rest = [c for c in kept.columns if c not in (*partition, start, end)]
+    n = len(partition)
+
+    def fold(cols: list[list]) -> list[tuple]:
+        s, e = cols[n][:], cols[n + 1][:]
+        last, keep = -1, [True] * len(s)
+        for i in range(len(s)):
             while last >= 0:
                 over = e[last] - s[i]
                 if over <= 0:
@@ -86,7 +88,9 @@ def trim_overlap(df: DataFrame, partition: list[str], start: str, end: str) -> D
                 last = i
             else:
                 keep[i] = False
-        pdf[start], pdf[end] = s, e
-        return pdf[keep]
+        other = [c for c in cols[:n]] + [s, e] + cols[n + 2 :]
+        return [tuple(c[i] for c in other) for i in range(len(s)) if keep[i]]
 
-    return kept.groupBy(*partition).applyInPandas(fold, kept.schema)
+    rows = kept.select(*partition, start, end, *rest)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return map_groups(rows, partition, [start, end], fold, schema).select(*kept.columns)
