@@ -216,3 +216,63 @@ def test_layout_finds_order_strand_and_gaps(spark):
     got = L.place_contigs(r, c, k=20).orderBy("s1").collect()
     assert [(x.ctg, x.orient, x.s1, x.e1) for x in got] == [("a", 0, 10, 200), ("b", 1, 220, 400), ("c", 0, 400, 590)]
     assert L.finish(r, c, k=20).first().seq == ref[10:200] + "N" * 20 + ref[220:400] + "N" + ref[400:590]
+
+
+def layered_graph(spark, seed, paths=4, layers=9):
+    rng = random.Random(seed)
+    seqs, steps = {}, []
+    for p in range(paths):
+        step = 0
+        for layer in range(layers):
+            if layer % 2 == 0:
+                node = layer * 10
+            else:
+                node = layer * 10 + rng.randrange(4)
+                if node % 10 == 3:
+                    continue
+            seqs.setdefault(node, "".join(rng.choices("ACGT", k=rng.randint(5, 9) if layer % 2 == 0 else rng.randint(1, 6))))
+            steps.append((f"p{p}", step, node, "+"))
+            step += 1
+    return G.Graph(spark.createDataFrame(list(seqs.items()), "node_id bigint, seq string"), spark.createDataFrame(steps, "path string, step int, node_id bigint, orient string"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rewrites_keep_every_path(spark, seed):
+    from strandline.operators import transforms as X
+
+    g = layered_graph(spark, seed)
+    want = {r.path: r.seq for r in G.extract(g).collect()}
+    for h in (X.unzip(g, 2), X.refine(g), G.contract(g), G.prune(g)):
+        assert {r.path: r.seq for r in G.extract(h).collect()} == want
+    moved = X.unzip(g, 2)
+    assert moved.nodes.agg(F.sum(F.length("seq"))).first()[0] != g.nodes.agg(F.sum(F.length("seq"))).first()[0]
+    k = 4
+    nodes, edges = X.chop(g, k)
+    held = [r.seq[i : i + k] for r in nodes.collect() for i in range(len(r.seq) - k + 1)]
+    assert len(held) == len(set(held)) and set(held) == {s[i : i + k] for s in want.values() for i in range(len(s) - k + 1)}
+    seq = {r.node_id: r.seq for r in nodes.collect()}
+    assert all(seq[e.src][-(k - 1) :] == seq[e.dst][: k - 1] and e.cigar == "3M" for e in edges.collect())
+    at = {r.node_id: r.layer_offset for r in X.layers(g).collect()}
+    size = {r.node_id: len(r.seq) for r in g.nodes.collect()}
+    for e in g.edges().collect():
+        assert at[e.dst] >= at[e.src] + size[e.src]
+
+
+def test_recursive_alignment_of_simulated_genomes(spark):
+    from strandline.operators import simulate, transforms as X
+
+    seqs, truth = simulate.genomes(spark, 3, 600, 0.03, seed=2)
+    g = X.recursive_align(seqs, k=12)
+    assert {r.path: r.seq for r in G.extract(g).collect()} == {r.path: r.seq for r in seqs.collect()}
+    r = simulate.accuracy(simulate.aligned_columns(g), truth).first()
+    assert r.precision > 0.98 and r.sensitivity > 0.6
+    assert g.nodes.count() > 3
+
+
+def test_runs_and_dots(spark):
+    from strandline.operators import transforms as X
+
+    df = spark.createDataFrame([("a", "NNACNNNGN")], "k string, t string")
+    assert sorted((r.start, r.end) for r in X.letter_runs(df, "k", "t", "N", 2).collect()) == [(0, 2), (4, 7)]
+    dots = X.dotplot_points(spark.createDataFrame([(1, 5, 3, 0), (1, 5, 3, 1)], "s1 int, s2 int, length int, orient int")).collect()
+    assert [tuple(r) for r in dots] == [(1, 5, 4, 8), (1, 8, 4, 5)]
