@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import materialise
+from strandline.session import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        old, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(old)
         was, state = state, _state(e)
         if was == state:
             break

@@ -19,7 +19,8 @@ from strandline.operators import graph as G
 from strandline.operators import intervals as I
 from strandline.operators import layout as L
 from strandline.operators import match as M
-from strandline.operators import msa
+from strandline.operators import msa, simulate
+from strandline.operators import transforms as X
 from strandline.operators.components import connected_components
 from strandline.session import ship
 from strandline.sources import text_formats as S
@@ -465,6 +466,90 @@ def longest_paths(spark, sf_dir):
     return G.longest_path(_layered(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
+@query(_LAYER_EDGES + "SELECT DISTINCT node_id, CAST(3 * step AS BIGINT) AS layer_offset FROM s")
+def node_layers(spark, sf_dir):
+    """Longest distance of every node from a start."""
+    return X.layers(_layered(spark, sf_dir))
+
+
+_WORDS = f"WITH s AS (SELECT path, step, upper(event_type) AS seq FROM (SELECT user_id AS path, step, event_type FROM ({_STEPS}))), x AS (SELECT path, string_agg(seq, '' ORDER BY step) AS seq FROM s GROUP BY path) "
+_PATHS = _WORDS + "SELECT path, length(seq) AS n, md5(seq) AS digest FROM x"
+
+
+def _wordy(spark, sf_dir) -> G.Graph:
+    """The layered graphs with whole event names as node sequences."""
+    g = _layered(spark, sf_dir)
+    names = _event_steps(spark, sf_dir).select((F.expr("user_id div 3") * 100000 + F.col("step") * 10 + F.col("t")).cast("bigint").alias("node_id"), F.upper("event_type").alias("seq")).distinct()
+    return G.Graph(names, g.steps)
+
+
+def _path_digests(g: G.Graph) -> DataFrame:
+    return G.extract(g).select("path", F.length("seq").cast("bigint").alias("n"), F.md5("seq").alias("digest"))
+
+
+@query(_PATHS)
+def unzipped_paths(spark, sf_dir):
+    """Path sequences after flanks of bubbles moved into alleles: they stay the same."""
+    return _path_digests(X.unzip(_wordy(spark, sf_dir), 2))
+
+
+@query(_PATHS)
+def refined_paths(spark, sf_dir):
+    """Path sequences after alleles were realigned: they stay the same."""
+    return _path_digests(X.refine(_wordy(spark, sf_dir)))
+
+
+@query(_PATHS)
+def contracted_paths(spark, sf_dir):
+    """Path sequences after unary stretches were collapsed: they stay the same."""
+    return _path_digests(G.contract(_wordy(spark, sf_dir)))
+
+
+@query(_WORDS + "SELECT path, length(seq) AS n, md5(reverse(translate(seq, 'ACGTURYKMBVDH', 'TGCAAYRMKVBHD'))) AS digest FROM x")
+def complement_paths(spark, sf_dir):
+    """Path sequences of the reverse-complement graph."""
+    return _path_digests(G.complement(_wordy(spark, sf_dir)))
+
+
+@query(_WORDS + "SELECT count(DISTINCT substring(seq, i, 12)) AS kmers FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM x)")
+def chopped_kmers(spark, sf_dir):
+    """Letters of the overlap graph as 12-mers: as many as the paths have different ones."""
+    nodes, _ = X.chop(_wordy(spark, sf_dir), 12)
+    return nodes.agg(F.sum(F.length("seq").cast("bigint") - 11).alias("kmers"))
+
+
+@query("""WITH b AS (SELECT item_id, text FROM benchmark), v AS (SELECT item_id || 'a' AS path, text AS seq FROM b UNION ALL SELECT item_id || 'b', substring(text, 1, 40) || 'XX' || substring(text, 61) FROM b)
+SELECT path, length(seq) AS n, md5(seq) AS digest FROM v WHERE path IN ('0a', '0b')""")
+def aligned_paths(spark, sf_dir):
+    """Recursive alignment of an item and an edited copy: the paths give the texts back."""
+    b = _t(spark, sf_dir, "benchmark").where("item_id = 0").select(F.concat(F.col("item_id").cast("string"), F.lit("a")).alias("path"), F.col("text").alias("seq"))
+    edited = b.select(F.translate("path", "a", "b").alias("path"), F.expr("substring(seq, 1, 40) || 'XX' || substring(seq, 61)").alias("seq"))
+    return _path_digests(X.recursive_align(b.unionByName(edited), k=12))
+
+
+@query()
+def simulated_accuracy(spark, sf_dir):
+    """Sensitivity and precision of recursive alignment on simulated genomes."""
+    ship(spark)
+    seqs, truth = simulate.genomes(spark, 3, 500, 0.03, seed=7)
+    return simulate.accuracy(simulate.aligned_columns(X.recursive_align(seqs, k=12)), truth)
+
+
+@query("""WITH c AS (SELECT doc_id, i, l[i] AS ch FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, '') AS l FROM documents))),
+g AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c WHERE ch = 'e')
+SELECT doc_id, min(i) - 1 AS "start", max(i) AS "end" FROM g GROUP BY doc_id, k HAVING count(*) >= 2""")
+def letter_runs(spark, sf_dir):
+    """Runs of two or more of one letter in documents, as gaps are runs of N."""
+    return X.letter_runs(_t(spark, sf_dir, "documents"), "doc_id", "text", "e", 2)
+
+
+@query(f"""WITH p AS ({_POINTS}) SELECT s1 AS x1, CASE WHEN orient = 0 THEN s2 ELSE s2 + length END AS y1, s1 + length AS x2, CASE WHEN orient = 0 THEN s2 + length ELSE s2 END AS y2 FROM p""")
+def dotplot(spark, sf_dir):
+    """Line segments of a dot plot of the suppliers' points."""
+    p = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s1"), (F.col("l_orderkey") - F.col("l_partkey") % 5 + 10).alias("s2"), F.col("l_quantity").cast("bigint").alias("length"), (F.col("l_linenumber") % 2).alias("orient"))
+    return X.dotplot_points(p)
+
+
 @query(_LAYER_EDGES + """SELECT 'H' || chr(9) || 'VN:Z:1.0' AS line UNION ALL SELECT 'S' || chr(9) || node_id || chr(9) || max(seq) FROM s GROUP BY node_id
 UNION ALL SELECT 'L' || chr(9) || src || chr(9) || '+' || chr(9) || dst || chr(9) || '+' || chr(9) || '0M' FROM d
 UNION ALL SELECT 'P' || chr(9) || path || chr(9) || string_agg(node_id || '+', ',' ORDER BY step) || chr(9) || array_to_string(list_transform(range(count(*) - 1), lambda x: '0M'), ',') FROM s GROUP BY path""")
