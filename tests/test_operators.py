@@ -276,3 +276,20 @@ def test_runs_and_dots(spark):
     assert sorted((r.start, r.end) for r in X.letter_runs(df, "k", "t", "N", 2).collect()) == [(0, 2), (4, 7)]
     dots = X.dotplot_points(spark.createDataFrame([(1, 5, 3, 0), (1, 5, 3, 1)], "s1 int, s2 int, length int, orient int")).collect()
     assert [tuple(r) for r in dots] == [(1, 5, 4, 8), (1, 8, 4, 5)]
+
+
+def test_conversions(spark, tiny, tmp_path):
+    from strandline.sources import convert as V
+
+    S.gfa_lines(tiny).coalesce(1).write.text(str(tmp_path / "g"))
+    maf = V.convert(spark, str(tmp_path / "g"), "gfa", "maf")
+    maf.coalesce(1).write.text(str(tmp_path / "m"))
+    back = V.READERS["maf"](spark, str(tmp_path / "m"))
+    assert {r.path: r.seq for r in G.extract(back).collect()} == {"ref": "ACGTNGGTT", "alt": "ACGTNGGTT"}
+    assert any("node [" in r.line for r in V.convert(spark, str(tmp_path / "g"), "gfa", "gml").collect())
+    (tmp_path / "a.fa").write_text(">x\nAC-G\n>y\nACTG\n")
+    lines = [r.line for r in V.convert(spark, str(tmp_path / "a.fa"), "aligned", "gfa").collect()]
+    assert sum(x.startswith("S") for x in lines) == 3 and sum(x.startswith("P") for x in lines) == 2
+    assert sum(x.line.startswith("S") for x in V.convert(spark, str(tmp_path / "a.fa"), "fasta", "gfa").collect()) == 2
+    plan = V.alignment_plan("r", ["a", "b", "c"], 2, True)
+    assert [s for s, _ in plan] == ["place_contigs"] * 3 + ["recursive_align"] * 2 + ["unzip", "refine", "variants"]
