@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     a, b = F.col(src), F.col(dst)
     e = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialise(e, "cc")
+    e = materialise(e, "cc", small=True)
     state = _state(e)
     for _ in range(max_rounds):
         if not state[0]:
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        old, e = e, materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc", small=True)
         discard(old)
         was, state = state, _state(e)
         if was == state:

@@ -30,13 +30,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+def materialise(df: DataFrame, name: str = "t", small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The written table survives the loss of any executor, and later jobs restart
-    from it instead of from the whole lineage.
+    from it instead of from the whole lineage. ``small`` is for tables that are
+    narrow and cheap to make: a sixteenth of the shuffle partitions then write
+    them, since thousands of tiny files cost more than they hold.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{scratch_dir(spark).rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
