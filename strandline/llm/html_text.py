@@ -24,6 +24,8 @@ from strandline.session import materialise
 
 #: A subtree is template if it occurs in this many different pages of its host at least, and in this share of them.
 MANY, SHARE = 3, 0.3
+#: Template hashes in all that are sent to every executor (8 MB); beyond that hosts are joined, in this many parts each.
+SENT_HASHES, PARTS = 1_000_000, 32
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -311,7 +313,12 @@ def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataF
     """
     base = pages.select("page_id", "url", "html")
     kind = base.schema["page_id"].dataType.simpleString()
-    known = templates(base, many, share)
+    known = materialise(templates(base, many, share), "templates", small=True)
     own = base.mapInArrow(_hosts, f"page_id {kind}, url string, html string, host string")
-    rows = own.join(known, "host", "left").select("page_id", "url", "html", "template")
+    if (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= SENT_HASHES:
+        joined = own.join(F.broadcast(known), "host", "left")
+    else:  # a host can have a third of all pages, so its pages are dealt to several tasks
+        parts = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        joined = own.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(parts, ["host", "part"], "left")
+    rows = joined.select("page_id", "url", "html", "template")
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -446,7 +446,9 @@ def test_page_structures():
         assert html_text.extract(text, set()) == want, text
 
 
-def test_site_templates_go_and_shared_passages_stay(spark):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_site_templates_go_and_shared_passages_stay(spark, sent, monkeypatch):
+    monkeypatch.setattr(html_text, "SENT_HASHES", sent)
     rows = []
     for i in range(12):
         rows.append((i, f"http://a.example/{i}", page(f"<div><div>All stories | About us</div></div><div><p>Story {i} begins</p><p>Same quotation.</p></div><div>Imprint and terms</div>")))
