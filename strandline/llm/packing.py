@@ -31,7 +31,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Ids in a row, and pieces in a pool.
 ROW, POOL = 2048, 8192
 #: Units that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _U = np.uint64
 _rng = np.random.default_rng(0xB17E)
@@ -45,26 +45,53 @@ class Encoder:
         import tiktoken
 
         self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+        self.core = self.bpe._core_bpe
+        self.line = self.core.encode_ordinary("\n")[0]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.check = np.zeros(1024, _U)
-        self.start, self.length, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.pool, self.filled = np.zeros(4096, np.uint16), 0
-
-    def _learn(self, key: int, check: int, unit: bytes) -> int:
-        ids = self.bpe.encode_ordinary(unit.decode())
-        if self.used == len(self.check):
-            self.check, self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.check, self.start, self.length))
-        while self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        i, self.used = self.used, self.used + 1
-        self.check[i], self.start[i], self.length[i] = check, self.filled, len(ids)
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.filled += len(ids)
-        self.known[key] = i
-        return i
+        self.check, self.start, self.length = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.pool, self.used, self.filled = [np.zeros(0, np.uint16)], 0, 0
+
+    def _ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, end to end, and their lengths.
+
+        Words are encoded in one call, a line each: the pattern cuts around a
+        single line break. Where the breaks do not come out one for one (a
+        unit that ends in other white space), units are encoded one by one.
+        """
+        ids = np.array(self.core.encode_ordinary("\n".join(found)), np.uint16)
+        cuts = np.flatnonzero(ids == self.line)
+        if len(cuts) == len(found) - 1:
+            lengths = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+            return np.delete(ids, cuts), lengths
+        each = [self.core.encode_ordinary(x) for x in found]
+        return np.array([x for e in each for x in e], np.uint16), np.array(list(map(len, each)), np.int64)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, found: list[str]) -> np.ndarray:
+        """Remember units; returns their places."""
+        blank = [i for i, x in enumerate(found) if x.isspace()]
+        words = [i for i, x in enumerate(found) if not x.isspace()]
+        parts, order = [], [*words, *blank]
+        if words:
+            parts.append(self._ids([found[i] for i in words]))
+        for i in blank:
+            ids = np.array(self.core.encode_ordinary(found[i]), np.uint16)
+            parts.append((ids, np.array([len(ids)])))
+        lengths = np.concatenate([n for _, n in parts])
+        self.pool.append(np.concatenate([x for x, _ in parts]))
+        at = np.empty(len(found), np.int64)
+        at[order] = self.used + np.arange(len(found))
+        self.check.append(checks[order])
+        self.start.append(self.filled + np.cumsum(lengths) - lengths)
+        self.length.append(lengths)
+        self.known.update(zip(keys[order].tolist(), range(self.used, self.used + len(found)), strict=True))
+        self.used += len(found)
+        self.filled += int(lengths.sum())
+        for name in ("pool", "check", "start", "length"):
+            setattr(self, name, [np.concatenate(getattr(self, name))])
+        return at
 
     def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts between ``bounds``, and where each text's ids begin."""
@@ -83,16 +110,17 @@ class Encoder:
             self.forget()
         data, check = raw.tobytes(), keys[1]
         at = np.array([self.known.get(k, -1) for k in key.tolist()], np.int64)
-        for u in np.flatnonzero(at < 0).tolist():
-            f = first[u]
-            at[u] = self._learn(int(key[u]), int(check[f]), data[starts[f] : ends[f]])
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            f = first[new]
+            at[new] = self._learn(key[new], check[f], [data[a:b].decode() for a, b in zip(starts[f].tolist(), ends[f].tolist(), strict=True)])
         at = at[where]
-        if (self.check[at] != check).any():  # two units share a first hash: encode this chunk plainly
+        if (self.check[0][at] != check).any():  # two units share a first hash: encode this chunk plainly
             ids = [self.bpe.encode_ordinary(data[a:b].decode()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             return np.array([x for t in ids for x in t], np.uint16), np.cumsum([0, *map(len, ids)])
-        many = self.length[at]
+        many = self.length[0][at]
         done = np.concatenate(([0], np.cumsum(many)))
-        ids = self.pool[np.repeat(self.start[at] - done[:-1], many) + np.arange(done[-1])]
+        ids = self.pool[0][np.repeat(self.start[0][at] - done[:-1], many) + np.arange(done[-1])]
         return ids, done[np.searchsorted(starts, bounds)]
 
 
