@@ -117,7 +117,7 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epo
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(order)).withColumn("weight", weight)
-    sources = materialise(water_fill(materialise(totals, "sources"), epochs), "targets")
+    sources = materialise(water_fill(materialise(totals, "sources", small=True), epochs), "targets", small=True)
     held = sources.select("rank", "source_size", "target").toPandas().sort_values("rank")  # one row a source
     size = held.source_size.to_numpy(np.int64)
     blocks = -(-size // block_words)
