@@ -121,7 +121,7 @@ def aligned_graph(aligned: DataFrame) -> Graph:
     from strandline.operators.msa import columns_to_nodes
 
     runs = columns_to_nodes(aligned.withColumn("__k", F.lit(0)), "__k", "path", "text")
-    ids = runs.withColumn("node_id", F.row_number().over(Window.partitionBy("__k").orderBy("start", "seq")).cast("bigint"))
+    ids = runs.withColumn("node_id", F.shiftrightunsigned(F.xxhash64("paths", "start"), 1))
     steps = ids.select("node_id", "start", F.explode(F.split("paths", ",")).alias("path"))
     w = Window.partitionBy("path").orderBy("start")
     return Graph(ids.select("node_id", "seq"), steps.select("path", (F.row_number().over(w) - 1).alias("step"), "node_id", F.lit("+").alias("orient")))
@@ -131,7 +131,7 @@ def fasta_graph(seqs: DataFrame) -> Graph:
     """One node and one path for each record; a name that repeats is an error."""
     if seqs.groupBy("name").count().where("count > 1").take(1):
         raise ValueError("record names repeat")
-    ids = seqs.select("name", "seq", F.row_number().over(Window.orderBy("name")).cast("bigint").alias("node_id"))
+    ids = seqs.select("name", "seq", F.shiftrightunsigned(F.xxhash64("name"), 1).alias("node_id"))
     return Graph(ids.select("node_id", "seq"), ids.select(F.col("name").alias("path"), F.lit(0).alias("step"), "node_id", F.lit("+").alias("orient")))
 
 
