@@ -10,10 +10,11 @@ No group is ever expanded into all its pairs:
 
 1. texts with equal sets are one class (a digest, combined on the map side);
 2. in each band group every class is compared with the group's smallest one;
-3. what these links connect is contracted; only band groups that still hold
-   two unconnected members (apart from the smallest) are compared in full, in
-   blocks of bounded bytes, and a block returns a spanning forest of the links
-   that it confirms.
+3. what these links connect is contracted; band groups that still hold two
+   unconnected members (apart from the smallest) are first reduced to members
+   with a plausible partner, by sketches alone, and then compared in full, in
+   blocks of bounded bytes. A pair is looked at in its first common band only,
+   and a block returns a spanning forest of the links that it confirms.
 
 Steps 2 and 3 together confirm or refute every candidate pair up to links that
 are already implied, so that no bucket needs a cap.
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,9 +41,11 @@ BUCKETS = 1 << BUCKET_BITS
 ROWS = 4
 BANDS = BUCKETS // ROWS
 #: Standard deviations that an estimate may fall short of the threshold before a candidate is dropped.
-SLACK = 5.0
+SLACK = 4.5
 #: Bytes of sets that one block of a band group holds, and its members.
-BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 512
+BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 2048
+#: Members that are held against one copy of their group's smallest.
+STAR_ROWS = 512
 #: Expected share of unequal buckets that collide, times 2**MANTISSA_BITS, for sets of equal size (published constant of the sketch).
 COLLISION = 0.169919487159739093975315012348630288992889
 
@@ -114,16 +116,18 @@ def linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(s) + len(t) - both)
 
 
-def _features(k: int):
+def _features(k: int, sketches: bool):
+    """doc_id, set size and digest of each text, with its sketch if asked for."""
+
     def run(batches):
         for rb in batches:
             ids, texts = rb.column(0), rb.column(1)
             for a in range(0, len(texts), 512):
                 sets = list(shingle_sets(texts.slice(a, 512), k))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, sketch(sets), strict=True)], pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "sketch"],
-                )
+                cols = {"doc_id": ids.slice(a, 512), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())}
+                if sketches:
+                    cols["sketch"] = pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, sketch(sets), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
@@ -178,45 +182,102 @@ def _stars(num: int, den: int):
     return run
 
 
-def _block(num: int, den: int):
-    """All pairs of a block that no earlier link, band or estimate decides; returns a spanning forest."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf.bi.iloc[0]), int(pdf.bj.iloc[0])
-        pdf = pdf.drop_duplicates("rep")
-        rep, comp, block = pdf.rep.to_numpy(), pdf.comp.to_numpy(), pdf.block.to_numpy()
-        regs = np.frombuffer(b"".join(pdf.sketch), np.uint32).reshape(len(pdf), -1)
-        sets = [np.frombuffer(x, _U) for x in pdf.elements]
-        size = np.array([len(s) for s in sets])
-        keys, some = band_keys(regs)
-        band = int(np.flatnonzero((keys[0] == np.uint64(int(pdf.key.iloc[0]) & 0xFFFFFFFFFFFFFFFF)) & some[0])[0])
-        up = {c: c for c in set(comp.tolist())}
-
-        def root(c):
-            while up[c] != c:
-                up[c] = up[up[c]]
-                c = up[c]
-            return c
-
-        found = []
-        for i in range(len(rep)):
-            if block[i] != bi:
-                continue
-            j = np.flatnonzero((block == bj) & (comp != comp[i]) & ((rep > rep[i]) | (bi != bj)))
-            if not len(j):
-                continue
-            if band:
-                j = j[~((keys[j, :band] == keys[i, :band]) & some[i, :band] & some[j, :band]).any(1)]
-            for x in j[plausible(regs[i], regs[j], size[i], size[j], num, den)]:
-                a, b = root(comp[i]), root(comp[x])
-                if a != b and linked(sets[i], sets[x], num, den):
-                    up[a] = b
-                    found.append((rep[i], rep[x]))
-        return pd.DataFrame({"src": pd.Series([x[0] for x in found], dtype=pdf.rep.dtype), "dst": pd.Series([x[1] for x in found], dtype=pdf.rep.dtype)})
+def _groups(batches, keys: int) -> Iterator[list[list]]:
+    """Columns of each run of equal leading ``keys`` columns of sorted batches."""
+    now, held = None, None
+    for rb in batches:
+        cols = [c.to_pylist() for c in rb.columns]
+        marks = list(zip(*cols[:keys], strict=True))
+        a = 0
+        while a < len(marks):
+            b = a + 1
+            while b < len(marks) and marks[b] == marks[a]:
+                b += 1
+            if marks[a] == now:
+                for x, c in zip(held, cols, strict=True):
+                    x.extend(c[a:b])
+            else:
+                if held is not None:
+                    yield held
+                now, held = marks[a], [c[a:b] for c in cols]
+            a = b
+    if held is not None:
+        yield held
+
+
+def _open_pairs(cols: list[list], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+    """In one block of a band group, each row's plausible partners in other components that share no earlier band with it."""
+    key, bi, bj, rep, comp, block = (np.array(c) for c in cols[:6])
+    regs = np.frombuffer(b"".join(cols[6]), np.uint32).reshape(len(rep), -1)
+    size = np.array(cols[7])
+    keys, some = band_keys(regs)
+    band = int(np.flatnonzero((keys[0].view(np.int64) == key[0]) & some[0])[0])
+    keys = np.where(some, keys, np.arange(len(rep), dtype=_U)[:, None])[:, :band]  # an empty band is shared with no one
+    for i in np.flatnonzero(block == bi[0]):
+        j = np.flatnonzero((block == bj[0]) & (comp != comp[i]) & ((rep > rep[i]) | (bi[0] != bj[0])))
+        j = j[~(keys[j] == keys[i]).any(1)]
+        j = j[plausible(regs[i], regs[j], size[i], size[j], num, den)]
+        if len(j):
+            yield int(i), j
+
+
+def _still_open(num: int, den: int):
+    """Rows of band groups that have a plausible partner."""
+
+    def run(batches):
+        for cols in _groups(batches, 3):
+            some = np.zeros(len(cols[0]), bool)
+            for i, j in _open_pairs(cols, num, den):
+                some[i] = True
+                some[j] = True
+            at = np.flatnonzero(some)
+            if len(at):
+                yield pa.RecordBatch.from_pydict({n: [c[i] for i in at] for n, c in (("key", cols[0]), ("rep", cols[3]), ("comp", cols[4]))})
 
     return run
 
 
+def _forest(num: int, den: int):
+    """Links between components among the plausible pairs of a block: a spanning forest."""
+
+    def run(batches):
+        for cols in _groups(batches, 3):
+            rep, comp = cols[3], cols[4]
+            sets = [np.frombuffer(x, _U) for x in cols[8]]
+            up = {c: c for c in comp}
+
+            def root(c, up=up):
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            found = []
+            for i, j in _open_pairs(cols, num, den):
+                for x in j:
+                    a, b = root(comp[i]), root(comp[x])
+                    if a != b and linked(sets[i], sets[x], num, den):
+                        up[a] = b
+                        found.append((rep[i], rep[x]))
+            if found:
+                yield pa.RecordBatch.from_pydict({"src": [x[0] for x in found], "dst": [x[1] for x in found]})
+
+    return run
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, full: bool) -> DataFrame:
+    """Rows of band groups dealt to pairs of blocks, sorted by them, with sketches and, if ``full``, sets."""
+    size = F.octet_length("sketch") + (F.octet_length("elements") if full else F.lit(0))
+    own = sets.select("rep", "sketch", (F.octet_length("elements") / 8).cast("bigint").alias("size"), *(["elements"] if full else []), size.alias("bytes"))
+    rows = rows.join(own.select("rep", "bytes"), "rep")
+    plan = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    cut = rows.join(plan, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    one = cut.where("blocks = 1").select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "rep", "comp", "block")
+    many = cut.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block")
+    wide = one.unionByName(many).join(own, "rep").select("key", "bi", "bj", "rep", "comp", "block", "sketch", "size", *(["elements"] if full else []))
+    return wide.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
 
@@ -227,39 +288,41 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     count as one document. A null doc_id keeps its row and is never linked.
     Other columns, whatever their names, are not read.
     """
-    base = docs.select("doc_id", "text")
-    kind = base.schema["doc_id"].dataType.simpleString()
-    feats = materialise(base.mapInArrow(_features(shingle), f"doc_id {kind}, n_shingles bigint, digest binary, sketch binary"), "features")
+    given = docs.schema["doc_id"].dataType.simpleString()
+    kind = "bigint" if given in ("tinyint", "smallint", "int") else given
+    base = docs.select(F.col("doc_id").cast(kind), "text")
+    feats = base.mapInArrow(_features(shingle, True), f"doc_id {kind}, n_shingles bigint, digest binary, sketch binary")
     classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    bands = classes.select("rep", "sketch").mapInArrow(_bands, f"key bigint, rep {kind}")
+    bands = classes.select("rep", "sketch").mapInArrow(_bands, f"key bigint, rep {kind}").repartition("key")
     heads = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
     groups = materialise(bands.join(heads, "key").where("rep <> leader"), "bands")  # key, rep, leader
 
-    pairs = materialise(groups.select("leader", "rep").distinct(), "pairs")
+    pairs = materialise(groups.select("leader", "rep").distinct(), "pairs", small=True)
     ids = pairs.select(F.col("leader").alias("rep")).unionByName(pairs.select("rep")).distinct()
-    sets = materialise(base.join(ids, base.doc_id == ids.rep, "left_semi").mapInArrow(_sets(shingle), f"rep {kind}, elements binary, sketch binary"), "sets").dropDuplicates(["rep"])
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("salts"))
+    sets = materialise(base.join(ids.hint("shuffle_hash"), base.doc_id == ids.rep, "left_semi").mapInArrow(_sets(shingle), f"rep {kind}, elements binary, sketch binary"), "sets")
+    if sets.count() != ids.count():  # doc_ids repeat: the first text of an id stands for it
+        sets = materialise(sets.groupBy("rep").agg(F.min_by("elements", F.xxhash64("elements")).alias("elements"), F.min_by("sketch", F.xxhash64("elements")).alias("sketch")), "sets")
+    salts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
     members = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("member"))
     rows = members.join(sets, members.member == sets.rep).select("leader", "salt", "member", "elements", "sketch")
     tops = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("leader") == F.col("rep")).select("leader", "salt", F.lit(None).cast(kind).alias("member"), "elements", "sketch")
     both = rows.unionByName(tops).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
     links = materialise(both.mapInArrow(_stars(num, den), f"src {kind}, dst {kind}"), "links")
 
-    comp = materialise(connected_components(links), "star_components")
+    comp = connected_components(links)
     placed = groups.join(comp, groups.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = materialise(placed, "placed")
+    placed = materialise(placed, "placed", small=True)
     weight = sets.select("rep", (F.octet_length("elements") + F.octet_length("sketch")).alias("bytes"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    left = placed.join(open_keys, "key").join(weight, "rep")
-    plan = left.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    cut = left.join(plan, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    more = materialise(cut.join(sets, "rep").groupBy("key", "bi", "bj").applyInPandas(_block(num, den), f"src {kind}, dst {kind}"), "links")
+    left = _blocks(placed.join(open_keys, "key"), sets, full=False).mapInArrow(_still_open(num, den), f"key bigint, rep {kind}, comp {kind}")
+    left = materialise(left.distinct(), "open", small=True)
+    more = materialise(_blocks(left, sets, full=True).mapInArrow(_forest(num, den), f"src {kind}, dst {kind}"), "links")
 
     final = connected_components(links.unionByName(more))
     label = classes.join(final, classes.rep == final.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = feats.join(label, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    sizes = base.mapInArrow(_features(shingle, False), f"doc_id {kind}, n_shingles bigint, digest binary")  # cheaper to read again than to keep
+    out = sizes.join(label, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(F.col("doc_id").cast(given), "n_shingles", F.col("component_id").cast(given), "kept")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -269,4 +332,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -
     stays. Columns are those of ``docs``.
     """
     keep = near_groups(docs, shingle, num, den).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep["__kept"]), "left_semi")
+    return docs.join(keep.hint("shuffle_hash"), docs.doc_id.eqNullSafe(keep["__kept"]), "left_semi")
