@@ -28,9 +28,6 @@ from strandline.session import materialise
 BLOCK_WORDS, EPOCHS, WEIGHTS = 64, 3, (1, 2, 3)
 #: Output shards at most, and cells (shards x sources) of the plan made on the driver; both independent of the data's size.
 SHARDS, PLAN_CELLS = 4096, 4_000_000
-#: Documents in one bucket of a source's stream, on average.
-BUCKET_ROWS = 20_000
-
 _U = np.uint64
 
 
@@ -134,7 +131,7 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epo
     times = slots.select("rank", _permuted(seed)("slot", "blocks", F.col("rank").cast("bigint")).alias("block")).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
 
     rows = sizes.join(F.broadcast(sources.select(F.col("source").alias("own"), "rank", "source_size", "target")) if len(held) <= 10_000 else sources.select(F.col("source").alias("own"), "rank", "source_size", "target"), sizes.source.eqNullSafe(F.col("own"))).drop("own", "source")
-    buckets = max(1, math.ceil(sizes.count() / BUCKET_ROWS))
+    buckets = max(1, math.isqrt(sizes.count()))  # as many buckets as rows in each: both windows below stay short
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
     filled = rows.where("size > 0")
     within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -163,5 +160,5 @@ def repeat_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     """
     share = mixture(docs, seed=seed, **options).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("share"))
     copies = share.select(F.col("doc_id").alias("__id"), F.floor(F.coalesce("share", F.lit(0.0)) + _fraction("doc_id", seed + 1)).cast("int").alias("__copies")).where("__copies > 0")
-    out = docs.join(copies.hint("merge"), docs.doc_id.eqNullSafe(copies["__id"]))
+    out = docs.join(copies.hint("shuffle_hash"), docs.doc_id.eqNullSafe(copies["__id"]))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
