@@ -1,8 +1,9 @@
 """Main text of web pages by removal of site templates.
 
 Pages are parsed into element trees. Every block subtree is hashed; Spark counts
-in how many different pages of a host each hash occurs; subtrees that recur in
-many of them are the site's template and are deleted. What no count can show
+in how many different pages of a host each hash occurs; subtrees that recur are
+the site's template and are deleted, however many other pages the host has (a
+section's notice is on few of a large host's pages). What no count can show
 (hosts with few pages) follows from element names, roles and class names.
 Running text inside an article (paragraphs, headings, quotations) is never
 taken for template, so that passages which articles share stay.
@@ -12,9 +13,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from strandline.session import materialise
 
-#: A subtree is template if it occurs in this many different pages of its host at least, and in this share of them.
-MANY, SHARE = 3, 0.3
-#: Template hashes in all that are sent to every executor (8 MB); beyond that hosts are joined, in this many parts each.
-SENT_HASHES, PARTS = 1_000_000, 32
+#: A subtree is template if it occurs in this many different pages of its host at least.
+MANY = 3
+#: Template hashes that are sent to every executor (8 MB), the most frequent ones; the others are joined, equal pages in parts of so many copies.
+SENT_HASHES, COPIES = 1_000_000, 1024
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -209,7 +211,7 @@ def counted(nodes: list[Node], marked: bool, top: list[Node]) -> list[Node]:
     return out
 
 
-def blocks(top: list[Node], template: set[int], marked: bool) -> list[str]:
+def blocks(top: list[Node], template: Container[int], marked: bool) -> list[str]:
     """Texts of the blocks of the main text, in page order."""
     out: list[str] = []
     now: list[str] = []
@@ -247,7 +249,19 @@ def blocks(top: list[Node], template: set[int], marked: bool) -> list[str]:
     return out
 
 
-def extract(page: str, template: set[int]) -> str:
+class Known:
+    """Hashes of a host's template, among the sorted ``sent`` ones of all hosts and some ``more``."""
+
+    def __init__(self, host_hash: int, sent: np.ndarray, more: Container[int]):
+        self.host_hash, self.sent, self.more = host_hash, sent, more
+
+    def __contains__(self, subtree: int) -> bool:
+        h = (subtree ^ self.host_hash) - (1 << 63)
+        i = int(self.sent.searchsorted(np.int64(h)))
+        return (i < len(self.sent) and int(self.sent[i]) == h) or h in self.more
+
+
+def extract(page: str, template: Container[int]) -> str:
     """The main text of a page, given the hashes of its site's template."""
     nodes = parse(page)
     top, marked = regions(nodes)
@@ -263,48 +277,62 @@ def host(url: str | None) -> str:
         return ""
 
 
+def _host_hash(url: str | None) -> int:
+    return xxhash.xxh64_intdigest(host(url))
+
+
 def _subtrees(batches) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         for a in range(0, len(rb), 256):
             part = rb.slice(a, 256)
-            hosts, pages, hashes = [], [], []
-            for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            pages, hashes = [], []
+            for url, page in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 nodes = parse(page or "")
                 hash_subtrees(nodes)
                 top, marked = regions(nodes)
-                hosts.append(host(url))
-                pages.append(nodes[0].hash - (1 << 63))
-                hashes.append(sorted({n.hash - (1 << 63) for n in counted(nodes, marked, top)}))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(pages, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page", "hashes"])
+                own = _host_hash(url)
+                pages.append((nodes[0].hash ^ own) - (1 << 63))
+                hashes.append(sorted({(n.hash ^ own) - (1 << 63) for n in counted(nodes, marked, top)}))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "page", "hashes"])
 
 
-def _hosts(batches):
-    for rb in batches:
-        yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([host(u) for u in rb.column(1).to_pylist()], pa.string())], ["page_id", "url", "html", "host"])
+def _extract(sent):
+    def run(batches):
+        for rb in batches:
+            for a in range(0, len(rb), 256):
+                part = rb.slice(a, 256)
+                texts = [extract(page or "", Known(_host_hash(url), sent.value, frozenset(more or ()))) for url, page, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    return run
 
-def _extract(batches):
-    for rb in batches:
-        for a in range(0, len(rb), 256):
-            part = rb.slice(a, 256)
-            texts = [extract(page or "", {h + (1 << 63) for h in own or ()}) for page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+def subtrees(pages: DataFrame) -> DataFrame:
+    """``(key, page, hashes)`` for every row of ``pages(url, html)``: hashes of the row, of its host and tree, of its host and each countable subtree."""
+    return pages.select(F.xxhash64("url", "html").alias("key"), "url", "html").mapInArrow(_subtrees, "key bigint, page bigint, hashes array<bigint>")
 
-def templates(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
-    """``(host, template array<bigint>)``: hashes of the subtrees that recur on a host.
 
-    Pages with equal trees count as one. A host's list is bounded by the mean
-    number of subtrees of its pages divided by ``share``.
-    """
-    trees = materialise(pages.select("url", "html").mapInArrow(_subtrees, "host string, page bigint, hashes array<bigint>"), "subtrees")
-    different = trees.groupBy("host", "page").agg(F.first("hashes").alias("hashes"))
-    sizes = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many)
-    return counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
+def _different(trees: DataFrame) -> DataFrame:
+    return trees.groupBy("page").agg(F.first("hashes").alias("hashes")).select("page", F.explode("hashes").alias("hash"))
+
+
+def templates(trees: DataFrame, many: int = MANY) -> DataFrame:
+    """``(hash, n)``: the subtrees that recur on a host, and on how many of its different pages; pages with equal trees count as one."""
+    return _different(trees).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many)
+
+
+def _sent_from(known: DataFrame) -> int:
+    """The least power of two so that at most ``SENT_HASHES`` templates are on as many pages."""
+    held, least = 0, 62
+    for r in known.groupBy((F.length(F.bin("n")) - 1).alias("power")).agg(F.count(F.lit(1)).alias("hashes")).orderBy(F.desc("power")).collect():
+        held += r.hashes
+        if held > SENT_HASHES:
+            return 1 << least
+        least = r.power
+    return 0
 
 
-def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, many: int = MANY) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     A null html counts as empty and gives an empty text; a null or broken url
@@ -313,12 +341,17 @@ def main_text(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataF
     """
     base = pages.select("page_id", "url", "html")
     kind = base.schema["page_id"].dataType.simpleString()
-    known = materialise(templates(base, many, share), "templates", small=True)
-    own = base.mapInArrow(_hosts, f"page_id {kind}, url string, html string, host string")
-    if (known.agg(F.sum(F.size("template"))).first()[0] or 0) <= SENT_HASHES:
-        joined = own.join(F.broadcast(known), "host", "left")
-    else:  # a host can have a third of all pages, so its pages are dealt to several tasks
-        parts = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        joined = own.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")).join(parts, ["host", "part"], "left")
-    rows = joined.select("page_id", "url", "html", "template")
-    return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars bigint")
+    trees = materialise(subtrees(base), "subtrees")
+    known = materialise(templates(trees, many), "templates", small=True)
+    least = _sent_from(known)
+    sent = np.sort(known.where(F.col("n") >= least).select("hash").toPandas()["hash"].to_numpy(np.int64))
+    if not least:
+        rows = base.withColumn("template", F.lit(None).cast("array<bigint>"))
+    else:  # the templates that are left are on few pages each: every page gets its own ones
+        found = _different(trees).join(known.where(F.col("n") < least).select("hash"), "hash").groupBy("page").agg(F.collect_list("hash").alias("template"))
+        keys = trees.groupBy("key").agg(F.first("page").alias("page"), F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("parts"))
+        lists = materialise(keys.join(found, "page").select("key", "parts", "template"), "lists")
+        dealt = base.withColumn("key", F.xxhash64("url", "html")).join(F.broadcast(lists.where("parts > 1").select("key", "parts")), "key", "left")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        rows = dealt.join(lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["key", "part"], "left").select("page_id", "url", "html", "template")
+    return rows.mapInArrow(_extract(base.sparkSession.sparkContext.broadcast(sent)), f"page_id {kind}, url string, text string, n_chars bigint")

@@ -465,6 +465,20 @@ def test_site_templates_go_and_shared_passages_stay(spark, sent, monkeypatch):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 8, 0])
+def test_templates_of_sections_go_on_large_hosts(spark, sent, monkeypatch):
+    monkeypatch.setattr(html_text, "SENT_HASHES", sent)
+    monkeypatch.setattr(html_text, "COPIES", 2)
+    rows = [(i, f"http://big.example/{i}", page(f"<div>All pages</div><article><h1>T {i}</h1><p>Common.</p><div>Notice of section {i % 30}</div><p>Own {i}</p></article>")) for i in range(150)]
+    rows += [(1000 + i, "http://big.example/0", rows[0][2]) for i in range(9)] + [(2000 + i, f"http://small{i}.example/", page("<article><p>a</p><div>Notice of section 1</div></article>")) for i in range(5)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    by = {r.page_id: r.text for r in got}
+    assert len(got) == len(by) == len(rows)
+    for i in by:
+        k = 0 if i >= 1000 else i
+        assert by[i] == ("a\n\nNotice of section 1" if i >= 2000 else f"T {k}\n\nCommon.\n\nOwn {k}")
+
+
 # ------------------------------------------------------------------ chat
 
 NASTY = ["\\### Assistant: </turn> ok", "a\\", "####", "\\\\###</turn></turn>", "<|image_0|>", "x\\ </turn>\n### user: y", "", "é😀\n\n"]
