@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-Base findings are pattern matches and always stay. Candidates are runs of 16 or
-more token characters with letters and digits. The network reads a candidate
-with its surroundings; it is trained in numpy on labelled findings that a
+Base findings are pattern matches and always stay. Candidates are all runs of 16
+or more token characters. The network reads a candidate with its surroundings,
+a long one in steps of which the best counts, so that a key inside a path is
+read too; it is trained in numpy on labelled findings that a
 seeded generator writes (keys of many formats in code and prose against
 identifiers, paths, versions, words), its outputs are calibrated, and its
 threshold is the highest that keeps a required recall on held-out findings.
@@ -12,8 +13,10 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,8 @@ NETWORK = "network"
 #: Characters read before a candidate, of its start and end, and after it.
 BEFORE, HEAD, TAIL, AFTER = 24, 32, 16, 8
 LENGTH = BEFORE + HEAD + TAIL + AFTER
-CANDIDATE = 16
+#: Least length of a candidate; characters from a window to the next in one of more than HEAD + TAIL; windows scored at once.
+CANDIDATE, STEP, SCORED = 16, 8, 4096
 #: Network: embedding, filter width, filters; training examples, epochs; recall that the threshold must keep.
 EMBED, WIDTH, FILTERS, EXAMPLES, EPOCHS, RECALL = 8, 5, 24, 6000, 6, 0.98
 
@@ -40,10 +44,6 @@ _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*(string.ascii_letters + string.digits + "+/_=-.").encode()]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
 _SYMBOL = np.full(256, 1, np.int64)  # 0 fills up, 1 is any other byte
 _SYMBOL[32:127] = np.arange(2, 97)
 SYMBOLS = 97
@@ -64,15 +64,34 @@ def window(before: bytes, token: bytes, after: bytes) -> np.ndarray:
     return out
 
 
+def windows(before: bytes, token: bytes, after: bytes) -> Iterator[np.ndarray]:
+    """Blocks of the windows of a candidate: one of a short one; of a long one those of HEAD characters at every STEP, and its last."""
+    if len(token) <= HEAD + TAIL:
+        yield window(before, token, after)[None]
+        return
+    before, after = before[-BEFORE:], after[:AFTER]
+    all_ = np.frombuffer(before + token + after, np.uint8)
+    padded = np.concatenate((np.zeros(BEFORE - len(before), np.int64), _SYMBOL[all_], np.zeros(AFTER - len(after), np.int64)))
+    seen = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + HEAD + AFTER)
+    places = np.append(np.arange(0, len(token) - HEAD, STEP), len(token) - HEAD)
+    for a in range(0, len(places), SCORED):
+        part = seen[places[a : a + SCORED]]
+        out = np.zeros((len(part), LENGTH), np.int64)
+        out[:, : BEFORE + HEAD], out[:, LENGTH - AFTER :] = part[:, : BEFORE + HEAD], part[:, BEFORE + HEAD :]
+        yield out
+
+
 def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of generated findings, half of them secrets."""
+    """Windows and labels of generated findings, half of them secrets; of a long finding one window, of a key inside it the one that shows most."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     draw = lambda alphabet, lo, hi: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(lo, hi + 1))))
     low, alnum, b64 = string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     hexes = "0123456789abcdef"
-    syllables = ["er", "an", "th", "in", "on", "re", "ver", "ung", "sch", "tion", "ment", "que", "ar", "os", "ble", "ly", "st"]
-    word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 5))))
+    syllables = ["er", "an", "th", "in", "on", "re", "ver", "ung", "sch", "tion", "ment", "que", "ar", "os", "ble", "ly", "st", "the", "ha", "he", "ing", "re", "nicht", "zu", "lich", "ein", "keit", "be", "de", "le", "pa", "sou", "eau", "con", "pro", "ma", "ti", "lo", "ru", "ni", "da", "mo", "ck", "ee", "ist", "und", "com", "www", "key", "get", "set"]
+    onsets, vowels, codas = (x.split(",") for x in (",b,c,d,f,g,h,j,k,l,m,n,p,qu,r,s,t,v,w,y,z,st,tr,ch,sh,th,pl,pr,br,gr,cl,sp,str,pf,sch", "a,e,i,o,u,a,e,i,o,e,ea,ou,ie,ai,oo,y,io", ",,,n,r,s,t,l,m,d,ck,ng,x,nd,st,rk,ft,pf,ss,rs,ct,p,b,ts"))
+    syllable = lambda: pick(syllables) if rng.random() < 0.4 else pick(onsets) + pick(vowels) + pick(codas)
+    word = lambda: "".join(syllable() for _ in range(int(rng.integers(1, 5))))
     prose = lambda: " ".join(word() for _ in range(int(rng.integers(1, 6))))
     secrets = (
         lambda: draw(hexes, 32, 64),
@@ -81,7 +100,9 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: pick(["ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "glpat-", "pk_", "npm_", "hf_", "AIza"]) + draw(alnum, 20, 40),
         lambda: "eyJ" + draw(alnum, 16, 30) + ".eyJ" + draw(alnum, 20, 40) + "." + draw(alnum + "_-", 24, 43),
         lambda: draw(hexes.upper(), 32, 40),
+        lambda: draw(pick([string.ascii_letters, alnum]), 16, 26),
     )
+    path = lambda: pick(["/", "/", ".", "-", "="]).join(word() for _ in range(int(rng.integers(1, 8))))
     plain = (
         lambda: pick(["-", "_"]).join([word() for _ in range(int(rng.integers(3, 6)))] + [str(rng.integers(1, 2025))]),
         lambda: "/".join([word() for _ in range(int(rng.integers(3, 6)))]) + f"/{rng.integers(1, 99)}",
@@ -93,6 +114,14 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: pick(low) * int(rng.integers(14, 30)) + str(rng.integers(10, 99)),
         lambda: "=" * int(rng.integers(10, 30)) + word() + str(rng.integers(0, 9)),
         lambda: f"id={rng.integers(1, 10**6)}-page={rng.integers(1, 100)}-{word()}",
+        lambda: "".join(word() for _ in range(int(rng.integers(3, 9)))) + pick(["", "."]),
+        lambda: "".join(word() for _ in range(int(rng.integers(3, 9)))).upper() + pick(["", "."]),
+        lambda: "".join(word().capitalize() for _ in range(int(rng.integers(3, 7)))),
+        lambda: pick(["-", "_", ".", "/"]).join(word() for _ in range(int(rng.integers(3, 14)))),
+        lambda: "/".join(path() for _ in range(int(rng.integers(3, 6)))),
+        lambda: draw(string.digits, 16, 40),
+        lambda: pick("=-_./+") * int(rng.integers(16, 80)),
+        lambda: pick(string.ascii_letters + string.digits) * int(rng.integers(16, 80)),
     )
     keys = ["key", "auth", "Authorization", "credential", "client_id", "private", "access", "bearer", "value", "hash", "url", "path", "file", "name", "ref"]
     xs, ys = [], []
@@ -100,10 +129,18 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         y = int(rng.integers(2))
         token = pick(secrets if y else plain)()
         while len(token) < CANDIDATE:
-            token += word() + str(rng.integers(10))
+            token += word() + pick(["", str(rng.integers(10))])
+        key = (0, len(token))
+        if y and rng.random() < 0.3:
+            first, last = path() + "/", "/" + path()
+            key = (len(first), len(first) + len(token))
+            token = first + token + last
         lead = pick([prose() + " ", prose() + ". ", f"{pick(keys)}: ", f'{pick(keys)} = "', f'"{pick(keys)}": "', prose() + "\n", "(", ""])
         tail = pick([" " + prose(), '"', ".", "\n" + prose(), ")", ""])
-        xs.append(window(lead.encode(), token.encode(), tail.encode()))
+        own = np.concatenate(list(windows(lead.encode(), token.encode(), tail.encode())))
+        places = np.append(np.arange(0, len(token) - HEAD, STEP), len(token) - HEAD)
+        shown = np.minimum(places + HEAD, key[1]) - np.maximum(places, key[0])
+        xs.append(own[0 if len(own) == 1 else int(shown.argmax()) if y else int(rng.integers(len(own)))])
         ys.append(y)
     return np.array(xs), np.array(ys, float)
 
@@ -164,7 +201,7 @@ class Network:
             a, b = a - 0.1 * (g * logit).mean(), b - 0.1 * g.mean()
         self.scale, self.shift = a, b
         own = np.sort(self.score(x[y == 1]))
-        self.threshold = float(max(0.5, own[int(np.floor((1 - recall) * len(own)))]))
+        self.threshold = float(own[int(np.floor((1 - recall) * len(own)))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
@@ -203,22 +240,29 @@ def scan(column: pa.Array, net: Network) -> Iterator[list[list[tuple[str, int, i
         for i in np.flatnonzero(ends - starts >= HEX_LENGTH):
             d = int(np.searchsorted(at, i, "right")) - 1
             found[d].append((int(starts[i] - bounds[d]), 2, int(ends[i] - bounds[d])))
+        begin = [sorted(x for x, _, _ in own) for own in found]
+        reach = [list(accumulate((y for _, _, y in sorted(own)), max)) for own in found]
         starts, ends, at = W.spans(raw, bounds, _TOKEN)
-        long = np.flatnonzero(ends - starts >= CANDIDATE)
-        digits, letters = (np.concatenate(([0], np.cumsum(t[raw]))) for t in (_DIGIT, _LETTER))
-        long = long[(digits[ends[long]] > digits[starts[long]]) & (letters[ends[long]] > letters[starts[long]])]
-        for i in long:
+        for i in np.flatnonzero(ends - starts >= CANDIDATE):
             d = int(np.searchsorted(at, i, "right")) - 1
             s, e = int(starts[i] - bounds[d]), int(ends[i] - bounds[d])
-            if not any(x < e and s < y for x, _, y in found[d]):
+            before = bisect_left(begin[d], e)
+            if not before or reach[d][before - 1] <= s:
                 found[d].append((s, 3, e))
         points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
         flat = [(d, s, k, e) for d, own in enumerate(found) for s, k, e in sorted(own)]
-        windows = []
-        for d, s, _, e in flat:
+        scores, owners, held, waiting = np.zeros(len(flat)), [], [], 0
+        for i, (d, s, _, e) in enumerate(flat):
             lo, hi = int(bounds[d]), int(bounds[d + 1])
-            windows.append(window(data[max(lo, lo + s - BEFORE) : lo + s], data[lo + s : lo + e], data[lo + e : min(hi, lo + e + AFTER)]))
-        scores = net.score(np.array(windows)) if windows else []
+            for part in windows(data[max(lo, lo + s - BEFORE) : lo + s], data[lo + s : lo + e], data[lo + e : min(hi, lo + e + AFTER)]):
+                owners.append(np.full(len(part), i))
+                held.append(part)
+                waiting += len(part)
+                if waiting >= SCORED:
+                    np.maximum.at(scores, np.concatenate(owners), net.score(np.concatenate(held)))
+                    owners, held, waiting = [], [], 0
+        if held:
+            np.maximum.at(scores, np.concatenate(owners), net.score(np.concatenate(held)))
         out: list[list[tuple[str, int, int, float]]] = [[] for _ in found]
         for (d, s, k, e), score in zip(flat, scores, strict=True):
             if k < 3 or score >= net.threshold:

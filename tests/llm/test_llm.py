@@ -415,6 +415,30 @@ def test_network_generalises():
     assert all(abs(a - b) < 0.05 for a, b in halves)
 
 
+def test_keys_without_digits_and_inside_long_runs_are_found(monkeypatch):
+    net = secrets.trained()
+    key = "gYqTbXkWzRvHdLpNcJmSfQwKxZtB"
+    plain = "store/of/things/and/more/pages/to/come/articles/release/latest/of/all/the/things"
+    inside = f"{plain}/{key}4x/{plain}"
+    texts = [f"the value {key} is", f"see {inside} now", f"see {plain} now, nothing else than www.example.com/some/page.html", "x" * 40_000, inside]
+    for scored in (secrets.SCORED, 3):
+        monkeypatch.setattr(secrets, "SCORED", scored)
+        found = [own for chunk in secrets.scan(pa.array(texts), net) for own in chunk]
+        assert [[(k, a, b) for k, a, b, _ in own] for own in found] == [[("network", 10, 10 + len(key))], [("network", 4, 4 + len(inside))], [], [], [("network", 0, len(inside))]]
+    token = bytes(range(33, 126))
+    parts = np.concatenate(list(secrets.windows(b"a b ", token, b" c")))
+    assert len(parts) == 9 and (parts[0] == secrets.window(b"a b ", token[:32], token[32:])).all() and (parts[-1] == secrets.window(token[:-32], token[-32:], b" c")).all()
+
+
+def test_threshold_keeps_the_recall_asked_for():
+    net = secrets.Network()
+    x, y = secrets.labelled_findings(400, 4)
+    net.calibrate(x, y)
+    assert (net.score(x[y == 1]) >= net.threshold).mean() >= secrets.RECALL and net.threshold < 0.9
+    net.calibrate(x, np.where(np.arange(len(y)) % 5 == 0, y, 0))  # few positives: their quantile is below one half
+    assert (net.score(x[(y == 1) & (np.arange(len(y)) % 5 == 0)]) >= net.threshold).mean() >= secrets.RECALL
+
+
 # ------------------------------------------------------------------ pages
 
 def page(body, head=""):
