@@ -8,7 +8,9 @@ the sources that are short of theirs, so totals are exact. A source's k-th slot
 takes block ``permutation(epoch)(k mod blocks)``, epoch ``k div blocks``, from a
 keyed pseudorandom permutation that needs no shuffle and no state; slots and
 blocks then meet in a join by (source, index), whose keys are uniform however
-large a source is.
+large a source is. What this join gives is the mix: :func:`mixed_blocks` returns
+it, :func:`mixture` counts its words, :func:`repeat_documents` puts them back
+into documents.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ def _count_words(batches):
         n = np.zeros(len(rb), np.int64)
         for a, b in W.chunks(bounds):
             n[a:b] = np.diff(W.spans(raw[bounds[a] : bounds[b]], bounds[a : b + 1], W.NOT_SPACE)[2])
-        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(n)], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(n), rb.column(3), rb.column(4)], ["doc_id", "source", "size", "k1", "k2"])
 
 
 def water_fill(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
@@ -97,19 +100,18 @@ def _permuted(seed: int):
     return run
 
 
-def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` for every row of ``docs(doc_id, text, source)``.
+def _keys() -> list[Column]:
+    """Two hashes of a row; rows that agree in them are equal in doc_id, source and text."""
+    read = ["doc_id", "source", "text", F.col("doc_id").isNull(), F.col("source").isNull(), F.col("text").isNull()]
+    return [F.xxhash64(*read).alias("k1"), F.hash(*read).alias("k2")]
 
-    ``size`` counts words, ``taken`` the words that the mix takes of the row,
-    repeats counted: at most ``epochs`` times its size. A null source is a
-    source of its own, last in order; null and empty texts have size 0 and take
-    part with nothing. Rows that repeat a doc_id each take part. A run with the
-    same rows and seed gives the same result whatever the partitioning.
-    """
+
+def _mix(docs: DataFrame, block_words: int, seed: int, epochs: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sources, rows with their sizes, rows with words and their places in the streams, their pieces by block, and slots with the blocks that they take."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", "source", "text")
+    base = docs.select("doc_id", "source", "text", *_keys())
     kind = base.schema["doc_id"].dataType.simpleString()
-    sizes = materialise(base.mapInArrow(_count_words, f"doc_id {kind}, source string, size bigint"), "sizes")
+    sizes = materialise(base.mapInArrow(_count_words, f"doc_id {kind}, source string, size bigint, k1 bigint, k2 int"), "sizes")
 
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
@@ -118,47 +120,131 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epo
     held = sources.select("rank", "source_size", "target").toPandas().sort_values("rank")  # one row a source
     size = held.source_size.to_numpy(np.int64)
     blocks = -(-size // block_words)
-    quota = np.minimum(np.rint(held.target.to_numpy() * blocks / np.maximum(size, 1)).astype(np.int64), epochs * blocks)
+    quota = np.minimum(np.rint(held.target.to_numpy(float) * blocks / np.maximum(size, 1)).astype(np.int64), epochs * blocks)
     shards = max(1, min(SHARDS, PLAN_CELLS // max(1, len(held)), math.ceil(int(quota.sum()) / 4096)))
     counts = plan_slots(quota, shards, seed)
     shard, who = np.nonzero(counts)
     starts = (np.cumsum(counts, 0) - counts)[shard, who]
     plan = pd.DataFrame({"shard": shard, "rank": held["rank"].to_numpy()[who].astype(np.int32), "start": starts, "n": counts[shard, who], "blocks": blocks[who]})
-    if not len(plan):
-        return sizes.join(sources, sizes.source.eqNullSafe(sources.source)).select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"))
-
-    slots = spark.createDataFrame(plan, "shard bigint, rank int, start bigint, n bigint, blocks bigint").repartition("shard", "rank").select("rank", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
-    times = slots.select("rank", _permuted(seed)("slot", "blocks", F.col("rank").cast("bigint")).alias("block")).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    dealt = spark.createDataFrame(plan, "shard bigint, rank int, start bigint, n bigint, blocks bigint").repartition("shard", "rank").select("shard", "rank", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
+    slots = dealt.select("shard", "slot", "rank", _permuted(seed)("slot", "blocks", F.col("rank").cast("bigint")).alias("block"))
 
     rows = sizes.join(F.broadcast(sources.select(F.col("source").alias("own"), "rank", "source_size", "target")) if len(held) <= 10_000 else sources.select(F.col("source").alias("own"), "rank", "source_size", "target"), sizes.source.eqNullSafe(F.col("own"))).drop("own", "source")
     buckets = max(1, math.isqrt(sizes.count()))  # as many buckets as rows in each: both windows below stay short
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
     filled = rows.where("size > 0")
-    within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size", "k1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = filled.groupBy("rank", "bucket").agg(F.sum("size").alias("here")).select("rank", "bucket", (F.sum("here").over(across) - F.col("here")).alias("base"))
     placed = filled.withColumn("upto", F.sum("size").over(within)).join(bases.hint("merge"), ["rank", "bucket"]).withColumn("from", F.col("base") + F.col("upto") - F.col("size"))
     to = F.col("from") + F.col("size")
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(f"`from` div {block_words}"), F.expr(f"(`from` + size - 1) div {block_words}"))))
-    words = F.least(to, (F.col("block") + 1) * block_words) - F.greatest(F.col("from"), F.col("block") * block_words)
-    joined = pieces.withColumn("words", words).join(times.hint("merge"), ["rank", "block"])
-    taken = joined.groupBy("rank", "from").agg(F.sum(F.col("words") * F.col("times")).alias("got"))
+    pieces = placed.select("rank", "from", "size", F.explode(F.sequence(F.expr(f"`from` div {block_words}"), F.expr(f"(`from` + size - 1) div {block_words}"))).alias("block"))
+    first = F.greatest(F.col("from"), F.col("block") * block_words)
+    pieces = pieces.select("rank", "from", "block", (first - F.col("from")).alias("first"), (F.least(to, (F.col("block") + 1) * block_words) - first).alias("words"))
+    return sources, rows, placed, pieces, slots
+
+
+def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` for every row of ``docs(doc_id, text, source)``.
+
+    ``size`` counts words, ``taken`` the words that the mix takes of the row,
+    repeats counted: at most ``epochs`` times its size. A null source is a
+    source of its own, last in order; null and empty texts have size 0 and take
+    part with nothing. Rows that repeat a doc_id each take part. A run with the
+    same rows and seed gives the same result whatever the partitioning.
+    """
+    _, rows, placed, pieces, slots = _mix(docs, block_words, seed, epochs, weights)
+    taken = pieces.join(slots.hint("merge"), ["rank", "block"]).groupBy("rank", "from").agg(F.sum("words").alias("got"))
     out = placed.join(taken.hint("merge"), ["rank", "from"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("bigint").alias("taken"))
     return out.unionByName(rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))
 
 
-def _fraction(column: str, seed: int) -> Column:
-    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _with_rows(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """``docs`` with ``__own``, the value that ``own(k1, k2, value)`` has for the row; equal rows get one each."""
+    lists = own.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("value")).alias("__own")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    keyed = docs.select("*", *[k.alias(f"__{n}") for k, n in zip(_keys(), ("k1", "k2"), strict=True)])
+    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0)))
+    return keyed.join(lists.hint("shuffle_hash"), ["__k1", "__k2"]).withColumn("__nth", nth).select(*docs.columns, F.element_at("__own", F.col("__nth")).alias("__own"))
+
+
+def _cut(batches):
+    """Pieces of texts: rows of (doc_id, text, rank, from, array of block, first, words in turn)."""
+    for rb in batches:
+        raw_all, bounds_all = W.text_bytes(rb.column(1))
+        for a, b in W.chunks(bounds_all):
+            raw, bounds = raw_all[bounds_all[a] : bounds_all[b]], bounds_all[a : b + 1] - bounds_all[a]
+            starts, ends, at = W.spans(raw, bounds, W.NOT_SPACE)
+            data, texts, owner, numbers = raw.tobytes(), [], [], []
+            for d in range(b - a):
+                own = np.asarray(rb.column(4)[a + d].values).reshape(-1, 3)
+                texts += [data[starts[i] : ends[i + n - 1]].decode() for i, n in zip(at[d] + own[:, 1], own[:, 2], strict=True)]
+                owner += [a + d] * len(own)
+                numbers.append(own)
+            block, first, words = np.concatenate(numbers).T if numbers else np.zeros((3, 0), np.int64)
+            who = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([rb.column(2).take(who), pa.array(block), rb.column(3).take(who), rb.column(0).take(who), pa.array(first), pa.array(words), pa.array(texts, pa.string())], ["rank", "block", "from", "doc_id", "first", "words", "text"])
+
+
+def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``(shard, slot, source, words, pieces array<struct<doc_id, first, words, text>>)``: the mix, one row for each block that it takes.
+
+    ``slot`` numbers the takes of a source. A piece is ``words`` words of a
+    document from its word ``first`` on, its text as it stands there. Blocks
+    have ``block_words`` words, the last one of a source the rest.
+    """
+    sources, _, placed, pieces, slots = _mix(docs, block_words, seed, epochs, weights)
+    held = pieces.groupBy("rank", "from").agg(F.flatten(F.collect_list(F.array("block", "first", "words"))).alias("cuts"))
+    value = placed.select("k1", "k2", "rank", "from").join(held, ["rank", "from"]).select("k1", "k2", F.struct("rank", "from", "cuts").alias("value"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = _with_rows(docs.select("doc_id", "source", "text"), value).select("doc_id", "text", "__own.rank", "__own.from", "__own.cuts").mapInArrow(_cut, f"rank int, block bigint, `from` bigint, doc_id {kind}, first bigint, words bigint, text string")
+    whole = texts.groupBy("rank", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from", "doc_id", "first", "words", "text"))).alias("pieces"))
+    out = slots.join(whole.hint("merge"), ["rank", "block"]).join(sources.select("rank", "source"), "rank")
+    return out.select("shard", "slot", "source", "words", F.transform("pieces", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["first"].alias("first"), x["words"].alias("words"), x["text"].alias("text"))).alias("pieces"))
+
+
+def _taken(names: list[str]):
+    """Rows of documents and an array of first, words, times in turn, to one row for each time: the words taken that often at least."""
+    where = names.index("text")
+
+    def run(batches):
+        for rb in batches:
+            raw_all, bounds_all = W.text_bytes(rb.column(where))
+            for a, b in W.chunks(bounds_all):
+                raw, bounds = raw_all[bounds_all[a] : bounds_all[b]], bounds_all[a : b + 1] - bounds_all[a]
+                starts, ends, at = W.spans(raw, bounds, W.NOT_SPACE)
+                data, texts, owner = raw.tobytes(), [], []
+                for d in range(b - a):
+                    own = np.asarray(rb.column(len(names))[a + d].values).reshape(-1, 3)
+                    own = own[np.argsort(own[:, 0])]
+                    for time in range(1, int(own[:, 2].max(initial=0)) + 1):
+                        part = own[own[:, 2] >= time]
+                        new = np.flatnonzero(np.append(True, part[1:, 0] != part[:-1, 0] + part[:-1, 1]))
+                        lo, hi = part[new, 0] + at[d], (part[:, 0] + part[:, 1])[np.append(new[1:], len(part)) - 1] + at[d] - 1
+                        all_ = len(new) == 1 and lo[0] == at[d] and hi[0] == at[d + 1] - 1
+                        texts.append(data[bounds[d] : bounds[d + 1]].decode() if all_ else "\n".join(data[starts[i] : ends[j]].decode() for i, j in zip(lo, hi, strict=True)))
+                        owner.append(a + d)
+                who, text = pa.array(owner, pa.int64()), pa.array(texts, pa.string())
+                out = [c.take(who) for c in rb.columns[:-1]]
+                out[where] = text
+                if "n_chars" in names:
+                    i = names.index("n_chars")
+                    out[i] = pc.if_else(pc.is_valid(out[i]), pc.utf8_length(text).cast(out[i].type), out[i])
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
 
 
-def repeat_documents(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row 0 to 3 times, columns as they are.
+def repeat_documents(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_WORDS, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``docs`` as the mix takes them: each row 0 to ``epochs`` times, with the words that the mix takes.
 
-    A document's share of taken words is rounded to whole copies, up or down
-    by a hash of its id in proportion, so that sources keep their totals.
-    Documents without words take no part.
+    A row's k-th copy holds the words that are in blocks taken k times at least,
+    in their order, with a line break where others are left out; a copy of all
+    words is the text as it is. So every document and source has as many words
+    as :func:`mixture` takes: sources keep their targets up to rounding to
+    blocks. Other columns stay, but for ``n_chars``, which counts the text.
     """
-    share = mixture(docs, seed=seed, **options).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("share"))
-    copies = share.select(F.col("doc_id").alias("__id"), F.floor(F.coalesce("share", F.lit(0.0)) + _fraction("doc_id", seed + 1)).cast("int").alias("__copies")).where("__copies > 0")
-    out = docs.join(copies.hint("shuffle_hash"), docs.doc_id.eqNullSafe(copies["__id"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    _, _, placed, pieces, slots = _mix(docs, block_words, seed, epochs, weights)
+    times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    held = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("rank", "from").agg(F.flatten(F.collect_list(F.array("first", "words", "times"))).alias("cuts"))
+    value = placed.select("k1", "k2", "rank", "from").join(held.hint("merge"), ["rank", "from"], "left").select("k1", "k2", F.struct("rank", "from", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts")).alias("value"))
+    return _with_rows(docs, value).withColumn("__own", F.col("__own.cuts")).where(F.size("__own") > 0).mapInArrow(_taken(docs.columns), docs.schema)

@@ -208,6 +208,35 @@ def test_mixture_meets_targets_and_limits(spark):
     assert mixing.mixture(df.limit(0)).count() == 0 and mixing.mixture(df.where("text is null")).count() == 1
 
 
+def test_blocks_and_documents_of_the_mix_hold_what_is_taken(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"é{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, text(rng.randint(0, 300)), s) for i, s in enumerate(["a"] * 40 + ["b"] * 10 + [None] * 20)] + [(900, text(9000), "a"), (901, "one\n two", "c")] + [(i and i + 5000, t, s) for i, t, s in ODD]
+    df = documents(spark, rows)
+    taken = collections.Counter()
+    for r in mixing.mixture(df).collect():
+        taken[r.doc_id] += r.taken
+    whole = collections.defaultdict(list)
+    for i, t, _ in rows:
+        whole[i].append(words(t))
+    got, slots = collections.Counter(), set()
+    for r in mixing.mixed_blocks(df).collect():
+        slots.add((r.source, r.slot))
+        assert 0 < r.words == sum(p.words for p in r.pieces) <= mixing.BLOCK_WORDS and r.shard >= 0
+        for p in r.pieces:
+            got[p.doc_id] += p.words
+            assert any(words(p.text) == w[p.first : p.first + p.words] for w in whole[p.doc_id])
+        got["blocks"] += 1
+    assert len(slots) == got.pop("blocks") and +got == +taken
+    copies = collections.Counter()
+    for r in mixing.repeat_documents(df.withColumn("n_chars", F.length("text").cast("bigint"))).collect():
+        own = words(r.text)
+        copies[r.doc_id] += len(own)
+        assert r.n_chars == len(r.text) and any(set(own) <= set(w) for w in whole[r.doc_id])
+    assert copies == +taken and 0 < taken[900] and any(0 < taken[i] % len(whole[i][0]) for i in range(40) if whole[i][0])
+    assert mixing.repeat_documents(df.limit(0)).count() == mixing.mixed_blocks(df.limit(0)).count() == 0
+
+
 def test_permutations_are_permutations_and_draws_are_exact():
     for n in (1, 2, 3, 5, 64, 1000):
         assert sorted(mixing.permute(np.arange(n), np.full(n, n), np.full(n, 77))) == list(range(n))
