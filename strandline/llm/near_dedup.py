@@ -158,7 +158,8 @@ def _sets(k: int):
             for a in range(0, len(rb), 512):
                 part = rb.slice(a, 512)
                 sets = list(shingle_sets(part.column(1), k))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in sketch(sets)], pa.binary())], ["rep", "elements", "sketch"])
+                held = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) if x else None for x in held], pa.binary()), pa.array(held, pa.binary()), pa.array([r.tobytes() for r in sketch(sets)], pa.binary())], ["digest", "elements", "sketch"])
 
     return run
 
@@ -278,58 +279,83 @@ def _blocks(rows: DataFrame, sets: DataFrame, full: bool) -> DataFrame:
     return wide.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """The doc_ids that more than one row has."""
+    return materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again", small=True)
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
 
     Documents are linked when ``den * |A & B| >= num * |A | B|`` on their sets
     of ``shingle``-word shingles; ``component_id`` is the smallest doc_id
     reachable and ``kept`` marks it. Null and empty texts have no shingles and
-    link with nothing. Rows that repeat a doc_id each get a row, and
-    count as one document. A null doc_id keeps its row and is never linked.
+    link with nothing. Rows that repeat a doc_id each get a row and count as
+    one document: what is linked with one of its texts is linked with it. A null doc_id keeps its row and is never linked.
     Other columns, whatever their names, are not read.
     """
     given = docs.schema["doc_id"].dataType.simpleString()
     kind = "bigint" if given in ("tinyint", "smallint", "int") else given
     base = docs.select(F.col("doc_id").cast(kind), "text")
-    feats = base.mapInArrow(_features(shingle, True), f"doc_id {kind}, n_shingles bigint, digest binary, sketch binary")
-    classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
-    bands = classes.select("rep", "sketch").mapInArrow(_bands, f"key bigint, rep {kind}").repartition("key")
+    hashed = f"doc_id {kind}, n_shingles bigint, digest binary"
+    node = F.xxhash64("digest")
+    feats = base.mapInArrow(_features(shingle, True), f"{hashed}, sketch binary")
+    classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).withColumn("rep", node), "classes")
+    bands = classes.select("rep", "sketch").mapInArrow(_bands, "key bigint, rep bigint").repartition("key")
     heads = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
     groups = materialise(bands.join(heads, "key").where("rep <> leader"), "bands")  # key, rep, leader
 
     pairs = materialise(groups.select("leader", "rep").distinct(), "pairs", small=True)
     ids = pairs.select(F.col("leader").alias("rep")).unionByName(pairs.select("rep")).distinct()
-    sets = materialise(base.join(ids.hint("shuffle_hash"), base.doc_id == ids.rep, "left_semi").mapInArrow(_sets(shingle), f"rep {kind}, elements binary, sketch binary"), "sets")
-    if sets.count() != ids.count():  # doc_ids repeat: the first text of an id stands for it
-        sets = materialise(sets.groupBy("rep").agg(F.min_by("elements", F.xxhash64("elements")).alias("elements"), F.min_by("sketch", F.xxhash64("elements")).alias("sketch")), "sets")
+    firsts = classes.join(ids, "rep", "left_semi").select(F.col("doc_id").alias("__first")).distinct()
+    sets = materialise(base.join(firsts.hint("shuffle_hash"), base.doc_id == firsts["__first"], "left_semi").mapInArrow(_sets(shingle), "digest binary, elements binary, sketch binary").select(node.alias("rep"), "elements", "sketch"), "sets")
+    if sets.count() != ids.count():  # doc_ids repeat, some with other texts
+        sets = materialise(sets.join(ids, "rep", "left_semi").groupBy("rep").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")), "sets")
     salts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
     members = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("member"))
     rows = members.join(sets, members.member == sets.rep).select("leader", "salt", "member", "elements", "sketch")
-    tops = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("leader") == F.col("rep")).select("leader", "salt", F.lit(None).cast(kind).alias("member"), "elements", "sketch")
+    tops = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("leader") == F.col("rep")).select("leader", "salt", F.lit(None).cast("bigint").alias("member"), "elements", "sketch")
     both = rows.unionByName(tops).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
-    links = materialise(both.mapInArrow(_stars(num, den), f"src {kind}, dst {kind}"), "links")
+    links = materialise(both.mapInArrow(_stars(num, den), "src bigint, dst bigint"), "links")
 
     comp = connected_components(links)
     placed = groups.join(comp, groups.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = materialise(placed, "placed", small=True)
     weight = sets.select("rep", (F.octet_length("elements") + F.octet_length("sketch")).alias("bytes"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    left = _blocks(placed.join(open_keys, "key"), sets, full=False).mapInArrow(_still_open(num, den), f"key bigint, rep {kind}, comp {kind}")
+    left = _blocks(placed.join(open_keys, "key"), sets, full=False).mapInArrow(_still_open(num, den), "key bigint, rep bigint, comp bigint")
     left = materialise(left.distinct(), "open", small=True)
-    more = materialise(_blocks(left, sets, full=True).mapInArrow(_forest(num, den), f"src {kind}, dst {kind}"), "links")
-
-    final = connected_components(links.unionByName(more))
-    label = classes.join(final, classes.rep == final.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    sizes = base.mapInArrow(_features(shingle, False), f"doc_id {kind}, n_shingles bigint, digest binary")  # cheaper to read again than to keep
-    out = sizes.join(label, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(F.col("doc_id").cast(given), "n_shingles", F.col("component_id").cast(given), "kept")
+    more = materialise(_blocks(left, sets, full=True).mapInArrow(_forest(num, den), "src bigint, dst bigint"), "links")
+
+    links = links.unionByName(more)
+    again = repeated(base)
+    if again.head(1):  # rows of a doc_id are one document, so their texts are linked
+        own = base.join(again.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_features(shingle, False), hashed)
+        own = materialise(own.where("n_shingles > 0").select("doc_id", node.alias("rep")).distinct(), "repeated", small=True)
+        links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
+    final = connected_components(links)
+    placed = classes.join(final, classes.rep == final.node, "left").select("digest", "rep", "doc_id", F.coalesce("component", "rep").alias("component"))
+    label = materialise(placed.join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("digest", "rep", "component_id"), "label", small=True)
+    sizes = base.mapInArrow(_features(shingle, False), hashed)  # cheaper to read again than to keep
+    out = sizes.join(label.drop("rep"), "digest", "left")
+    if again.head(1):  # a row without shingles goes with its document's others
+        whole = own.join(label.drop("digest"), "rep").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
+        out = out.join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "whole")).drop("whole")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select(F.col("doc_id").cast(given), "n_shingles", F.col("component_id").cast(given), "kept")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group.
 
     The smallest doc_id of a group stays. Of rows that repeat a doc_id, one
-    stays. Columns are those of ``docs``.
+    stays (the smallest hash); rows without doc_id all stay. Columns are those
+    of ``docs``.
     """
     keep = near_groups(docs, shingle, num, den).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), docs.doc_id.eqNullSafe(keep["__kept"]), "left_semi")
+    again = repeated(docs.select("doc_id")).withColumnRenamed("doc_id", "__again")
+    stay = docs.join(keep.hint("shuffle_hash"), docs.doc_id.eqNullSafe(keep["__kept"]), "left_semi")
+    if not again.head(1):
+        return stay
+    more = stay.join(again.hint("shuffle_hash"), stay.doc_id == again["__again"], "left_semi")
+    one = more.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return stay.join(again.hint("shuffle_hash"), stay.doc_id == again["__again"], "left_anti").unionByName(one)

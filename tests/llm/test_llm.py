@@ -114,6 +114,20 @@ def test_near_groups_of_odd_rows(spark):
     assert dict(near_dedup.near_groups(small).dtypes)["component_id"] == "int" and near_dedup.near_groups(small).count() == len(ODD)
 
 
+def test_rows_that_repeat_a_doc_id_are_one_document(spark):
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    x, y, z = text(), text(), text()
+    near = lambda t, i: " ".join([*t[:100], f"new{i}", *t[101:]])
+    rows = [(5, near(x, 0), "a"), (5, near(y, 0), "a"), (7, near(x, 1), "a"), (8, near(y, 2), "a"), (5, "", "a"), (6, near(z, 0), "a"), (6, near(z, 0), "a"), (6, None, "a"), (9, near(z, 1), "b"), (3, near(y, 3), "a"), (None, near(z, 0), "a"), (None, near(z, 0), "a"), (4, "", "a"), (4, "", "a")]
+    df = documents(spark, rows)
+    got = collections.Counter((r.doc_id, r.component_id) for r in near_dedup.near_groups(df).collect())
+    assert got == {(5, 3): 3, (7, 3): 1, (8, 3): 1, (3, 3): 1, (6, 6): 3, (9, 6): 1, (None, None): 2, (4, 4): 2}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and collections.Counter(r.doc_id for r in kept.collect()) == {3: 1, 6: 1, 4: 1, None: 2}
+    assert near_dedup.keep_one(documents(spark, ODD)).count() == 9
+
+
 def test_sketch_estimates_and_collision_correction():
     rng = np.random.default_rng(0)
     for bits in (26, 3):
