@@ -19,6 +19,8 @@ from strandline.llm.toxicity import fit_linear
 
 #: Documents that the scorer is fitted on, at most (the smallest hashes of doc_id), and hash bits of its features.
 TRAIN_ROWS, BITS = 20_000, 12
+#: Words of the windows in which distinct words are counted.
+WINDOW = 500
 #: Names of the labellers, in the order of their votes.
 LABELLERS = ("shouting", "symbols", "word_length", "short_words", "length", "punctuation", "repeated_words", "repeated_lines", "digits", "separators", "word_runs")
 DENSE = len(LABELLERS)
@@ -39,6 +41,16 @@ def _sums(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags)))[bounds])
 
 
+def distinct_share(words: np.ndarray) -> float:
+    """Mean share of distinct words in windows of ``WINDOW`` words, by their words; so that a text's length alone does not change it."""
+    if len(words) <= WINDOW:
+        return len(np.unique(words)) / len(words)
+    at = np.arange(len(words)) // WINDOW
+    order = np.lexsort((words, at))
+    new = (words[order[1:]] != words[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
+    return (1 + int(new.sum())) / len(words)
+
+
 def read(column: pa.Array):
     """For each chunk of texts: (text, shape, count) triples, dense values and votes (1 good, -1 bad, 0 none)."""
     raw_all, bounds_all = W.text_bytes(column)
@@ -65,7 +77,7 @@ def read(column: pa.Array):
         for d in range(n):
             own = h[at[d] : at[d + 1]]
             if len(own):
-                distinct[d] = len(np.unique(own)) / len(own)
+                distinct[d] = distinct_share(own)
                 parts = raw[bounds[d] : bounds[d + 1]].tobytes().split(b"\n")
                 lines[d] = 1 - len(set(parts)) / len(parts)
         values = np.stack([upper / letters, (symbol + bar) / size, mean, short, np.diff(at).astype(float), stop / words, distinct, lines, digit / size, bar / words, runs], 1)
@@ -82,7 +94,7 @@ def vote(values: np.ndarray) -> np.ndarray:
     return np.stack(
         [
             say((shout > 0.3) & (words >= 5), shout < 0.1), say(symbols > 0.04, symbols < 0.005), say((mean < 2.5) | (mean > 12), (mean > 3.5) & (mean < 9)), say((short < 0.08) & (words >= 20), short > 0.2), say(words == 0, words > 40),
-            say((stops < 0.02) & (words >= 20), (stops > 0.05) & (stops < 0.4)), say((distinct < 0.25) & (words < 5000), distinct > 0.4), say(lines > 0.3, lines == 0), say(digits > 0.2, digits < 0.02), say(bars > 0.1, bars == 0), say((runs > 0.1) & (words >= 20), runs < 0.01),
+            say((stops < 0.02) & (words >= 20), (stops > 0.05) & (stops < 0.4)), say(distinct < 0.25, distinct > 0.4), say(lines > 0.3, lines == 0), say(digits > 0.2, digits < 0.02), say(bars > 0.1, bars == 0), say((runs > 0.1) & (words >= 20), runs < 0.01),
         ],
         1,
     )

@@ -366,6 +366,17 @@ def test_quality_against_labels(spark):
     assert quality.drop_bad(documents(spark, ODD)).columns == documents(spark, ODD).columns
 
 
+def test_repetition_counts_at_any_length():
+    rng = random.Random(4)
+    cycle = lambda n, v: "\n".join(" ".join(f"word{(i * 7 + j * (1 + i % 5)) % v}" for j in range(10)) + f" l{i}" for i in range(n // 11))
+    texts = [cycle(n, 20) for n in (400, 4999, 5100, 60_000)] + [" ".join(f"w{rng.randrange(2000)}" for _ in range(n)) for n in (400, 4999, 60_000)]
+    at = quality.LABELLERS.index("repeated_words")
+    votes = np.concatenate([v for _, _, v in quality.read(pa.array(texts))])[:, at]
+    assert votes.tolist() == [-1, -1, -1, -1, 1, 1, 1]
+    h = np.array([3, 1, 3] * 400, np.uint64)
+    assert quality.distinct_share(h) == 6 / 1200 and quality.distinct_share(h[:3]) == 2 / 3
+
+
 def test_labellers_recover_confusion():
     rng = np.random.default_rng(2)
     n = 30_000
