@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 ARROW_BYTES = 4 << 20
+#: Rows of a file at least, where a table's rows are known, and files that are written anyway.
+FILE_ROWS, FILES = 1 << 18, 8
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    made and set as the checkpoint folder of this context.
+    Only where that setting is absent and everything runs on this machine
+    (tests, a laptop) a temporary folder is made and set as the checkpoint
+    folder of this context; a cluster without the setting is an error, since
+    its machines share no local folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -25,22 +29,26 @@ def scratch_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="strandline-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
-def materialise(df: DataFrame, name: str = "t", small: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The written table survives the loss of any executor, and later jobs restart
-    from it instead of from the whole lineage. ``small`` is for tables that are
-    narrow and cheap to make: a sixteenth of the shuffle partitions then write
-    them, since thousands of tiny files cost more than they hold.
+    from it instead of from the whole lineage. ``rows`` is a bound on its rows
+    where one is known: a table that is small by it is written by few tasks,
+    since thousands of tiny files cost more than they hold.
     """
     spark = df.sparkSession
-    if small:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    if rows is not None:
+        files = max(FILES, -(-rows // FILE_ROWS))
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
     path = f"{scratch_dir(spark).rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
