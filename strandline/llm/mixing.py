@@ -31,6 +31,8 @@ from strandline.session import materialise
 BLOCK_WORDS, EPOCHS, WEIGHTS = 64, 3, (1, 2, 3)
 #: Output shards at most, and cells (shards x sources) of the plan made on the driver; both independent of the data's size.
 SHARDS, PLAN_CELLS = 4096, 4_000_000
+#: Slots of a row of the plan at most, and slots that one task makes, about.
+PLAN_SLOTS, TASK_SLOTS = 1 << 14, 1 << 20
 _U = np.uint64
 
 
@@ -89,6 +91,21 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def deal_slots(plan: DataFrame, total: int) -> DataFrame:
+    """``(shard, rank, blocks, slot)``: a row for each of the ``total`` slots of the plan's rows ``(shard, rank, start, n, blocks)``.
+
+    Rows of the plan are cut to ``PLAN_SLOTS`` slots and dealt to a number of
+    tasks that follows from the number of slots, which adaptive execution
+    leaves as it is: the plan is small, what it expands to is not.
+    """
+    usual = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(math.ceil(total / PLAN_SLOTS), max(usual, math.ceil(total / TASK_SLOTS))))
+    end = F.col("start") + F.col("n")
+    cut = plan.where("n > 0").select("shard", "rank", "blocks", end.alias("end"), F.explode(F.sequence(F.col("start"), end - 1, F.lit(PLAN_SLOTS))).alias("first"))
+    upto = F.least(F.col("first") + PLAN_SLOTS, F.col("end")) - 1
+    return cut.repartition(tasks, "shard", "rank", "first").select("shard", "rank", "blocks", F.explode(F.sequence(F.col("first"), upto)).alias("slot"))
+
+
 def _permuted(seed: int):
     @F.pandas_udf("bigint")
     def run(slot: pd.Series, blocks: pd.Series, source: pd.Series) -> pd.Series:
@@ -109,14 +126,14 @@ def _keys() -> list[Column]:
 def _mix(docs: DataFrame, block_words: int, seed: int, epochs: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sources, rows with their sizes, rows with words and their places in the streams, their pieces by block, and slots with the blocks that they take."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", "source", "text", *_keys())
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", *_keys())
     kind = base.schema["doc_id"].dataType.simpleString()
     sizes = materialise(base.mapInArrow(_count_words, f"doc_id {kind}, source string, size bigint, k1 bigint, k2 int"), "sizes")
 
     order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(order)).withColumn("weight", weight)
-    sources = materialise(water_fill(materialise(totals, "sources", small=True), epochs), "targets", small=True)
+    sources = materialise(water_fill(materialise(totals, "sources"), epochs), "targets")
     held = sources.select("rank", "source_size", "target").toPandas().sort_values("rank")  # one row a source
     size = held.source_size.to_numpy(np.int64)
     blocks = -(-size // block_words)
@@ -126,14 +143,14 @@ def _mix(docs: DataFrame, block_words: int, seed: int, epochs: int, weights: tup
     shard, who = np.nonzero(counts)
     starts = (np.cumsum(counts, 0) - counts)[shard, who]
     plan = pd.DataFrame({"shard": shard, "rank": held["rank"].to_numpy()[who].astype(np.int32), "start": starts, "n": counts[shard, who], "blocks": blocks[who]})
-    dealt = spark.createDataFrame(plan, "shard bigint, rank int, start bigint, n bigint, blocks bigint").repartition("shard", "rank").select("shard", "rank", "blocks", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
+    dealt = deal_slots(spark.createDataFrame(plan, "shard bigint, rank int, start bigint, n bigint, blocks bigint"), int(quota.sum()))
     slots = dealt.select("shard", "slot", "rank", _permuted(seed)("slot", "blocks", F.col("rank").cast("bigint")).alias("block"))
 
     rows = sizes.join(F.broadcast(sources.select(F.col("source").alias("own"), "rank", "source_size", "target")) if len(held) <= 10_000 else sources.select(F.col("source").alias("own"), "rank", "source_size", "target"), sizes.source.eqNullSafe(F.col("own"))).drop("own", "source")
     buckets = max(1, math.isqrt(sizes.count()))  # as many buckets as rows in each: both windows below stay short
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k1", F.lit(seed)), F.lit(buckets)))  # of the whole row: rows that share an id, or have none, spread
     filled = rows.where("size > 0")
-    within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size", "k1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("rank", "bucket").orderBy("k1", "k2", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     across = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = filled.groupBy("rank", "bucket").agg(F.sum("size").alias("here")).select("rank", "bucket", (F.sum("here").over(across) - F.col("here")).alias("base"))
     placed = filled.withColumn("upto", F.sum("size").over(within)).join(bases.hint("merge"), ["rank", "bucket"]).withColumn("from", F.col("base") + F.col("upto") - F.col("size"))
@@ -150,8 +167,13 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epo
     ``size`` counts words, ``taken`` the words that the mix takes of the row,
     repeats counted: at most ``epochs`` times its size. A null source is a
     source of its own, last in order; null and empty texts have size 0 and take
-    part with nothing. Rows that repeat a doc_id each take part. A run with the
-    same rows and seed gives the same result whatever the partitioning.
+    part with nothing. Rows that repeat a doc_id, or have none, each take part.
+    Sources that are no strings count by their text. An empty table gives an
+    empty result; very long texts are counted in pieces of whole texts, so one
+    text bounds a task's memory. Streams are ordered by a hash of whole rows, so
+    that only equal rows tie, which are alike. Columns besides the three named
+    ones are not read. A run with the same rows and seed gives the same result
+    whatever the partitioning.
     """
     _, rows, placed, pieces, slots = _mix(docs, block_words, seed, epochs, weights)
     taken = pieces.join(slots.hint("merge"), ["rank", "block"]).groupBy("rank", "from").agg(F.sum("words").alias("got"))
@@ -159,12 +181,21 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11, epo
     return out.unionByName(rows.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")))
 
 
-def _with_rows(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """``docs`` with ``__own``, the value that ``own(k1, k2, value)`` has for the row; equal rows get one each."""
-    lists = own.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("value")).alias("__own")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    keyed = docs.select("*", *[k.alias(f"__{n}") for k, n in zip(_keys(), ("k1", "k2"), strict=True)])
-    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy(F.lit(0)))
-    return keyed.join(lists.hint("shuffle_hash"), ["__k1", "__k2"]).withColumn("__nth", nth).select(*docs.columns, F.element_at("__own", F.col("__nth")).alias("__own"))
+def _with_rows(docs: DataFrame, own: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a further column ``name``, the value that ``own(k1, k2, value)`` has for the row; equal rows get one each."""
+    k1, k2, nth = (f"{name}_{x}" for x in ("k1", "k2", "nth"))
+    lists = own.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("value")).alias(name)).withColumnsRenamed({"k1": k1, "k2": k2})
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(_keys(), (k1, k2), strict=True)])
+    number = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))
+    return keyed.join(lists.hint("shuffle_hash"), [k1, k2]).withColumn(nth, number).select(*[F.col(f"`{c}`") for c in docs.columns], F.element_at(name, F.col(nth)).alias(name))
+
+
+def _unused(docs: DataFrame) -> str:
+    """A name that begins no column of ``docs``, in any case."""
+    name = "__own"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
 
 
 def _cut(batches):
@@ -196,7 +227,7 @@ def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11
     held = pieces.groupBy("rank", "from").agg(F.flatten(F.collect_list(F.array("block", "first", "words"))).alias("cuts"))
     value = placed.select("k1", "k2", "rank", "from").join(held, ["rank", "from"]).select("k1", "k2", F.struct("rank", "from", "cuts").alias("value"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = _with_rows(docs.select("doc_id", "source", "text"), value).select("doc_id", "text", "__own.rank", "__own.from", "__own.cuts").mapInArrow(_cut, f"rank int, block bigint, `from` bigint, doc_id {kind}, first bigint, words bigint, text string")
+    texts = _with_rows(docs.select("doc_id", "source", "text"), value, "__own").select("doc_id", "text", "__own.rank", "__own.from", "__own.cuts").mapInArrow(_cut, f"rank int, block bigint, `from` bigint, doc_id {kind}, first bigint, words bigint, text string")
     whole = texts.groupBy("rank", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from", "doc_id", "first", "words", "text"))).alias("pieces"))
     out = slots.join(whole.hint("merge"), ["rank", "block"]).join(sources.select("rank", "source"), "rank")
     return out.select("shard", "slot", "source", "words", F.transform("pieces", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["first"].alias("first"), x["words"].alias("words"), x["text"].alias("text"))).alias("pieces"))
@@ -241,10 +272,13 @@ def repeat_documents(docs: DataFrame, seed: int = 11, block_words: int = BLOCK_W
     in their order, with a line break where others are left out; a copy of all
     words is the text as it is. So every document and source has as many words
     as :func:`mixture` takes: sources keep their targets up to rounding to
-    blocks. Other columns stay, but for ``n_chars``, which counts the text.
+    blocks. Other columns stay, whatever their names, but for ``n_chars``, which
+    counts the text. Null and empty texts are taken 0 times; an empty table
+    stays empty.
     """
     _, _, placed, pieces, slots = _mix(docs, block_words, seed, epochs, weights)
     times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     held = pieces.join(times.hint("merge"), ["rank", "block"]).groupBy("rank", "from").agg(F.flatten(F.collect_list(F.array("first", "words", "times"))).alias("cuts"))
     value = placed.select("k1", "k2", "rank", "from").join(held.hint("merge"), ["rank", "from"], "left").select("k1", "k2", F.struct("rank", "from", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts")).alias("value"))
-    return _with_rows(docs, value).withColumn("__own", F.col("__own.cuts")).where(F.size("__own") > 0).mapInArrow(_taken(docs.columns), docs.schema)
+    own = _unused(docs)
+    return _with_rows(docs, value, own).withColumn(own, F.col(f"{own}.cuts")).where(F.size(own) > 0).mapInArrow(_taken(docs.columns), docs.schema)
