@@ -1,10 +1,12 @@
 """Chat formatting with typed content parts.
 
-A turn's content is a plain text or a list of typed parts. A visitor flattens
-the parts in order: texts are escaped, images, audio and documents become
-placeholders, each with a reference to its attachment and the number of tokens
-that it expands to. Turns are wrapped in marks; inside a text every line-initial
-or embedded mark is escaped by a backslash, reversibly, so that no content can
+A turn's content becomes a list of typed parts: references to images, audio and
+documents in a plain text are parts of their own, and a text can also be a JSON
+list of parts. A visitor flattens the parts in order: texts are escaped, images,
+audio and documents become placeholders, each with a reference to its
+attachment, the number of tokens that it expands to, and the characters that it
+stands for. Turns are wrapped in marks; inside a text every line-initial or
+embedded mark is escaped by a backslash, reversibly, so that no content can
 forge a turn.
 """
 
@@ -14,6 +16,7 @@ import hashlib
 import json
 import math
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,11 @@ _ESCAPED = re.compile(r"(\\+)(###|</turn>|<\|)")
 _ROLE = re.compile(r"[\\:\n]")
 #: Tokens that parts expand to: a tile of an image and its frame, seconds of audio, characters of a document.
 TILE, TILE_TOKENS, FRAME_TOKENS, AUDIO_RATE, DOCUMENT_CHARS = 512, 170, 85, 25, 4
+#: What a turn's text is read as: a text with references, a JSON list of parts (else a text), or a text alone.
+INLINE, JSON, PLAIN = "inline", "json", "plain"
+#: References in a text: an image, or a link to a file whose ending says what it is.
+_REFERENCE = re.compile(r"!\[[^\[\]\n]{0,512}\]\((?P<image>[^()\s]{1,2048})\)|\[[^\[\]\n]{0,512}\]\((?P<file>[^()\s]{1,2048}\.(?:(?P<audio>mp3|wav|ogg|flac|m4a)|pdf|docx?|odt|epub))\)")
+_PLACE = re.compile(r"<\|(?:image|audio|document|other)_(\d+)\|>")
 
 
 def escape(text: str) -> str:
@@ -48,52 +56,124 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: {"\\": "\\", "c": ":", "n": "\n"}[m[1]], role)
 
 
-class Visitor:
-    """Flattens parts in order; collects attachments as (kind, reference, tokens, placeholder number)."""
+def text_parts(text: str) -> list[dict]:
+    """A text as typed parts: its references, each with the characters that it stands for, and the texts around them."""
+    out, at = [], 0
+    for m in _REFERENCE.finditer(text):
+        if at < m.start():
+            out.append({"type": "text", "text": text[at : m.start()]})
+        kind = "image" if m["image"] else "audio" if m["audio"] else "document"
+        out.append({"type": kind, "ref": m["image"] or m["file"], "raw": m[0]})
+        at = m.end()
+    return [*out, {"type": "text", "text": text[at:]}] if at < len(text) or not out else out
 
-    def __init__(self):
-        self.attachments: list[tuple[str, str, int, int]] = []
 
-    def visit(self, part) -> str:
-        if isinstance(part, str):
-            return self.text({"text": part})
-        if isinstance(part, list):
-            return "".join(map(self.visit, part))
-        kind = (part or {}).get("type", "text")
-        return getattr(self, kind if kind in ("text", "image", "audio", "document") else "other")(part or {})
+def json_parts(text: str):
+    """The parts of a text that is a JSON list of objects, strings and nulls; any other text as it is."""
+    if text[:1] != "[":
+        return text
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return text
+    return found if isinstance(found, list) and all(x is None or isinstance(x, (dict, str)) for x in found) else text
 
-    def text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
 
-    def image(self, part: dict) -> str:
-        tiles = math.ceil(max(1, part.get("width") or 1) / TILE) * math.ceil(max(1, part.get("height") or 1) / TILE)
-        return self.attach("image", part, FRAME_TOKENS + TILE_TOKENS * tiles)
+def _number(value) -> float:
+    """A finite number of 0 or more; anything else counts as 0."""
+    ok = isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value < 1e9
+    return value if ok else 0
 
-    def audio(self, part: dict) -> str:
-        return self.attach("audio", part, math.ceil(AUDIO_RATE * max(0.0, part.get("seconds") or 0.0)))
 
-    def document(self, part: dict) -> str:
-        return self.attach("document", part, math.ceil(len(part.get("text") or "") / DOCUMENT_CHARS))
+def _string(value) -> str:
+    """A string as it is, a number by its digits; anything else is empty."""
+    return value if isinstance(value, str) else str(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else ""
 
-    def other(self, part: dict) -> str:
-        return self.attach("other", part, 0)
 
-    def attach(self, kind: str, part: dict, tokens: int) -> str:
-        self.attachments.append((kind, str(part.get("ref") or part.get("url") or ""), tokens, len(self.attachments)))
-        return f"<|{kind}_{len(self.attachments) - 1}|>"
+class Visitor:
+    """Flattens parts in order; collects attachments as (kind, reference, tokens, placeholder number, characters that it stands for).
 
+    A part of no known kind, or of another JSON type, is an attachment of kind
+    ``other``; sizes that are no numbers count as 0, texts and references that
+    are no strings as empty.
+    """
 
-def format_turn(role: str, content) -> tuple[str, list[tuple[str, str, int, int]]]:
+    def __init__(self):
+        self.attachments: list[tuple[str, str, int, int, str]] = []
+        self.pieces: list[tuple[bool, str]] = []  # whether a placeholder, and its characters
+
+    def visit(self, part) -> None:
+        if isinstance(part, str):
+            self.pieces.append((False, part))
+        elif isinstance(part, list):
+            for x in part:
+                self.visit(x)
+        elif isinstance(part, dict):
+            kind = part.get("type", "text")
+            getattr(self, kind if kind in ("text", "image", "audio", "document") else "other")(part)
+        elif part is not None:
+            self.other({})
+
+    def content(self) -> str:
+        """The flattened parts: neighbouring texts are one, backslashes before a placeholder are doubled."""
+        out = []
+        for mark, own in groupby(self.pieces, key=lambda x: x[0]):
+            text = "".join(x[1] for x in own)
+            if out and mark:
+                text = "\\" * (len(out[-1]) - len(out[-1].rstrip("\\"))) + text
+            out.append(text if mark else escape(text))
+        return "".join(out)
+
+    def text(self, part: dict) -> None:
+        self.pieces.append((False, _string(part.get("text"))))
+
+    def image(self, part: dict) -> None:
+        tiles = math.ceil(max(1, _number(part.get("width"))) / TILE) * math.ceil(max(1, _number(part.get("height"))) / TILE)
+        self.attach("image", part, FRAME_TOKENS + TILE_TOKENS * tiles)
+
+    def audio(self, part: dict) -> None:
+        self.attach("audio", part, math.ceil(AUDIO_RATE * _number(part.get("seconds"))))
+
+    def document(self, part: dict) -> None:
+        self.attach("document", part, math.ceil(len(_string(part.get("text"))) / DOCUMENT_CHARS))
+
+    def other(self, part: dict) -> None:
+        self.attach("other", part, 0)
+
+    def attach(self, kind: str, part: dict, tokens: int) -> None:
+        number = len(self.attachments)
+        self.attachments.append((kind, _string(part.get("ref")) or _string(part.get("url")), min(tokens, 2**31 - 1), number, _string(part.get("raw"))))
+        self.pieces.append((True, f"<|{kind}_{number}|>"))
+
+
+def format_turn(role: str, content) -> tuple[str, list[tuple[str, str, int, int, str]]]:
     """A turn's formatted text and its attachments."""
     v = Visitor()
-    return OPEN + escape_role(role) + HEAD + v.visit(content) + CLOSE, v.attachments
-
-
-def read_turn(formatted: str) -> tuple[str, str]:
-    """Role and text of a formatted turn of text parts."""
+    v.visit(content)
+    return OPEN + escape_role(role) + HEAD + v.content() + CLOSE, v.attachments
+
+
+def restore(content: str, raws: list[str] | None = None) -> str:
+    """A formatted content's text: placeholders give back what they stand for, escapes go."""
+    if not raws:
+        return unescape(content)
+    out, at = [], 0
+    for m in _PLACE.finditer(content):
+        back = m.start()
+        while back > at and content[back - 1] == "\\":
+            back -= 1
+        slashes = m.start() - back
+        if slashes % 2 == 0 and int(m[1]) < len(raws):  # after an odd number it is text
+            out += [unescape(content[at:back]), "\\" * (slashes // 2), raws[int(m[1])]]
+            at = m.end()
+    return "".join([*out, unescape(content[at:])])
+
+
+def read_turn(formatted: str, raws: list[str] | None = None) -> tuple[str, str]:
+    """Role and text of a formatted turn."""
     body = formatted[len(OPEN) : -len(CLOSE)]
     role, _, content = body.partition(HEAD)
-    return unescape_role(role), unescape(content)
+    return unescape_role(role), restore(content, raws)
 
 
 def read_all(formatted: str) -> list[tuple[str, str]]:
@@ -106,13 +186,15 @@ def is_trained(role: str) -> bool:
     return role == "assistant"
 
 
-FORMATTED = "conv_id {0}, position int, formatted string, loss_start bigint, loss_end bigint, attachments array<struct<kind: string, ref: string, tokens: int, number: int>>"
+FORMATTED = "conv_id {0}, position int, formatted string, loss_start bigint, loss_end bigint, attachments array<struct<kind: string, ref: string, tokens: int, number: int, raw: string>>"
+
 
+_ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32()), ("number", pa.int32()), ("raw", pa.string())]))
 
-_ATTACHMENTS = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32()), ("number", pa.int32())]))
 
+def _formatter(parts: str):
+    read = {INLINE: text_parts, JSON: json_parts, PLAIN: str}[parts]
 
-def _formatter(parts: bool):
     def run(batches):
         now, position = (), 0
         for rb in batches:
@@ -120,26 +202,29 @@ def _formatter(parts: bool):
             for conv, role, text in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
                 position = position + 1 if now == (conv,) else 0
                 now = (conv,)
-                content = json.loads(text) if parts and text[:1] == "[" else text
-                out, attached = format_turn(role, content)
+                out, attached = format_turn(role, read(text))
                 lo, hi = (len(OPEN) + len(escape_role(role)) + len(HEAD), len(out) - len(CLOSE)) if is_trained(role) else (0, 0)
-                rows.append((position, out, lo, hi, [{"kind": k, "ref": r, "tokens": t, "number": n} for k, r, t, n in attached]))
+                rows.append((position, out, lo, hi, [dict(zip(("kind", "ref", "tokens", "number", "raw"), x, strict=True)) for x in attached]))
             types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), _ATTACHMENTS)
             yield pa.RecordBatch.from_arrays([rb.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["conv_id", "position", "formatted", "loss_start", "loss_end", "attachments"])
 
     return run
 
 
-def format_conversations(conversations: DataFrame, parts: bool = False) -> DataFrame:
+def format_conversations(conversations: DataFrame, parts: str = INLINE) -> DataFrame:
     """Formatted turns of ``conversations(conv_id, turn, role, text)``, in order within each conversation.
 
     A conversation's formatted text is its turns' ``formatted`` joined by
     position; ``loss_start`` and ``loss_end`` bound the trained characters of
     a turn (both 0 if none). Turns are ordered by (turn, role, text), so ties
     and repeated rows have one order. A null text or role counts as empty, a
-    null conv_id as one conversation, a null turn comes first. With ``parts``
-    a text that is a JSON list holds typed parts. Rows stream through sorted
-    partitions, so a conversation of any length needs no memory of its own.
+    null conv_id as one conversation, a null turn comes first. ``parts`` says
+    what a text is read as: ``INLINE``, a text whose references are typed parts
+    (read back to the letter); ``JSON``, a list of typed parts, where any other
+    text, broken lists included, is a text; ``PLAIN``, a text alone. Rows stream
+    through sorted partitions, so a conversation of any length needs no memory
+    of its own; a very long text is one row's. An empty table gives an empty
+    result; other columns, whatever their names, are not read.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -148,7 +233,7 @@ def format_conversations(conversations: DataFrame, parts: bool = False) -> DataF
 
 
 def _closed(s: dict) -> tuple:
-    return s["conv"], s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["size"]
+    return s["conv"], s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["size"], s["attached"], s["tokens"]
 
 
 def _reader(batches):
@@ -156,32 +241,35 @@ def _reader(batches):
     state, kind = None, None
 
     def batch(rows):
-        types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attachment_tokens"])
 
     for rb in batches:
         kind, done = rb.column(0).type, []
-        for conv, position, formatted, lo, hi in zip(*(rb.column(i).to_pylist() for i in range(5)), strict=True):
+        for conv, position, formatted, lo, hi, attached in zip(*(rb.column(i).to_pylist() for i in range(6)), strict=True):
             if position == 0:
                 if state:
                     done.append(_closed(state))
-                state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "size": 0}
-            role, text = read_turn(formatted)
+                state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "chars": 0, "size": 0, "attached": 0, "tokens": 0}
+            raws = [x["raw"] for x in attached]
+            role, text = read_turn(formatted, raws)
             state["n"] += 1
             state["turns"].update(f"{role}\n{text}\n".encode())
-            trained = unescape(formatted[lo:hi])
+            trained = restore(formatted[lo:hi], raws)
             state["loss"].update(trained.encode())
             state["chars"] += len(trained)
             state["size"] += len(formatted)
+            state["attached"] += len(attached)
+            state["tokens"] += sum(x["tokens"] for x in attached)
         yield batch(done)
     if state:
         yield batch([_closed(state)])
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)`` of :func:`format_conversations`, whose order is kept."""
+    """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, attachment_tokens)`` of :func:`format_conversations`, whose order is kept."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInArrow(_reader, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.mapInArrow(_reader, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, attachment_tokens bigint")
 
 
 #: A conversation whose texts imitate the template's marks.

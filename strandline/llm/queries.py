@@ -75,12 +75,15 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, length('### ' || role || ': ' || regexp_replace(text, '(\\*)(###|</turn>|<\|)', '\1\1\\\2', 'g') || ' </turn>' || chr(10)) AS size FROM c)
+r AS (SELECT *, '!\[[^\[\]\n]{0,512}\]\([^()\s]+\)' AS image, '\[[^\[\]\n]{0,512}\]\([^()\s]+\.(?:mp3|wav|ogg|flac|m4a)\)' AS audio, '\[[^\[\]\n]{0,512}\]\([^()\s]+\.(?:pdf|docx?|odt|epub)\)' AS document FROM c),
+p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(text, image, chr(1), 'g'), audio, chr(2), 'g'), document, chr(3), 'g') AS held FROM r),
+n AS (SELECT *, length(held) - length(replace(held, chr(1), '')) AS images, length(held) - length(replace(held, chr(2), '')) AS audios, length(held) - length(replace(held, chr(3), '')) AS documents FROM p),
+e AS (SELECT *, images + audios + documents AS attached, 255 * images AS tokens, length('### ' || role || ': ' || regexp_replace(held, '(\\*)(###|</turn>|<\|)', '\1\1\\\2', 'g') || ' </turn>' || chr(10)) + 10 * images + 10 * audios + 13 * documents AS size FROM n)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(size) AS BIGINT) AS formatted_chars
+  CAST(sum(size) AS BIGINT) AS formatted_chars, CAST(sum(attached) AS BIGINT) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS attachment_tokens
 FROM e GROUP BY conv_id
 """
 
