@@ -1,7 +1,9 @@
 """Document fingerprints by order min-hashing, in DataFrame functions only.
 
-A text's tokens (runs of up to ``TOKEN`` characters without white space) give
-k-mers of ``K`` tokens. Equal k-mers are numbered by occurrence, so that every
+A text's tokens are its words (runs of up to ``TOKEN`` characters without white
+space) and, in longer runs, what begins at every character: up to ``PIECE``
+characters. So a change moves only the tokens around it, in unspaced text too.
+Tokens give k-mers of ``K`` tokens. Equal k-mers are numbered by occurrence, so that every
 one is a distinct element. An element's hash names its bucket and its rank
 there; a bucket keeps its ``PICK`` smallest elements, puts them back into text
 order, and hashes the tuple. Two texts are alike in as many buckets as hold the
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from strandline.session import materialise
 
-#: Characters of a token at most, tokens of a k-mer, elements kept in a bucket, bits of the bucket number.
-TOKEN, K, PICK, BUCKET_BITS = 16, 2, 2, 6
+#: Characters of a word at most, and of a token in longer runs; tokens of a k-mer, elements kept in a bucket, bits of the bucket number.
+TOKEN, PIECE, K, PICK, BUCKET_BITS = 16, 4, 2, 2, 6
 #: Low bits of an element that hold its place in the text, and bits of a bucket's tuple hash.
 PLACE_BITS, CODE_BITS = 26, 16
 
 _PLACE = (1 << PLACE_BITS) - 1
+_WORD = rf"(?<!\S)\S{{1,{TOKEN}}}+(?!\S)"
+#: Group 1 is the token: a word, which is passed over, or a piece of a longer run, of which one character is.
+_TOKENS = rf"(?=({_WORD}|\S{{1,{PIECE}}}+))(?:{_WORD}|\S)"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -81,7 +86,7 @@ def signature(text: Column) -> Column:
     def tuples(e: Column) -> Column:
         return F.transform(_run_starts(e, bucket), lambda at: code(e, at))
 
-    words = F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(1))
     return F.sort_array(_let(words, lambda w: _let(F.sort_array(kmers(w)), lambda s: _let(F.sort_array(numbered(s)), tuples))))
 
 
@@ -128,8 +133,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty; an empty text has an empty fingerprint. The
     edited text has its last half replaced by the start of the next document's
-    text, in descending doc_id; a table of one row is its own next. Repeated
-    rows each get a row.
+    text, in descending doc_id; a table of one row is its own next. Null ids
+    come last; rows that share an id are ordered by a hash of their texts, and
+    equal rows, which are alike, in any order. Repeated rows each get a row. A
+    very long text is one row's arrays, of one element a token; places in it
+    are told apart up to 2 ** ``PLACE_BITS``. An empty table gives an empty
+    result; other columns, whatever their names, are not read.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     links = materialise(with_previous(base), "previous")
