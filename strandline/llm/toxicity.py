@@ -5,8 +5,10 @@ lexicon, in a strict and a lenient form, and a few surface patterns are voters.
 A generative label model estimates, over the votes of all documents, each
 voter's accuracy given the class and the correlations between voters (a
 maximum spanning forest of class-conditional dependences, re-estimated by
-expectation-maximisation). Its posterior labels train a linear classifier on
-hashed features, which scores whole texts.
+expectation-maximisation); labelled rows only help it to the accuracies. Its
+posterior labels of a bounded sample of all documents, nearly all of them
+without a label, train a linear classifier on hashed features, which scores
+whole texts. The classifier sees no label of an annotator.
 
 Labels are only read from the rows given as training rows; no score uses a
 label, language, source or id.
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 
 from strandline.llm import wordhash as W
 
-#: Labelled rows that lexicons and the classifier are fitted on, at most (the smallest hashes of doc_id).
-TRAIN_ROWS = 20_000
+#: Labelled rows that lexicons are mined from, at most (the smallest hashes of doc_id), and documents that the classifier is trained on, about (the smallest hashes of doc_id and text).
+TRAIN_ROWS, SAMPLE_ROWS = 20_000, 20_000
 #: Hash bits of features; lexicon features kept; bytes of the word beginnings (0: whole words).
 BITS, FEATURES, PREFIXES = 20, 2048, (0, 5, 6, 8)
 #: A feature belongs to a strict lexicon from this log-odds on; to a lenient one from the lower.
 STRICT, LENIENT = 4.0, 2.0
+#: Words of a text for each strict hit that can be there by chance; a lenient lexicon votes no below the first sum of log-odds a word, yes from the second on.
+CHANCE, RATES = 200, (0.03, 0.1)
 #: Dependences weaker than this mutual information (nats) are left out of the label model.
 DEPENDENCE = 0.01
 VOTERS = 2 * len(PREFIXES) + 3
@@ -100,10 +104,11 @@ class Lexicon:
             votes = np.zeros((n, VOTERS), np.int8)
             for f in range(len(PREFIXES)):
                 own = self.family[feat] == f
-                for k, least in enumerate((STRICT, LENIENT)):
-                    m = own & (self.odds[feat] >= least)
-                    c = np.bincount(text[m], count[m], n)
-                    votes[:, 2 * f + k] = np.where(c > k, 1, np.where(c == 0, -1, 0))
+                strict = own & (self.odds[feat] >= STRICT)
+                c = np.bincount(text[strict], count[strict], n)
+                votes[:, 2 * f] = np.where(c * CHANCE > words, 1, np.where(c == 0, -1, 0))
+                rate = np.bincount(text[own], count[own] * self.odds[feat[own]], n) / np.maximum(words, 1)
+                votes[:, 2 * f + 1] = np.where(rate >= RATES[1], 1, np.where(rate < RATES[0], -1, 0))
             k = 2 * len(PREFIXES)
             votes[:, k] = np.where(upper > 0.5 * np.maximum(upper + lower, 1), 1, 0)
             votes[:, k + 1] = np.where(bang > 0.2 * np.maximum(words, 1), 1, 0)
@@ -250,7 +255,28 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def sample(docs: DataFrame, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of the ``total`` rows of ``docs(doc_id, text)``, those whose hashes are smallest; rows that are held out are none of them.
+
+    Hashes alone decide, so nothing is sorted or collected; rows that are equal
+    are in or out together.
+    """
+    share = min(1.0, rows / max(total * 0.8, 1))
+    return docs.where(~held_out() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))))
+
+
+def fit_labels(codes: np.ndarray, n: np.ndarray, votes: np.ndarray, y: np.ndarray) -> LabelModel:
+    """The label model on the vote patterns of all documents, and of labelled ones whose class is known while accuracies are estimated."""
+    patterns = (codes[:, None] // 3 ** np.arange(VOTERS)) % 3 - 1
+    first = np.where(y > 0, 0.99, 0.01)
+    own = LabelModel().fit(votes, np.ones(len(votes)), first, rounds=1)
+    stacked = np.concatenate([patterns, votes])
+    weight = np.full(len(votes), max(1.0, n.sum() / len(votes)))  # labelled rows count as much as all others
+    known = np.arange(len(stacked)) >= len(patterns)
+    return LabelModel().fit(stacked, np.concatenate([n, weight]), np.concatenate([own.posterior(patterns), first]), known)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on ``docs(doc_id, text)`` and the training rows ``labels(doc_id, toxic)``; votes are counted over all of ``docs``."""
     spark, model = docs.sparkSession, Model()
     gold = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -270,20 +296,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     model.lexicon = lexicon = Lexicon(best.id.to_numpy(np.int64), best.odds.to_numpy(float), best.family.to_numpy(np.int64), best.n1.to_numpy() <= least)
     sent = spark.sparkContext.broadcast(lexicon)  # 8 MB whatever the corpus
     seen = docs.select("text").mapInArrow(_vote_counts(sent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 3 ** VOTERS patterns at most
-    examples = train.mapInArrow(_examples(sent), "label int, feats array<int>, counts array<int>, dense array<double>, votes array<int>").toPandas()
-
-    patterns = (seen.code.to_numpy()[:, None] // 3 ** np.arange(VOTERS)) % 3 - 1
-    votes, y = np.array(examples.votes.tolist()), examples.label.to_numpy()
-    own = LabelModel().fit(votes, np.ones(len(votes)), np.where(y > 0, 0.99, 0.01), rounds=1)
-    stacked = np.concatenate([patterns, votes])
-    start = np.concatenate([own.posterior(patterns), np.where(y > 0, 0.99, 0.01)])
-    weight = np.full(len(votes), max(1.0, seen.n.sum() / len(votes)))  # labelled rows count as much as all others
-    known = np.arange(len(stacked)) >= len(patterns)
-    model.labels = LabelModel().fit(stacked, np.concatenate([seen.n.to_numpy(float), weight]), start, known)
-    soft = model.labels.posterior(votes)
-    agree = np.clip([(1 - soft)[y == 0].mean(), soft[y == 1].mean()], 0.6, 0.99)  # the annotator is one more voter
-    odds = np.log(soft / (1 - soft)).clip(-6, 6) + np.where(y > 0, np.log(agree[1] / (1 - agree[0])), np.log((1 - agree[1]) / agree[0])) * 2
-    target = 1 / (1 + np.exp(-odds))
+    kinds = "label int, feats array<int>, counts array<int>, dense array<double>, votes array<int>"
+    labelled = train.mapInArrow(_examples(sent), kinds).select("label", "votes").toPandas()  # train_rows at most
+    examples = sample(docs, sample_rows, int(seen.n.sum())).select("text", F.lit(0).alias("y")).mapInArrow(_examples(sent), kinds).toPandas()  # about sample_rows
+    model.labels = fit_labels(seen.code.to_numpy(), seen.n.to_numpy(float), np.array(labelled.votes.tolist()), labelled.label.to_numpy())
+    target = model.labels.posterior(np.array(examples.votes.tolist()))
 
     row = np.repeat(np.arange(len(examples)), [len(x) for x in examples.feats])
     col = np.concatenate([np.asarray(x, np.int64) for x in examples.feats])
@@ -312,8 +329,11 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
     Null and empty texts are scored like texts without any word. Repeated rows
-    each get a row and equal scores. Without labelled rows of both classes
-    every score is 0.
+    each get a row and equal scores. Without labelled rows of both classes, or
+    without documents, every score is 0. Very long texts are read in chunks of
+    whole texts, so the longest text bounds a task's memory. Labels that
+    disagree about an id count as toxic; features tie by family and hash. Other
+    columns, whatever their names, are not read.
     """
     base = docs.select("doc_id", "text")
     model = fit(base, labels.where(~held_out()), **options)
