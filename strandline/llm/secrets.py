@@ -3,10 +3,14 @@
 Base findings are pattern matches and always stay. Candidates are all runs of 16
 or more token characters. The network reads a candidate with its surroundings,
 a long one in steps of which the best counts, so that a key inside a path is
-read too; it is trained in numpy on labelled findings that a
-seeded generator writes (keys of many formats in code and prose against
-identifiers, paths, versions, words), its outputs are calibrated, and its
-threshold is the highest that keeps a required recall on held-out findings.
+read too. It is trained in numpy on labelled findings of two kinds: a seeded
+generator's (keys of many formats in code and prose against identifiers, paths,
+versions, words), and those of a bounded sample of the corpus: base findings as
+they stand, and with their characters drawn anew; generated keys and plain runs
+put into the places of words; and the documents' own other runs, as negatives.
+Findings of a fifth of the sampled documents are kept from training: on them the
+outputs are calibrated, the threshold is the highest that keeps a required
+recall, and recall and precision are reported.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
+HEX_RUN, TOKEN_RUN, WORD = re.compile(rb"[0-9a-f]{16,}"), re.compile(rb"[A-Za-z0-9+/_=.-]{16,}"), re.compile(rb"(?<![^\s])[A-Za-z]{3,15}(?![^\s.,;])")
 #: The kind of findings that the network adds.
 NETWORK = "network"
 #: Characters read before a candidate, of its start and end, and after it.
@@ -39,6 +44,8 @@ LENGTH = BEFORE + HEAD + TAIL + AFTER
 CANDIDATE, STEP, SCORED = 16, 8, 4096
 #: Network: embedding, filter width, filters; training examples, epochs; recall that the threshold must keep.
 EMBED, WIDTH, FILTERS, EXAMPLES, EPOCHS, RECALL = 8, 5, 24, 6000, 6, 0.98
+#: Documents whose findings the network is trained on, about (the smallest hashes of doc_id and text), and findings of each kind of a document.
+SAMPLE_ROWS, OWN_FINDINGS = 3000, 4
 
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
@@ -81,8 +88,11 @@ def windows(before: bytes, token: bytes, after: bytes) -> Iterator[np.ndarray]:
         yield out
 
 
-def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of generated findings, half of them secrets; of a long finding one window, of a key inside it the one that shows most."""
+def labelled_findings(n: int, seed: int, places: list[tuple[bytes, bytes]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of generated findings, half of them secrets; of a long finding one window, of a key inside it the one that shows most.
+
+    With ``places``, contexts of documents, a finding stands in one of them.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     draw = lambda alphabet, lo, hi: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(lo, hi + 1))))
@@ -137,9 +147,10 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             token = first + token + last
         lead = pick([prose() + " ", prose() + ". ", f"{pick(keys)}: ", f'{pick(keys)} = "', f'"{pick(keys)}": "', prose() + "\n", "(", ""])
         tail = pick([" " + prose(), '"', ".", "\n" + prose(), ")", ""])
-        own = np.concatenate(list(windows(lead.encode(), token.encode(), tail.encode())))
-        places = np.append(np.arange(0, len(token) - HEAD, STEP), len(token) - HEAD)
-        shown = np.minimum(places + HEAD, key[1]) - np.maximum(places, key[0])
+        around = pick(places) if places else (lead.encode(), tail.encode())
+        own = np.concatenate(list(windows(around[0], token.encode(), around[1])))
+        at = np.append(np.arange(0, len(token) - HEAD, STEP), len(token) - HEAD)
+        shown = np.minimum(at + HEAD, key[1]) - np.maximum(at, key[0])
         xs.append(own[0 if len(own) == 1 else int(shown.argmax()) if y else int(rng.integers(len(own)))])
         ys.append(y)
     return np.array(xs), np.array(ys, float)
@@ -153,6 +164,7 @@ class Network:
         self.p = {"e": rng.normal(0, 0.3, (SYMBOLS, EMBED)), "r": rng.normal(0, 0.3, (4, EMBED)), "c": rng.normal(0, 0.15, (WIDTH * EMBED, FILTERS)), "b": np.zeros(FILTERS), "w": rng.normal(0, 0.2, 2 * FILTERS), "o": np.zeros(1)}
         self.region = np.repeat(np.arange(4), (BEFORE, HEAD, TAIL, AFTER))
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.report: dict[str, float] = {}
 
     def forward(self, x: np.ndarray):
         """Logits, with what the backward pass needs: maxima and means of the filters."""
@@ -201,7 +213,9 @@ class Network:
             a, b = a - 0.1 * (g * logit).mean(), b - 0.1 * g.mean()
         self.scale, self.shift = a, b
         own = np.sort(self.score(x[y == 1]))
-        self.threshold = float(own[int(np.floor((1 - recall) * len(own)))])
+        self.threshold = float(own[int(np.floor((1 - recall) * len(own)))]) if len(own) else 0.5
+        found = self.score(x) >= self.threshold
+        self.report = {"findings": len(y), "recall": float(found[y == 1].mean()) if len(own) else 1.0, "precision": float(y[found].mean()) if found.any() else 1.0}
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities."""
@@ -218,6 +232,92 @@ def trained(examples: int = EXAMPLES) -> Network:
     return net
 
 
+_CLASSES = (string.digits.encode(), b"abcdef", string.ascii_lowercase.encode(), string.ascii_uppercase.encode())
+
+
+def perturbed(token: bytes, rng: np.random.Generator) -> bytes:
+    """A token with each digit and letter drawn anew from its kind; hexadecimal ones stay hexadecimal."""
+    low = b"abcdef" if all(x in b"0123456789abcdef" for x in token) else _CLASSES[2]
+    kinds = [_CLASSES[0] if 48 <= x < 58 else low if 97 <= x < 123 else _CLASSES[3] if 65 <= x < 91 else bytes([x]) for x in token]
+    return bytes(k[int(rng.integers(len(k)))] for k in kinds)
+
+
+def _sampled(batches) -> Iterator[pa.RecordBatch]:
+    """Of each text: base findings, other candidates and places of words, some of each: (key, kind, before, token, after)."""
+    for rb in batches:
+        out = []
+        for key, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+            data = (text or "").encode()
+            rng = np.random.default_rng(key & 0xFFFFFFFF)
+            base = [m.span(2) for m in ASSIGN.finditer(data) if len(m[2]) >= ASSIGN_VALUE]
+            base += [m.span() for m in ACCESS.finditer(data) if len(m[0]) >= ACCESS_LENGTH] + [m.span() for m in HEX_RUN.finditer(data)]
+            covered = sorted(base)
+            runs = []
+            for m in TOKEN_RUN.finditer(data):
+                i = bisect_left(covered, (m.end(), 0))
+                if not any(b > m.start() for _, b in covered[max(0, i - 2) : i]):
+                    runs.append(m.span())
+            mixed = [x for x in base if not data[x[0] : x[1]].isdigit()]  # numbers alone say nothing
+            words = [m.span() for m in WORD.finditer(data)]
+            for kind, own in ((1, mixed), (0, runs), (2, words)):
+                for i in rng.permutation(len(own))[: OWN_FINDINGS]:
+                    a, b = own[int(i)]
+                    out.append((key, kind, data[max(0, a - BEFORE) : a], data[a:b], data[b : b + AFTER]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["key", "kind", "before", "token", "after"])
+
+
+def sampled_findings(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(key, kind, before, token, after)`` of about ``rows`` documents: kind 1 base findings, 0 other candidates, 2 words.
+
+    ``key`` is the hash of a document's id and text that put it into the
+    sample; equal rows count once.
+    """
+    share = min(1.0, rows / max(docs.count(), 1))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    own = docs.select(key.alias("key"), "text").where(F.col("key") < int(share * (1 << 40))).groupBy("key").agg(F.first("text").alias("text"))
+    return own.mapInArrow(_sampled, "key bigint, kind int, before binary, token binary, after binary")
+
+
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, examples: int = EXAMPLES) -> Network:
+    """The network on generated findings and on those of a sample of ``docs(doc_id, text)``, calibrated on held-out ones.
+
+    Of the documents' own runs, which nobody labelled, those that a network of
+    generated findings alone takes for keys are left out. Without documents the
+    generated findings are all.
+    """
+    held = sampled_findings(docs, rows).toPandas()  # about rows * 3 * OWN_FINDINGS short rows
+    if not len(held):
+        return trained(examples)
+    first, rng = trained(examples), np.random.default_rng(8)
+    held = held.sort_values(["key", "kind", "token", "before", "after"]).reset_index(drop=True)
+    xs, ys, apart = [], [], []
+    for r in held.itertuples():
+        if r.kind == 2:
+            continue
+        own = np.concatenate(list(windows(r.before, r.token, r.after)))
+        if r.kind == 0 and first.score(own).max() >= first.threshold:
+            continue
+        for token in (r.token, perturbed(r.token, rng)) if r.kind else (r.token,):
+            own = np.concatenate(list(windows(r.before, token, r.after)))
+            xs.append(own[int(rng.integers(len(own)))])
+            ys.append(float(r.kind))
+            apart.append(r.key % 5 == 0)
+    words = held[held.kind == 2]
+    parts = [(np.array(xs).reshape(-1, LENGTH), np.array(ys), np.array(apart, bool))]
+    for out in (False, True):
+        places = list(zip(words.before[(words.key % 5 == 0) == out], words.after[(words.key % 5 == 0) == out], strict=True))
+        n = examples // 5 if out else examples // 2
+        for seed, where in ((3 + out, places), (1 + out, None)):
+            if where or where is None:
+                x, y = labelled_findings(n, seed, where)
+                parts.append((x, y, np.full(len(y), out)))
+    x, y, out = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    net = Network()
+    net.train(x[~out], y[~out])
+    net.calibrate(x[out], y[out])
+    return net
+
+
 def _base(data: bytes) -> list[tuple[int, int, int]]:
     """Pattern matches of a text: start, kind number, end, in bytes; hexadecimal runs are found elsewhere."""
     found = []
@@ -290,11 +390,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """``(doc_id, findings array<struct<kind, start, end, score>>)`` for every row of ``docs(doc_id, text)``.
 
     Null and empty texts have no findings. A network finding never overlaps a
-    base finding. Repeated rows each get a row; other columns are not read.
+    base finding. Repeated rows and rows without an id each get a row; findings
+    that begin together are in order of their kinds. Very long texts are read in
+    chunks of whole texts, so the longest one bounds a task's memory. An empty
+    table gives an empty result; other columns, whatever their names, are not
+    read.
     """
     base = docs.select("doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(trained())
+    sent = docs.sparkSession.sparkContext.broadcast(fit(base))
     return base.mapInArrow(_scanner(sent), f"doc_id {kind}, findings array<struct<kind: string, start: bigint, `end`: bigint, score: double>>")
 
 
@@ -303,11 +407,11 @@ def _spans(findings: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind, a digest of the base findings and all spans of each row of :func:`find_secrets`."""
+    """Counts by kind, a digest of the base findings, all spans and the network's scores of them, for each row of :func:`find_secrets`."""
 
     def count(kind: str) -> Column:
         return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
     base = F.filter("findings", lambda x: x["kind"] != NETWORK)
-    return found.select("doc_id", *counts, F.sha2(_spans(base), 256).alias("base_sha256"), _spans(F.col("findings")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_spans(base), 256).alias("base_sha256"), _spans(F.col("findings")).alias("spans"), F.array_join(F.transform("findings", lambda x: F.format_number(x["score"], 4)), ",").alias("scores"))
