@@ -34,9 +34,9 @@ from strandline.llm import wordhash as W
 from strandline.operators.components import connected_components
 from strandline.session import materialise
 
-#: Sketch: 2**BUCKET_BITS buckets, registers of 6 + MANTISSA_BITS bits.
-BUCKET_BITS, MANTISSA_BITS = 7, 26
-BUCKETS = 1 << BUCKET_BITS
+#: Sketch: 2**BUCKET_BITS buckets, registers of 6 + MANTISSA_BITS bits, which two bytes hold.
+BUCKET_BITS, MANTISSA_BITS = 7, 10
+BUCKETS, REGISTER = 1 << BUCKET_BITS, np.uint16
 #: Bands of ROWS registers. At Jaccard 0.8 a pair shares none of the 32 bands with probability 5e-8.
 ROWS = 4
 BANDS = BUCKETS // ROWS
@@ -46,8 +46,10 @@ SLACK = 4.5
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 2048
 #: Members that are held against one copy of their group's smallest.
 STAR_ROWS = 512
-#: Expected share of unequal buckets that collide, times 2**MANTISSA_BITS, for sets of equal size (published constant of the sketch).
-COLLISION = 0.169919487159739093975315012348630288992889
+#: Texts that more than one in HOT rows is a copy of get their label by a broadcast: there are fewer than HOT.
+HOT = 1000
+#: Parts that a band group is dealt to, by a hash of its members, wherever rows meet by its key.
+SALTS = 64
 
 _U = np.uint64
 _LOW = (np.arange(BUCKETS, dtype=np.uint64) << _U(64 - BUCKET_BITS)).astype(_U)
@@ -92,14 +94,31 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
             got = s[np.minimum(at, len(s) - 1)]
             present[i] = (at < len(s)) & ((got ^ _LOW) >> _U(64 - BUCKET_BITS) == 0)
             minima[i] = got
-    return registers(minima, present)
+    return registers(minima, present).astype(REGISTER)
+
+
+_CELLS = 2.0 ** -np.arange(0, 48)[:, None]  # upper ends of the intervals that leading-zero counts tell apart
+
+
+def collisions(n: np.ndarray, m: np.ndarray, mantissa_bits: int = MANTISSA_BITS) -> np.ndarray:
+    """Chance that two buckets of disjoint sets of ``n`` and ``m`` elements have equal registers.
+
+    A bucket holds the smallest of its share of a set, one element at least.
+    Minima of a and b numbers have densities a (1 - x)**(a - 1) and so on; in
+    the interval from 2**-(z+1) to 2**-z a mantissa step is 2**-(z+1+bits)
+    wide, and the product of the densities has a closed integral.
+    """
+    a, b = np.maximum(1.0, np.atleast_1d(n) / BUCKETS), np.maximum(1.0, np.atleast_1d(m) / BUCKETS)
+    k = a + b - 1
+    within = (1 - _CELLS / 2) ** k - (1 - _CELLS) ** k
+    return (_CELLS / 2 * within).sum(0) * a * b / k * 2.0**-mantissa_bits
 
 
 def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, mantissa_bits: int = MANTISSA_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of register rows, and how many buckets each rests on."""
     some = np.maximum(((x | y) != 0).sum(-1), 1)
     equal = ((x == y) & (x != 0)).sum(-1) / some
-    c = COLLISION * 2.0**-mantissa_bits * 4 * n * m / np.maximum(n + m, 1) ** 2
+    c = collisions(n, m, mantissa_bits)
     return np.clip((equal - c) / (1 - c), 0, 1), some
 
 
@@ -132,7 +151,7 @@ def _features(k: int, sketches: bool):
     return run
 
 
-def _rows(column: pa.Array, dtype=np.uint32) -> np.ndarray:
+def _rows(column: pa.Array, dtype=REGISTER) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
@@ -173,7 +192,7 @@ def _stars(num: int, den: int):
             out = []
             cols = [rb.column(i).to_pylist() for i in range(5)]  # leader, salt, member, elements, sketch
             for leader, salt, member, elements, sk in zip(*cols, strict=True):
-                s, r = np.frombuffer(elements, _U), np.frombuffer(sk, np.uint32)
+                s, r = np.frombuffer(elements, _U), np.frombuffer(sk, REGISTER)
                 if member is None:
                     now, head, regs = (leader, salt), s, r
                 elif now == (leader, salt) and plausible(regs, r, len(head), len(s), num, den) and linked(head, s, num, den):
@@ -209,7 +228,7 @@ def _groups(batches, keys: int) -> Iterator[list[list]]:
 def _open_pairs(cols: list[list], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
     """In one block of a band group, each row's plausible partners in other components that share no earlier band with it."""
     key, bi, bj, rep, comp, block = (np.array(c) for c in cols[:6])
-    regs = np.frombuffer(b"".join(cols[6]), np.uint32).reshape(len(rep), -1)
+    regs = np.frombuffer(b"".join(cols[6]), REGISTER).reshape(len(rep), -1)
     size = np.array(cols[7])
     keys, some = band_keys(regs)
     band = int(np.flatnonzero((keys[0].view(np.int64) == key[0]) & some[0])[0])
@@ -266,13 +285,29 @@ def _forest(num: int, den: int):
     return run
 
 
+def _salt() -> object:
+    return F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _per_part(rows: DataFrame, key: str, parts: list, whole: list, keep: str = "true") -> DataFrame:
+    """``(key, salt, ...)``: aggregates of groups, for each part of a group that ``rows(key, salt, ...)`` has.
+
+    ``parts`` are aggregates of the rows of a part, ``whole`` those of a
+    group's parts. Rows only ever meet by key and salt, and a group has
+    ``SALTS`` parts at most, so no group's rows come together in one task.
+    """
+    per = rows.groupBy(key, "salt").agg(*parts)
+    return per.select(key, "salt").join(per.groupBy(key).agg(*whole).where(keep), key)
+
+
 def _blocks(rows: DataFrame, sets: DataFrame, full: bool) -> DataFrame:
     """Rows of band groups dealt to pairs of blocks, sorted by them, with sketches and, if ``full``, sets."""
     size = F.octet_length("sketch") + (F.octet_length("elements") if full else F.lit(0))
     own = sets.select("rep", "sketch", (F.octet_length("elements") / 8).cast("bigint").alias("size"), *(["elements"] if full else []), size.alias("bytes"))
-    rows = rows.join(own.select("rep", "bytes"), "rep")
-    plan = rows.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    cut = rows.join(plan, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.join(own.select("rep", "bytes"), "rep").select("*", _salt())
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("held") / BLOCK_BYTES)).cast("int")
+    plan = _per_part(rows, "key", [F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("held")], [blocks.alias("blocks")])
+    cut = rows.join(plan, ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     one = cut.where("blocks = 1").select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "rep", "comp", "block")
     many = cut.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block")
     wide = one.unionByName(many).join(own, "rep").select("key", "bi", "bj", "rep", "comp", "block", "sketch", "size", *(["elements"] if full else []))
@@ -281,7 +316,7 @@ def _blocks(rows: DataFrame, sets: DataFrame, full: bool) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The doc_ids that more than one row has."""
-    return materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again", small=True)
+    return materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100) -> DataFrame:
@@ -291,8 +326,12 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     of ``shingle``-word shingles; ``component_id`` is the smallest doc_id
     reachable and ``kept`` marks it. Null and empty texts have no shingles and
     link with nothing. Rows that repeat a doc_id each get a row and count as
-    one document: what is linked with one of its texts is linked with it. A null doc_id keeps its row and is never linked.
-    Other columns, whatever their names, are not read.
+    one document: what is linked with one of its texts is linked with it. A
+    null doc_id keeps its row and is never linked. Rows that tie have one
+    component by its smallest id, so no order matters. Very long texts are read
+    in chunks of whole texts; the longest one's set bounds a task's memory. An
+    empty table gives an empty result; other columns, whatever their names, are
+    not read.
     """
     given = docs.schema["doc_id"].dataType.simpleString()
     kind = "bigint" if given in ("tinyint", "smallint", "int") else given
@@ -300,19 +339,21 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     hashed = f"doc_id {kind}, n_shingles bigint, digest binary"
     node = F.xxhash64("digest")
     feats = base.mapInArrow(_features(shingle, True), f"{hashed}, sketch binary")
-    classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")).withColumn("rep", node), "classes")
-    bands = classes.select("rep", "sketch").mapInArrow(_bands, "key bigint, rep bigint").repartition("key")
-    heads = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").select("key", "leader")
-    groups = materialise(bands.join(heads, "key").where("rep <> leader"), "bands")  # key, rep, leader
+    classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")).withColumn("rep", node), "classes")
+    bands = classes.select("rep", "sketch").mapInArrow(_bands, "key bigint, rep bigint").select("*", _salt()).repartition("key", "salt")
+    heads = _per_part(bands, "key", [F.min("rep").alias("lo"), F.max("rep").alias("hi")], [F.min("lo").alias("leader"), F.max("hi").alias("last")], "leader <> last").drop("last")
+    groups = materialise(bands.join(heads, ["key", "salt"]).where("rep <> leader").select("key", "rep", "leader"), "bands")
+    held = groups.count()
 
-    pairs = materialise(groups.select("leader", "rep").distinct(), "pairs", small=True)
+    pairs = materialise(groups.select("leader", "rep").distinct(), "pairs", rows=held)
     ids = pairs.select(F.col("leader").alias("rep")).unionByName(pairs.select("rep")).distinct()
     firsts = classes.join(ids, "rep", "left_semi").select(F.col("doc_id").alias("__first")).distinct()
     sets = materialise(base.join(firsts.hint("shuffle_hash"), base.doc_id == firsts["__first"], "left_semi").mapInArrow(_sets(shingle), "digest binary, elements binary, sketch binary").select(node.alias("rep"), "elements", "sketch"), "sets")
     if sets.count() != ids.count():  # doc_ids repeat, some with other texts
         sets = materialise(sets.join(ids, "rep", "left_semi").groupBy("rep").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")), "sets")
-    salts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
-    members = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("member"))
+    parts = _per_part(pairs.select("*", _salt()), "leader", [F.count(F.lit(1)).alias("n")], [F.ceil(F.sum("n") / STAR_ROWS).cast("int").alias("salts")])
+    salts = parts.groupBy("leader").agg(F.first("salts").alias("salts"))
+    members = pairs.select("*", _salt()).join(parts, ["leader", "salt"]).select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("member"))
     rows = members.join(sets, members.member == sets.rep).select("leader", "salt", "member", "elements", "sketch")
     tops = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("leader") == F.col("rep")).select("leader", "salt", F.lit(None).cast("bigint").alias("member"), "elements", "sketch")
     both = rows.unionByName(tops).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
@@ -320,24 +361,29 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
 
     comp = connected_components(links)
     placed = groups.join(comp, groups.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = materialise(placed, "placed", small=True)
-    weight = sets.select("rep", (F.octet_length("elements") + F.octet_length("sketch")).alias("bytes"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    left = _blocks(placed.join(open_keys, "key"), sets, full=False).mapInArrow(_still_open(num, den), "key bigint, rep bigint, comp bigint")
-    left = materialise(left.distinct(), "open", small=True)
+    placed = materialise(placed.select("*", _salt()), "placed", rows=held)
+    still = _per_part(placed, "key", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], [F.min("lo").alias("a"), F.max("hi").alias("b")], "a <> b").select("key", "salt")
+    left = _blocks(placed.join(still, ["key", "salt"]).drop("salt"), sets, full=False).mapInArrow(_still_open(num, den), "key bigint, rep bigint, comp bigint")
+    left = materialise(left.distinct(), "open", rows=held)
     more = materialise(_blocks(left, sets, full=True).mapInArrow(_forest(num, den), "src bigint, dst bigint"), "links")
 
     links = links.unionByName(more)
     again = repeated(base)
     if again.head(1):  # rows of a doc_id are one document, so their texts are linked
         own = base.join(again.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_features(shingle, False), hashed)
-        own = materialise(own.where("n_shingles > 0").select("doc_id", node.alias("rep")).distinct(), "repeated", small=True)
+        own = materialise(own.where("n_shingles > 0").select("doc_id", node.alias("rep")).distinct(), "repeated")
         links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
     final = connected_components(links)
-    placed = classes.join(final, classes.rep == final.node, "left").select("digest", "rep", "doc_id", F.coalesce("component", "rep").alias("component"))
-    label = materialise(placed.join(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("digest", "rep", "component_id"), "label", small=True)
+    placed = classes.join(final, classes.rep == final.node, "left").select("digest", "rep", "doc_id", "copies", F.coalesce("component", "rep").alias("component"), _salt())
+    least = _per_part(placed, "component", [F.min("doc_id").alias("lo")], [F.min("lo").alias("component_id")])
+    label = materialise(placed.join(least, ["component", "salt"]).select("digest", "rep", "component_id", "copies"), "label")
     sizes = base.mapInArrow(_features(shingle, False), hashed)  # cheaper to read again than to keep
-    out = sizes.join(label.drop("rep"), "digest", "left")
+    total = label.agg(F.sum("copies")).first()[0] or 0
+    hot = label.where(F.col("copies") * HOT > total).select("digest", F.col("component_id").alias("known"))  # fewer than HOT rows
+    sizes = sizes.join(F.broadcast(hot), "digest", "left")
+    spread = F.xxhash64("doc_id").cast("string").cast("binary")  # rows that are done or have no words meet no label, and no one task
+    sizes = sizes.withColumn("own", F.when(F.col("known").isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(spread))
+    out = sizes.drop("digest").join(label.select(F.col("digest").alias("own"), "component_id"), "own", "left").withColumn("component_id", F.coalesce("known", "component_id"))
     if again.head(1):  # a row without shingles goes with its document's others
         whole = own.join(label.drop("digest"), "rep").groupBy("doc_id").agg(F.min("component_id").alias("whole"))
         out = out.join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "whole")).drop("whole")
