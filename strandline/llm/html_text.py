@@ -1,19 +1,24 @@
 """Main text of web pages by removal of site templates.
 
-Pages are parsed into element trees. Every block subtree is hashed; Spark counts
-in how many different pages of a host each hash occurs; subtrees that recur are
-the site's template and are deleted, however many other pages the host has (a
-section's notice is on few of a large host's pages). What no count can show
-(hosts with few pages) follows from element names, roles and class names.
-Running text inside an article (paragraphs, headings, quotations) is never
-taken for template, so that passages which articles share stay.
+Pages are parsed into element trees. Every block subtree is hashed in two forms:
+exactly, and by its shape (tags and classes, texts masked, equal neighbours
+once), since menus and footers keep their shape where their words vary. Spark
+counts in how many different pages of a host each hash occurs; subtrees that
+recur are the site's template and are deleted, however many other pages the host
+has (a section's notice is on few of a large host's pages). Shapes count outside
+of articles only, and where no element marks the article for subtrees that are
+mostly links. What no count can show (hosts with few pages, blocks of one page)
+follows from element names, roles and class names. Running text inside an
+article (paragraphs, headings, quotations) is never taken for template, so that
+passages which articles share stay.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Container, Iterator
+from collections.abc import Container, Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -31,6 +36,8 @@ SENT_HASHES, COPIES = 1_000_000, 1024
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_DIGITS = re.compile(r"\d+")
+_SHAPE = 0x5AFE5AFE5AFE5AFE
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,8 +46,9 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that are never main text.
-DROPPED = frozenset("script style noscript template textarea title head nav footer aside form button select option input label fieldset iframe noembed noframes object embed svg canvas audio video map dialog menu search math".split()) - {"math"}
+#: Elements that hold no text to read, and those that surround an article.
+UNREAD = frozenset("script style noscript template textarea title head button select option input label fieldset iframe noembed noframes object embed svg canvas audio video map".split())
+DROPPED = UNREAD | frozenset("nav footer aside form dialog menu search".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
@@ -48,8 +56,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot comment comments commentlist disqus respond replies reply discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager widget widgets toolbar skip hidden paywall disclaimer toc outbrain taboola".split()
 )
-#: Beside one of these, such a word names a layout or the article itself.
-LAYOUT = frozenset("with without no has main content article wrapper wrap container layout page body site entry post text".split())
+#: With one of these a class names a layout; after a word of NAMES these name a part of it.
+LAYOUT = frozenset("with without no has".split())
+PARTS = frozenset(
+    "top bottom left right primary secondary main links link items item list lists icons icon posts post stories story articles article bar box section area wrap wrapper container block panel form inner holder unit slot row col column grid group title header heading text message button buttons count body content meta author thread zone space label".split()
+)
+#: Words that name their surroundings wherever they stand in a class.
+STRONG = frozenset("ad ads advert adverts advertisement comment comments commentlist sponsored".split())
 #: What an opening element closes, and where the search for it stops.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -59,24 +72,77 @@ _SCOPE = frozenset("td th table caption object button html body".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "hash", "dropped")
+    __slots__ = ("tag", "attrs", "parent", "items", "hash", "shape", "chars", "linked", "inside", "dropped")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.items, self.hash, self.dropped = tag, attrs, parent, [], 0, False
+        self.tag, self.attrs, self.parent, self.items, self.dropped = tag, attrs, parent, [], False
+        self.hash, self.shape, self.chars, self.linked, self.inside = 0, 0, 0, 0, False
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip(" /\n\t\r") else {}
 
 
+class Stack:
+    """Open elements, with the places of each tag, so that no search walks down."""
+
+    BARRIERS = ("td", "th", "article", "body", "main")
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, size: int) -> None:
+        while len(self.nodes) > size:
+            i = len(self.nodes) - 1
+            own = self.at[self.nodes.pop().tag]
+            if own and own[-1] == i:  # else it was closed out of turn
+                own.pop()
+            if self.blocks and self.blocks[-1] == i:
+                self.blocks.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tag: str) -> None:
+        i = self.last((tag,))
+        if not i or (tag not in BLOCK and self.last(self.BARRIERS) > i):
+            return
+        if tag in BLOCK or not self.blocks or self.blocks[-1] <= i:
+            self.cut(i)
+        else:
+            self.at[tag].pop()  # blocks inside stay open, this one is never found again
+
+    def open(self, tag: str) -> None:
+        """Close what an opening element closes."""
+        if tag in BLOCK:
+            i = self.last(("p",))
+            if i > self.last(_SCOPE):
+                self.cut(i)
+        if tag in CLOSES:
+            closed, stop = CLOSES[tag]
+            i = self.last(closed)
+            if i > self.last(stop):
+                self.cut(i)
+        if tag in HEADINGS and self.nodes[-1].tag in HEADINGS:
+            self.cut(len(self.nodes) - 1)
+
+
 def parse(page: str) -> list[Node]:
-    """The elements of a page in document order, the root first; texts are items of their elements."""
+    """The elements of a page in document order, the root first; texts are items of their elements. Linear in the page."""
     root = Node("#root", {}, None)
-    nodes, stack, at = [root], [root], 0
+    nodes, stack, at = [root], Stack(root), 0
 
     def text(s: str) -> None:
         if s:
-            stack[-1].items.append(html.unescape(s) if "&" in s else s)
+            stack.nodes[-1].items.append(html.unescape(s) if "&" in s else s)
 
     for_end = {}
     while True:
@@ -87,40 +153,16 @@ def parse(page: str) -> list[Node]:
         text(page[at : m.start()])
         at = m.end()
         if m["cdata"] is not None:
-            stack[-1].items.append(m["cdata"])
+            stack.nodes[-1].items.append(m["cdata"])
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in BLOCK or all(x.tag not in BLOCK for x in stack[i + 1 :]):
-                        del stack[i:]
-                    else:
-                        del stack[i]
-                    break
-                if stack[i].tag in ("td", "th", "article", "body", "main") and tag not in BLOCK:
-                    break
+            stack.close(tag)
             continue
-        if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
-        if tag in CLOSES:
-            closed, stop = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closed:
-                    del stack[i:]
-                    break
-                if stack[i].tag in stop:
-                    break
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
-        node = Node(tag, _attributes(m["attrs"] or ""), stack[-1])
-        stack[-1].items.append(node)
+        stack.open(tag)
+        node = Node(tag, _attributes(m["attrs"] or ""), stack.nodes[-1])
+        stack.nodes[-1].items.append(node)
         nodes.append(node)
         if tag in RAW:
             if tag not in for_end:
@@ -128,17 +170,25 @@ def parse(page: str) -> list[Node]:
             e = for_end[tag].search(page, at)
             at = e.end() if e else len(page)
         elif tag not in VOID and not (m["attrs"] or "").endswith("/") or tag in BLOCK and tag not in VOID:
-            stack.append(node)
+            stack.push(node)
+
+
+@lru_cache(4096)
+def _names_surroundings(name: str, running: bool) -> bool:
+    """Whether a class or id names what surrounds an article; of running text only if it names nothing else."""
+    words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
+    if not words or LAYOUT.intersection(words):
+        return False
+    if running:
+        return all(w in NAMES for w in words)
+    if words[-1] in NAMES or STRONG.intersection(words):
+        return True
+    return words[0] in NAMES and all(w in NAMES or w in PARTS for w in words[1:])
 
 
 def _named(node: Node) -> bool:
-    for name in [*node.attrs.get("class", "").split(), node.attrs.get("id", "")]:
-        words = [w.lower() for w in _WORDS.findall(name)]
-        if words and (words[0] in NAMES or words[-1] in NAMES) and not LAYOUT.intersection(words):
-            return True
-        if words and words[0] in ("comment", "comments", "cookie", "sidebar") and not {"with", "no", "without", "has"}.intersection(words):
-            return True
-    return False
+    running = node.tag in RUNNING
+    return any(_names_surroundings(name[:200], running) for name in [*node.attrs.get("class", "").split(), node.attrs.get("id", "")])
 
 
 def surrounds(node: Node, article: bool) -> bool:
@@ -152,23 +202,29 @@ def surrounds(node: Node, article: bool) -> bool:
     return "display:none" in style or "visibility:hidden" in style or (node.tag not in ("html", "body", "main") and bool(a) and _named(node))
 
 
+def _is_article(n: Node) -> bool:
+    return n.tag == "article" or n.attrs.get("role") == "article"
+
+
+def _is_main(n: Node) -> bool:
+    return n.tag == "main" or n.attrs.get("role") == "main"
+
+
 def regions(nodes: list[Node]) -> tuple[list[Node], bool]:
     """Where the main text is, and whether articles or a main element mark it; elements outside main text are marked as dropped."""
-    inside: dict[int, bool] = {}
     for n in nodes:
         up = n.parent
-        article = up is not None and inside[id(up)]
+        article = up is not None and up.inside
         n.dropped = up is not None and (up.dropped or surrounds(n, article))
-        inside[id(n)] = article or n.tag in ("article", "main") or n.attrs.get("role") in ("main", "article")
-    for test in (lambda n: n.tag == "article" or n.attrs.get("role") == "article", lambda n: n.tag == "main" or n.attrs.get("role") == "main"):
-        found = [n for n in nodes if not n.dropped and test(n)]
-        outer = {id(n) for n in found}
+        n.inside = article or _is_article(n) or _is_main(n)
+    for test in (_is_article, _is_main):
+        under: set[int] = set()
         top = []
-        for n in found:
-            up = n.parent
-            while up is not None and id(up) not in outer:
-                up = up.parent
-            if up is None:
+        for n in nodes:
+            if n.parent is not None and id(n.parent) in under:
+                under.add(id(n))
+            elif not n.dropped and test(n):
+                under.add(id(n))
                 top.append(n)
         if top:
             return top, True
@@ -180,35 +236,53 @@ def _own(s: str) -> str:
 
 
 def hash_subtrees(nodes: list[Node]) -> None:
-    """Hashes of tag, texts and child subtrees, children first; contents of scripts, styles and comments do not count."""
+    """Hashes of tag, texts and child subtrees, children first, and of shapes; contents of scripts, styles and comments do not count."""
     for n in reversed(nodes):
-        h = xxhash.xxh64(n.tag)
+        if n.tag in ("script", "style"):
+            continue
+        exact = xxhash.xxh64(n.tag)
+        shape = xxhash.xxh64(n.tag + "\x02" + _DIGITS.sub("", n.attrs.get("class", "")))
+        last = None
         for x in n.items:
             if isinstance(x, str):
                 x = _own(x)
                 if x:
-                    h.update("\x01" + x)
-            elif x.hash:
-                h.update(x.hash.to_bytes(8, "little"))
-        n.hash = 0 if n.tag in ("script", "style") else h.intdigest() | 1
-
-
-def counted(nodes: list[Node], marked: bool, top: list[Node]) -> list[Node]:
-    """Block subtrees that may be template: all but the page's frame, what holds the article, and its running text."""
+                    exact.update("\x01" + x)
+                    n.chars += len(x)
+                mask = b"\x01" if x else last
+            else:
+                if x.hash:
+                    exact.update(x.hash.to_bytes(8, "little"))
+                n.chars += x.chars
+                n.linked += x.linked
+                mask = x.shape.to_bytes(8, "little") if x.shape else last
+            if mask is not None and mask != last:  # equal neighbours count once
+                shape.update(mask)
+                last = mask
+        if n.tag == "a":
+            n.linked = n.chars
+        n.hash, n.shape = exact.intdigest() | 1, (shape.intdigest() ^ _SHAPE) | 1
+
+
+def _by_shape(n: Node, marked: bool) -> bool:
+    """Whether a subtree's shape can tell that it is template: outside of articles, or mostly links."""
+    return not n.inside if marked else 2 * n.linked > n.chars > 0
+
+
+def counted(nodes: list[Node], marked: bool, top: list[Node]) -> Iterator[int]:
+    """Hashes of block subtrees that may be template: all but the page's frame, what holds the article, and its running text."""
     frame = {id(nodes[0])}
     for n in top:
         up: Node | None = n
-        while up is not None:
+        while up is not None and id(up) not in frame:
             frame.add(id(up))
             up = up.parent
-    tops = {id(n) for n in top}
-    inside: dict[int, bool] = {}
-    out = []
     for n in nodes:
-        inside[id(n)] = id(n) in tops or (n.parent is not None and inside[id(n.parent)])
-        if n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in frame and not (marked and inside[id(n)] and n.tag in RUNNING):
-            out.append(n)
-    return out
+        if n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in frame and n.hash:
+            if not (marked and n.inside and n.tag in RUNNING):
+                yield n.hash
+            if _by_shape(n, marked):
+                yield n.shape
 
 
 def blocks(top: list[Node], template: Container[int], marked: bool) -> list[str]:
@@ -222,6 +296,9 @@ def blocks(top: list[Node], template: Container[int], marked: bool) -> list[str]
         if s:
             out.append(s)
 
+    def is_template(x: Node) -> bool:
+        return (x.hash in template and not (marked and x.inside and x.tag in RUNNING)) or (_by_shape(x, marked) and x.shape in template)
+
     for start in top:
         todo: list = [(start, False, False)]
         while todo:
@@ -239,7 +316,7 @@ def blocks(top: list[Node], template: Container[int], marked: bool) -> list[str]
             if x.tag in ("br", "wbr"):
                 now.append(" " if x.tag == "br" else "")
                 continue
-            if x.dropped or (x is not start and block and x.hash in template and not (marked and x.tag in RUNNING)):
+            if x.dropped or (x is not start and block and x.tag not in ("html", "body") and is_template(x)):
                 continue
             inner = (header or (x.tag == "header" and marked)) and x.tag not in HEADINGS  # of an article's header, headings only
             if block:
@@ -261,12 +338,20 @@ class Known:
         return (i < len(self.sent) and int(self.sent[i]) == h) or h in self.more
 
 
-def extract(page: str, template: Container[int]) -> str:
-    """The main text of a page, given the hashes of its site's template."""
+def extract(page: str, template: Container[int], names: bool = True) -> str:
+    """The main text of a page, given the hashes of its site's template.
+
+    Without ``names`` the template alone decides: neither element and class
+    names nor the place of the article say what stays.
+    """
     nodes = parse(page)
     top, marked = regions(nodes)
     if template:
         hash_subtrees(nodes)
+    if not names:
+        top = nodes[:1]
+        for n in nodes[1:]:
+            n.dropped = n.parent.dropped or n.tag in UNREAD
     return "\n\n".join(blocks(top, template, marked))
 
 
@@ -292,7 +377,7 @@ def _subtrees(batches) -> Iterator[pa.RecordBatch]:
                 top, marked = regions(nodes)
                 own = _host_hash(url)
                 pages.append((nodes[0].hash ^ own) - (1 << 63))
-                hashes.append(sorted({(n.hash ^ own) - (1 << 63) for n in counted(nodes, marked, top)}))
+                hashes.append(sorted({(h ^ own) - (1 << 63) for h in counted(nodes, marked, top)}))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "page", "hashes"])
 
 
@@ -336,13 +421,16 @@ def main_text(pages: DataFrame, many: int = MANY) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
     A null html counts as empty and gives an empty text; a null or broken url
-    belongs to a host of its own name, the empty one. Repeated rows each get a
-    row. The text's blocks are separated by a blank line.
+    belongs to a host of its own name, the empty one. Repeated rows, and rows
+    without an id, each get a row; pages with equal trees count as one. Very
+    long or deep pages are parsed in time linear in their length, one at a
+    time. An empty table gives an empty result; other columns, whatever their
+    names, are not read. The text's blocks are separated by a blank line.
     """
     base = pages.select("page_id", "url", "html")
     kind = base.schema["page_id"].dataType.simpleString()
     trees = materialise(subtrees(base), "subtrees")
-    known = materialise(templates(trees, many), "templates", small=True)
+    known = materialise(templates(trees, many), "templates")
     least = _sent_from(known)
     sent = np.sort(known.where(F.col("n") >= least).select("hash").toPandas()["hash"].to_numpy(np.int64))
     if not least:
