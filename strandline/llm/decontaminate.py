@@ -14,13 +14,12 @@ The benchmark is a stated query set: it is handled in blocks of at most
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import wordhash as W
@@ -156,14 +155,13 @@ class Block:
             yield np.diff(at), hit[at[1:]] - hit[at[:-1]], [sorted(x) for x in items], where
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> list:
-    """Broadcast blocks of the benchmark's windows, their elements ordered by rarity over ``docs``."""
+def blocks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> Iterator[tuple]:
+    """One after the other, broadcast blocks of the benchmark's windows, their elements ordered by rarity over ``docs``, and whether it is the only one."""
     spark = docs.sparkSession
     kinds = "key bigint, words string, item string, n int, elements array<bigint>"
     windows = materialise(benchmark.select("item_id", "text").mapInArrow(_item_windows(window, shingle), kinds), "windows")
     total = windows.count()
     cuts = max(1, -(-total // block_windows))
-    out = []
     for c in range(cuts):
         own = windows.where(F.pmod(F.xxhash64("key"), F.lit(cuts)) == c) if cuts > 1 else windows
         held = own.toPandas()  # one block, bounded by block_windows on average
@@ -175,38 +173,57 @@ def blocks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
             sent = spark.sparkContext.broadcast([(k, np.array(sorted(t), _U)) for k, t in sorted(by.items())])
             counted = docs.select("text").mapInArrow(_frequency(sent), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
             frequency = {r.token: r.n for r in counted.collect()}  # elements of this block only
-        out.append(spark.sparkContext.broadcast(Block(held, frequency, shingle)))
-    return out
+        block = spark.sparkContext.broadcast(Block(held, frequency, shingle))
+        yield block, cuts == 1
+        if cuts > 1:  # its hits are written by now
+            block.unpersist()
 
 
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+_SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+_FOUND = "n_words bigint, items array<string>, spans array<struct<s: bigint, e: bigint>>"
 
 
-def _report(sent):
+def _matches(sent, keys: int):
+    """Of every row its first ``keys`` columns, words, items found, and spans of their windows in words."""
+
     def run(batches):
         block = sent.value
         for rb in batches:
             a = 0
-            for n, hit, items, _ in block.match(rb.column(1)):
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(a, len(n)), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([_digest(x) for x in items]), pa.array(hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            for n, _, items, where in block.match(rb.column(keys)):
+                spans = pa.array([[{"s": s, "e": e} for s, e in own] for own in where], _SPANS)
+                yield pa.RecordBatch.from_arrays([*(rb.column(i).slice(a, len(n)) for i in range(keys)), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.string())), spans], [*rb.schema.names[:keys], "n_words", "items", "spans"])
                 a += len(n)
 
     return run
 
 
-def _spans(sent):
-    def run(batches):
-        block = sent.value
-        for rb in batches:
-            a = 0
-            for n, _, items, where in block.match(rb.column(2)):
-                some = np.flatnonzero([bool(x) for x in items]) if len(items) else np.zeros(0, np.int64)
-                pick = pa.array(some + a)
-                yield pa.RecordBatch.from_arrays([rb.column(0).take(pick), rb.column(1).take(pick), pa.array([items[i] for i in some], pa.list_(pa.string())), pa.array([[{"s": s, "e": e} for s, e in where[i]] for i in some], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], ["doc_id", "mark", "items", "spans"])
-                a += len(n)
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``(doc_id, n_words, items array<string>, spans array<struct<s, e>>)`` for every row of ``docs(doc_id, text)``: benchmark items whose windows occur, and where, from word ``s`` to before word ``e``.
 
-    return run
+    Null and empty texts have no words, items without words no windows, and a
+    null item_id counts as an empty one. Rows that repeat a doc_id, or have
+    none, each get a row; items that share an id count as one. With an empty
+    benchmark nothing is found, without documents the result is empty. Very
+    long texts are read in chunks of whole texts, the longest one bounding a
+    task's memory. Windows that tie in rarity take the first shingle. Other
+    columns, whatever their names, are not read. One block of windows needs no
+    shuffle; more are passes of their own, merged by document.
+    """
+    base = docs.select("doc_id", "text")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    marked = base.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    parts = None
+    for sent, only in blocks(base, benchmark, window, shingle, block_windows):
+        if only:
+            return base.mapInArrow(_matches(sent, 1), f"doc_id {kind}, {_FOUND}")
+        own = materialise(marked.mapInArrow(_matches(sent, 2), f"doc_id {kind}, mark bigint, {_FOUND}").where("size(items) > 0").drop("n_words"), "hits")
+        parts = own if parts is None else parts.unionByName(own)
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    hits = parts.groupBy("doc_id", "mark").agg(every("items"), every("spans")).select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "items", "spans")
+    words = marked.mapInArrow(_count_words, f"doc_id {kind}, mark bigint, n_words bigint")
+    out = words.join(hits, words.doc_id.eqNullSafe(hits.hit_id) & words.mark.eqNullSafe(hits.hit_mark), "left")
+    return out.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("items", "spans")])
 
 
 def _count_words(batches):
@@ -215,30 +232,17 @@ def _count_words(batches):
         yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(np.diff(W.spans(raw, bounds, W.ALNUM)[2]), pa.int64())], ["doc_id", "mark", "n_words"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for every row of ``docs``.
+def words_hit(spans: Column) -> Column:
+    """How many words lie in any of the spans."""
+    zero = F.lit(0).cast("bigint")
+    add = lambda acc, x: F.struct(F.greatest(acc["to"], x["e"]).alias("to"), (acc["n"] + F.greatest(zero, x["e"] - F.greatest(acc["to"], x["s"]))).alias("n"))
+    return F.aggregate(F.array_sort(spans), F.struct(zero.alias("to"), zero.alias("n")), add)["n"]
 
-    Null and empty texts have no words, items without words no windows, and a
-    null item_id counts as an empty one. Rows that repeat a doc_id each get a
-    row; items that share an id count as one. With an empty benchmark nothing
-    is hit. One block of windows needs no shuffle; more are merged by document.
-    """
-    base = docs.select("doc_id", "text")
-    kind = base.schema["doc_id"].dataType.simpleString()
-    sent = blocks(base, benchmark, window, shingle, block_windows)
-    if len(sent) == 1:
-        return base.mapInArrow(_report(sent[0]), f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
-    marked = base.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    parts = [marked.mapInArrow(_spans(b), f"doc_id {kind}, mark bigint, items array<string>, spans array<struct<s: bigint, e: bigint>>") for b in sent]
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    ends = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("to"), F.lit(0).cast("bigint").alias("n")), lambda acc, x: F.struct(F.greatest(acc["to"], x["e"]).alias("to"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["to"], x["s"]))).alias("n")))["n"]
-    hits = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")).select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "items", ends.alias("n_hit"))
-    words = marked.mapInArrow(_count_words, f"doc_id {kind}, mark bigint, n_words bigint")
-    out = words.join(hits, words.doc_id.eqNullSafe(hits.hit_id) & words.mark.eqNullSafe(hits.hit_mark), "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``: counts and a digest of :func:`find_contamination`."""
+    found = find_contamination(docs, benchmark, **options).withColumn("n_hit", words_hit(F.col("spans")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def _clean(sent, column: int) -> Callable:
@@ -252,7 +256,13 @@ def _clean(sent, column: int) -> Callable:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that hold any window of the benchmark; columns stay as they are."""
-    for sent in blocks(docs, benchmark, **options):
-        docs = docs.mapInArrow(_clean(sent, docs.columns.index("text")), docs.schema)
-    return docs
+    """``docs`` without the rows that hold any window of the benchmark; columns stay as they are, whatever their names.
+
+    Null and empty texts hold none, repeated rows go or stay together.
+    """
+    rest = docs
+    for sent, only in blocks(docs, benchmark, **options):
+        rest = rest.mapInArrow(_clean(sent, docs.columns.index("text")), docs.schema)
+        if not only:
+            rest = materialise(rest, "clean")
+    return rest
