@@ -4,10 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +104,26 @@ def test_near_groups_match_brute_force(spark, k, num, block, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_collision_chances_match_draws():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (40, 40), (400, 40), (3, 2000)):
+        hits, rounds = 0, 60
+        for _ in range(rounds):
+            low = [rng.random((400, k)).min(1) for k in (n, m)]
+            regs = [near_dedup.registers((x * 2.0**57).astype(np.uint64), np.ones(400, bool), 3) for x in low]
+            hits += (regs[0] == regs[1]).mean() / rounds
+        assert abs(hits - near_dedup.collisions(n * near_dedup.BUCKETS, m * near_dedup.BUCKETS, 3)[0]) < 0.12 * hits + 0.002
+    assert near_dedup.sketch([np.arange(5, dtype=np.uint64)]).dtype.itemsize == 2
+
+
+def test_copies_of_one_text_take_the_broadcast_way(spark, monkeypatch):
+    rows = [(i, "the same text again and again", "s") for i in range(60)] + [(100 + i, f"text number {i} of few words {i}", "s") for i in range(20)] + [(200, "", "s"), (201, None, "s")]
+    want = {r.doc_id: r.component_id for r in near_dedup.near_groups(documents(spark, rows)).collect()}
+    monkeypatch.setattr(near_dedup, "HOT", 0)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(documents(spark, rows)).collect()} == want
+    assert all(want[i] == 0 for i in range(60)) and all(want[i] == i for i in range(100, 120)) and want[200] == 200
+
+
 def test_near_groups_of_odd_rows(spark):
     got = near_dedup.near_groups(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
@@ -183,6 +206,9 @@ def test_contamination_matches_brute_force(spark, block):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {w[0] for w in want if not w[5]}
     assert decontaminate.contamination(df, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
+    for r in decontaminate.find_contamination(df, bench, block_windows=block).where("size(spans) > 0").limit(20).collect():
+        text = next(words(t, True) for i, t in own if i == r.doc_id)
+        assert r.items == sorted(r.items) and all(0 <= x.s < x.e <= len(text) == r.n_words for x in r.spans)
 
 
 # ------------------------------------------------------------------ mixing
@@ -251,6 +277,22 @@ def test_blocks_and_documents_of_the_mix_hold_what_is_taken(spark):
     assert mixing.repeat_documents(df.limit(0)).count() == mixing.mixed_blocks(df.limit(0)).count() == 0
 
 
+def test_slots_are_dealt_to_many_tasks_and_odd_columns_do_no_harm(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PLAN_SLOTS", 100)
+    plan = spark.createDataFrame([(0, 1, 5, 1000, 9), (0, 2, 0, 1, 1), (3, 1, 1005, 40, 9), (3, 2, 1, 0, 1)], "shard bigint, rank int, start bigint, n bigint, blocks bigint")
+    dealt = mixing.deal_slots(plan, 1041)
+    rows = dealt.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.shard, r.rank, r.slot) for r in rows) == sorted([(0, 1, i) for i in range(5, 1005)] + [(0, 2, 0)] + [(3, 1, i) for i in range(1005, 1045)])
+    assert len({r.task for r in rows}) >= 3
+    names = "doc_id bigint, text string, source int, __own string, __k1 int, __own_nth int, _corrupt string"
+    df = spark.createDataFrame([(None, f"w{i} " * (i % (20 + 9 * (i % 3))), i % 3, "x", 1, 2, "y") for i in range(300)], names)
+    got = mixing.mixture(df).toPandas()
+    assert len(got) == 300 and got.target.nunique() == 3 and (got.taken <= 3 * got["size"]).all()
+    copies = mixing.repeat_documents(df)
+    assert copies.columns == df.columns
+    assert copies.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] == got.taken.sum()
+
+
 def test_permutations_are_permutations_and_draws_are_exact():
     for n in (1, 2, 3, 5, 64, 1000):
         assert sorted(mixing.permute(np.arange(n), np.full(n, n), np.full(n, 77))) == list(range(n))
@@ -355,6 +397,29 @@ def test_label_model_recovers_accuracies_and_correlations():
     assert abs(m.single[1, 0, 2] - 0.95) < 0.1
 
 
+def test_posterior_labels_come_from_votes_not_from_annotators():
+    rng = np.random.default_rng(3)
+    y = rng.random(600) < 0.3
+    votes = np.where(y[:, None], rng.choice([1, 1, 1, 0], (600, toxicity.VOTERS)), rng.choice([-1, -1, -1, 0], (600, toxicity.VOTERS)))
+    gold = y.astype(int)
+    gold[np.flatnonzero(y)[:5]], gold[np.flatnonzero(~y)[:5]] = 0, 1  # annotators whom all voters outvote
+    codes, n = np.unique((votes + 1) @ (3 ** np.arange(toxicity.VOTERS)), return_counts=True)
+    post = toxicity.fit_labels(codes, n.astype(float), votes[:300], gold[:300]).posterior(votes)
+    assert ((post > 0.5) == y).mean() > 0.99 and ((post[:300] > 0.5) != gold[:300]).sum() >= 5
+
+
+def test_the_classifier_trains_on_documents_without_labels(spark, monkeypatch):
+    seen = {}
+    plain = toxicity.fit_linear
+    monkeypatch.setattr(toxicity, "fit_linear", lambda *a, **k: (seen.update(target=a[4]), plain(*a, **k))[1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where(~toxicity.held_out())
+    toxicity.fit(docs, labels, sample_rows=600)
+    assert 400 < len(seen["target"]) < 800 and len(seen["target"]) > labels.count()
+    assert 0.02 < (seen["target"] > 0.5).mean() < 0.4
+    assert toxicity.sample(docs, 10**6, docs.count()).count() == docs.where(~toxicity.held_out()).count()
+
+
 def test_quality_against_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     y = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id").quality
@@ -390,9 +455,65 @@ def test_labellers_recover_confusion():
 
 # ------------------------------------------------------------------ fingerprints
 
-def order_min_hash_reference(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    return [r.f for r in df.select("i", fingerprint.as_text(fingerprint.signature(F.col("t"))).alias("f")).orderBy("i").collect()]
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashed(values):
+    """The chained 64-bit hash of strings, 8-byte and (numpy) 4-byte integers, signed."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else int(v).to_bytes(4 if isinstance(v, np.int32) else 8, "little", signed=True), seed)
+    return signed(seed)
+
+
+def plain_signature(text):
+    """Order min-hashing word by word, as the operator's docstring says it."""
+    tokens = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text):
+        tokens += [run] if len(run) <= 16 else [run[i : i + 4] for i in range(len(run))]
+    grams = [tokens[i : i + 2] for i in range(len(tokens) - 1)] or ([tokens] if tokens else [])
+    place = (1 << 26) - 1
+    seen, elements = collections.defaultdict(list), []
+    for i, g in enumerate(grams):
+        seen[hashed(g) & ~place].append(i)
+    for h, places in seen.items():
+        elements += [(hashed([h, np.int32(n)]) & ~place) | i for n, i in enumerate(places)]
+    buckets = collections.defaultdict(list)
+    for e in sorted(elements):
+        buckets[e >> 58].append(e)
+    out = []
+    for b, own in buckets.items():
+        ordered = sorted(own[:2], key=lambda e: signed(((e & place) << 38) % (1 << 64)))
+        out.append((b % 64) << 16 | hashed([(e & ((1 << 64) - 1)) >> 26 for e in ordered]) % (1 << 16))
+    return sorted(out)
+
+
+def plain_likeness(a, b):
+    either = {x >> 16 for x in a} | {x >> 16 for x in b}
+    return len(set(a) & set(b)) / len(either) if either else 1.0
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(r.doc_id, r.text, "s") for r in table(spark, "documents").limit(40).collect()] + [(10**6 + i, t, "s") for i, t in enumerate(["", "one", "one one one one", "漢" * 40 + "字" * 40, "x" * 17, "a b " * 300, "y" * 3000 + " tail"])]
+    rows += [(10**6 + 50 + i, "".join(rng.choice("ab漢 \n") for _ in range(rng.randint(0, 400))), "s") for i in range(20)]
+    order = sorted(rows, key=lambda r: -r[0])
+    got = {r.doc_id: r for r in fingerprint.fingerprints(documents(spark, rows)).collect()}
+    for n, (i, t, _) in enumerate(order):
+        nxt = order[(n + 1) % len(order)][1]
+        own, other, edited = plain_signature(t), plain_signature(nxt), plain_signature(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2])
+        assert got[i].fingerprint == "".join(f"{x:06X}" for x in own) and got[i].edited_fingerprint == "".join(f"{x:06X}" for x in edited)
+        assert got[i].near_edited == plain_likeness(own, edited) and got[i].near_next == plain_likeness(own, other)
+
+
+def test_a_change_in_unspaced_text_moves_little(spark):
+    rng = random.Random(2)
+    t = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4000))
+    texts = ["X" + t, t[1:], t[:2000] + "Z" + t[2000:], t[:1000] + t[1100:], t[2000:] + t[:2000]]
+    df = spark.createDataFrame([(i, t, u) for i, u in enumerate(texts)], "i int, t string, u string")
+    like = [r.x for r in df.select("i", fingerprint.likeness(fingerprint.signature(F.col("t")), fingerprint.signature(F.col("u"))).alias("x")).orderBy("i").collect()]
+    assert min(like[:3]) > 0.9 and like[3] > 0.7 > like[4]
 
 
 def test_fingerprints_match_plain_edits(spark):
@@ -469,6 +590,22 @@ def test_network_generalises():
     assert all(abs(a - b) < 0.05 for a, b in halves)
 
 
+def test_the_network_learns_from_findings_of_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = secrets.sampled_findings(docs, 400).toPandas()
+    assert set(held.kind) == {0, 1, 2} and held.groupby(["key", "kind"]).size().max() <= secrets.OWN_FINDINGS
+    texts = {r.text for r in docs.select("text").collect()}
+    one = held[held.kind == 1].iloc[0]
+    assert any((one.before + one.token + one.after).decode(errors="ignore") in t for t in texts)
+    net = secrets.fit(docs, 400, 1500)
+    assert net.report["recall"] >= secrets.RECALL - 1e-9 and net.report["precision"] > 0.9
+    runs = held[(held.kind == 0)]
+    own = np.concatenate([next(secrets.windows(r.before, r.token, r.after)) for r in runs.itertuples()])
+    assert (net.score(own) >= net.threshold).mean() < 0.02
+    assert secrets.perturbed(b"ab01-Zz.", np.random.default_rng(0)) != b"ab01-Zz." and len(secrets.perturbed(b"dead00", np.random.default_rng(1))) == 6
+    assert (secrets.fit(docs.limit(0)).p["e"] == secrets.trained().p["e"]).all()
+
+
 def test_keys_without_digits_and_inside_long_runs_are_found(monkeypatch):
     net = secrets.trained()
     key = "gYqTbXkWzRvHdLpNcJmSfQwKxZtB"
@@ -524,6 +661,41 @@ def test_page_structures():
         assert html_text.extract(text, set()) == want, text
 
 
+def test_class_names_of_surroundings():
+    gone = "post-comments article-comments reader-comments-box article-ad entry-share site-footer main-nav ad-300x250 related-posts footer-links cookie-consent navbarTop commentCount sidebar ads".split()
+    stay = "page-with-sidebar content post-content entry-body share-price has-comments article-header addresses article-text no-sidebar".split()
+    for frame in ("<article><p>a</p>%s</article>", "<p>a</p>%s"):
+        for names, want in ((gone, "a"), (stay, "a\n\nz")):
+            for c in names:
+                assert html_text.extract(page(frame % f'<div class="{c}">z</div>'), set()) == want, c
+    assert html_text.extract(page('<article><p class="share-price">x</p><p class="ad">y</p></article>'), set()) == "x"
+
+
+def test_deep_pages_take_linear_time():
+    for text in ("<div>" * 100_000 + "x", "<div><b><p>" * 50_000 + "x" + "</b></div>" * 50_000, "<table><tr><td>" * 30_000 + "x", "<p>" * 100_000 + "x" + "</p>" * 100_000):
+        began = time.process_time()
+        assert html_text.extract(text, {1}).strip() == "x"
+        assert time.process_time() - began < 8
+
+
+def test_counts_alone_find_the_templates_of_the_table():
+    pages = [r for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+    found, trees = collections.defaultdict(lambda: collections.defaultdict(set)), collections.defaultdict(set)
+    for r in pages:
+        nodes = html_text.parse(r["html"] or "")
+        html_text.hash_subtrees(nodes)
+        top, marked = html_text.regions(nodes)
+        trees[html_text.host(r["url"])].add(nodes[0].hash)
+        for h in set(html_text.counted(nodes, marked, top)):
+            found[html_text.host(r["url"])][h].add(nodes[0].hash)
+    many = [r for r in pages if len(trees[html_text.host(r["url"])]) >= html_text.MANY]
+    assert len(many) > 100
+    for r in many:
+        own = {h for h, on in found[html_text.host(r["url"])].items() if len(on) >= html_text.MANY}
+        alone = html_text.extract(r["html"], own, names=False)
+        assert alone == html_text.extract(r["html"], set()) != html_text.extract(r["html"], set(), names=False)
+
+
 @pytest.mark.parametrize("sent", [1_000_000, 0])
 def test_site_templates_go_and_shared_passages_stay(spark, sent, monkeypatch):
     monkeypatch.setattr(html_text, "SENT_HASHES", sent)
@@ -572,7 +744,40 @@ def test_parts_become_placeholders_in_order():
     parts = [{"type": "text", "text": "see <|"}, {"type": "image", "ref": "i.png", "width": 1024, "height": 500}, "and", {"type": "audio", "url": "a.wav", "seconds": 2.5}, {"type": "document", "ref": "d", "text": "x" * 9}, {"type": "odd"}, None]
     out, attached = chat.format_turn("user", parts)
     assert out == "### user: see \\<|<|image_0|>and<|audio_1|><|document_2|><|other_3|> </turn>\n"
-    assert attached == [("image", "i.png", 85 + 170 * 2, 0), ("audio", "a.wav", 63, 1), ("document", "d", 3, 2), ("other", "", 0, 3)]
+    assert attached == [("image", "i.png", 85 + 170 * 2, 0, ""), ("audio", "a.wav", 63, 1, ""), ("document", "d", 3, 2, ""), ("other", "", 0, 3, "")]
+    split = chat.format_turn("user", ["##", {"type": "text", "text": "# </tu"}, "rn>"])[0]
+    assert split == "### user: \\### \\</turn> </turn>\n"  # parts cannot forge a mark together
+
+
+def test_references_in_texts_are_parts_and_come_back():
+    text = "see ![a cat](cat.png), [a talk](t.mp3) and [the paper](p.pdf); [a page](x.html)\\"
+    out, attached = chat.format_turn("user", chat.text_parts(text))
+    assert out == "### user: see <|image_0|>, <|audio_1|> and <|document_2|>; [a page](x.html)\\ </turn>\n"
+    assert [a[:3] for a in attached] == [("image", "cat.png", 255), ("audio", "t.mp3", 0), ("document", "p.pdf", 0)]
+    rng = random.Random(1)
+    bits = ["\\", "\\\\", "###", "</turn>", "<|", "<|image_0|>", "![a](b.png)", "[x](y.mp3)", "[d](d.pdf)", "a", " ", "\n", "![", "](", "##", "#", "<", "|", "é"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        f, own = chat.format_turn("user", chat.text_parts(t))
+        assert chat.read_turn(f, [x[4] for x in own]) == ("user", t)
+
+
+def test_broken_parts_have_a_defined_result():
+    cases = {
+        "[hello": ("[hello", []), "[[1": ("[[1", []), "[1,2]": ("[1,2]", []), "[" * 100_000: ("[" * 100_000, []), "": ("", []), '[null,"a"]': ("a", []), "[]": ("", []),
+        '[{"type":"image","width":"a","ref":3}]': ("<|image_0|>", [("image", "3", 255, 0, "")]), '[{"type":"text","text":5}]': ("5", []), '[{"type":["x"]}]': ("<|other_0|>", [("other", "", 0, 0, "")]),
+        '[{"type":"image","width":1e400,"height":-3}]': ("<|image_0|>", [("image", "", 255, 0, "")]), '[{"type":"audio","seconds":true}]': ("<|audio_0|>", [("audio", "", 0, 0, "")]), '[{"text":null}]': ("", []),
+    }
+    for text, (body, attached) in cases.items():
+        out, own = chat.format_turn("u", chat.json_parts(text))
+        assert out == f"### u: {body} </turn>\n" and own == attached, text[:50]
+
+
+def test_json_parts_of_a_table(spark):
+    rows = [(1, 0, "user", '[{"type":"image","ref":"i"},"x"]'), (1, 1, "assistant", "[broken"), (2, 0, "user", None)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), chat.JSON).orderBy("conv_id", "position").collect()
+    assert [r.formatted for r in got] == ["### user: <|image_0|>x </turn>\n", "### assistant: [broken </turn>\n", "### user:  </turn>\n"]
+    assert [(a.kind, a.ref, a.tokens) for a in got[0].attachments] == [("image", "i", 255)]
 
 
 def test_chat_digests_match_brute_force(spark):
