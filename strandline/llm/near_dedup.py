@@ -23,6 +23,7 @@ are already implied, so that no bucket needs a cap.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,11 +115,22 @@ def collisions(n: np.ndarray, m: np.ndarray, mantissa_bits: int = MANTISSA_BITS)
     return (_CELLS / 2 * within).sum(0) * a * b / k * 2.0**-mantissa_bits
 
 
+@lru_cache(4)
+def _collision_table(mantissa_bits: int) -> np.ndarray:
+    """:func:`collisions` of set sizes in steps of a quarter of a power of two."""
+    sizes = BUCKETS * 2.0 ** (np.arange(160) / 4)
+    return np.stack([collisions(np.full(len(sizes), n), sizes, mantissa_bits) for n in sizes])
+
+
+def _step(n: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(4 * np.log2(np.maximum(n, BUCKETS) / BUCKETS)), 0, 159).astype(np.int64)
+
+
 def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, mantissa_bits: int = MANTISSA_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Collision-corrected Jaccard estimates of register rows, and how many buckets each rests on."""
     some = np.maximum(((x | y) != 0).sum(-1), 1)
     equal = ((x == y) & (x != 0)).sum(-1) / some
-    c = collisions(n, m, mantissa_bits)
+    c = _collision_table(mantissa_bits)[_step(n), _step(m)]
     return np.clip((equal - c) / (1 - c), 0, 1), some
 
 
