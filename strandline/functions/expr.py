@@ -80,6 +80,12 @@ def block_gap_cost(prev: dict[str, Column], cur: dict[str, Column], gap_open: fl
     return F.when(prev["orient"] != cur["orient"], mixed).when(cur["orient"] == 0, colinear(forward)).otherwise(colinear(backward))
 
 
+def cross_cost(gap: Column, tail: Column, head: Column, same: Column, gap_open: float = 1, rearrangement: float = 10_000, eps: float = 2) -> Column:
+    """Cost of two neighbouring blocks on different contigs: what both leave over at the border of one reference, else a rearrangement."""
+    over = F.lit(float(gap_open)) + F.least(F.lit(float(rearrangement)), F.lit(float(eps)) * (tail + head))
+    return F.when(same, over).otherwise(F.lit(float(gap_open + rearrangement)) + F.lit(float(eps)) * F.abs(gap))
+
+
 def allele_type(n_alleles: Column, max_len: Column, has_direct: Column, simple: Column) -> Column:
     """Variant type of a bubble from its alleles."""
     return (

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.expr import allele_type
+from strandline.functions.expr import allele_type, gap_cost, reverse_complement
 from strandline.operators.graph import Graph, components, offsets, path_edges
+from strandline.session import materialise
 
 
 def simple_bubbles(edges: DataFrame) -> DataFrame:
@@ -76,25 +77,47 @@ def superbubbles(graph: Graph) -> DataFrame:
     return rows.groupBy("component").applyInPandas(run, "component bigint, source bigint, sink bigint, inner array<bigint>")
 
 
-def variants(graph: Graph) -> DataFrame:
+def complex_bubbles(graph: Graph) -> DataFrame:
+    """``source, sink, inner, simple``: superbubbles, with those that :func:`simple_bubbles` finds marked."""
+    every = superbubbles(graph).select("source", "sink", "inner")
+    simple = simple_bubbles(graph.edges()).select("source", "sink", F.lit(True).alias("simple"))
+    return every.join(simple, ["source", "sink"], "left").withColumn("simple", F.coalesce("simple", F.lit(False)))
+
+
+def _visits(graph: Graph, bubbles: DataFrame) -> DataFrame:
+    """``source, sink, path, from, to``: where each path enters and leaves a bubble: at a visit of the source and the next one of the sink, before the source comes again."""
+    at = graph.steps.select("path", "step", "node_id")
+    ends = bubbles.select("source", "sink", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("source").alias("node_id")), F.struct(F.lit(1).alias("end"), F.col("sink").alias("node_id")))).alias("x")).select("source", "sink", "x.end", "x.node_id")
+    w = Window.partitionBy("source", "sink", "path").orderBy("step")
+    rows = ends.join(at, "node_id").withColumn("next", F.lead("end").over(w)).withColumn("to", F.lead("step").over(w))
+    return rows.where("end = 0 and next = 1").select("source", "sink", "path", F.col("step").alias("from"), "to")
+
+
+def alleles(graph: Graph, bubbles: DataFrame | None = None) -> DataFrame:
+    """``source, sink, path, allele, simple``: the sequence of each path inside each bubble, ``-`` if none; simple bubbles unless others are given."""
+    found = bubbles if bubbles is not None else simple_bubbles(graph.edges()).withColumn("simple", F.lit(True))
+    on = _visits(graph, found)
+    seqs = graph.steps.join(graph.nodes, "node_id").select("path", "step", F.when(F.col("orient") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("s"))
+    inner = on.where("to - from > 1").withColumn("step", F.explode(F.sequence(F.col("from") + 1, F.col("to") - 1))).join(seqs, ["path", "step"])
+    keys = ["source", "sink", "path", "from"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "s"))), lambda x: x["s"]), "")
+    whole = on.join(inner.groupBy(*keys).agg(text.alias("allele")), keys, "left").withColumn("allele", F.when(F.coalesce("allele", F.lit("")) == "", F.lit("-")).otherwise(F.col("allele")))
+    return whole.join(found.select("source", "sink", "simple"), ["source", "sink"]).select("source", "sink", "path", "allele", "simple")
+
+
+def variants(graph: Graph, bubbles: DataFrame | None = None) -> DataFrame:
     """One row for each bubble and allele: ``source, sink, allele, n_alleles, type, allele_index, paths``.
 
     An allele is the sequence between source and sink on a path, ``-`` if none.
     The allele of the first path by name has index 0, others follow by string.
+    Simple bubbles unless others are given, as :func:`complex_bubbles` finds.
     """
-    bubbles = simple_bubbles(graph.edges())
-    at = offsets(graph).join(graph.nodes, "node_id").select("path", "step", "node_id", "seq")
-    a = at.select("path", F.col("step").alias("from"), F.col("node_id").alias("source"))
-    b = at.select("path", F.col("step").alias("to"), F.col("node_id").alias("sink"))
-    on = bubbles.select("source", "sink").join(a, "source").join(b, ["path", "sink"]).where("`to` - `from` in (1, 2)")
-    mid = at.select("path", (F.col("step") - 1).alias("from"), F.col("seq").alias("allele"))
-    mid = on.join(mid, ["path", "from"], "left").withColumn("allele", F.when(F.col("to") - F.col("from") == 1, F.lit("-")).otherwise(F.col("allele")))
-    per = mid.groupBy("source", "sink", "allele").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    per = alleles(graph, bubbles).groupBy("source", "sink", "simple", "allele").agg(F.array_sort(F.collect_set("path")).alias("paths"))
     both = Window.partitionBy("source", "sink")
     lead = F.get("paths", F.lit(0)) == F.min(F.get("paths", F.lit(0))).over(both)
     rows = per.withColumn("reference", lead).withColumn("n_alleles", F.count(F.lit(1)).over(both)).withColumn("direct", F.max((F.col("allele") == "-").cast("int")).over(both) == 1).withColumn("longest", F.max(F.length("allele")).over(both))
     rank = F.row_number().over(both.orderBy(F.col("reference").desc(), "allele")) - 1
-    return rows.select("source", "sink", "allele", "n_alleles", allele_type(F.col("n_alleles"), F.col("longest"), F.col("direct"), F.lit(True)).alias("type"), rank.alias("allele_index"), "paths")
+    return rows.select("source", "sink", "allele", "n_alleles", allele_type(F.col("n_alleles"), F.col("longest"), F.col("direct"), F.col("simple")).alias("type"), rank.alias("allele_index"), "paths")
 
 
 def calls(found: DataFrame, paths: list[str]) -> DataFrame:
@@ -103,6 +126,98 @@ def calls(found: DataFrame, paths: list[str]) -> DataFrame:
     return long.groupBy("source", "sink", "type").pivot("path", paths).agg(F.min("allele_index"))
 
 
+def variant_report(graph: Graph, reference: object = None, bubbles: DataFrame | None = None, is_original=None, min_size: int = 0, min_diff: int = 0, max_diff: int | None = None, kind: str = "all", no_gaps: bool = False, min_flank: int = 0, reference_only: bool = False) -> DataFrame:
+    """One row for each variant that passes the filters: ``reference, pos_start, pos_end, source_size, sink_size, max_size, min_size, diff_size, source, sink, source_seq, sink_seq, type, spans_gap, genotypes, calls``.
+
+    Positions are on ``reference`` where it passes the bubble, else (unless
+    ``reference_only``) on the first path by name that does, original layouts
+    (``is_original``) last. ``calls`` maps a path to the index of its allele
+    among ``genotypes``; the allele of the first path has index 0. Sizes count
+    ``-`` as 0; the 20 letters next to the bubble show its flanks.
+    """
+    found = bubbles if bubbles is not None else simple_bubbles(graph.edges()).withColumn("simple", F.lit(True))
+    rows = variants(graph, found)
+    size = F.when(F.col("allele") == "-", 0).otherwise(F.length("allele"))
+    per = rows.groupBy("source", "sink", "type").agg(
+        F.max(size).alias("max_size"), F.min(size).alias("min_size"), F.array_sort(F.collect_list(F.struct("allele_index", "allele"))).alias("a"),
+        F.map_from_entries(F.array_sort(F.flatten(F.collect_list(F.transform("paths", lambda p: F.struct(p.alias("key"), F.col("allele_index").alias("value"))))))).alias("calls"),
+    )
+    nodes = graph.nodes.select("node_id", "seq", F.length("seq").alias("n"))
+    inside = found.select("source", "sink", F.explode(F.concat(F.array("source", "sink"), F.coalesce("inner", F.array().cast(found.schema["inner"].dataType)))).alias("node_id")).join(nodes, "node_id")
+    gaps = inside.groupBy("source", "sink").agg(F.max(F.contains("seq", F.lit("N")).cast("int")).alias("gap"))
+    where = offsets(graph).select("path", "step", "offset", "length")
+    on = _visits(graph, found)
+    a = where.select("path", F.col("step").alias("from"), (F.col("offset") + F.col("length")).alias("pos_start"))
+    z = where.select("path", F.col("step").alias("to"), F.col("offset").alias("pos_end"))
+    placed = on.join(a, ["path", "from"]).join(z, ["path", "to"])
+    wanted = F.col("path") == F.lit(reference) if reference is not None else F.lit(False)
+    original = is_original(F.col("path")) if is_original else F.lit(False)
+    best = placed.groupBy("source", "sink").agg(F.min(F.struct((~wanted).alias("other"), original.alias("original"), "path", "pos_start", "pos_end")).alias("b"))
+    out = per.join(gaps, ["source", "sink"]).join(best, ["source", "sink"])
+    out = out.join(nodes.select(F.col("node_id").alias("source"), F.substring("seq", -20, 20).alias("source_seq"), F.col("n").alias("source_size")), "source")
+    out = out.join(nodes.select(F.col("node_id").alias("sink"), F.substring("seq", 1, 20).alias("sink_seq"), F.col("n").alias("sink_size")), "sink")
+    diff = F.col("max_size") - F.col("min_size")
+    keep = (F.col("max_size") >= min_size) & (diff >= min_diff) & (F.least("source_size", "sink_size") >= min_flank)
+    keep = keep & (diff <= max_diff) if max_diff is not None else keep
+    keep = keep & (F.col("type") == kind) if kind != "all" else keep
+    keep = keep & (F.col("gap") == 0) if no_gaps else keep
+    keep = keep & ~F.col("b.other") if reference_only and reference is not None else keep
+    return out.where(keep).select(
+        F.col("b.path").alias("reference"), F.col("b.pos_start").alias("pos_start"), F.col("b.pos_end").alias("pos_end"), "source_size", "sink_size", "max_size", "min_size", diff.alias("diff_size"),
+        "source", "sink", "source_seq", "sink_seq", "type", (F.col("gap") == 1).alias("spans_gap"), F.transform("a", lambda x: x["allele"]).alias("genotypes"), "calls",
+    )
+
+
+#: Columns of a variant table before those of the paths (fixed format).
+TSV = "reference pos_start pos_end source_size sink_size max_allele_size min_allele_size diff_allele_size source sink source_seq sink_seq type genotypes".split()
+
+
+def variant_tsv(report: DataFrame, paths: list) -> DataFrame:
+    """``line``: variants as tab-separated columns, then each path's allele, ``-`` if it passes by."""
+    given = "reference pos_start pos_end source_size sink_size max_size min_size diff_size source sink source_seq sink_seq type".split()
+    own = [F.coalesce(F.element_at("calls", F.lit(p)).cast("string"), F.lit("-")) for p in paths]
+    return report.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in given], F.array_join("genotypes", ","), *own).alias("line"))
+
+
+def variant_tsv_header(paths: list) -> str:
+    return "#" + "\t".join([*TSV, *map(str, paths)])
+
+
+def variant_fasta(report: DataFrame) -> DataFrame:
+    """``file, line``: each allele but ``-`` as a FASTA record, and the name of the variant's own file."""
+    name = F.concat(F.lit(">"), F.col("reference").cast("string"), F.lit(":"), F.col("pos_start").cast("string"), F.lit("-"), F.col("pos_end").cast("string"), F.lit("_"), F.col("i").cast("string"))
+    rows = report.select("reference", "pos_start", "pos_end", F.concat_ws("_", "source", "sink").alias("file"), F.posexplode("genotypes").alias("i", "seq"))
+    return rows.where("seq <> '-'").select("file", F.concat(name, F.lit("\n"), "seq").alias("line"))
+
+
+def variant_bed(report: DataFrame) -> DataFrame:
+    """``line``: place and type of each variant."""
+    return report.select(F.concat_ws("\t", F.col("reference").cast("string"), F.col("pos_start").cast("string"), F.col("pos_end").cast("string"), "type").alias("line"))
+
+
+def indel_wiggle(graph: Graph, least: int = 0) -> DataFrame:
+    """``source, sink, left, right``: how far every allele of a simple indel can move along its flanks, and ``least`` on top.
+
+    To the right as far as the sink goes on like each allele followed by the
+    sink; to the left likewise with the source.
+    """
+    rows = alleles(graph)
+    own = rows.groupBy("source", "sink").agg(F.collect_set("allele").alias("a")).where(F.array_contains("a", "-"))
+    seq = graph.nodes
+    own = own.join(seq.select(F.col("node_id").alias("source"), F.col("seq").alias("before")), "source").join(seq.select(F.col("node_id").alias("sink"), F.col("seq").alias("after")), "sink")
+    texts = F.filter("a", lambda x: x != "-")
+
+    def common(x: Column, y: Column) -> Column:
+        """Letters that two strings begin with together."""
+        n = F.least(F.length(x), F.length(y))
+        same = F.filter(F.sequence(F.lit(1), n + 1), lambda i: (i > n) | (F.substring(x, i, F.lit(1)) != F.substring(y, i, F.lit(1))))
+        return F.array_min(same) - 1
+
+    right = F.array_min(F.transform(texts, lambda x: common(F.col("after"), F.concat(x, "after"))))
+    left = F.array_min(F.transform(texts, lambda x: common(F.reverse("before"), F.reverse(F.concat("before", x)))))
+    return own.select("source", "sink", (left + least).alias("left"), (right + least).alias("right"))
+
+
 def rearrangements(graph: Graph, is_original) -> DataFrame:
     """Edges of original layouts only, with the reference offset of their source."""
     from strandline.operators.graph import structural_edges
@@ -111,12 +226,61 @@ def rearrangements(graph: Graph, is_original) -> DataFrame:
     return structural_edges(graph.edges(), is_original).join(at, F.col("src") == F.col("node_id"), "left").drop("node_id")
 
 
-def vcf_lines(found: DataFrame, graph: Graph, reference: str) -> DataFrame:
-    """VCF 4.0 records of variants: POS is 1-based, indels carry the base before them."""
-    at = offsets(graph).where(F.col("path") == reference).join(graph.nodes, "node_id").select(F.col("node_id").alias("source"), (F.col("offset") + F.col("length")).alias("start"), F.substring("seq", -1, 1).alias("base"))
-    rows = found.join(at, "source")
-    indel = F.max((F.col("allele") == "-").cast("int")).over(Window.partitionBy("source", "sink")) == 1
-    text = F.when(indel, F.concat("base", F.when(F.col("allele") == "-", F.lit("")).otherwise(F.col("allele")))).otherwise(F.col("allele"))
-    rows = rows.withColumn("text", text).withColumn("pos", F.when(indel, F.col("start")).otherwise(F.col("start") + 1))
-    one = rows.groupBy("source", "sink", "type", "pos").agg(F.array_sort(F.collect_list(F.struct("allele_index", "text"))).alias("a"))
-    return one.select(F.concat_ws("\t", F.lit(reference), "pos", F.concat_ws("_", "source", "sink"), F.get("a", F.lit(0))["text"], F.array_join(F.transform(F.slice("a", 2, F.size("a")), lambda x: x["text"]), ","), F.lit("."), F.lit("PASS"), F.concat(F.lit("TYPE="), F.col("type"))).alias("line"))
+def vcf_header(lengths: list[tuple[str, int]], paths: list) -> list[str]:
+    """Header lines of a VCF file for contigs of the given lengths (fixed format)."""
+    info = [
+        ("diffsize", "Integer", "Difference between the shortest and longest allele."), ("source", "String", "Source of the node pair."), ("sink", "String", "Sink of the node pair."),
+        ("bubbletype", "String", "Type of the variant."), ("start", "Integer", "Start position on the reference."), ("end", "Integer", "End position on the reference."),
+    ]
+    lines = ["##fileformat=VCFv4.0", *(f"##contig=<ID={name},LENGTH={n}>" for name, n in lengths)]
+    lines += ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=SZ,Number=1,Type=Integer,Description="Allele size">']
+    lines += [f'##INFO=<ID={name},Number=1,Type={kind},Description="{text}">' for name, kind, text in info]
+    return [*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *map(str, paths)])]
+
+
+def vcf_lines(report: DataFrame, paths: list) -> DataFrame:
+    """``line``: VCF 4.0 records of :func:`variant_report`, with genotype and allele size of each path.
+
+    POS is 1-based. Where sizes differ, all alleles carry the base before them.
+    The allele of the variant's reference path comes first and is called 0.
+    """
+    differ = F.col("diff_size") > 0
+    text = F.transform("genotypes", lambda g: F.when(differ, F.concat(F.substring("source_seq", -1, 1), F.when(g == "-", F.lit("")).otherwise(g))).otherwise(g))
+    own = F.coalesce(F.element_at("calls", F.col("reference")), F.lit(0))
+    rows = report.withColumn("text", text).withColumn("own", own).withColumn("pos", F.when(differ, F.col("pos_start")).otherwise(F.col("pos_start") + 1))
+    swap = lambda i: F.when(i == F.col("own"), F.lit(0)).when(i == 0, F.col("own")).otherwise(i)
+    rows = rows.withColumn("ordered", F.transform("text", lambda t, i: F.get("text", swap(i))))
+    info = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), F.col(c).cast("string")) for k, c in (("diffsize", "diff_size"), ("source", "source"), ("sink", "sink"), ("bubbletype", "type"), ("start", "pos"), ("end", "pos_end"))])
+
+    def call(path) -> Column:
+        i = swap(F.element_at("calls", F.lit(path)))
+        return F.coalesce(F.concat_ws(":", F.nullif(i, F.lit(None)).cast("string"), F.length(F.get("ordered", i)).cast("string")), F.lit("."))
+
+    sample = [F.when(F.array_contains(F.map_keys("calls"), F.lit(p)), call(p)).otherwise(F.lit(".")) for p in paths]
+    return rows.select(F.concat_ws("\t", F.col("reference").cast("string"), F.col("pos").cast("string"), F.lit("."), F.get("ordered", F.lit(0)), F.array_join(F.slice("ordered", 2, F.size("ordered")), ","), F.lit("."), F.lit("PASS"), info, F.lit("GT:SZ"), *sample).alias("line"))
+
+
+def component_stats(graph: Graph, bubbles: DataFrame | None = None) -> DataFrame:
+    """One row for each component: its ``paths`` (joined by commas), ``nodes``, counts of bubbles and variants by kind, and its chain.
+
+    The chain are the nodes that all of the component's paths visit, each once:
+    their number, letters, weight (letters times pairs of paths), penalty (sum
+    of pairs over the gaps between neighbours) and score.
+    """
+    where = materialise(components(graph), "components")
+    found = bubbles if bubbles is not None else complex_bubbles(graph)
+    at = offsets(graph).join(where, "node_id")
+    who = at.groupBy("component").agg(F.array_sort(F.collect_set("path")).alias("p"), F.count_distinct("node_id").alias("nodes"))
+    report = variant_report(graph, bubbles=found).join(found.select("source", "sink", "simple"), ["source", "sink"]).join(where.withColumnRenamed("node_id", "source"), "source")
+    kind = lambda k: F.count_if(F.col("type") == k).alias({"multi-allelic": "multi"}.get(k, k) + "_variants")
+    gap = lambda simple: F.count_if(F.col("spans_gap") & (F.col("simple") == simple)).alias("simple_gaps" if simple else "complex_gaps")
+    counts = report.groupBy("component").agg(F.count(F.lit(1)).alias("bubbles"), F.count_if("simple").alias("simple_bubbles"), F.count_if(~F.col("simple")).alias("complex_bubbles"), *map(kind, ("snp", "indel", "multi-allelic", "region", "complex")), gap(True), gap(False))
+    per = at.groupBy("component", "node_id").agg(F.count(F.lit(1)).alias("visits"), F.array_sort(F.collect_list(F.struct("path", "offset"))).alias("v"), F.first("length").alias("length")).join(who.select("component", F.size("p").alias("k")), "component")
+    full = per.where("visits = k and size(array_distinct(transform(v, x -> x.path))) = k").select("component", "k", "length", F.transform("v", lambda x: x["offset"]).alias("point"))
+    w = Window.partitionBy("component").orderBy("point")
+    chain = full.withColumn("end", F.lag(F.transform("point", lambda x: x + F.col("length"))).over(w))
+    chain = chain.groupBy("component").agg(F.count(F.lit(1)).alias("chain_nodes"), F.sum("length").alias("chain_letters"), F.sum(F.expr("length * k * (k - 1) div 2")).alias("chain_weight"), F.sum(F.coalesce(gap_cost(F.col("end"), F.col("point")), F.lit(0.0))).alias("chain_penalty"))
+    out = who.join(counts, "component", "left").join(chain, "component", "left")
+    zeros = [c for c in counts.columns + chain.columns if c != "component"]
+    out = out.select("component", F.array_join(F.col("p").cast("array<string>"), ",").alias("paths"), "nodes", *[F.coalesce(c, F.lit(0).cast(out.schema[c].dataType)).alias(c) for c in zeros])
+    return out.withColumn("chain_score", F.col("chain_weight") - F.col("chain_penalty"))

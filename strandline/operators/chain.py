@@ -6,6 +6,8 @@ sequential and run as folds over their group's rows.
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,12 @@ from strandline.operators.grouped import map_groups
 from strandline.operators.intervals import islands
 
 
-def cluster_diagonals(anchors: DataFrame, partition: list[str], max_dist: int = 30, min_cluster: int = 50) -> DataFrame:
+def cluster_diagonals(anchors: DataFrame, partition: list[str], max_dist: int = 30, min_cluster: int = 50, by_span: bool = False) -> DataFrame:
     """Blocks of anchors (s1, s2, length, orient) on one diagonal whose gaps stay below ``max_dist``.
 
     Reverse anchors share an antidiagonal. A block's score is the sum of its
-    lengths; blocks below ``min_cluster`` go.
+    lengths, and blocks below ``min_cluster`` go; ``by_span`` it is the length
+    from end to end, and blocks of ``min_cluster`` go too.
     """
     e1, e2 = F.col("s1") + F.col("length"), F.col("s2") + F.col("length")
     diag = F.when(F.col("orient") == 0, F.col("s1") - F.col("s2")).otherwise(F.col("s1") + e2)
@@ -27,19 +30,23 @@ def cluster_diagonals(anchors: DataFrame, partition: list[str], max_dist: int =
     w = Window.partitionBy(*keys).orderBy("s1", "length")
     runs = islands(rows, keys, ["s1", "length"], F.col("s1") - F.lag("e1").over(w) >= max_dist)
     out = runs.groupBy(*keys, "island").agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"), F.sum("length").alias("score"))
-    return out.where(F.col("score") >= min_cluster).select(*partition, "s1", "e1", "s2", "e2", "orient", "score")
+    if by_span:
+        out = out.withColumn("score", F.col("e1") - F.col("s1"))
+    return out.where(F.col("score") > min_cluster if by_span else F.col("score") >= min_cluster).select(*partition, "s1", "e1", "s2", "e2", "orient", "score")
 
 
-def merge_consecutive(blocks: DataFrame, partition: list[str]) -> DataFrame:
-    """Blocks that are neighbours on both axes, with one orientation, become one."""
+def merge_consecutive(blocks: DataFrame, partition: list[str], same: list[str] | None = None) -> DataFrame:
+    """Blocks that are neighbours on both axes, with one orientation and equal in the columns ``same``, become one."""
     rank1 = F.row_number().over(Window.partitionBy(*partition).orderBy("s1", "e1", "s2"))
     rank2 = F.row_number().over(Window.partitionBy(*partition).orderBy("s2", "e2", "s1"))
     ranked = blocks.withColumn("r1", rank1).withColumn("r2", rank2)
     w = Window.partitionBy(*partition).orderBy("r1")
     step = F.when(F.col("orient") == 0, F.lit(1)).otherwise(F.lit(-1))
     new = (F.col("orient") != F.lag("orient").over(w)) | (F.col("r2") - F.lag("r2").over(w) != step)
+    for c in same or []:
+        new = new | ~F.col(c).eqNullSafe(F.lag(c).over(w))
     runs = islands(ranked, partition, ["r1"], new)
-    return runs.groupBy(*partition, "island").agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"), F.first("orient").alias("orient"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("blocks")).drop("island")
+    return runs.groupBy(*partition, "island", *(same or [])).agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"), F.first("orient").alias("orient"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("blocks")).drop("island")
 
 
 def extend_blocks(blocks: DataFrame, partition: list[str], axis: str, low: int, high: str) -> DataFrame:
@@ -73,15 +80,19 @@ def best_chain(anchors: list[tuple], n: int = 2, match: float = 1.0, penalty: fl
     ends = [tuple(x + anchors[i][-1] for x in anchors[i][:-1]) for i in order]
     gain = [match * anchors[i][-1] * n * (n - 1) / 2.0 for i in order]
     score, back = list(map(float, gain)), [-1] * len(order)
+    done: list[tuple[float, int]] = []  # best scores first: the search ends where no link can pay
     for i, at in enumerate(starts):
-        for j in range(i):
+        for neg, j in done:
+            if -neg + gain[i] < score[i]:
+                break
             if any(e > x for e, x in zip(ends[j], at, strict=True)):
                 continue
             d = [abs(x - e) for x, e in zip(at, ends[j], strict=True)]
             cost = sum(abs(d[a] - d[b]) for a in range(len(d)) for b in range(a + 1, len(d)))
-            total = score[j] + gain[i] - penalty * cost
-            if total > score[i]:
+            total = -neg + gain[i] - penalty * cost
+            if total > score[i] or (total == score[i] and -1 < j < back[i]):
                 score[i], back[i] = total, j
+        insort(done, (-score[i], i))
     if not order:
         return [], 0.0
     at = max(range(len(order)), key=lambda i: (score[i], -i))
@@ -104,34 +115,37 @@ def colinear_chains(anchors: DataFrame, key: str, match: float = 1.0, penalty: f
     return map_groups(anchors.select(key, "r_start", "q_start", "length"), [key], ["r_start", "q_start", "length"], fold, schema)
 
 
-def glocal_chains(blocks: DataFrame, key: str, look_back: int = 50, gap_open: float = 1, rearrangement: float = 10_000, inversion: float = 5, alpha: float = 2, lam: float = 3, eps: float = 2) -> DataFrame:
+def link_cost(p: tuple, c: tuple, gap_open: float = 1, rearrangement: float = 10_000, inversion: float = 5, lam: float = 3, eps: float = 2) -> float:
+    """:func:`strandline.functions.expr.block_gap_cost` of two blocks (s1, e1, s2, e2, orient, ...)."""
+    d1 = c[0] - p[1]
+    if p[4] != c[4]:
+        a, b = max(d1, 0), max(c[2] - p[3], p[2] - c[3], 0)
+        return gap_open + inversion + min(rearrangement, lam * abs(a - b)) + eps * min(a, b)
+    d2 = c[2] - p[3] if c[4] == 0 else p[2] - c[3]
+    if d2 < 0:
+        return gap_open + rearrangement + eps * max(d1, 0)
+    return gap_open + min(rearrangement, lam * abs(d1 - d2)) + eps * max(min(d1, d2), 0)
+
+
+def glocal_chains(blocks: DataFrame, key: str, look_back: int | None = 50, gap_open: float = 1, rearrangement: float = 10_000, inversion: float = 5, alpha: float = 2, lam: float = 3, eps: float = 2) -> DataFrame:
     """Best chain of blocks along the first axis where order and strand on the second may change at a cost.
 
     A block follows one that starts and ends before it; blocks that the other
     contains on the second axis are no predecessors. ``look_back`` bounds the
-    predecessors that are tried.
+    predecessors that are tried (None: all).
     """
     schema = f"{key} {blocks.schema[key].dataType.simpleString()}, step int, s1 bigint, e1 bigint, s2 bigint, e2 bigint, orient int, score bigint, chain_score double"
-
-    def cost(p: tuple, c: tuple) -> float:
-        d1 = c[0] - p[1]
-        if p[4] != c[4]:
-            a, b = max(d1, 0), max(c[2] - p[3], p[2] - c[3], 0)
-            return gap_open + inversion + min(rearrangement, lam * abs(a - b)) + eps * min(a, b)
-        d2 = c[2] - p[3] if c[4] == 0 else p[2] - c[3]
-        if d2 < 0:
-            return gap_open + rearrangement + eps * max(d1, 0)
-        return gap_open + min(rearrangement, lam * abs(d1 - d2)) + eps * max(min(d1, d2), 0)
+    costs = {"gap_open": gap_open, "rearrangement": rearrangement, "inversion": inversion, "lam": lam, "eps": eps}
 
     def fold(cols: list[list]) -> list[tuple]:
         rows = list(zip(*cols[1:], strict=True))  # s1, e1, s2, e2, orient, score
         best, back = [float(alpha * r[5]) for r in rows], [-1] * len(rows)
         for i, c in enumerate(rows):
-            for j in range(i - 1, max(-1, i - 1 - look_back), -1):
+            for j in range(i - 1, -1 if look_back is None else max(-1, i - 1 - look_back), -1):
                 p = rows[j]
                 if p[0] == c[0] or p[1] >= c[1] or (p[2] <= c[2] and p[3] >= c[3]):
                     continue
-                total = best[j] + alpha * c[5] - cost(p, c)
+                total = best[j] + alpha * c[5] - link_cost(p, c, **costs)
                 if total > best[i]:
                     best[i], back[i] = total, j
         at = max(range(len(rows)), key=lambda i: (best[i], -i))

@@ -10,13 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.expr import base_count, reverse_complement
+from strandline.functions.expr import base_count, cigar_length, reverse_complement
 from strandline.operators.components import connected_components
-from strandline.operators.intervals import islands
-from strandline.session import materialise
+from strandline.session import discard, materialise
 
 
 @dataclass
@@ -58,8 +57,15 @@ def offsets(graph: Graph) -> DataFrame:
 
 
 def extract(graph: Graph) -> DataFrame:
-    """``path, seq``: the sequence of each path, reversed nodes complemented."""
-    rows = graph.steps.join(graph.nodes, "node_id").select("path", "step", F.when(F.col("orient") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("s"))
+    """``path, seq``: the sequence of each path, reversed nodes complemented.
+
+    Where steps have an ``overlap`` (a CIGAR with the step before), its letters
+    are taken once.
+    """
+    own = F.when(F.col("orient") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    if "overlap" in graph.steps.columns:
+        own = F.substring(own, (F.coalesce(cigar_length(F.col("overlap")), F.lit(0)) + 1).cast("int"), F.length("seq"))
+    rows = graph.steps.join(graph.nodes, "node_id").select("path", "step", own.alias("s"))
     return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "s"))), lambda x: x["s"]), "").alias("seq"))
 
 
@@ -80,6 +86,38 @@ def components(graph: Graph) -> DataFrame:
     return graph.nodes.join(found, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
+def named_components(graph: Graph) -> DataFrame:
+    """``node_id, component, name``: components named by their paths in order, joined by ``_``, 200 characters at most."""
+    where = materialise(components(graph), "components")
+    names = graph.steps.join(where, "node_id").groupBy("component").agg(F.substring(F.array_join(F.array_sort(F.collect_set("path")).cast("array<string>"), "_"), 1, 200).alias("name"))
+    return where.join(names, "component").select("node_id", "component", "name")
+
+
+def nodes_of_path(graph: Graph, nodes: list) -> DataFrame:
+    """``path, step``: where paths walk the given nodes in turn, one after the other."""
+    spark = graph.steps.sparkSession
+    wanted = spark.createDataFrame(list(enumerate(nodes)), f"i int, node_id {graph.steps.schema['node_id'].dataType.simpleString()}")
+    hit = graph.steps.join(F.broadcast(wanted), "node_id").withColumn("first", F.col("step") - F.col("i"))  # the list that the caller gave
+    return hit.groupBy("path", "first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(nodes)).select("path", F.col("first").alias("step"))
+
+
+def subgraph_of(graph: Graph, nodes: DataFrame) -> Graph:
+    """The given nodes (node_id) and all steps on them."""
+    own = nodes.select("node_id").distinct()
+    return Graph(graph.nodes.join(own, "node_id", "left_semi"), graph.steps.join(own, "node_id", "left_semi"))
+
+
+def graph_counts(graph: Graph, is_original) -> DataFrame:
+    """One row: ``nodes, edges, samples, components, structural_edges``."""
+    edges = graph.edges()
+    own = graph.steps.select("path").distinct()
+    rows = [graph.nodes.agg(F.count(F.lit(1)).alias("nodes")), edges.agg(F.count(F.lit(1)).alias("edges")), own.where(~is_original(F.col("path"))).agg(F.count(F.lit(1)).alias("samples")), components(graph).agg(F.count_distinct("component").alias("components")), structural_edges(edges, is_original).agg(F.count(F.lit(1)).alias("structural_edges"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.crossJoin(r)  # single rows
+    return out
+
+
 def subgraph(graph: Graph, path: str, start: int, end: int) -> Graph:
     """Nodes that a path has in ``[start, end)``, and all steps on them."""
     on = offsets(graph).where((F.col("path") == path) & (F.col("offset") < end) & (F.col("offset") + F.col("length") > start)).select("node_id").distinct()
@@ -104,44 +142,100 @@ def complement(graph: Graph) -> Graph:
     return Graph(graph.nodes.withColumn("seq", reverse_complement(F.col("seq"))), steps)
 
 
-def contract(graph: Graph) -> Graph:
-    """Collapse unary stretches: neighbours that only have each other, on all paths and strands alike, become one node."""
-    steps = graph.steps
+def _flipped(orient: Column) -> Column:
+    return F.when(orient == "+", "-").otherwise("+")
+
+
+def unary_links(steps: DataFrame) -> DataFrame:
+    """``src, dst``: nodes whose only way on, on all paths and strands, is ``dst`` forward, whose only way back is ``src``.
+
+    Where a path begins or ends counts as a neighbour of its own.
+    """
     w = Window.partitionBy("path").orderBy("step")
-    pairs = steps.withColumn("next", F.lead("node_id").over(w)).withColumn("next_orient", F.lead("orient").over(w)).withColumn("prev", F.lag("node_id").over(w))
     forward = F.col("orient") == "+"
-    after = pairs.groupBy("node_id").agg(F.collect_set(F.when(forward, F.coalesce(F.col("next"), F.lit(-1)))).alias("nexts"), F.collect_set(F.when(forward, F.coalesce(F.col("prev"), F.lit(-1)))).alias("prevs"), F.min(forward.cast("int")).alias("forward"))
-    one = after.where((F.size("nexts") == 1) & (F.col("forward") == 1)).select(F.col("node_id").alias("src"), F.get("nexts", F.lit(0)).alias("dst")).where("dst >= 0")
-    other = after.where((F.size("prevs") == 1) & (F.col("forward") == 1)).select(F.col("node_id").alias("dst"), F.get("prevs", F.lit(0)).alias("src")).where("src >= 0")
-    links = materialise(one.join(other, ["src", "dst"]).where("src <> dst"), "unary")
-    group = connected_components(links)
-    placed = steps.join(group, F.col("node_id") == F.col("node"), "left").select("path", "step", "node_id", "orient", F.coalesce("component", "node_id").alias("g"))
-    runs = materialise(placed, "placed")
-    first = runs.groupBy("g").agg(F.min(F.struct("path", "step")).alias("at"))
-    order = runs.join(first, "g").where("path = at.path").select("g", "node_id", "step").groupBy("g", "node_id").agg(F.min("step").alias("step"))
-    seqs = order.join(graph.nodes, "node_id").groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    nodes = seqs.select(F.col("g").alias("node_id"), "seq")
-    keep = islands(runs, ["path"], ["step"], F.col("g") != F.lag("g").over(w))
-    merged = keep.groupBy("path", "island").agg(F.first("g").alias("node_id"), F.first("orient").alias("orient"))
-    return Graph(nodes, merged.select("path", (F.col("island") - 1).alias("step"), "node_id", "orient"))
-
-
-def prune(graph: Graph, max_rounds: int = 20) -> Graph:
-    """Merge siblings (same predecessors and successors) of equal sequence until nothing changes."""
+
+    def beside(shift, flip: bool) -> Column:
+        node, orient = shift("node_id").over(w), shift("orient").over(w)
+        return F.struct(node.alias("node"), F.when(node.isNotNull(), _flipped(orient) if flip else orient).alias("orient"))
+
+    seen = steps.select("node_id", F.when(forward, beside(F.lead, False)).otherwise(beside(F.lag, True)).alias("after"), F.when(forward, beside(F.lag, False)).otherwise(beside(F.lead, True)).alias("before"))
+    only = seen.groupBy("node_id").agg(F.min("after").alias("after"), F.max("after").alias("after_"), F.min("before").alias("before"), F.max("before").alias("before_"))
+    one = lambda c: (F.col(c) == F.col(c + "_")) & F.col(f"{c}.node").isNotNull() & (F.col(f"{c}.orient") == "+")
+    on = only.where(one("after")).select(F.col("node_id").alias("src"), F.col("after.node").alias("dst"))
+    back = only.where(one("before")).select(F.col("node_id").alias("dst"), F.col("before.node").alias("src"))
+    return on.join(back, ["src", "dst"]).where("src <> dst")
+
+
+def contract(graph: Graph) -> Graph:
+    """Collapse unary stretches: nodes that only ever follow each other, on all paths and strands, become one.
+
+    A path walks a stretch as a whole or not at all, since its ends count as
+    neighbours. So a pass over it is the visit of its first node, or of its last
+    one on the reverse strand, however often it comes again. A stretch has the
+    smallest id of its nodes.
+    """
+    steps = graph.steps
+    links = materialise(unary_links(steps), "unary")
+    group = materialise(connected_components(links), "stretches")
+    own = group.withColumnRenamed("component", "g")
+    heads = links.select(F.col("src").alias("node")).join(links.select(F.col("dst").alias("node")), "node", "left_anti").distinct()
+    tails = links.select(F.col("dst").alias("node")).join(links.select(F.col("src").alias("node")), "node", "left_anti").distinct()
+    marked = own.join(heads.withColumn("head", F.lit(True)), "node", "left").join(tails.withColumn("tail", F.lit(True)), "node", "left")
+    placed = materialise(steps.join(marked, F.col("node_id") == F.col("node"), "left").drop("node"), "placed")
+
+    size = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    first = placed.where("head").groupBy("g").agg(F.min(F.struct("path", "step", "orient")).alias("at")).join(size, "g").select("g", "n", F.col("at.path").alias("path"), F.col("at.step").alias("from"), F.col("at.orient").alias("way"))
+    on = placed.where("g is not null").select("g", "path", "step", "node_id").join(first, ["g", "path"])
+    on = on.withColumn("rank", F.when(F.col("way") == "+", F.col("step") - F.col("from")).otherwise(F.col("from") - F.col("step"))).where("rank >= 0 and rank < n")
+    joined = on.join(graph.nodes, "node_id").groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    rest = graph.nodes.join(group.select(F.col("node").alias("node_id")), "node_id", "left_anti").select("node_id", "seq")
+    nodes = joined.select(F.col("g").alias("node_id"), "seq").unionByName(rest)
+
+    kept = placed.where("g is null or (head and orient = '+') or (tail and orient = '-')")
+    order = Window.partitionBy("path").orderBy("step")
+    return Graph(nodes, kept.select("path", (F.row_number().over(order) - 1).alias("step"), F.coalesce("g", "node_id").alias("node_id"), "orient"))
+
+
+def prune(graph: Graph) -> Graph:
+    """Merge siblings of equal sequence until nothing changes.
+
+    Siblings follow one node and nothing else does lead to them, whatever comes
+    after; or, the other way round, lead to one node and to nothing else. Only
+    neighbours on the forward strand count, and where a path begins or ends
+    counts as one. The smallest id stays, and every path keeps its sequence.
+    """
     nodes, steps = graph.nodes, graph.steps
-    for _ in range(max_rounds):
-        edges = path_edges(steps)
-        before = edges.groupBy(F.col("dst").alias("node_id")).agg(F.array_sort(F.collect_set("src")).alias("prevs"))
-        after = edges.groupBy(F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("dst")).alias("nexts"))
-        none = F.array().cast("array<bigint>")
-        full = nodes.join(before, "node_id", "left").join(after, "node_id", "left").withColumn("prevs", F.coalesce("prevs", none)).withColumn("nexts", F.coalesce("nexts", none))
-        low = F.min("node_id").over(Window.partitionBy("seq", "prevs", "nexts"))
-        rename = materialise(full.select("node_id", low.alias("kept")).where("node_id <> kept"), "prune")
-        if not rename.take(1):
-            break
-        nodes = materialise(nodes.join(rename, "node_id", "left_anti"), "nodes")
-        steps = materialise(steps.join(rename, "node_id", "left").select("path", "step", F.coalesce("kept", "node_id").alias("node_id"), "orient"), "steps")
-    return Graph(nodes, steps)
+    w = Window.partitionBy("path").orderBy("step")
+    while True:
+        changed = False
+        for shift in (F.lag, F.lead):
+            near = F.when(shift("orient").over(w) == "+", shift("node_id").over(w))
+            beside = steps.select("node_id", "orient", near.alias("near")).where("orient = '+'").groupBy("node_id").agg(F.min("near").alias("low"), F.max("near").alias("high"), F.count_if(F.col("near").isNull()).alias("ends"))
+            one = beside.where("low = high and ends = 0").select("node_id", F.col("low").alias("near")).join(nodes, "node_id")
+            low = one.groupBy("near", "seq").agg(F.min("node_id").alias("kept"))
+            rename = materialise(one.join(low, ["near", "seq"]).where("node_id <> kept").select("node_id", "kept"), "prune")
+            if rename.take(1):
+                changed = True
+                nodes = materialise(nodes.join(rename, "node_id", "left_anti"), "nodes")
+                steps = materialise(steps.join(rename, "node_id", "left").select("path", "step", F.coalesce("kept", "node_id").alias("node_id"), "orient"), "steps")
+            discard(rename)
+        if not changed:
+            return Graph(nodes, steps)
+
+
+def layers_by_rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_id, layer``: topological layers of an acyclic graph, by rounds that take all nodes without an open way in; raises on a cycle."""
+    left, out, layer = materialise(edges.select("src", "dst").distinct(), "edges"), None, 0
+    todo = materialise(nodes.select("node_id"), "todo")
+    while todo.take(1):
+        ready = materialise(todo.join(left.select(F.col("dst").alias("node_id")), "node_id", "left_anti"), "ready")
+        if not ready.take(1):
+            raise ValueError("the graph has a cycle")
+        own = ready.withColumn("layer", F.lit(layer))
+        out = own if out is None else out.unionByName(own)
+        left = materialise(left.join(ready.withColumnRenamed("node_id", "src"), "src", "left_anti"), "edges")
+        todo, layer = materialise(todo.join(ready, "node_id", "left_anti"), "todo"), layer + 1
+    return out if out is not None else nodes.select("node_id").limit(0).withColumn("layer", F.lit(0))
 
 
 def longest_path(graph: Graph) -> DataFrame:

@@ -58,6 +58,20 @@ def overlap_join(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_
     return joined.where((first < F.least(F.col(l_end), F.col(r_end))) & (F.col("__bin") == F.floor(first / width))).drop("__bin")
 
 
+def box_join(points: DataFrame, boxes: DataFrame, dims: list[tuple[str, str, str]], width: int, on: list[str] | None = None) -> DataFrame:
+    """Points with the boxes that hold them, ends included; ``dims`` are (point, low, high), the first of which is binned by ``width``.
+
+    The first dimension should be the most selective one.
+    """
+    point, low, high = dims[0]
+    p = points.withColumn("__bin", F.floor(F.col(point) / width))
+    r = boxes.where(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    inside = F.lit(True)
+    for c, a, b in dims:
+        inside = inside & F.col(c).between(F.col(a), F.col(b))
+    return p.join(r, [*(on or []), "__bin"]).where(inside).drop("__bin")
+
+
 def trim_overlap(df: DataFrame, partition: list[str], start: str, end: str) -> DataFrame:
     """Along one axis both of two overlapping neighbours lose the overlap; what is left of length 0 or less goes.
 

@@ -10,29 +10,30 @@ from strandline.operators.chain import cluster_diagonals, glocal_chains, merge_c
 from strandline.operators.match import mems, mums, seeds
 
 
-def anchors(ref: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
+def anchors(ref: DataFrame, contigs: DataFrame, k: int, stop: str = "N") -> DataFrame:
     """Unique matches of contigs (name, seq) with a reference (name, seq) on both strands: ``ref, ctg, s1, s2, length, orient``.
 
-    On the reverse strand ``s2`` is a position of the contig as given.
+    On the reverse strand ``s2`` is a position of the contig as given. No match holds a letter of ``stop``.
     """
     out = None
     for orient in (0, 1):
         own = contigs.select(F.col("name").alias("ctg"), (reverse_complement(F.col("seq")) if orient else F.col("seq")).alias("t2"))
-        found = mums(mems(seeds(ref.select(F.col("name").alias("ref"), F.col("seq").alias("t1")), own, "ref", "ctg", "t1", "t2", k), "ref", "ctg", k), "ref", "ctg")
+        found = mums(mems(seeds(ref.select(F.col("name").alias("ref"), F.col("seq").alias("t1")), own, "ref", "ctg", "t1", "t2", k, stop), "ref", "ctg", k), "ref", "ctg")
         size = contigs.select(F.col("name").alias("ctg"), F.length("seq").cast("bigint").alias("n"))
         found = found.join(size, "ctg").select("ref", "ctg", F.col("r_start").alias("s1"), (F.col("n") - F.col("q_start") - F.col("length") if orient else F.col("q_start")).alias("s2"), "length", F.lit(orient).alias("orient"))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def place_contigs(ref: DataFrame, contigs: DataFrame, k: int = 20, max_dist: int = 30, min_cluster: int = 50) -> DataFrame:
+def place_contigs(ref: DataFrame, contigs: DataFrame, k: int = 20, max_dist: int = 30, min_cluster: int = 50, stop: str = "N") -> DataFrame:
     """Order and strand of contigs along their best reference: ``ref, ctg, orient, s1, e1, score, gap_before``.
 
     Blocks of each contig and reference are chained; the reference with the
     best chain wins, ties by name. ``gap_before`` is the distance from the end
-    of the contig placed before.
+    of the contig placed before. What no chain places, :func:`arrange.unplaced`
+    names.
     """
-    blocks = cluster_diagonals(anchors(ref, contigs, k), ["ref", "ctg"], max_dist, min_cluster)
+    blocks = cluster_diagonals(anchors(ref, contigs, k, stop), ["ref", "ctg"], max_dist, min_cluster)
     chains = glocal_chains(blocks.withColumn("pair", F.concat_ws("\x1f", "ref", "ctg")), "pair")
     best = chains.groupBy("pair").agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.max("chain_score").alias("score"), F.max_by("orient", "score").alias("orient"))
     best = best.select(F.get(F.split("pair", "\x1f"), F.lit(0)).alias("ref"), F.get(F.split("pair", "\x1f"), F.lit(1)).alias("ctg"), "orient", "s1", "e1", "score")

@@ -2,20 +2,111 @@
 
 Seeds are k-mers with k equal to the least match length, found by an equi-join;
 runs of seeds on one diagonal are maximal exact matches; a match that no other
-contains on either sequence is a maximal unique match. Sequences are cut into
-overlapping chunks before k-mers are exploded, since ``substring`` walks from
-the start of its string.
+contains on either sequence is a maximal unique match. Seeds are joined by
+128-bit rolling hashes, which numpy makes of whole texts in Arrow batches. Where
+the reference has few k-mers, their hashes go to every task and only hits leave
+it; otherwise both sides meet in a shuffled join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.intervals import islands
+from strandline.session import spread
 
 #: Characters of a chunk, besides the overlap of k - 1.
 CHUNK = 256
+#: k-mers of a reference that are sent to every task, at most (16 MB); positions that are hashed at once.
+SENT_KMERS, POSITIONS = 1_000_000, 1 << 16
+
+_U = np.uint64
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+@lru_cache(8)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        full = np.full(n, x, _U)
+        full[0] = 1
+        out.append(np.cumprod(full, dtype=_U))
+    return out[0], out[1]
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> _U(29))) * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(32))
+
+
+def rolling(text: str, k: int, stop: str = "") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions of the k-mers of a text without a letter of ``stop``, and two hashes of each, in bounded pieces."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = np.isin(letters, [ord(c) for c in stop]) if stop else None
+    for a in range(0, len(letters) - k + 1, POSITIONS):
+        own = letters[a : a + POSITIONS + k - 1].astype(_U)
+        n = len(own) - k + 1
+        pos = np.arange(a, a + n)
+        pair = []
+        for base in _BASES:
+            up, down = _powers(base, POSITIONS + k)
+            sums = np.zeros(len(own) + 1, _U)
+            np.cumsum(_spread(own + _U(base >> 7)) * up[: len(own)], out=sums[1:])
+            pair.append(_spread((sums[k:] - sums[:-k]) * down[:n]).view(np.int64))
+        if bad is not None:
+            seen = np.concatenate(([0], np.cumsum(bad[a : a + len(own)])))
+            fine = seen[k:] == seen[:-k]
+            pos, pair = pos[fine], [h[fine] for h in pair]
+        yield pos, pair[0], pair[1]
+
+
+def _hashed(k: int, stop: str, sent=None):
+    """Rows of key, position and hashes; with ``sent`` only of k-mers whose first hash is among the sorted ones."""
+
+    def run(batches):
+        known = None if sent is None else sent.value
+        for rb in batches:
+            for i, text in enumerate(rb.column(1).to_pylist()):
+                for pos, h1, h2 in rolling(text or "", k, stop):
+                    if known is not None:
+                        at = np.minimum(np.searchsorted(known, h1), len(known) - 1)
+                        hit = known[at] == h1
+                        pos, h1, h2 = pos[hit], h1[hit], h2[hit]
+                    if len(pos):
+                        yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos, pa.int64()), pa.array(h1), pa.array(h2)], ["key", "pos", "h1", "h2"])
+
+    return run
+
+
+def hashed_kmers(df: DataFrame, key: str, seq: str, k: int, stop: str = "", sent=None) -> DataFrame:
+    """``key, pos, h1, h2``: the k-mers of every sequence by 128 bits of hash; none that holds a letter of ``stop``."""
+    kind = df.schema[key].dataType.simpleString()
+    return spread(df.select(F.col(key).alias("key"), F.col(seq).alias("seq"))).mapInArrow(_hashed(k, stop, sent), f"key {kind}, pos bigint, h1 bigint, h2 bigint")
+
+
+def _counted(k: int, stop: str):
+    def run(batches):
+        for rb in batches:
+            parts = [p for text in rb.column(0).to_pylist() for p in rolling(text or "", k, stop)]
+            if parts:
+                h1, h2 = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+                _, first, n = np.unique(h1 ^ (h2 >> 1), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first]), pa.array(n.astype(np.int64))], ["h1", "h2", "n"])
+
+    return run
+
+
+def kmer_counts(df: DataFrame, seq: str, k: int, stop: str = "") -> DataFrame:
+    """``h1, h2, n``: how often each k-mer occurs, counted within Arrow batches before the shuffle."""
+    return spread(df.select(seq)).mapInArrow(_counted(k, stop), "h1 bigint, h2 bigint, n bigint").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
 def kmers(df: DataFrame, keys: list[str], seq: str, k: int, chunk: int = CHUNK) -> DataFrame:
@@ -27,16 +118,21 @@ def kmers(df: DataFrame, keys: list[str], seq: str, k: int, chunk: int = CHUNK)
     return pos.select(*keys, (F.col("__at") + F.col("__i")).cast("bigint").alias("pos"), F.substring("__c", F.col("__i") + 1, F.lit(k)).alias("kmer"))
 
 
-def seeds(ref: DataFrame, qry: DataFrame, ref_key: str, qry_key: str, ref_seq: str, qry_seq: str, k: int) -> DataFrame:
-    """Equal k-mers: ``ref_key, r_pos, qry_key, q_pos``.
-
-    Positions are spread over all tasks before they are exploded. Spark picks
-    the join; k-mers with many occurrences are split by adaptive execution.
-    """
-    spread = int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = kmers(ref.select(ref_key, ref_seq), [ref_key], ref_seq, k).withColumnRenamed("pos", "r_pos")
-    b = kmers(qry.select(qry_key, qry_seq).repartition(spread), [qry_key], qry_seq, k).withColumnRenamed("pos", "q_pos")
-    return a.join(b, "kmer").select(ref_key, "r_pos", qry_key, "q_pos")
+def seeds(ref: DataFrame, qry: DataFrame, ref_key: str, qry_key: str, ref_seq: str, qry_seq: str, k: int, stop: str = "") -> DataFrame:
+    """Equal k-mers without a letter of ``stop``: ``ref_key, r_pos, qry_key, q_pos``."""
+    spark = ref.sparkSession
+    a = hashed_kmers(ref, ref_key, ref_seq, k, stop)
+    least = F.sum(F.greatest(F.char_length(ref_seq) - (k - 1), F.lit(0)))
+    sent = None
+    if (ref.agg(least).first()[0] or 0) <= SENT_KMERS:
+        known = np.unique(a.select("h1").distinct().toPandas()["h1"].to_numpy(np.int64))  # SENT_KMERS at most
+        if not len(known):
+            known = np.zeros(1, np.int64)
+        sent = spark.sparkContext.broadcast(known)
+    b = hashed_kmers(qry, qry_key, qry_seq, k, stop, sent)
+    a = a.select(F.col("key").alias(ref_key), F.col("pos").alias("r_pos"), "h1", "h2")
+    b = b.select(F.col("key").alias(qry_key), F.col("pos").alias("q_pos"), "h1", "h2")
+    return a.join(b, ["h1", "h2"]).select(ref_key, "r_pos", qry_key, "q_pos")
 
 
 def mems(found: DataFrame, ref_key: str, qry_key: str, k: int) -> DataFrame:
@@ -59,24 +155,49 @@ def mums(matches: DataFrame, ref_key: str, qry_key: str) -> DataFrame:
     return out.where("not __r and not __q").drop("__r", "__q")
 
 
-def multi_mums(seqs: DataFrame, sample: str, key: str, seq: str, k: int, least: int = 2) -> DataFrame:
-    """Maximal matches that occur exactly once in each of ``least`` or more samples: ``string, length, samples, occurrences``.
+def multi_matches(seqs: DataFrame, sample: str, key: str, seq: str, k: int, least: int = 2, repeats: bool = False, stop: str = "") -> DataFrame:
+    """Maximal matches of ``least`` or more samples: ``string, length, samples, occurrences``.
 
-    Each is the string of a pairwise maximal unique match of two samples' texts,
-    so candidates come from pairwise matches and are then counted everywhere.
+    A match is maximal if its occurrences differ in what comes before and in
+    what comes after (an end differs from everything). Without ``repeats`` it
+    occurs once in each of its samples. Two occurrences of a maximal match
+    differ on both sides, so candidates are pairwise maximal matches, which are
+    then counted everywhere.
     """
-    a = seqs.select(F.col(sample).alias("s1"), F.col(key).alias("k1"), F.col(seq).alias("t1"))
-    b = seqs.select(F.col(sample).alias("s2"), F.col(key).alias("k2"), F.col(seq).alias("t2"))
-    found = seeds(a, b, "k1", "k2", "t1", "t2", k)
-    other = seqs.select(F.col(key).alias("k1"), F.col(sample).alias("s1")), seqs.select(F.col(key).alias("k2"), F.col(sample).alias("s2"))
-    found = found.join(other[0], "k1").join(other[1], "k2").where("s1 < s2").drop("s1", "s2")
-    text = seqs.select(F.col(key).alias("k1"), F.col(seq).alias("t1"))
+    own = seqs.select(F.col(sample).alias("__sample"), F.col(key).alias("__key"), F.col(seq).alias("__seq"), F.struct(sample, key).alias("__id"))
+    at = hashed_kmers(own, "__id", "__seq", k, stop)
+    a, b = (at.select(F.col("key").alias(f"k{i}"), F.col("pos").alias(p), "h1", "h2") for i, p in ((1, "r_pos"), (2, "q_pos")))
+    apart = F.col(f"k1.{sample}") < F.col(f"k2.{sample}")
+    if repeats:
+        apart = (F.col("k1") < F.col("k2")) | ((F.col("k1") == F.col("k2")) & (F.col("r_pos") < F.col("q_pos")))
+    found = a.join(b, (a.h1 == b.h1) & (a.h2 == b.h2) & apart).select("k1", "r_pos", "k2", "q_pos")
+    text = own.select(F.col("__id").alias("k1"), F.col("__seq").alias("t1"))
     strings = mems(found, "k1", "k2", k).join(text, "k1").select(F.substring("t1", (F.col("r_start") + 1).cast("int"), F.col("length").cast("int")).alias("string")).distinct()
-    first = strings.withColumn("kmer", F.substring("string", 1, k))
-    where = kmers(seqs.select(sample, key, seq), [sample, key], seq, k).join(first, "kmer").join(seqs.select(key, F.col(seq).alias("__t")), key)
-    hit = where.where(F.substring("__t", (F.col("pos") + 1).cast("int"), F.char_length("string")) == F.col("string"))
-    left = F.when(F.col("pos") > 0, F.substring("__t", F.col("pos").cast("int"), F.lit(1))).otherwise(F.lit("$"))
-    right = F.coalesce(F.nullif(F.substring("__t", (F.col("pos") + F.char_length("string") + 1).cast("int"), F.lit(1)), F.lit("")), F.lit("$"))
-    grouped = hit.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(sample).alias("samples"), F.count_distinct(left).alias("lefts"), F.count_distinct(right).alias("rights"), F.max((left == "$").cast("int")).alias("l_end"), F.max((right == "$").cast("int")).alias("r_end"), F.array_sort(F.collect_list(F.struct(sample, key, "pos"))).alias("occurrences"))
-    maximal = ((F.col("lefts") > 1) | (F.col("l_end") == 1)) & ((F.col("rights") > 1) | (F.col("r_end") == 1))
-    return grouped.where((F.col("n") == F.col("samples")) & (F.col("samples") >= least) & maximal).select("string", F.char_length("string").cast("bigint").alias("length"), "samples", "occurrences")
+    first = hashed_kmers(strings.select("string", F.substring("string", 1, k).alias("__first")), "string", "__first", k).select(F.col("key").alias("string"), "h1", "h2")
+    where = at.join(first, ["h1", "h2"]).join(own.select(F.col("__id").alias("key"), F.col("__seq").alias("t")), "key")
+    hit = where.where(F.substring("t", (F.col("pos") + 1).cast("int"), F.char_length("string")) == F.col("string")).withColumn(sample, F.col(f"key.{sample}")).withColumn("of", F.col(f"key.{key}"))
+    left = F.when(F.col("pos") > 0, F.substring("t", F.col("pos").cast("int"), F.lit(1)))
+    right = F.nullif(F.substring("t", (F.col("pos") + F.char_length("string") + 1).cast("int"), F.lit(1)), F.lit(""))
+    differ = lambda c: F.count_distinct(c) + F.count_if(c.isNull()) > 1
+    grouped = hit.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(sample).alias("samples"), (differ(left) & differ(right)).alias("maximal"), F.array_sort(F.collect_list(F.struct(F.col(sample), F.col("of").alias(key), "pos"))).alias("occurrences"))
+    once = F.lit(True) if repeats else F.col("n") == F.col("samples")
+    return grouped.where(once & (F.col("samples") >= least) & F.col("maximal")).select("string", F.char_length("string").cast("bigint").alias("length"), "samples", "occurrences")
+
+
+def multi_mums(seqs: DataFrame, sample: str, key: str, seq: str, k: int, least: int = 2, stop: str = "") -> DataFrame:
+    """Maximal matches that occur exactly once in each of ``least`` or more samples."""
+    return multi_matches(seqs, sample, key, seq, k, least, False, stop)
+
+
+def multi_mems(seqs: DataFrame, sample: str, key: str, seq: str, k: int, least: int = 2, stop: str = "") -> DataFrame:
+    """Maximal matches of ``least`` or more samples, which can occur in each more than once."""
+    return multi_matches(seqs, sample, key, seq, k, least, True, stop)
+
+
+def combinations(matches: DataFrame, sample: str) -> DataFrame:
+    """Each match with every choice of one occurrence in each of its samples: ``string, length, places``."""
+    names = F.array_sort(F.array_distinct(F.transform("occurrences", lambda o: o[sample])))
+    by = F.transform(names, lambda s: F.filter("occurrences", lambda o: o[sample] == s))
+    none = F.slice(F.array(F.slice("occurrences", 1, 0)), 1, 1)
+    every = F.aggregate(by, none, lambda acc, own: F.flatten(F.transform(acc, lambda a: F.transform(own, lambda o: F.concat(a, F.array(o))))))
+    return matches.select("string", "length", F.explode(every).alias("places"))

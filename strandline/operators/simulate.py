@@ -56,3 +56,14 @@ def accuracy(found: DataFrame, truth: DataFrame) -> DataFrame:
     rows = same.crossJoin(pairs("column").withColumnRenamed("n", "called")).crossJoin(pairs("base_id").withColumnRenamed("n", "real"))  # three single rows
     out = rows.select("tp", (F.col("called") - F.col("tp")).alias("fp"), (F.col("real") - F.col("tp")).alias("fn"))
     return out.select("*", F.expr("try_divide(tp, tp + fn)").alias("sensitivity"), F.expr("try_divide(tp, tp + fp)").alias("precision"), F.expr("try_divide(2 * tp, 2 * tp + fp + fn)").alias("f1"))
+
+
+def column_score(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """``columns, right, score``: the share of true columns of two letters or more whose letters all lie in one column of ``found``, and no others do."""
+    both = truth.join(found, ["path", "pos"])
+    size = found.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    real = truth.groupBy("base_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = both.groupBy("base_id").agg(F.min("column").alias("column"), F.max("column").alias("other"), F.count(F.lit(1)).alias("k"))
+    own = real.join(met, "base_id", "left").join(size, "column", "left")
+    good = F.count_if((F.col("column") == F.col("other")) & (F.col("k") == F.col("m")) & (F.col("n") == F.col("m")))
+    return own.agg(F.count(F.lit(1)).alias("columns"), good.alias("right")).select("*", F.expr("try_divide(right, columns)").alias("score"))

@@ -46,19 +46,22 @@ def _chained(anchors: DataFrame) -> DataFrame:
     return map_groups(anchors, ["gap"], ["anchor", "length"], fold, f"gap {kind}, anchor bigint, places array<struct<path: {path}, begin: bigint>>, length bigint")
 
 
-def recursive_align(seqs: DataFrame, k: int = 20, max_rounds: int = 12) -> Graph:
+def recursive_align(seqs: DataFrame, k: int = 20) -> Graph:
     """Align ``seqs(path, seq)`` into a graph by rounds of exact anchors.
 
     Each round takes, in all open gaps at once, the best colinear chain of
     strings that every sequence holds exactly once; what lies between becomes
     the gaps of the next round, until none has an anchor. Anchors are shared
     nodes; what is left between them is shared where it is equal. The
-    sequences of the paths come out as they went in.
+    sequences of the paths come out as they went in. With a column ``group``
+    only sequences of one group are aligned with each other.
     """
-    base = materialise(seqs.select("path", F.col("seq").alias("whole")), "sequences")
-    gaps = base.select(F.lit("g").alias("gap"), "path", F.lit(0).cast("bigint").alias("begin"), F.length("whole").cast("bigint").alias("end"))
+    group = F.col("group").cast("string") if "group" in seqs.columns else F.lit("g")
+    base = materialise(seqs.select("path", F.col("seq").alias("whole"), group.alias("group")), "sequences")
+    gaps = base.select(F.col("group").alias("gap"), "path", F.lit(0).cast("bigint").alias("begin"), F.length("whole").cast("bigint").alias("end"))
+    base = base.drop("group")
     nodes, closed = None, None
-    for _ in range(max_rounds):
+    while True:  # every round closes gaps or cuts them, so that it ends
         text = gaps.join(base, "path").select("gap", "path", "begin", F.expr("substring(whole, int(begin) + 1, int(end - begin))").alias("text"))
         anchors = materialise(_chained(common_anchors(text, k)), "anchors")
         if not anchors.take(1):
@@ -95,8 +98,7 @@ def chop(graph: Graph, k: int) -> tuple[DataFrame, DataFrame]:
     paths = materialise(extract(graph), "paths")
     found = match.kmers(paths, ["path"], "seq", k)
     steps = found.select("path", F.col("pos").cast("int").alias("step"), F.xxhash64("kmer").alias("node_id"), F.lit("+").alias("orient"), F.substring("kmer", -1, 1).alias("seq"))
-    shifted = steps.withColumn("node_id", F.shiftrightunsigned("node_id", 1))  # contract() reserves negative ids
-    small = Graph(shifted.groupBy("node_id").agg(F.first("seq").alias("seq")), shifted.select("path", "step", "node_id", "orient"))
+    small = Graph(steps.groupBy("node_id").agg(F.first("seq").alias("seq")), steps.select("path", "step", "node_id", "orient"))
     merged = contract(small)
     at = offsets(merged).groupBy("node_id").agg(F.min(F.struct("path", "offset")).alias("m")).select("node_id", F.col("m.path").alias("path"), F.col("m.offset").alias("offset"))
     head = at.join(paths.withColumnRenamed("seq", "whole"), "path").select("node_id", F.expr(f"substring(whole, int(offset) + 1, {k - 1})").alias("head"))

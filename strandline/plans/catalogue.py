@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import expr as E
+from strandline.operators import annotate
+from strandline.operators import arrange as A
 from strandline.operators import bubbles as B
 from strandline.operators import chain as C
 from strandline.operators import graph as G
@@ -81,9 +83,7 @@ def split_runs(spark, sf_dir):
 SELECT substring(text, i, 8) AS kmer FROM (SELECT text, unnest(range(1, length(text) - 6)) AS i FROM documents)) GROUP BY kmer) GROUP BY n""")
 def kmer_spectrum(spark, sf_dir):
     """How many 8-mers occur how often in all documents."""
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = M.kmers(_t(spark, sf_dir, "documents").select("doc_id", "text").repartition(spread), ["doc_id"], "text", 8)
-    return found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("n").alias("multiplicity")).agg(F.count(F.lit(1)).alias("kmers"))
+    return M.kmer_counts(_t(spark, sf_dir, "documents"), "text", 8).groupBy(F.col("n").alias("multiplicity")).agg(F.count(F.lit(1)).alias("kmers"))
 
 
 @query("""SELECT doc_id, CAST(length(line) AS BIGINT) AS n, md5(line) AS digest FROM (SELECT doc_id, '>' || doc_id || chr(10) || array_to_string(list_transform(range(0, length(seq), 100), lambda i: seq[i + 1:i + 100]), chr(10)) AS line
@@ -147,11 +147,31 @@ def top_anchors(spark, sf_dir):
     return _mems(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("doc_id", "item_id", "r_start", "q_start", "length", "rank")
 
 
-@query()
+def _multi_sql(once: str) -> str:
+    return f"""WITH t AS (SELECT DISTINCT p_name AS s FROM part), w AS (SELECT s, i, substring(s, i, n) AS string, n FROM (SELECT s, i, unnest(range(3, length(s) - i + 2)) AS n FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM t))),
+o AS (SELECT *, CASE WHEN i > 1 THEN substring(s, i - 1, 1) END AS l, nullif(substring(s, i + n, 1), '') AS r FROM w)
+SELECT string, max(n) AS length, count(DISTINCT s) AS samples, string_agg(s || ':' || (i - 1), ',' ORDER BY s, i) AS places FROM o GROUP BY string
+HAVING count(DISTINCT s) >= 2 {once} AND count(DISTINCT l) + count(*) FILTER (WHERE l IS NULL) > 1 AND count(DISTINCT r) + count(*) FILTER (WHERE r IS NULL) > 1"""
+
+
+def _part_names(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "part").select(F.col("p_name").alias("sample"), F.col("p_name").alias("k"), F.col("p_name").alias("text")).distinct()
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    return found.select("string", "length", "samples", F.array_join(F.transform("occurrences", lambda o: F.concat_ws(":", o["sample"], o["pos"].cast("string"))), ",").alias("places"))
+
+
+@query(_multi_sql("AND count(*) = count(DISTINCT s)"))
 def multi_mums(spark, sf_dir):
-    """Strings that occur exactly once in each of two or more benchmark items, of 20 letters or more."""
-    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample"), F.col("item_id").alias("k"), "text")
-    return M.multi_mums(b, "sample", "k", "text", 20).select("string", "length", "samples", F.array_join(F.transform("occurrences", lambda o: F.concat_ws(":", o["sample"].cast("string"), o["pos"].cast("string"))), ",").alias("places"))
+    """Strings of three letters or more that occur exactly once in each of two or more part names."""
+    return _placed(M.multi_mums(_part_names(spark, sf_dir), "sample", "k", "text", 3))
+
+
+@query(_multi_sql(""))
+def multi_mems(spark, sf_dir):
+    """Strings of three letters or more that two or more part names share, repeats within a name included."""
+    return _placed(M.multi_mems(_part_names(spark, sf_dir), "sample", "k", "text", 3))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(1 - exp(ln(1 - pow(0.25, CAST(l_quantity AS INTEGER))) * l_partkey * l_suppkey), 6) AS p FROM lineitem""")
@@ -246,6 +266,83 @@ def glocal_chains(spark, sf_dir):
     return C.glocal_chains(_blocks(spark, sf_dir), "l_orderkey")
 
 
+@query()
+def trimmed_blocks(spark, sf_dir):
+    """Blocks of each order after both of two overlapping ones lost the overlap, on both axes."""
+    return A.remove_overlaps(_blocks(spark, sf_dir), ["l_orderkey"])
+
+
+@query()
+def greedy_blocks(spark, sf_dir):
+    """Blocks of each order after the weaker of two overlapping ones lost the overlap, on both axes."""
+    return A.remove_overlaps(_blocks(spark, sf_dir), ["l_orderkey"], greedy=True)
+
+
+@query()
+def optimised_blocks(spark, sf_dir):
+    """Blocks of each order that a chain gains from."""
+    return A.optimise(_blocks(spark, sf_dir), ["l_orderkey"], alpha=20)
+
+
+def _chains(spark, sf_dir) -> DataFrame:
+    return _blocks(spark, sf_dir).withColumnsRenamed({"l_orderkey": "ctg"}).withColumn("ref", (F.col("ctg") % 7).cast("int"))
+
+
+@query()
+def reference_chains(spark, sf_dir):
+    """Blocks of each order that share no stretch with better ones on either axis."""
+    lengths = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ctg"), F.lit(2000).cast("bigint").alias("length"))
+    return A.chains_to_reference(_chains(spark, sf_dir), lengths, least=1)[0]
+
+
+@query(f"""WITH RECURSIVE a AS ({_BLOCKS}), c AS (SELECT l_orderkey, e1 AS e, CAST(score AS DOUBLE) AS score FROM a
+  UNION ALL SELECT c.l_orderkey, a.e1, c.score + a.score - greatest(c.e - a.s1, 0) FROM c JOIN a ON a.l_orderkey = c.l_orderkey AND a.e1 > c.e)
+SELECT l_orderkey, max(score) AS score FROM c GROUP BY l_orderkey""")
+def contig_paths(spark, sf_dir):
+    """Score of the best path of each order's blocks along the first axis, overlaps counted against it."""
+    rows = _blocks(spark, sf_dir).withColumnsRenamed({"l_orderkey": "ref"}).withColumn("ctg", F.lit(0))
+    w = Window.partitionBy("ref").orderBy("place")
+    links = A.best_contig_path(rows).withColumn("over", F.greatest(F.coalesce(F.lag("e1").over(w) - F.col("s1"), F.lit(0)), F.lit(0)))
+    return links.groupBy(F.col("ref").alias("l_orderkey")).agg((F.sum("score") - F.sum("over")).cast("double").alias("score"))
+
+
+_NUMBERED = f"""SELECT l_orderkey % 50 AS ref, l_orderkey // 50 AS ctg, s1, e1, s2, e2, orient, score, row_number() OVER (PARTITION BY l_orderkey ORDER BY s2, e2, s1, e1) AS number FROM ({_BLOCKS})"""
+
+
+@query(f"""WITH c AS ({_NUMBERED}), n AS (SELECT *, CASE WHEN ctg = lag(ctg) OVER w AND orient = lag(orient) OVER w AND number - lag(number) OVER w = CASE WHEN orient = 0 THEN 1 ELSE -1 END THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY ref ORDER BY e1, s1, ctg, number)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY ref ORDER BY e1, s1, ctg, number ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT ref, min(ctg) AS ctg, min(s1) AS s1, max(e1) AS e1, min(s2) AS s2, max(e2) AS e2, min(orient) AS orient, CAST(sum(score) AS BIGINT) AS score, count(*) AS chains FROM i GROUP BY ref, island""")
+def joined_chains(spark, sf_dir):
+    """Blocks of 50 references, those that follow each other on both axes joined."""
+    w = Window.partitionBy("l_orderkey").orderBy("s2", "e2", "s1", "e1")
+    rows = _blocks(spark, sf_dir).withColumn("number", F.row_number().over(w)).select((F.col("l_orderkey") % 50).alias("ref"), F.expr("l_orderkey div 50").alias("ctg"), *A.BLOCK, "number")
+    return A.join_chains(rows)
+
+
+@query(f"""WITH b AS ({_BLOCKS}), x AS (SELECT l_orderkey, s1 AS src, lead(s1) OVER (PARTITION BY l_orderkey ORDER BY s1, e1) AS dst, 1 AS axis FROM b UNION ALL SELECT l_orderkey, s1, lead(s1) OVER (PARTITION BY l_orderkey ORDER BY s2, e2, s1), 2 FROM b)
+SELECT l_orderkey, src, dst, CAST(axis AS INTEGER) AS axis FROM x WHERE dst IS NOT NULL""")
+def breakpoint_edges(spark, sf_dir):
+    """Neighbouring blocks of each order on both axes."""
+    return A.breakpoint_graph(_blocks(spark, sf_dir), ["l_orderkey"])
+
+
+@query("""SELECT c_custkey, count(*) AS hits FROM customer JOIN lineitem ON l_partkey BETWEEN c_custkey AND c_custkey + 40 AND l_suppkey BETWEEN c_nationkey AND c_nationkey + 3 AND l_linenumber BETWEEN 2 AND 3 GROUP BY c_custkey""")
+def box_hits(spark, sf_dir):
+    """Line items in a customer's box of three dimensions."""
+    boxes = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("a"), (F.col("c_custkey") + 40).alias("b"), F.col("c_nationkey").alias("c"), (F.col("c_nationkey") + 3).alias("d"), F.lit(2).alias("e"), F.lit(3).alias("f"))
+    points = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+    return I.box_join(points, boxes, [("l_partkey", "a", "b"), ("l_suppkey", "c", "d"), ("l_linenumber", "e", "f")], 64).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(f"""WITH b AS ({_BLOCKS}), p AS (SELECT *, lag(e1) OVER w AS pe1, lag(orient) OVER w AS po, lag(s2) OVER w AS ps2, lag(e2) OVER w AS pe2 FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY s1, e1, s2))
+SELECT l_orderkey, CAST(sum(CASE WHEN orient = po THEN 1.0 + least(10000.0, 2.0 * ((2000 - pe2) + s2)) ELSE 10001.0 + 2.0 * abs(s1 - pe1) END) AS DOUBLE) AS cost FROM p WHERE pe1 IS NOT NULL GROUP BY l_orderkey""")
+def crossing_costs(spark, sf_dir):
+    """Cost of each order's neighbouring blocks as if they lay on different contigs of 2000 letters."""
+    w = Window.partitionBy("l_orderkey").orderBy("s1", "e1", "s2")
+    rows = _blocks(spark, sf_dir).select("l_orderkey", "s1", "s2", "orient", F.lag("e1").over(w).alias("pe1"), F.lag("e2").over(w).alias("pe2"), F.lag("orient").over(w).alias("po")).where("pe1 is not null")
+    return rows.groupBy("l_orderkey").agg(F.sum(E.cross_cost(F.col("s1") - F.col("pe1"), 2000 - F.col("pe2"), F.col("s2"), F.col("orient") == F.col("po"))).alias("cost"))
+
+
 @query("""WITH p AS (SELECT l_orderkey, l_partkey AS a1, l_suppkey AS a2, CAST(l_linenumber AS BIGINT) AS a3, lead(l_partkey) OVER w AS b1, lead(l_suppkey) OVER w AS b2, CAST(lead(l_linenumber) OVER w AS BIGINT) AS b3
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
 d AS (SELECT *, abs(a1 - b1) AS d1, abs(a2 - b2) AS d2, abs(a3 - b3) AS d3 FROM p WHERE b1 IS NOT NULL)
@@ -353,6 +450,11 @@ o AS (SELECT src, count(*) AS n FROM d GROUP BY src), i AS (SELECT dst, count(*)
 """
 
 
+_COMPONENTS = """, u AS (SELECT DISTINCT a.path AS x, b.path AS y FROM s a JOIN s b USING (node_id)), u2 AS (SELECT DISTINCT u.x, w.y FROM u JOIN u w ON w.x = u.y),
+k AS (SELECT u2.x AS path, min(s.node_id) AS component FROM u2 JOIN s ON s.path = u2.y GROUP BY u2.x)
+"""
+
+
 @query(_LAYER_EDGES + "SELECT src, dst, count(*) AS n_paths FROM e WHERE (src, dst) IN (SELECT src, dst FROM e GROUP BY src, dst HAVING bool_and(path % 2 = 1)) GROUP BY src, dst")
 def structural_edges(spark, sf_dir):
     """Edges of the layered graphs that only original layouts traverse."""
@@ -430,6 +532,63 @@ def superbubbles(spark, sf_dir):
     return B.superbubbles(_layered(spark, sf_dir)).withColumn("inner", F.array_join(F.col("inner").cast("array<string>"), ","))
 
 
+_SKIPPED = f"""SELECT path, row_number() OVER (PARTITION BY path ORDER BY step) - 1 AS step, node_id, seq FROM ({_LAYERED}) WHERE path % 3 <> 1 OR step % 4 <> 1"""
+
+
+def _skipping(spark, sf_dir) -> G.Graph:
+    """The layered graphs where every third user leaves out every fourth step, so that there are indels."""
+    g = _layered(spark, sf_dir)
+    w = Window.partitionBy("path").orderBy("step")
+    steps = g.steps.where("path % 3 <> 1 or step % 4 <> 1").withColumn("step", F.row_number().over(w) - 1)
+    return G.Graph(g.nodes.join(steps.select("node_id").distinct(), "node_id", "left_semi"), steps)
+
+
+_REPORT = _LAYER_EDGES.replace(_LAYERED, _SKIPPED) + _ALLELES + """, offs AS (SELECT path, step, node_id, length(seq) AS n, coalesce(sum(length(seq)) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s),
+pos AS (SELECT bub.source, bub.sink, min(a.path) AS reference, CAST(arg_min(a.o + a.n, a.path) AS BIGINT) AS pos_start, CAST(arg_min(b.o, a.path) AS BIGINT) AS pos_end FROM bub JOIN offs a ON a.node_id = bub.source JOIN offs b ON b.node_id = bub.sink AND b.path = a.path AND b.step > a.step GROUP BY bub.source, bub.sink),
+size AS (SELECT source, sink, type, max(CASE WHEN allele = '-' THEN 0 ELSE length(allele) END) AS max_size, min(CASE WHEN allele = '-' THEN 0 ELSE length(allele) END) AS min_size, string_agg(allele, ',' ORDER BY allele_index) AS genotypes,
+  string_agg(CASE WHEN allele = '-' THEN '' ELSE allele END, '|' ORDER BY allele_index) AS texts FROM t GROUP BY source, sink, type)
+"""
+
+
+@query(_REPORT + "SELECT reference, pos_start, pos_end, source, sink, max_size, min_size, type, genotypes FROM size JOIN pos USING (source, sink)")
+def variant_table(spark, sf_dir):
+    """Variants of the layered graphs with sizes, and places on the first user that passes."""
+    r = B.variant_report(_skipping(spark, sf_dir))
+    return r.select("reference", "pos_start", "pos_end", "source", "sink", "max_size", "min_size", "type", F.array_join("genotypes", ",").alias("genotypes"))
+
+
+@query(_REPORT + "SELECT reference, pos_start, pos_end, source, sink FROM size JOIN pos USING (source, sink) WHERE max_size - min_size >= 1 AND type = 'indel'")
+def filtered_variants(spark, sf_dir):
+    """Indels of the layered graphs that differ in size."""
+    return B.variant_report(_skipping(spark, sf_dir), min_diff=1, kind="indel").select("reference", "pos_start", "pos_end", "source", "sink")
+
+
+@query(_REPORT + """, m AS (SELECT node_id, max(seq) AS seq FROM s GROUP BY node_id), f AS (SELECT *, max_size > min_size AS differ, right(m.seq, 1) AS base FROM size JOIN pos USING (source, sink) JOIN m ON m.node_id = source),
+h AS (SELECT *, list_transform(string_split(texts, '|'), lambda x: CASE WHEN differ THEN base || x ELSE x END) AS a, CASE WHEN differ THEN pos_start ELSE pos_start + 1 END AS p FROM f)
+SELECT concat_ws(chr(9), reference, p, '.', a[1], array_to_string(a[2:], ','), '.', 'PASS', 'diffsize=' || (max_size - min_size) || ';source=' || source || ';sink=' || sink || ';bubbletype=' || type || ';start=' || p || ';end=' || pos_end, 'GT:SZ') AS line FROM h""")
+def vcf_records(spark, sf_dir):
+    """All variants of the layered graphs as VCF lines."""
+    return B.vcf_lines(B.variant_report(_skipping(spark, sf_dir)), [])
+
+
+@query(_LAYER_EDGES + _COMPONENTS + _BUBBLES + """, z AS (SELECT component, node_id, count(*) AS visits, count(DISTINCT s.path) AS paths, max(length(seq)) AS n FROM s JOIN k USING (path) GROUP BY component, node_id),
+w AS (SELECT component, count(DISTINCT path) AS k, string_agg(DISTINCT CAST(path AS VARCHAR), ',') AS p FROM s JOIN k USING (path) GROUP BY component),
+c AS (SELECT component, count(*) FILTER (WHERE visits = k AND paths = k) AS chain_nodes, CAST(coalesce(sum(n * k * (k - 1) // 2) FILTER (WHERE visits = k AND paths = k), 0) AS BIGINT) AS chain_weight, count(*) AS nodes, max(k) AS users FROM z JOIN w USING (component) GROUP BY component),
+y AS (SELECT component, count(*) AS simple_bubbles FROM bub JOIN (SELECT DISTINCT node_id, component FROM s JOIN k USING (path)) ON node_id = source GROUP BY component)
+SELECT component, nodes, users, coalesce(simple_bubbles, 0) AS simple_bubbles, chain_nodes, chain_weight FROM c LEFT JOIN y USING (component)""")
+def component_stats(spark, sf_dir):
+    """Nodes, users, simple bubbles and the chain of common nodes of each component of the layered graphs."""
+    g = _layered(spark, sf_dir)
+    rows = B.component_stats(g, B.simple_bubbles(g.edges()).withColumn("simple", F.lit(True)))
+    return rows.select("component", "nodes", F.size(F.split("paths", ",")).cast("bigint").alias("users"), "simple_bubbles", "chain_nodes", "chain_weight")
+
+
+@query()
+def indel_wiggles(spark, sf_dir):
+    """How far indels of the layered graphs can move."""
+    return B.indel_wiggle(_skipping(spark, sf_dir))
+
+
 @query(_LAYER_EDGES + "SELECT path, length(seq) AS n, md5(seq) AS digest FROM (SELECT path, string_agg(seq, '' ORDER BY step) AS seq FROM s GROUP BY path)")
 def extract_paths(spark, sf_dir):
     """The sequence of every path."""
@@ -448,22 +607,56 @@ def subgraph_range(spark, sf_dir):
     return G.subgraph(_layered(spark, sf_dir), 1, 12, 60).nodes.select("node_id")
 
 
-@query()
+def _private(spark, sf_dir) -> G.Graph:
+    """Graphs of three users where every step is a node of its own, after one that they share."""
+    s = _event_steps(spark, sf_dir).select(F.col("user_id").alias("path"), (F.col("step") + 1).alias("step"), (F.col("user_id") * 100000 + F.col("step") + 1).cast("bigint").alias("node_id"), F.upper(F.substring("event_type", 1, 3)).alias("seq"))
+    first = s.select("path").distinct().select("path", F.lit(0).alias("step"), (-F.expr("path div 3") - 1).cast("bigint").alias("node_id"), F.lit("<").alias("seq"))
+    s = s.unionByName(first).withColumn("orient", F.lit("+"))
+    return G.Graph(s.groupBy("node_id").agg(F.first("seq").alias("seq")), s.select("path", "step", "node_id", "orient"))
+
+
+@query(f"""WITH p AS (SELECT user_id // 3 AS family, string_agg(upper(substring(event_type, 1, 3)), '' ORDER BY step) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS prefix FROM ({_STEPS}))
+SELECT family, count(DISTINCT prefix) + 1 AS nodes FROM p GROUP BY family""")
 def pruned_nodes(spark, sf_dir):
-    """Nodes that are left after equal siblings were merged."""
-    return G.prune(_layered(spark, sf_dir)).nodes
+    """Nodes of each three users' graph after equal siblings were merged: as many as their sequences have different beginnings."""
+    g = G.prune(_private(spark, sf_dir))
+    family = g.steps.select(F.expr("path div 3").alias("family"), "node_id").distinct()
+    return family.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query()
+_UNARY = """, v AS (SELECT node_id, lead(node_id) OVER (PARTITION BY path ORDER BY step) AS a, lag(node_id) OVER (PARTITION BY path ORDER BY step) AS b FROM s),
+x AS (SELECT node_id, min(a) AS a, min(b) AS b, count(DISTINCT a) AS na, count(DISTINCT b) AS nb, count(*) - count(a) AS ea, count(*) - count(b) AS eb FROM v GROUP BY node_id),
+l AS (SELECT x.node_id AS src, x.a AS dst FROM x JOIN x y ON y.node_id = x.a AND y.b = x.node_id WHERE x.na = 1 AND x.ea = 0 AND y.nb = 1 AND y.eb = 0),
+q AS (SELECT node_id, max(seq) AS seq FROM s GROUP BY node_id),
+r AS (SELECT node_id AS head, node_id AS at, seq, 1 AS n FROM q WHERE node_id NOT IN (SELECT dst FROM l) UNION ALL SELECT head, dst, r.seq || q.seq, n + 1 FROM r JOIN l ON l.src = r.at JOIN q ON q.node_id = l.dst)
+"""
+
+
+@query(_LAYER_EDGES + _UNARY + "SELECT head AS node_id, arg_max(seq, n) AS seq FROM r GROUP BY head")
 def contracted_nodes(spark, sf_dir):
     """Nodes that are left after unary stretches were collapsed."""
     return G.contract(_layered(spark, sf_dir)).nodes
 
 
-@query()
+@query(_LAYER_EDGES + _COMPONENTS + "SELECT component, CAST(max(3 * (step + 1)) AS BIGINT) AS length, max(step) + 1 AS nodes FROM s JOIN k USING (path) GROUP BY component")
 def longest_paths(spark, sf_dir):
-    """The longest path of each layered graph."""
-    return G.longest_path(_layered(spark, sf_dir)).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
+    """Length and nodes of the longest path of each layered graph."""
+    return G.longest_path(_layered(spark, sf_dir)).select("component", "length", F.size("path").cast("bigint").alias("nodes"))
+
+
+@query(_LAYER_EDGES + _COMPONENTS + """SELECT component, string_agg(DISTINCT CAST(path AS VARCHAR), '_' ORDER BY CAST(path AS VARCHAR)) AS name, count(DISTINCT node_id) AS nodes FROM s JOIN k USING (path) GROUP BY component""")
+def split_components(spark, sf_dir):
+    """Components of the layered graphs, named by their users."""
+    g = _layered(spark, sf_dir)
+    text = G.Graph(g.nodes, g.steps.withColumn("path", F.col("path").cast("string")))
+    return G.named_components(text).groupBy("component", "name").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(_LAYER_EDGES + _COMPONENTS + """SELECT (SELECT count(DISTINCT node_id) FROM s) AS nodes, (SELECT count(*) FROM d) AS edges, (SELECT count(DISTINCT path) FROM s WHERE path % 2 = 0) AS samples, (SELECT count(DISTINCT component) FROM k) AS components,
+(SELECT count(*) FROM (SELECT src, dst FROM e GROUP BY src, dst HAVING bool_and(path % 2 = 1))) AS structural_edges""")
+def graph_counts(spark, sf_dir):
+    """Nodes, edges, samples, components and structural edges of the layered graphs, where odd users are original layouts."""
+    return G.graph_counts(_layered(spark, sf_dir), lambda p: p % 2 == 1)
 
 
 @query(_LAYER_EDGES + "SELECT DISTINCT node_id, CAST(3 * step AS BIGINT) AS layer_offset FROM s")
@@ -518,13 +711,28 @@ def chopped_kmers(spark, sf_dir):
     return nodes.agg(F.sum(F.length("seq").cast("bigint") - 11).alias("kmers"))
 
 
-@query("""WITH b AS (SELECT item_id, text FROM benchmark), v AS (SELECT item_id || 'a' AS path, text AS seq FROM b UNION ALL SELECT item_id || 'b', substring(text, 1, 40) || 'XX' || substring(text, 61) FROM b)
-SELECT path, length(seq) AS n, md5(seq) AS digest FROM v WHERE path IN ('0a', '0b')""")
+@query("""WITH b AS (SELECT item_id, text FROM benchmark), v AS (SELECT item_id || 'a' AS path, text AS seq FROM b UNION ALL SELECT item_id || 'b', substring(text, 1, 40) || 'XX' || substring(text, 61) FROM b WHERE length(text) > 80)
+SELECT path, length(seq) AS n, md5(seq) AS digest FROM v""")
 def aligned_paths(spark, sf_dir):
-    """Recursive alignment of an item and an edited copy: the paths give the texts back."""
-    b = _t(spark, sf_dir, "benchmark").where("item_id = 0").select(F.concat(F.col("item_id").cast("string"), F.lit("a")).alias("path"), F.col("text").alias("seq"))
-    edited = b.select(F.translate("path", "a", "b").alias("path"), F.expr("substring(seq, 1, 40) || 'XX' || substring(seq, 61)").alias("seq"))
-    return _path_digests(X.recursive_align(b.unionByName(edited), k=12))
+    """Recursive alignment of every item with an edited copy: the paths give the texts back."""
+    return _path_digests(_aligned_items(spark, sf_dir))
+
+
+def _aligned_items(spark, sf_dir) -> G.Graph:
+    b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("group"), "text")
+    edited = b.where("length(text) > 80").select("group", F.concat("group", F.lit("b")).alias("path"), F.expr("substring(text, 1, 40) || 'XX' || substring(text, 61)").alias("seq"))
+    return X.recursive_align(b.select("group", F.concat("group", F.lit("a")).alias("path"), F.col("text").alias("seq")).unionByName(edited), k=12)
+
+
+@query("""WITH b AS (SELECT item_id, length(text) AS n FROM benchmark WHERE length(text) > 80)
+SELECT item_id, n >= 72 AND n - 60 >= 12 AS ends_shared FROM b""")
+def aligned_ends(spark, sf_dir):
+    """Whether the alignment of an item with its edited copy shares the first and the last node, as their equal ends say."""
+    g = _aligned_items(spark, sf_dir)
+    ends = g.steps.groupBy("path").agg(F.min_by("node_id", "step").alias("first"), F.max_by("node_id", "step").alias("last"))
+    item = ends.select(F.expr("cast(substring(path, 1, length(path) - 1) as bigint)").alias("item_id"), F.substring("path", -1, 1).alias("copy"), "first", "last")
+    a, b = (item.where(F.col("copy") == c).select("item_id", F.col("first").alias(f"f{c}"), F.col("last").alias(f"l{c}")) for c in "ab")
+    return a.join(b, "item_id").select("item_id", ((F.col("fa") == F.col("fb")) & (F.col("la") == F.col("lb"))).alias("ends_shared"))
 
 
 @query()
@@ -564,13 +772,6 @@ def bed_records(spark, sf_dir):
     return S.bed_lines(_spans(spark, sf_dir), ["o_custkey", "s", "e", "o_orderkey"])
 
 
-@query()
-def vcf_records(spark, sf_dir):
-    """Variants on user 1's path as VCF lines."""
-    g = _layered(spark, sf_dir)
-    return B.vcf_lines(B.variants(g), g, 1)
-
-
 @query("""WITH c AS (SELECT p_size, CAST(p_partkey AS VARCHAR) AS path, i, substring(p_brand, i, 1) AS base FROM (SELECT *, unnest(range(1, length(p_brand) + 1)) AS i FROM part)),
 n AS (SELECT p_size, i, base, string_agg(path, ',' ORDER BY path) AS paths FROM c WHERE base <> '-' GROUP BY p_size, i, base),
 r AS (SELECT *, i - row_number() OVER (PARTITION BY p_size, paths ORDER BY i) AS run FROM n)
@@ -594,7 +795,7 @@ def placed_contigs(spark, sf_dir):
     """Second halves of benchmark items placed on the items."""
     b = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("seq"))
     halves = b.select("name", F.expr("substring(seq, int(length(seq) div 2) + 1)").alias("seq"))
-    return L.place_contigs(b, halves, k=20).select("ref", "ctg", "orient", "s1", "e1")
+    return L.place_contigs(b, halves, k=20, stop="").select("ref", "ctg", "orient", "s1", "e1")
 
 
 # ---------------------------------------------------------------- measures and classes
@@ -636,5 +837,28 @@ def cigar_lengths(spark, sf_dir):
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     """Hourly counts of events, run as a stream over the table's files."""
-    out = stream.drained(spark, sf_dir, "events", stream.windowed)
+    out = stream.drained(spark, sf_dir, "events", stream.windowed, ["window_start", "event_type"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""WITH n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n, round(sum(value), 4) AS total FROM i GROUP BY user_id, island""")
+def event_sessions(spark, sf_dir):
+    """Sessions of each user, six hours or more apart."""
+    out = stream.sessions(_t(spark, sf_dir, "events"), "6 hours")
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n", "total")
+
+
+@query("""WITH h AS (SELECT p_brand AS name, p_size AS score, p_partkey AS qbegin, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM part) SELECT name, score, qbegin FROM h WHERE k = 1""")
+def best_annotations(spark, sf_dir):
+    """The part of largest size of each brand; ties keep the first key."""
+    rows = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.col("p_size").alias("score"), F.col("p_partkey").alias("qbegin"))
+    return annotate.best_hits(rows, "name", "score", ["qbegin"])
+
+
+@query("SELECT o_orderkey AS name FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)")
+def unplaced_contigs(spark, sf_dir):
+    """Orders without a large line item."""
+    placed = _t(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("ctg"))
+    return A.unplaced(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name")), placed)

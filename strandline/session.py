@@ -66,6 +66,12 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many parts as there are cores, if it has fewer: a small input of few splits is then read by one task and worked on by all."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each context, and bound Arrow batches by bytes.
 

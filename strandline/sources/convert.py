@@ -46,8 +46,8 @@ WRITERS = {"gfa": S.gfa_lines, "gml": S.gml_lines, "maf": lambda g: S.maf_lines(
 
 def _aligned(spark: SparkSession, path: str) -> DataFrame:
     """Records of an aligned multi-FASTA, gaps kept."""
-    raw = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
-    return raw.select(F.trim(F.substring_index("value", "\n", 1)).alias("path"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")).alias("text"))
+    raw, head, body = S._records(spark, path)
+    return raw.select(F.trim(F.regexp_replace(head, ">", "")).alias("path"), F.upper(F.regexp_replace(body, r"\s", "")).alias("text"))
 
 
 def convert(spark: SparkSession, path: str, source: str, target: str) -> DataFrame:

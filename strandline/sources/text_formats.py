@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import Graph, offsets, path_edges
+from strandline.operators.graph import Graph, layers_by_rounds
 
 #: Letters in a line of a written FASTA record.
 WIDTH = 100
 
 
+def _records(spark: SparkSession, path: str) -> tuple[DataFrame, Column, Column]:
+    """Records that begin with ``>`` at a line's start, with their first line and the rest."""
+    raw = spark.read.text(path, lineSep="\n>").where(F.trim("value") != "")
+    value = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\A\s*>", "")
+    return raw, F.substring_index(value, "\n", 1), F.regexp_replace(value, r"\A[^\n]*\n?", "")
+
+
 def read_fasta(spark: SparkSession, path: str, cut_n: int = 0, truncate_n: bool = False) -> DataFrame:
     """``name, seq`` of FASTA records, gzip by file name.
 
@@ -18,11 +25,9 @@ def read_fasta(spark: SparkSession, path: str, cut_n: int = 0, truncate_n: bool
     records go. ``truncate_n`` turns runs of N into one N and drops a leading
     one; ``cut_n`` cuts at runs of that many N and numbers the pieces.
     """
-    raw = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
-    value = F.regexp_replace("value", "\r", "")
-    head = F.regexp_replace(F.substring_index(value, "\n", 1), "[>\t]", "")
-    body = F.upper(F.regexp_replace(F.regexp_replace(value, r"^[^\n]*\n?", ""), r"[\s-]", ""))
-    out = raw.select(head.alias("name"), body.alias("seq")).where("seq <> ''")
+    raw, head, body = _records(spark, path)
+    sequence = F.upper(F.regexp_replace(body, r"[\s-]", ""))
+    out = raw.select(F.regexp_replace(head, "[>\t]", "").alias("name"), sequence.alias("seq")).where("seq <> ''")
     if truncate_n:
         out = out.withColumn("seq", F.regexp_replace(F.regexp_replace("seq", "N+", "N"), "^N", ""))
     if cut_n:
@@ -41,29 +46,87 @@ def fasta_lines(seqs: DataFrame) -> DataFrame:
     return seqs.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.regexp_replace("seq", rf"(.{{{WIDTH}}})(?=.)", "$1\n")).alias("line"))
 
 
+def gfa_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The records of a GFA file: ``segments(name, seq, tags)``, ``links(src, ofrom, dst, oto, cigar, tags)``, ``paths(path, step, name, orient, overlap)``.
+
+    A ``*`` sequence is empty; ``overlap`` is the CIGAR with the step before,
+    null where there is none. Tags map a name to its value.
+    """
+    c = F.split("value", "\t")
+    rows = spark.read.text(path).select(F.substring("value", 1, 1).alias("kind"), c.alias("c"))
+    at = lambda i: F.get("c", F.lit(i))
+
+    def tags(first: int) -> Column:
+        own = F.filter(F.slice("c", first + 1, F.greatest(F.size("c") - first, F.lit(0))), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:"))
+        return F.map_from_entries(F.array_distinct(F.transform(own, lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.substring(x, 6, 1 << 30).alias("value"))))).alias("tags")
+
+    segments = rows.where("kind = 'S'").select(at(1).alias("name"), F.when(at(2) == "*", "").otherwise(F.coalesce(at(2), F.lit(""))).alias("seq"), tags(3))
+    links = rows.where("kind = 'L'").select(at(1).alias("src"), at(2).alias("ofrom"), at(3).alias("dst"), at(4).alias("oto"), F.coalesce(at(5), F.lit("0M")).alias("cigar"), tags(6))
+    paths = rows.where("kind = 'P'").select(at(1).alias("path"), F.split(at(3), ",").alias("o"), F.posexplode(F.split(at(2), ",")).alias("step", "s"))
+    overlap = F.when(F.col("step") > 0, F.get("o", F.col("step") - 1))
+    paths = paths.select("path", "step", F.expr("substring(s, 1, length(s) - 1)").alias("name"), F.substring("s", -1, 1).alias("orient"), F.when(overlap.rlike("[0-9]"), overlap).alias("overlap"))
+    return {"segments": segments, "links": links, "paths": paths}
+
+
+def node_ids(names: Column) -> Column:
+    """Names that are whole numbers as such, others by a hash."""
+    return F.coalesce(F.when(names.rlike("^(0|[1-9][0-9]{0,17})$"), names.cast("bigint")), F.xxhash64(names))
+
+
 def read_gfa(spark: SparkSession, path: str, keep_original: bool = True) -> Graph:
-    """A graph from S and P lines; nodes that no path visits are dropped, as are ``*`` paths unless asked for."""
-    cols = F.split("value", "\t")
-    rows = spark.read.text(path).select(F.substring("value", 1, 1).alias("kind"), cols.alias("c"))
-    nodes = rows.where("kind = 'S'").select(F.get("c", F.lit(1)).cast("bigint").alias("node_id"), F.coalesce(F.get("c", F.lit(2)), F.lit("")).alias("seq"))
-    paths = rows.where("kind = 'P'").select(F.get("c", F.lit(1)).alias("path"), F.split(F.get("c", F.lit(2)), ",").alias("s"))
-    if not keep_original:
-        paths = paths.where("path not like '*%'")
-    steps = paths.select("path", F.posexplode("s").alias("step", "s")).select("path", "step", F.expr("cast(substring(s, 1, length(s) - 1) as bigint)").alias("node_id"), F.substring("s", -1, 1).alias("orient"))
+    """A graph from the segments and paths of a GFA file.
+
+    Nodes that no path visits are dropped, unless the file has no paths at all;
+    so are ``*`` paths unless asked for. A step's ``overlap`` with the one
+    before is a column of the steps if the file has any but ``0M``.
+    """
+    t = gfa_tables(spark, path)
+    nodes = t["segments"].select(node_ids(F.col("name")).alias("node_id"), "seq")
+    paths = t["paths"] if keep_original else t["paths"].where("path not like '*%'")
+    steps = paths.select("path", "step", node_ids(F.col("name")).alias("node_id"), "orient", "overlap")
+    if not steps.where("overlap rlike '[1-9]'").take(1):
+        steps = steps.drop("overlap")
+    if not steps.take(1):
+        return Graph(nodes, steps)
     return Graph(nodes.join(steps.select("node_id").distinct(), "node_id", "left_semi"), steps)
 
 
-def gfa_lines(graph: Graph) -> DataFrame:
-    """``line``: header, segments, links and paths."""
+def gfa_lines(graph: Graph, links: DataFrame | None = None) -> DataFrame:
+    """``line``: header, segments, links and paths; ``links(src, dst, cigar)`` gives overlaps other than ``0M``."""
     spark = graph.nodes.sparkSession
     head = spark.range(1).select(F.lit("H\tVN:Z:1.0").alias("line"))
     s = graph.nodes.select(F.concat_ws("\t", F.lit("S"), F.col("node_id").cast("string"), "seq").alias("line"))
-    e = graph.edges().select(F.concat_ws("\t", F.lit("L"), F.col("src").cast("string"), "ofrom", F.col("dst").cast("string"), "oto", F.lit("0M")).alias("line"))
+    edges = graph.edges().withColumn("cigar", F.lit("0M"))
+    if links is not None:
+        edges = edges.drop("cigar").join(links.select("src", "dst", "cigar").distinct(), ["src", "dst"], "left").withColumn("cigar", F.coalesce("cigar", F.lit("0M")))
+    e = edges.select(F.concat_ws("\t", F.lit("L"), F.col("src").cast("string"), "ofrom", F.col("dst").cast("string"), "oto", "cigar").alias("line"))
     p = graph.steps.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("step", F.concat(F.col("node_id").cast("string"), "orient").alias("s")))).alias("a"))
     p = p.select(F.concat_ws("\t", F.lit("P"), F.col("path").cast("string"), F.array_join(F.transform("a", lambda x: x["s"]), ","), F.array_join(F.array_repeat(F.lit("0M"), F.size("a") - 1), ",")).alias("line"))
     return head.unionByName(s).unionByName(e).unionByName(p)
 
 
+def renumbered(graph: Graph) -> Graph:
+    """The graph with node ids 1 .. n in topological order, ties by id; a cycle is an error."""
+    order = layers_by_rounds(graph.edges(), graph.nodes)
+    ids = order.select("node_id", F.row_number().over(Window.orderBy("layer", "node_id")).cast("bigint").alias("new"))  # ids alone, for a writer
+    return Graph(graph.nodes.join(ids, "node_id").select(F.col("new").alias("node_id"), "seq"), graph.steps.join(ids, "node_id").select("path", "step", F.col("new").alias("node_id"), "orient"))
+
+
+def node_fasta_lines(graph: Graph) -> DataFrame:
+    """``line``: each node as a FASTA record."""
+    return fasta_lines(graph.nodes.select(F.col("node_id").cast("string").alias("name"), "seq"))
+
+
+def split_lines(graph: Graph, named: DataFrame) -> DataFrame:
+    """``name, line``: segments and paths of each part that ``named(node_id, name)`` puts nodes into, for one file each."""
+    s = graph.nodes.join(named, "node_id").select("name", F.concat_ws("\t", F.lit("S"), F.col("node_id").cast("string"), "seq").alias("line"))
+    steps = graph.steps.join(named, "node_id")
+    e = graph.edges().join(named.select(F.col("node_id").alias("src"), "name"), "src").select("name", F.concat_ws("\t", F.lit("L"), F.col("src").cast("string"), "ofrom", F.col("dst").cast("string"), "oto", F.lit("0M")).alias("line"))
+    p = steps.groupBy("name", "path").agg(F.array_sort(F.collect_list(F.struct("step", F.concat(F.col("node_id").cast("string"), "orient").alias("s")))).alias("a"))
+    p = p.select("name", F.concat_ws("\t", F.lit("P"), F.col("path").cast("string"), F.array_join(F.transform("a", lambda x: x["s"]), ","), F.lit("*")).alias("line"))
+    return s.unionByName(e).unionByName(p)
+
+
 def gml_lines(graph: Graph) -> DataFrame:
     """``line``: GML nodes and edges, attributes as strings."""
     n = graph.nodes.select(F.format_string('node [\n  id %d\n  seq "%s"\n  l %d\n]', "node_id", "seq", F.length("seq")).alias("line"))
@@ -110,10 +173,27 @@ TRF = "start end period_size copynumber cons_size percent_match percent_indel sc
 REPEATMASKER = "score div del ins qsequence qbegin qend qleft C_ rtype rfamily rbegin rend rleft vid".split()
 
 
+_NAMES = {"entropy", "pattern", "masked", "qsequence", "C_", "rtype", "rfamily", "vid", "qleft", "rbegin", "rleft"}
+_REALS = {"copynumber", "div", "del", "ins"}
+
+
 def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Rows of a report with white-space separated columns; lines that begin with no digit are headers."""
+    """Rows of a report with white-space separated columns, numbers by type; lines that begin with no digit are headers."""
     c = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.trim("value").rlike(r"^\d")).select(*[F.get(c, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    kind = lambda n: "string" if n in _NAMES - {"entropy"} else "double" if n in _REALS | {"entropy"} else "bigint"
+    rows = spark.read.text(path).where(F.trim("value").rlike(r"^\d"))
+    return rows.select(*[F.get(c, F.lit(i)).try_cast(kind(n)).alias(n) for i, n in enumerate(names)])
+
+
+def mfa_lines(aligned: DataFrame) -> DataFrame:
+    """``line``: rows of an alignment ``(path, text)`` as FASTA records with gaps."""
+    return fasta_lines(aligned.select(F.col("path").alias("name"), F.col("text").alias("seq")))
+
+
+def renamed_reads(seqs: DataFrame, template: str) -> DataFrame:
+    """Records named ``template/number/0_length`` in order of their names, as long-read tools ask for."""
+    number = F.row_number().over(Window.orderBy("name"))
+    return seqs.select(F.concat_ws("/", F.lit(template), number.cast("string"), F.concat(F.lit("0_"), F.length("seq").cast("string"))).alias("name"), "seq")
 
 
 def aligned_graph(aligned: DataFrame) -> Graph:
@@ -133,6 +213,3 @@ def fasta_graph(seqs: DataFrame) -> Graph:
         raise ValueError("record names repeat")
     ids = seqs.select("name", "seq", F.shiftrightunsigned(F.xxhash64("name"), 1).alias("node_id"))
     return Graph(ids.select("node_id", "seq"), ids.select(F.col("name").alias("path"), F.lit(0).alias("step"), "node_id", F.lit("+").alias("orient")))
-
-
-__all__ = ["aligned_graph", "bed_lines", "fasta_graph", "fasta_lines", "gfa_lines", "gml_lines", "maf_lines", "offsets", "path_edges", "read_bed", "read_columns", "read_fasta", "read_gfa", "read_maf", "read_vcf", "split_runs"]
