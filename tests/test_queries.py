@@ -35,8 +35,8 @@ def duck():
 def test_query(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    if name not in catalogue.ORACLES:
-        assert got[0]
+    if name not in catalogue.ORACLES:  # operators tested against brute force in test_operators.py
+        assert got[0] and got[1]
         return
     cur = duck.execute(catalogue.ORACLES[name])
     names = [d[0] for d in cur.description]
