@@ -166,16 +166,17 @@ class Model:
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on ``docs(doc_id, text)``: labellers on the votes of all, the scorer on ``train_rows`` at most."""
+    """Fit on ``docs(doc_id, text)``: labellers on the votes of all, the scorer on about ``train_rows``, those whose hashes are smallest."""
     model = Model()
     seen = docs.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 3 ** 11 patterns at most
     if not len(seen):
         return model
     patterns = (seen.code.to_numpy()[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 - 1
     model.labellers = Labellers().fit(patterns, seen.n.to_numpy(float))
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chosen = docs.sparkSession.createDataFrame(ids.toPandas().drop_duplicates(), ids.schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(_examples, "shapes array<int>, counts array<int>, dense array<double>, votes array<tinyint>").limit(2 * train_rows).toPandas()
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))  # hashes alone decide: nothing is sorted, equal rows count once
+    share = min(1.0, train_rows / max(int(seen.n.sum()), 1))
+    chosen = docs.select(key.alias("key"), "text").where(F.col("key") < int(share * (1 << 40))).groupBy("key").agg(F.first("text").alias("text"))
+    rows = chosen.select("text").mapInArrow(_examples, "shapes array<int>, counts array<int>, dense array<double>, votes array<tinyint>").toPandas()  # about train_rows
     dense = np.array(rows.dense.tolist()).reshape(-1, DENSE)
     model.mean, model.scale = (dense.mean(0), dense.std(0) + 1e-6) if len(dense) else (np.zeros(DENSE), np.ones(DENSE))
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["shapes"]])
@@ -204,7 +205,10 @@ def score(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     ``posterior`` is the label model's probability that the text is good,
     ``score`` the linear scorer's; rows with a score of 0.5 or more are kept.
     Null and empty texts are scored like texts without words; repeated rows
-    have equal scores; an empty table gives none.
+    and rows without an id each get a row, equal texts equal scores; an empty
+    table gives none. Very long texts are read in chunks of whole texts, so the
+    longest one bounds a task's memory. Other columns, whatever their names, are
+    not read.
     """
     base = docs.select("doc_id", "text")
     kind = base.schema["doc_id"].dataType.simpleString()

@@ -258,11 +258,12 @@ class Model:
 def sample(docs: DataFrame, rows: int, total: int) -> DataFrame:
     """About ``rows`` of the ``total`` rows of ``docs(doc_id, text)``, those whose hashes are smallest; rows that are held out are none of them.
 
-    Hashes alone decide, so nothing is sorted or collected; rows that are equal
-    are in or out together.
+    Hashes alone decide, so nothing is sorted or collected; equal rows count
+    once.
     """
     share = min(1.0, rows / max(total * 0.8, 1))
-    return docs.where(~held_out() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    return docs.where(~held_out()).select(key.alias("key"), "text").where(F.col("key") < int(share * (1 << 40))).groupBy("key").agg(F.first("text").alias("text"))
 
 
 def fit_labels(codes: np.ndarray, n: np.ndarray, votes: np.ndarray, y: np.ndarray) -> LabelModel:
