@@ -259,7 +259,12 @@ def pack(docs: DataFrame, width: int = ROW, pool: int = POOL, ranks: str = RANKS
     ``doc_offsets``: each segment's document, and its place among that
     document's ids; ``n_tokens``: ids before the filling. Every row of ``docs``
     is in the output, whole: null and empty texts as a lone end id, repeated
-    rows repeatedly, a null doc_id as null. An empty table gives no rows.
+    rows repeatedly, a null doc_id as null. An empty table gives no rows. Very
+    long texts are split over rows; the longest one's ids bound a task's memory.
+    Pieces that tie in length are placed in input order. Which pieces share a
+    row follows from how the input is split, so that differently split files
+    give other rows of the same pieces. Other columns, whatever their names, are
+    not read. The rank file is read on the driver.
     """
     spark: SparkSession = docs.sparkSession
     base = docs.select("doc_id", "text")

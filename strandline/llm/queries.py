@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import chat, decontaminate, fingerprint, html_text, mixing, near_dedup, packing, quality, secrets, toxicity
-from strandline.session import ship
+from strandline.session import ship, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_fingerprint that SQL can express."""
+    return op3_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_secrets that SQL can express."""
+    return op6_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_mixing that SQL can express; targets to a thousandth of a word."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_quality, op3_fingerprint, op4_near_dedup, op5_packing, op6_secrets, op7_mixing, op8_html, op9_chat, op10_decontamination)
+    found = (op1_toxicity, op2_quality, op3_fingerprint, op4_near_dedup, op5_packing, op6_secrets, op7_mixing, op8_html, op9_chat, op10_decontamination, fingerprint_edits, secret_base_counts, mixing_targets)
     return {f.__name__: f for f in found}
 
 
@@ -124,5 +140,33 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
 
+_EDITS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS follows FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 2) || substring(follows, 1, length(t) // 2)) AS edited_sha256 FROM n
+"""
+
+_BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex
+FROM d
+"""
+
+_TARGETS = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, (k - 1) % 3 + 1 AS weight, 3.0 * source_size AS roof FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY roof / weight, k) AS i FROM w),
+c AS (SELECT *, sum(roof) OVER (ORDER BY i) AS full_, sum(weight) OVER () - sum(weight) OVER (ORDER BY i) AS rest, sum(source_size) OVER () AS total FROM r),
+l AS (SELECT 0 AS i, total / sum(weight) OVER () AS level FROM c UNION SELECT i, CASE WHEN rest > 0 THEN (total - full_) / rest END FROM c),
+f AS (SELECT level FROM l LEFT JOIN r ON r.i = l.i + 1 WHERE level IS NOT NULL AND (r.i IS NULL OR level * weight <= roof) ORDER BY l.i LIMIT 1)
+SELECT d.doc_id, d.size, w.source_size, round(least(w.roof, coalesce((SELECT level FROM f), 1e300) * w.weight), 3) AS target
+FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": _GROUPS, "op9_chat": _CHAT, "op10_decontamination": _LEAKS}
+    return {"op4_near_dedup": _GROUPS, "op9_chat": _CHAT, "op10_decontamination": _LEAKS, "fingerprint_edits": _EDITS, "secret_base_counts": _BASE, "mixing_targets": _TARGETS}

@@ -1,10 +1,14 @@
 """The pipeline's stages, and queries against their DuckDB statements."""
 
+import collections
+
 import duckdb
+import numpy as np
 import pytest
+from test_llm import brute_groups, brute_leaks, words
 
 import corpus_pipeline
-from strandline.llm import queries
+from strandline.llm import mixing, packing, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +27,35 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert ids == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_stages_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    clean = corpus_pipeline.materialise(stages["toxicity"](spark, docs, SF), "toxicity")
+    scores = toxicity.score(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert ids(clean) == {r.doc_id for r in scores if r.score < 0.5}
+    one = corpus_pipeline.materialise(stages["near_dedup"](spark, clean, SF), "near")
+    groups = brute_groups([(r.doc_id, r.text) for r in clean.collect()], 5, 80, 100)
+    assert ids(one) == {i for i, (_, root) in groups.items() if i == root}
+    rest = corpus_pipeline.materialise(stages["decontamination"](spark, one, SF), "rest")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = rest.collect()
+    assert {r.doc_id for r in rows} == {x[0] for x in brute_leaks([(r.doc_id, r.text) for r in one.collect()], items) if not x[5]}
+    mixed = corpus_pipeline.materialise(stages["mixing"](spark, rest, SF), "mixed")
+    taken, copies = collections.Counter(), collections.Counter()
+    for r in mixing.mixture(rest).collect():
+        taken[r.doc_id] += r.taken
+    text = {r.doc_id: r.text for r in rows}
+    for r in mixed.collect():
+        copies[r.doc_id] += len(words(r.text))
+        assert set(words(r.text)) <= set(words(text[r.doc_id])) and r.n_chars == len(r.text)
+    assert copies == +taken
+    bpe = packing.encoder(packing.read_ranks()).bpe
+    packed = collections.Counter(x for r in stages["packing"](spark, mixed, SF).collect() for x in np.frombuffer(r.ids, "<u2")[: r.n_tokens].tolist())
+    plain = collections.Counter(x for r in mixed.collect() for x in [*bpe.encode_ordinary(r.text), packing.END])
+    assert packed == plain
+
+
 def test_run_gives_the_stages_result(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "packing"]
