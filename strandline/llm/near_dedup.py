@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline.llm import wordhash as W
@@ -47,10 +47,8 @@ SLACK = 4.5
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 2048
 #: Members that are held against one copy of their group's smallest.
 STAR_ROWS = 512
-#: Texts that more than one in HOT rows is a copy of get their label by a broadcast: there are fewer than HOT.
-HOT = 1000
-#: Parts that a band group is dealt to, by a hash of its members, wherever rows meet by its key.
-SALTS = 64
+#: Keys of more than one in HOT of all rows: there are fewer than HOT, so that a list of them can be broadcast. Parts that the rows of one are dealt to.
+HOT, SALTS = 1000, 64
 
 _U = np.uint64
 _LOW = (np.arange(BUCKETS, dtype=np.uint64) << _U(64 - BUCKET_BITS)).astype(_U)
@@ -297,33 +295,40 @@ def _forest(num: int, den: int):
     return run
 
 
-def _salt() -> object:
-    return F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt")
+def _meet(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows(key, rep, ...)`` with ``found(key, n, ...)``, a row for each key and the number ``n`` of its rows.
 
+    Counts are combined on the map side. A key of more than one in HOT of all
+    rows, of which there are fewer than HOT, is dealt to ``SALTS`` parts by a
+    hash of ``rep``, so that no group's rows come together in one task.
+    """
+    seen = Observation()
+    found = materialise(found.observe(seen, F.sum("n").alias("total")), "found")
+    total = seen.get.get("total") or 0
+    hot = F.broadcast(found.where(F.col("n") * HOT > total).select(key, F.lit(SALTS).alias("__parts")))
+    salt = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(SALTS)).cast("int")
+    left = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__parts").isNotNull(), salt).otherwise(F.lit(0))).drop("__parts")
+    every = F.when(F.col("__parts").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = found.drop("n").join(hot, key, "left").withColumn("__salt", F.explode(every)).drop("__parts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
-def _per_part(rows: DataFrame, key: str, parts: list, whole: list, keep: str = "true") -> DataFrame:
-    """``(key, salt, ...)``: aggregates of groups, for each part of a group that ``rows(key, salt, ...)`` has.
 
-    ``parts`` are aggregates of the rows of a part, ``whole`` those of a
-    group's parts. Rows only ever meet by key and salt, and a group has
-    ``SALTS`` parts at most, so no group's rows come together in one task.
-    """
-    per = rows.groupBy(key, "salt").agg(*parts)
-    return per.select(key, "salt").join(per.groupBy(key).agg(*whole).where(keep), key)
+def _count() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, full: bool) -> DataFrame:
     """Rows of band groups dealt to pairs of blocks, sorted by them, with sketches and, if ``full``, sets."""
     size = F.octet_length("sketch") + (F.octet_length("elements") if full else F.lit(0))
     own = sets.select("rep", "sketch", (F.octet_length("elements") / 8).cast("bigint").alias("size"), *(["elements"] if full else []), size.alias("bytes"))
-    rows = rows.join(own.select("rep", "bytes"), "rep").select("*", _salt())
-    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("held") / BLOCK_BYTES)).cast("int")
-    plan = _per_part(rows, "key", [F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("held")], [blocks.alias("blocks")])
-    cut = rows.join(plan, ["key", "salt"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.join(own.select("rep", "bytes"), "rep")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    cut = _meet(rows, rows.groupBy("key").agg(_count(), blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     one = cut.where("blocks = 1").select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "rep", "comp", "block")
     many = cut.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block")
     wide = one.unionByName(many).join(own, "rep").select("key", "bi", "bj", "rep", "comp", "block", "sketch", "size", *(["elements"] if full else []))
-    return wide.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as configured: little to read, much to compare
+    return wide.repartition(tasks, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -345,6 +350,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     empty table gives an empty result; other columns, whatever their names, are
     not read.
     """
+    spark = docs.sparkSession
     given = docs.schema["doc_id"].dataType.simpleString()
     kind = "bigint" if given in ("tinyint", "smallint", "int") else given
     base = docs.select(F.col("doc_id").cast(kind), "text")
@@ -352,9 +358,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     node = F.xxhash64("digest")
     feats = base.mapInArrow(_features(shingle, True), f"{hashed}, sketch binary")
     classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")).withColumn("rep", node), "classes")
-    bands = classes.select("rep", "sketch").mapInArrow(_bands, "key bigint, rep bigint").select("*", _salt()).repartition("key", "salt")
-    heads = _per_part(bands, "key", [F.min("rep").alias("lo"), F.max("rep").alias("hi")], [F.min("lo").alias("leader"), F.max("hi").alias("last")], "leader <> last").drop("last")
-    groups = materialise(bands.join(heads, ["key", "salt"]).where("rep <> leader").select("key", "rep", "leader"), "bands")
+    bands = classes.select("rep", "sketch").mapInArrow(_bands, "key bigint, rep bigint")
+    heads = bands.groupBy("key").agg(_count(), F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").drop("last")
+    groups = materialise(_meet(bands, heads, "key").where("rep <> leader").select("key", "rep", "leader"), "bands")
     held = groups.count()
 
     pairs = materialise(groups.select("leader", "rep").distinct(), "pairs", rows=held)
@@ -363,19 +369,19 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     sets = materialise(base.join(firsts.hint("shuffle_hash"), base.doc_id == firsts["__first"], "left_semi").mapInArrow(_sets(shingle), "digest binary, elements binary, sketch binary").select(node.alias("rep"), "elements", "sketch"), "sets")
     if sets.count() != ids.count():  # doc_ids repeat, some with other texts
         sets = materialise(sets.join(ids, "rep", "left_semi").groupBy("rep").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")), "sets")
-    parts = _per_part(pairs.select("*", _salt()), "leader", [F.count(F.lit(1)).alias("n")], [F.ceil(F.sum("n") / STAR_ROWS).cast("int").alias("salts")])
-    salts = parts.groupBy("leader").agg(F.first("salts").alias("salts"))
-    members = pairs.select("*", _salt()).join(parts, ["leader", "salt"]).select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("member"))
+    salts = materialise(pairs.groupBy("leader").agg(_count(), F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts")), "salts", rows=held)
+    members = _meet(pairs, salts, "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("member"))
     rows = members.join(sets, members.member == sets.rep).select("leader", "salt", "member", "elements", "sketch")
     tops = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("leader") == F.col("rep")).select("leader", "salt", F.lit(None).cast("bigint").alias("member"), "elements", "sketch")
-    both = rows.unionByName(tops).repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.unionByName(tops).repartition(tasks, "leader", "salt").sortWithinPartitions("leader", "salt", F.col("member").asc_nulls_first())
     links = materialise(both.mapInArrow(_stars(num, den), "src bigint, dst bigint"), "links")
 
     comp = connected_components(links)
     placed = groups.join(comp, groups.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = materialise(placed.select("*", _salt()), "placed", rows=held)
-    still = _per_part(placed, "key", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], [F.min("lo").alias("a"), F.max("hi").alias("b")], "a <> b").select("key", "salt")
-    left = _blocks(placed.join(still, ["key", "salt"]).drop("salt"), sets, full=False).mapInArrow(_still_open(num, den), "key bigint, rep bigint, comp bigint")
+    placed = materialise(placed, "placed", rows=held)
+    still = placed.groupBy("key").agg(_count(), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").drop("a", "b")
+    left = _blocks(_meet(placed, still, "key"), sets, full=False).mapInArrow(_still_open(num, den), "key bigint, rep bigint, comp bigint")
     left = materialise(left.distinct(), "open", rows=held)
     more = materialise(_blocks(left, sets, full=True).mapInArrow(_forest(num, den), "src bigint, dst bigint"), "links")
 
@@ -386,9 +392,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
         own = materialise(own.where("n_shingles > 0").select("doc_id", node.alias("rep")).distinct(), "repeated")
         links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
     final = connected_components(links)
-    placed = classes.join(final, classes.rep == final.node, "left").select("digest", "rep", "doc_id", "copies", F.coalesce("component", "rep").alias("component"), _salt())
-    least = _per_part(placed, "component", [F.min("doc_id").alias("lo")], [F.min("lo").alias("component_id")])
-    label = materialise(placed.join(least, ["component", "salt"]).select("digest", "rep", "component_id", "copies"), "label")
+    placed = classes.join(final, classes.rep == final.node, "left").select("digest", "rep", "doc_id", "copies", F.coalesce("component", "rep").alias("component"))
+    least = placed.groupBy("component").agg(_count(), F.min("doc_id").alias("component_id"))
+    label = materialise(_meet(placed, least, "component").select("digest", "rep", "component_id", "copies"), "label")
     sizes = base.mapInArrow(_features(shingle, False), hashed)  # cheaper to read again than to keep
     total = label.agg(F.sum("copies")).first()[0] or 0
     hot = label.where(F.col("copies") * HOT > total).select("digest", F.col("component_id").alias("known"))  # fewer than HOT rows
