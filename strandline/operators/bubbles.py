@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.expr import allele_type, gap_cost, reverse_complement
-from strandline.operators.graph import Graph, components, offsets, path_edges
+from strandline.operators.graph import Graph, components, offsets
+from strandline.operators.grouped import map_groups
 from strandline.session import materialise
 
 
@@ -28,53 +29,114 @@ def simple_bubbles(edges: DataFrame) -> DataFrame:
     return found.where("ways >= 2 and ways = out and ways = `in`").select("source", "sink", "inner")
 
 
-def superbubbles(graph: Graph) -> DataFrame:
-    """``component, source, sink, inner``: minimal single-entry single-exit regions of an acyclic graph.
+def _finished(nexts: dict[int, list[int]], starts: list[int]) -> list[int] | None:
+    """Nodes in the order in which a depth-first walk leaves them, each after all that follow it; None where the walk meets a cycle or a part that no start reaches."""
+    state, order = dict.fromkeys(nexts, 0), []
+    for root in starts:
+        stack = [(root, iter(nexts[root]))]
+        state[root] = 1
+        while stack:
+            at, rest = stack[-1]
+            for n in rest:
+                if state[n] == 1:
+                    return None
+                if not state[n]:
+                    state[n] = 1
+                    stack.append((n, iter(nexts[n])))
+                    break
+            else:
+                state[at] = 2
+                order.append(at)
+                stack.pop()
+    return order if len(order) == len(nexts) else None
+
 
-    For each source a frontier is advanced in topological order until it holds
-    one node and nothing inside leads out. Only pairs that the same paths
-    visit and that have an inner node count. A component is one group.
+def find_superbubbles(nexts: dict[int, list[int]]) -> list[tuple[int, int, list[int]]]:
+    """(source, sink, inner) of all minimal single-entry single-exit regions with an inner node, in linear time.
+
+    In the order in which a walk from all starts leaves the nodes, a region is a
+    stretch: its sink comes first and its source last. Sinks that are open wait
+    on a stack, each with the latest node that leads into the stretch above it.
+    A sink closes at the node that nothing inside reaches past. A graph with
+    cycles is searched from every node.
     """
-    where = components(graph)
-    visits = graph.steps.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("path").cast("string"))), "\x1f").alias("visits"))
-    named = where.join(visits, "node_id", "left")
-    edges = path_edges(graph.steps).select("src", "dst").join(where, F.col("src") == F.col("node_id")).select("component", "src", "dst", F.lit(None).cast("string").alias("visits"))
-    rows = named.select("component", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"), "visits").unionByName(edges)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        visits = {int(r.src): r.visits for r in pdf[pdf.dst.isna()].itertuples()}
-        out: dict[int, set[int]] = {n: set() for n in visits}
-        into: dict[int, set[int]] = {n: set() for n in visits}
-        for r in pdf[pdf.dst.notna()].itertuples():
-            out[int(r.src)].add(int(r.dst))
-            into[int(r.dst)].add(int(r.src))
-        found = []
-        for s in sorted(out):
-            seen, done, ready, sink = set(), {s}, [s], None
-            while ready:
-                v = ready.pop()
-                if not out[v] and v != s:
-                    break
-                stop = False
-                for u in out[v]:
-                    if u == s:
-                        stop = True
-                        break
-                    seen.add(u)
-                    if into[u] <= done | {v}:
-                        ready.append(u)
-                done.add(v)
-                seen.discard(v)
-                if stop:
-                    break
-                if len(ready) == 1 and seen == {ready[0]}:
-                    sink = ready[0]
-                    break
-            if sink is not None and len(done) > 1 and visits[s] == visits[sink]:
-                found.append((pdf.component.iloc[0], s, sink, sorted(done - {s})))
-        return pd.DataFrame(found, columns=["component", "source", "sink", "inner"])
+    into: dict[int, list[int]] = {n: [] for n in nexts}
+    for n, own in nexts.items():
+        for m in own:
+            into[m].append(n)
+    order = _finished(nexts, sorted(n for n, own in into.items() if not own))
+    if order is None:
+        return _scanned_superbubbles(nexts, into)
+    at = {n: i for i, n in enumerate(order)}
+    never = len(order)  # past the last node: no region holds what a start or an end leads to
+    found, open_sinks = [], []  # sink's place, latest predecessor of the nodes from there on
+    for i, n in enumerate(order):
+        lowest = min((at[m] for m in nexts[n]), default=-1)
+        if lowest == i - 1 and i:
+            open_sinks.append([i - 1, -1])
+        while open_sinks and open_sinks[-1][0] > lowest:
+            _, late = open_sinks.pop()
+            if open_sinks:
+                open_sinks[-1][1] = max(open_sinks[-1][1], late)
+        # what leads into the nodes since the sink, the sink included and this one not
+        if i and open_sinks:
+            before = order[i - 1]
+            open_sinks[-1][1] = max(open_sinks[-1][1], max((at[m] for m in into[before]), default=never))
+            if open_sinks[-1][1] == i:
+                sink, late = open_sinks.pop()
+                if open_sinks:
+                    open_sinks[-1][1] = max(open_sinks[-1][1], late)
+                if i - sink > 1:
+                    found.append((n, order[sink], sorted(order[sink + 1 : i])))
+    return sorted(found)
+
+
+def _scanned_superbubbles(nexts: dict[int, list[int]], into: dict[int, list[int]]) -> list[tuple[int, int, list[int]]]:
+    """The same by a frontier from every node, advanced over nodes all of whose ways in are done, until it holds one node and nothing leads out."""
+    out, found = {n: set(own) for n, own in nexts.items()}, []
+    for s in sorted(out):
+        seen, done, ready, sink = set(), {s}, [s], None
+        while ready:
+            v = ready.pop()
+            if s in out[v] or not out[v]:
+                break
+            seen |= out[v]
+            done.add(v)
+            seen.discard(v)
+            ready.extend(u for u in out[v] if set(into[u]) <= done)
+            if len(ready) == 1 and seen == {ready[0]}:
+                sink = ready[0]
+                break
+        if sink is not None and len(done) > 1 and not out[sink] & (done | {sink}):
+            found.append((s, sink, sorted(done - {s})))
+    return found
+
+
+def superbubbles(graph: Graph) -> DataFrame:
+    """``component, source, sink, inner``: minimal single-entry single-exit regions.
 
-    return rows.groupBy("component").applyInPandas(run, "component bigint, source bigint, sink bigint, inner array<bigint>")
+    Only pairs that the same paths visit and that have an inner node count. A
+    component is folded as one group, in linear time if it has no cycle; which
+    paths visit its ends is joined afterwards.
+    """
+    where = materialise(components(graph), "components")
+    lone = where.select("component", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"))
+    edges = graph.edges().select("src", "dst").distinct().join(where, F.col("src") == F.col("node_id")).select("component", "src", "dst")
+
+    def fold(cols: list[list]) -> list[tuple]:
+        nexts: dict[int, list[int]] = {}
+        for s, d in zip(cols[1], cols[2], strict=True):
+            own = nexts.setdefault(s, [])
+            if d is not None:
+                own.append(d)
+        return [(cols[0][0], *r) for r in find_superbubbles(nexts)]
+
+    found = map_groups(lone.unionByName(edges), ["component"], ["src", "dst"], fold, "component bigint, source bigint, sink bigint, inner array<bigint>")
+    found = materialise(found, "superbubbles")
+    visits = graph.steps.select("node_id", "path").distinct()
+    ends = found.select("source", "sink", F.explode(F.array("source", "sink")).alias("node_id"))
+    seen = ends.join(visits, "node_id").groupBy("source", "sink", "path").agg(F.count(F.lit(1)).alias("ends")).where("ends = 1").select("source", "sink").distinct()
+    return found.join(seen, ["source", "sink"], "left_anti").select("component", "source", "sink", "inner")
 
 
 def complex_bubbles(graph: Graph) -> DataFrame:

@@ -127,33 +127,46 @@ def link_cost(p: tuple, c: tuple, gap_open: float = 1, rearrangement: float = 10
     return gap_open + min(rearrangement, lam * abs(d1 - d2)) + eps * max(min(d1, d2), 0)
 
 
-def glocal_chains(blocks: DataFrame, key: str, look_back: int | None = 50, gap_open: float = 1, rearrangement: float = 10_000, inversion: float = 5, alpha: float = 2, lam: float = 3, eps: float = 2) -> DataFrame:
+def best_blocks(rows: list[tuple], look_back: int | None = None, alpha: float = 2, gap_open: float = 1, **costs: float) -> tuple[list[int], float]:
+    """Best chain of blocks (s1, e1, s2, e2, orient, score) that come in order of the first axis, as :func:`glocal_chains` says."""
+    best, back = [float(alpha * r[5]) for r in rows], [-1] * len(rows)
+    done: list[tuple[float, int]] = []  # best scores first, of equal ones the nearest
+    for i, c in enumerate(rows):
+        for neg, nearest in done:
+            if -neg + alpha * c[5] - gap_open < best[i]:
+                break
+            j, p = -nearest, rows[-nearest]
+            if (look_back is not None and j < i - look_back) or p[0] == c[0] or p[1] >= c[1] or (p[2] <= c[2] and p[3] >= c[3]):
+                continue
+            total = best[j] + alpha * c[5] - link_cost(p, c, gap_open, **costs)
+            if total > best[i] or (total == best[i] and -1 < back[i] < j):
+                best[i], back[i] = total, j
+        insort(done, (-best[i], -i))
+    if not rows:
+        return [], 0.0
+    at = max(range(len(rows)), key=lambda i: (best[i], -i))
+    top, path = best[at], []
+    while at >= 0:
+        path.append(at)
+        at = back[at]
+    return path[::-1], top
+
+
+def glocal_chains(blocks: DataFrame, key: str, look_back: int | None = None, gap_open: float = 1, rearrangement: float = 10_000, inversion: float = 5, alpha: float = 2, lam: float = 3, eps: float = 2) -> DataFrame:
     """Best chain of blocks along the first axis where order and strand on the second may change at a cost.
 
     A block follows one that starts and ends before it; blocks that the other
-    contains on the second axis are no predecessors. ``look_back`` bounds the
-    predecessors that are tried (None: all).
+    contains on the second axis are no predecessors. Predecessors are tried from
+    the best score down, until none can pay its gap opening; ties go to the
+    nearest. ``look_back`` bounds them to the blocks just before (None: all).
     """
     schema = f"{key} {blocks.schema[key].dataType.simpleString()}, step int, s1 bigint, e1 bigint, s2 bigint, e2 bigint, orient int, score bigint, chain_score double"
-    costs = {"gap_open": gap_open, "rearrangement": rearrangement, "inversion": inversion, "lam": lam, "eps": eps}
+    costs = {"rearrangement": rearrangement, "inversion": inversion, "lam": lam, "eps": eps}
 
     def fold(cols: list[list]) -> list[tuple]:
         rows = list(zip(*cols[1:], strict=True))  # s1, e1, s2, e2, orient, score
-        best, back = [float(alpha * r[5]) for r in rows], [-1] * len(rows)
-        for i, c in enumerate(rows):
-            for j in range(i - 1, -1 if look_back is None else max(-1, i - 1 - look_back), -1):
-                p = rows[j]
-                if p[0] == c[0] or p[1] >= c[1] or (p[2] <= c[2] and p[3] >= c[3]):
-                    continue
-                total = best[j] + alpha * c[5] - link_cost(p, c, **costs)
-                if total > best[i]:
-                    best[i], back[i] = total, j
-        at = max(range(len(rows)), key=lambda i: (best[i], -i))
-        top, path = best[at], []
-        while at >= 0:
-            path.append(rows[at])
-            at = back[at]
-        return [(cols[0][0], step, *r, float(top)) for step, r in enumerate(path[::-1])]
+        path, top = best_blocks(rows, look_back, alpha, gap_open, **costs)
+        return [(cols[0][0], step, *rows[i], top) for step, i in enumerate(path)]
 
     rows = blocks.select(key, "s1", "e1", "s2", "e2", F.col("orient").cast("int").alias("orient"), F.col("score").cast("bigint").alias("score"))
     return map_groups(rows, [key], ["s1", "e1", "s2", "e2"], fold, schema)

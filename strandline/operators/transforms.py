@@ -139,19 +139,27 @@ def unzip(graph: Graph, least: int) -> Graph:
     return Graph(nodes.unionByName(fresh), steps.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).alias("step"), "node_id", "orient"))
 
 
-def refine(graph: Graph, min_alleles: int = 2, max_length: int = 10_000) -> Graph:
+def refine(graph: Graph, min_alleles: int = 2, max_length: int | None = 10_000, min_length: int = 0, min_difference: int = 0, max_difference: int | None = None, min_total: int = 0, max_total: int | None = None, no_gaps: bool = False, min_conf: float = 0, aligner=msa.align) -> Graph:
     """Replace the alleles of simple bubbles by the nodes of their multiple alignment.
 
-    Bubbles with ``min_alleles`` or more inner alleles none of which is longer
-    than ``max_length`` are aligned, each as one group. Alleles are visited by
-    the same paths afterwards, letter by letter.
+    Bubbles with ``min_alleles`` or more inner alleles are aligned, each as one
+    group, whose smallest and largest allele, difference of the two and sum of
+    lengths are within the limits (None: no limit); with ``no_gaps`` none that
+    holds an N. Columns below a confidence of ``min_conf`` share no node.
+    Alleles are visited by the same paths afterwards, letter by letter.
     """
     b = simple_bubbles(graph.edges()).where(F.size("inner") >= min_alleles)
     sized = b.select("source", "sink", F.explode("inner").alias("node_id")).join(graph.nodes, "node_id")
-    good = sized.groupBy("source", "sink").agg(F.max(F.length("seq")).alias("n")).where(F.col("n") <= max_length).select("source", "sink")
+    n = F.length("seq")
+    good = sized.groupBy("source", "sink").agg(F.max(n).alias("most"), F.min(n).alias("least"), F.sum(n).alias("total"), F.max(F.upper("seq").contains("N")).alias("gap"))
+    good = good.withColumn("difference", F.col("most") - F.col("least"))
+    for c, low, high in (("least", min_length, None), ("most", 0, max_length), ("difference", min_difference, max_difference), ("total", min_total, max_total)):
+        good = good.where(F.col(c) >= low) if high is None else good.where(F.col(c).between(low, high))
+    good = good.where(~F.col("gap")) if no_gaps else good
+    good = good.select("source", "sink")
     alleles = materialise(sized.join(good, ["source", "sink"]).select(F.shiftrightunsigned(F.xxhash64("source", "sink"), 1).alias("bubble"), F.col("node_id").cast("string").alias("path"), "seq"), "alleles")
-    aligned = materialise(msa.align_alleles(alleles, "bubble"), "aligned")
-    runs = msa.columns_to_nodes(aligned, "bubble", "path", "aligned")
+    aligned = materialise(msa.align_alleles(alleles, "bubble", aligner), "aligned")
+    runs = msa.columns_to_nodes(aligned, "bubble", "path", "aligned", "conf", min_conf)
     runs = materialise(runs.withColumn("new", F.shiftrightunsigned(F.xxhash64("bubble", "paths", "start"), 1)), "runs")
     visits = runs.select("new", "start", F.explode(F.split("paths", ",").cast("array<bigint>")).alias("node_id"))
     gone = alleles.select(F.col("path").cast("bigint").alias("node_id")).distinct()

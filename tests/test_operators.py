@@ -216,6 +216,164 @@ def test_alignment_of_alleles():
     assert msa.align(["A"]) == (["A"], [0])
 
 
+def test_best_blocks_are_those_of_all_chains():
+    rng = random.Random(5)
+    for _ in range(300):
+        rows = sorted(random_blocks(rng, rng.randint(0, 8)))
+        costs = {"gap_open": rng.choice([0, 1, 7]), "rearrangement": rng.choice([5, 10_000])}
+        follows = lambda p, c: p[0] != c[0] and p[1] < c[1] and not (p[2] <= c[2] and p[3] >= c[3])
+        best = 0.0
+        for m in range(1, 1 << len(rows)):
+            own = [r for i, r in enumerate(rows) if m >> i & 1]
+            if all(follows(a, b) for a, b in zip(own, own[1:])):
+                best = max(best, sum(2 * r[5] for r in own) - sum(C.link_cost(a, b, **costs) for a, b in zip(own, own[1:])))
+        path, top = C.best_blocks(rows, **costs)
+        own = [rows[i] for i in path]
+        assert top == best == sum(2 * r[5] for r in own) - sum(C.link_cost(a, b, **costs) for a, b in zip(own, own[1:]))
+        assert all(follows(a, b) for a, b in zip(own, own[1:]))
+
+
+def region(nexts, source, sink):
+    """Nodes between source and sink if they are all that is between them, from either side, else None."""
+    into = {n: [m for m in nexts if n in nexts[m]] for n in nexts}
+
+    def reach(start, stop, ways):
+        seen, todo = set(), [start]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo.extend([] if n == stop else ways[n])
+        return seen
+
+    there, back = reach(source, sink, nexts), reach(sink, source, into)
+    inside = there - {source, sink}
+    acyclic = all(n not in reach_many(nexts, n, there) for n in there)
+    return inside if there == back and sink in there and acyclic else None
+
+
+def reach_many(nexts, start, inside):
+    seen, todo = set(), [m for m in nexts[start] if m in inside]
+    while todo:
+        n = todo.pop()
+        if n not in seen:
+            seen.add(n)
+            todo.extend(m for m in nexts[n] if m in inside)
+    return seen
+
+
+@pytest.mark.parametrize("cycles", [False, True])
+def test_superbubbles_are_all_minimal_regions(cycles):
+    rng, total = random.Random(6), 0
+    for _ in range(1500):
+        n = rng.randint(2, 8)
+        ids = rng.sample(range(100), n)
+        nexts = {i: [] for i in ids}
+        share = rng.choice([0.15, 0.3, 0.5])
+        for a in range(n):
+            nexts[ids[a]] = [ids[b] for b in range(a + 1, min(n, a + 4)) if rng.random() < share]
+        if cycles:
+            a, b = sorted(rng.sample(range(n), 2))
+            nexts[ids[b]].append(ids[a])
+        every = {(s, t): region(nexts, s, t) for s in ids for t in ids if s != t}
+        every = {k: v for k, v in every.items() if v is not None}
+        least = [(s, t, sorted(v)) for (s, t), v in every.items() if v and not any((s, x) in every for x in v)]
+        assert B.find_superbubbles(nexts) == sorted(least)
+        total += len(least)
+    assert total > 50  # not void
+
+
+def test_superbubbles_of_a_long_component():
+    n = 60_000
+    nexts = {i: [i + 1, i + 2] if i % 3 == 0 else [i - i % 3 + 3] for i in range(n)} | {n: []}
+    assert len(B.find_superbubbles(nexts)) == n // 3
+
+
+def brute_posterior(a, b):
+    """Every alignment with its probability: pairs and gaps, where a gap follows a pair or goes on, no two gaps meet, and a pair stands at either end."""
+    n, m = len(a), len(b)
+    sums, total = {}, 0.0
+
+    def walk(i, j, state, p, pairs):
+        nonlocal total
+        if i == n and j == m:
+            p *= 1 - 2 * msa.OPEN if state == 0 else 1 - msa.EXTEND
+            total += p
+            for x in pairs:
+                sums[x] = sums.get(x, 0.0) + p
+            return
+        if i < n and j < m:
+            move = 1 - 2 * msa.OPEN if state == 0 else 1 - msa.EXTEND
+            emit = msa.SAME / 4 if a[i] == b[j] else (1 - msa.SAME) / 12
+            walk(i + 1, j + 1, 0, p * move * emit, [*pairs, (i, j)])
+        for s, (x, y) in ((1, (1, 0)), (2, (0, 1))):
+            if i + x <= n and j + y <= m and state in (0, s):
+                walk(i + x, j + y, s, p * (msa.OPEN if state == 0 else msa.EXTEND) / 4, pairs)
+
+    walk(0, 0, 0, 1.0, [])
+    return {x: p / total for x, p in sums.items()}
+
+
+def test_posteriors_match_all_alignments():
+    rng = random.Random(7)
+    for _ in range(30):
+        a, b = ("".join(rng.choices("ACGT", k=rng.randint(1, 5))) for _ in range(2))
+        want, got = brute_posterior(a, b), msa.posterior(a, b)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                p = want.get((i, j), 0.0)
+                assert got[i, j] == pytest.approx(p if p >= 0.01 else 0.0, abs=1e-9) or abs(p - 0.01) < 1e-9
+
+
+def test_posteriors_pass_long_gaps():
+    rng = random.Random(8)
+    a = "".join(rng.choices("ACGT", k=1500))
+    p = msa.posterior(a, a[:200] + a[1300:])
+    # cheap extension leaves the gap's borders open for some 50 letters; further out pairs are certain
+    assert p[:100, :100].diagonal().min() > 0.9 and p[1400:, 300:].diagonal().min() > 0.9
+    assert msa.posterior("", "ACGT").shape == (0, 4)
+
+
+@pytest.mark.parametrize("settings", [{}, {"refinements": 0}, {"gaps": False}, {"consistency": 0}])
+def test_alignments_keep_their_sequences(settings):
+    rng = random.Random(9)
+    base = "".join(rng.choices("ACGT", k=60))
+    seqs = ["".join(c for c in base if rng.random() > 0.1) for _ in range(5)] + [""]
+    rows, conf = msa.align(seqs, **settings)
+    assert [r.replace("-", "") for r in rows] == seqs and {len(r) for r in rows} == {len(conf)}
+    assert all(set(c) != {"-"} for c in zip(*rows)) and msa.align(seqs, **settings) == (rows, conf)
+    assert sum(len(set(c) - {"-"}) == 1 for c in zip(*rows)) > 50
+    assert msa.align([]) == ([], [])
+
+
+def test_columns_of_low_confidence_share_no_node(spark):
+    rows = spark.createDataFrame([("b", "x", "AC-T", [90, 20, 90, 90]), ("b", "y", "ACGT", [90, 20, 90, 90])], "bubble string, path string, text string, conf array<int>")
+    got = {(r.paths, r.start, r.seq) for r in msa.columns_to_nodes(rows, "bubble", "path", "text", "conf", 50).collect()}
+    assert got == {("x,y", 0, "A"), ("x", 1, "C"), ("y", 1, "CG"), ("x,y", 3, "T")}
+    plain = {(r.paths, r.start, r.seq) for r in msa.columns_to_nodes(rows, "bubble", "path", "text").collect()}
+    assert plain == {("x,y", 0, "AC"), ("y", 2, "G"), ("x,y", 3, "T")}
+
+
+def test_refine_takes_limits_and_an_aligner(spark):
+    from strandline.operators import transforms as X
+
+    nodes = spark.createDataFrame([(1, "ACGT"), (2, "AAC"), (3, "AAGC"), (4, "GGTT")], "node_id bigint, seq string")
+    steps = spark.createDataFrame([(p, i, n, "+") for p, own in (("p", (1, 2, 4)), ("q", (1, 3, 4))) for i, n in enumerate(own)], "path string, step int, node_id bigint, orient string")
+    g = G.Graph(nodes, steps)
+    size = lambda h: h.nodes.agg(F.sum(F.length("seq"))).first()[0]
+    assert size(X.refine(g)) == 8 + 4
+    for limits in ({"min_length": 4}, {"max_length": 3}, {"min_difference": 2}, {"max_difference": 0}, {"min_total": 8}, {"max_total": 6}):
+        assert size(X.refine(g, **limits)) == 8 + 7
+    assert size(X.refine(g, max_length=None, min_conf=101)) == 8 + 7
+
+    def right(seqs):
+        n = max(map(len, seqs))
+        return [s.rjust(n, "-") for s in seqs], [100] * n
+
+    h = X.refine(g, aligner=right)
+    assert size(h) == 8 + 5 and {r.path: r.seq for r in G.extract(h).collect()} == {"p": "ACGTAACGGTT", "q": "ACGTAAGCGGTT"}
+
+
 def test_layout_finds_order_strand_and_gaps(spark):
     rng = random.Random(3)
     ref = "".join(rng.choices("ACGT", k=600))
