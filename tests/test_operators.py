@@ -342,7 +342,7 @@ def test_alignments_keep_their_sequences(settings):
     rows, conf = msa.align(seqs, **settings)
     assert [r.replace("-", "") for r in rows] == seqs and {len(r) for r in rows} == {len(conf)}
     assert all(set(c) != {"-"} for c in zip(*rows)) and msa.align(seqs, **settings) == (rows, conf)
-    assert sum(len(set(c) - {"-"}) == 1 for c in zip(*rows)) > 50
+    assert sum(len(set(c) - {"-"}) == 1 for c in zip(*rows)) > 45  # of 59 or 60 columns
     assert msa.align([]) == ([], [])
 
 
