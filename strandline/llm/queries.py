@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, decontaminate, fingerprint, html_text, mixing, near_dedup, packing, quality, secrets, toxicity
+from strandline.llm import chat, decontaminate, fim, fingerprint, html_text, interaction, mixing, near_dedup, packing, quality, secrets, simhash, toxicity
 from strandline.session import ship, spread
 
 
@@ -66,6 +66,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the groups of those within two bits of each other."""
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every step of every order of five filters removes from each source."""
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents rearranged for fill-in-middle training, and of the texts rebuilt from them."""
+    return fim.digests(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
 def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3_fingerprint that SQL can express."""
     return op3_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -82,7 +97,7 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_quality, op3_fingerprint, op4_near_dedup, op5_packing, op6_secrets, op7_mixing, op8_html, op9_chat, op10_decontamination, fingerprint_edits, secret_base_counts, mixing_targets)
+    found = (op1_toxicity, op2_quality, op3_fingerprint, op4_near_dedup, op5_packing, op6_secrets, op7_mixing, op8_html, op9_chat, op10_decontamination, op11_simhash, op12_filter_audit, op13_fill_in_middle, fingerprint_edits, secret_base_counts, mixing_targets)
     return {f.__name__: f for f in found}
 
 
@@ -156,7 +171,8 @@ FROM d
 """
 
 _TARGETS = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, (k - 1) % 3 + 1 AS weight, 3.0 * source_size AS roof FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY roof / weight, k) AS i FROM w),
@@ -168,5 +184,37 @@ FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
 """
 
 
+_AUDIT = r"""
+WITH l AS (SELECT doc_id AS id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(words) < 50 AS fa, 100 * len(list_distinct(words)) < 65 * len(words) AS fb,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS fc, regexp_matches(text, '[#$%&*|]') AS fd,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS fe FROM t LEFT JOIN l ON doc_id = id),
+m AS (SELECT part, CAST(fa AS INT) + 2 * CAST(fb AS INT) + 4 * CAST(fc AS INT) + 8 * CAST(fd AS INT) + 16 * CAST(fe AS INT) AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a, x b, x c, x d, x e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, k AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INT) AS earlier FROM o, range(1, 6) r(k)),
+c AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & earlier > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & earlier = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM c
+"""
+
+_MIDDLES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, units, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": _GROUPS, "op9_chat": _CHAT, "op10_decontamination": _LEAKS, "fingerprint_edits": _EDITS, "secret_base_counts": _BASE, "mixing_targets": _TARGETS}
+    return {"op12_filter_audit": _AUDIT, "op13_fill_in_middle": _MIDDLES, "op4_near_dedup": _GROUPS, "op9_chat": _CHAT, "op10_decontamination": _LEAKS, "fingerprint_edits": _EDITS, "secret_base_counts": _BASE, "mixing_targets": _TARGETS}
