@@ -288,3 +288,27 @@ def test_fill_in_middle_hands_results_on(monkeypatch):
     rb = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(50)), "text": pa.array([f"text number {i}" for i in range(50)])})
     got = [x for out in fim._texts(42, 50, 80)([rb]) for x in out.to_pylist()]
     assert [(x["doc_id"], x["n"], x["form"], x["prefix_chars"], x["middle_chars"], x["output"]) for x in got] == [(i, *brute_middle(f"text number {i}", i)) for i in range(50)]
+
+
+# ------------------------------------------------------------------ secrets
+
+def test_secrets_of_tables_without_findings(spark):
+    """No base finding and no other candidate in the sample: the network of generated findings alone."""
+    from strandline.llm import secrets
+
+    for texts in ([], [None], [""], ["some plain words here"], ["some plain words here", None, "", "1234567890123456789"], ["x" * 40]):
+        rows = [(i, t, None) for i, t in enumerate(texts)]
+        found = secrets.find_secrets(documents(spark, rows)).collect()
+        assert sorted(r.doc_id for r in found) == list(range(len(texts)))
+        base = [f for r in found for f in r.findings if f["kind"] != secrets.NETWORK]
+        assert len(base) == sum(t is not None and t.startswith("123") for t in texts)
+
+
+def test_secret_network_reports_recall_by_kind(spark):
+    from strandline.llm import secrets
+
+    rng = random.Random(8)
+    keys = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(400)]
+    rows = [(i, f"some words before {k} and words after, password = {k.upper()}x{i}" if i % 2 else f"the number {rng.randrange(10**19, 10**20)} and words", None) for i, k in enumerate(keys)]
+    report = secrets.fit(documents(spark, rows)).report
+    assert report["recall"] >= 0.97 and report["recall_hex"] >= 0.9 and report["recall_assign"] >= 0.9 and "recall_digits" in report and "recall_access" not in report
