@@ -6,7 +6,10 @@ sequential and run as folds over their group's rows.
 
 from __future__ import annotations
 
-from bisect import insort
+import math
+from bisect import bisect_left, bisect_right
+from heapq import heapify, heappop
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,32 +72,165 @@ def chain_score(blocks: DataFrame, partition: list[str], alpha: float = 2, **cos
     return out.withColumn("score", F.col("weight") - F.col("cost"))
 
 
+class _Steps:
+    """Best (value, -index) of points that lie at or below ``x`` in one order and at or below ``y`` in another.
+
+    A Fenwick tree over the ranks of the first; every node keeps its points as
+    a staircase, ascending in ``y`` and in value, of which others are no better.
+    """
+
+    def __init__(self, xs: list):
+        self.xs = sorted(set(xs))
+        self.ys: list[list] = [[] for _ in range(len(self.xs) + 1)]
+        self.best: list[list] = [[] for _ in range(len(self.xs) + 1)]
+
+    def add(self, x, y, value: tuple) -> None:
+        i = bisect_left(self.xs, x) + 1
+        while i < len(self.ys):
+            ys, best = self.ys[i], self.best[i]
+            at = bisect_right(ys, y)
+            if not at or best[at - 1] < value:
+                to = at
+                while to < len(ys) and best[to] <= value:
+                    to += 1
+                if at and ys[at - 1] == y:
+                    at -= 1
+                ys[at:to], best[at:to] = [y], [value]
+            i += i & -i
+
+    def top(self, x, y) -> tuple | None:
+        i, out = bisect_right(self.xs, x), None
+        while i:
+            at = bisect_right(self.ys[i], y)
+            if at and (out is None or self.best[i][at - 1] > out):
+                out = self.best[i][at - 1]
+            i -= i & -i
+        return out
+
+
+class _Box:
+    """A k-d tree over points; nodes know their bounds and the best score that was put into them."""
+
+    LEAF = 8
+
+    def __init__(self, points: list[tuple]):
+        self.points, self.dims = points, len(points[0])
+        self.order = list(range(len(points)))
+        self.nodes: list[tuple] = []  # first, end, least and most of each axis, children or None
+        self.best: list[float] = []
+        self.home = [0] * len(points)  # the leaf of each point
+        self.up: list[int] = []
+        self.score: list[float | None] = [None] * len(points)
+        stack = [(0, len(points), 0, -1)]
+        while stack:
+            a, b, axis, parent = stack.pop()
+            own = [points[i] for i in self.order[a:b]]
+            low, high = (tuple(f(p[d] for p in own) for d in range(self.dims)) for f in (min, max))
+            n = len(self.nodes)
+            self.nodes.append((a, b, low, high, []))
+            self.best.append(-math.inf)
+            self.up.append(parent)
+            if parent >= 0:
+                self.nodes[parent][4].append(n)
+            if b - a > self.LEAF and low != high:
+                axis = max(range(self.dims), key=lambda d: high[d] - low[d])
+                self.order[a:b] = sorted(self.order[a:b], key=lambda i: points[i][axis])
+                m = (a + b) // 2
+                stack += [(a, m, axis, n), (m, b, axis, n)]
+            else:
+                for i in self.order[a:b]:
+                    self.home[i] = n
+
+    def add(self, i: int, score: float) -> None:
+        self.score[i] = score
+        n = self.home[i]
+        while n >= 0 and self.best[n] < score:
+            self.best[n] = score
+            n = self.up[n]
+
+    def top(self, at: tuple, least: float, bound, exact) -> tuple[float, int] | None:
+        """The best ``score - exact(point)``, at least ``least``, and of equal ones the smallest index, of points that do not exceed ``at``; ``bound(low, high)`` is what a box costs at least."""
+        out = None
+        stack = [0]
+        while stack:
+            n = stack.pop()
+            a, b, low, high, below = self.nodes[n]
+            if self.best[n] < least or any(x > y for x, y in zip(low, at, strict=True)) or self.best[n] - bound(low, high) < least:
+                continue
+            if below:
+                stack += sorted(below, key=self.best.__getitem__)
+                continue
+            for i in self.order[a:b]:
+                if self.score[i] is None or any(x > y for x, y in zip(self.points[i], at, strict=True)):
+                    continue
+                total = self.score[i] - exact(self.points[i])
+                if total > least or (total == least and (out is None or i < out[1])):
+                    out, least = (total, i), total
+        return out
+
+
+def _pair_costs(at: tuple, penalty: float):
+    """Sum-of-pairs gap cost from a point to ``at``, and a lower bound of it from a box."""
+    pairs = list(combinations(range(len(at)), 2))
+
+    def exact(p: tuple) -> float:
+        d = [x - y for x, y in zip(at, p, strict=True)]
+        return penalty * sum(abs(d[a] - d[b]) for a, b in pairs)
+
+    def bound(low: tuple, high: tuple) -> float:
+        cost = 0
+        for a, b in pairs:
+            own = at[a] - at[b]
+            cost += max(0, low[a] - high[b] - own, own - high[a] + low[b])
+        return penalty * cost
+
+    return exact, bound
+
+
 def best_chain(anchors: list[tuple], n: int = 2, match: float = 1.0, penalty: float = 1.0) -> tuple[list[int], float]:
     """Best colinear chain of anchors (start in each dimension ..., length): each begins at or after the end of the one before in all dimensions.
 
     An anchor gains ``match * length * n * (n - 1) / 2``; a link costs
     ``penalty`` times the sum-of-pairs gap cost. Ties go to the smaller start.
+    Anchors are swept along the first axis and become predecessors at their
+    ends. On two axes the cost is by the diagonals' distance: those on one side
+    are searched by diagonal and second axis, those on the other by diagonal
+    alone, since what they precede on the first axis they precede on the second;
+    both in logarithmic time. On more axes a k-d tree over the ends is searched,
+    boxes that cannot pay left out.
     """
+    if not anchors:
+        return [], 0.0
     order = sorted(range(len(anchors)), key=lambda i: anchors[i])
     starts = [anchors[i][:-1] for i in order]
     ends = [tuple(x + anchors[i][-1] for x in anchors[i][:-1]) for i in order]
     gain = [match * anchors[i][-1] * n * (n - 1) / 2.0 for i in order]
     score, back = list(map(float, gain)), [-1] * len(order)
-    done: list[tuple[float, int]] = []  # best scores first: the search ends where no link can pay
+    coming = [(ends[i][0], i) for i in range(len(order))]
+    heapify(coming)
+    flat = len(starts[0]) == 2
+    if flat:
+        diagonals = [e[0] - e[1] for e in ends]
+        below, above = _Steps(diagonals), _Steps([-d for d in diagonals])
+    else:
+        tree = _Box(ends)
     for i, at in enumerate(starts):
-        for neg, j in done:
-            if -neg + gain[i] < score[i]:
-                break
-            if any(e > x for e, x in zip(ends[j], at, strict=True)):
-                continue
-            d = [abs(x - e) for x, e in zip(at, ends[j], strict=True)]
-            cost = sum(abs(d[a] - d[b]) for a in range(len(d)) for b in range(a + 1, len(d)))
-            total = -neg + gain[i] - penalty * cost
-            if total > score[i] or (total == score[i] and -1 < j < back[i]):
-                score[i], back[i] = total, j
-        insort(done, (-score[i], i))
-    if not order:
-        return [], 0.0
+        while coming and coming[0][0] <= at[0] and coming[0][1] < i:
+            j = heappop(coming)[1]
+            if flat:
+                below.add(diagonals[j], ends[j][1], (score[j] + penalty * diagonals[j], -j))
+                above.add(-diagonals[j], 0, (score[j] - penalty * diagonals[j], -j))
+            else:
+                tree.add(j, score[j])
+        if flat:
+            d = at[0] - at[1]
+            found = [(v[0] + sign * penalty * d, -v[1]) for v, sign in ((below.top(d, at[1]), -1), (above.top(-d, 0), 1)) if v]
+            top = min(found, key=lambda x: (-x[0], x[1])) if found else None
+        else:
+            exact, bound = _pair_costs(at, penalty)
+            top = tree.top(at, 0.0, bound, exact)
+        if top and top[0] > 0:
+            score[i], back[i] = gain[i] + top[0], top[1]
     at = max(range(len(order)), key=lambda i: (score[i], -i))
     top, path = score[at], []
     while at >= 0:
@@ -127,23 +263,76 @@ def link_cost(p: tuple, c: tuple, gap_open: float = 1, rearrangement: float = 10
     return gap_open + min(rearrangement, lam * abs(d1 - d2)) + eps * max(min(d1, d2), 0)
 
 
-def best_blocks(rows: list[tuple], look_back: int | None = None, alpha: float = 2, gap_open: float = 1, **costs: float) -> tuple[list[int], float]:
-    """Best chain of blocks (s1, e1, s2, e2, orient, score) that come in order of the first axis, as :func:`glocal_chains` says."""
-    best, back = [float(alpha * r[5]) for r in rows], [-1] * len(rows)
-    done: list[tuple[float, int]] = []  # best scores first, of equal ones the nearest
-    for i, c in enumerate(rows):
-        for neg, nearest in done:
-            if -neg + alpha * c[5] - gap_open < best[i]:
-                break
-            j, p = -nearest, rows[-nearest]
-            if (look_back is not None and j < i - look_back) or p[0] == c[0] or p[1] >= c[1] or (p[2] <= c[2] and p[3] >= c[3]):
+class _Diagonals:
+    """Scores of blocks in the order of their diagonals, as a binary tree of maxima."""
+
+    def __init__(self, keys: list):
+        self.order = sorted(range(len(keys)), key=lambda i: keys[i])
+        self.keys = [keys[i] for i in self.order]
+        self.place = [0] * len(keys)
+        for r, i in enumerate(self.order):
+            self.place[i] = r
+        self.size = 1 << max(0, len(keys) - 1).bit_length()
+        self.best = [-math.inf] * (2 * self.size)
+
+    def add(self, i: int, score: float) -> None:
+        n = self.size + self.place[i]
+        while n and self.best[n] < score:
+            self.best[n] = score
+            n //= 2
+
+    def near(self, key, most: float, slope: float, fixed: float, slack: int, held: list[float]):
+        """Indices of blocks whose score less ``fixed + min(most, slope * distance of the keys, less slack)`` reaches ``held[0]``, which the caller raises."""
+        stack = [(1, 0, self.size)]
+        while stack:
+            n, a, w = stack.pop()
+            if self.best[n] == -math.inf:
+                continue
+            low, high = self.keys[a], self.keys[min(a + w, len(self.keys)) - 1]
+            if self.best[n] - fixed - min(most, slope * max(0, low - key - slack, key - high - slack)) < held[0]:
+                continue
+            if w == 1:
+                yield self.order[a]
                 continue
-            total = best[j] + alpha * c[5] - link_cost(p, c, gap_open, **costs)
-            if total > best[i] or (total == best[i] and -1 < back[i] < j):
-                best[i], back[i] = total, j
-        insort(done, (-best[i], -i))
+            half = w // 2
+            pair = [(2 * n, a, half), (2 * n + 1, a + half, half)]
+            stack += sorted(pair, key=lambda x: self.best[x[0]])
+
+
+def best_blocks(rows: list[tuple], look_back: int | None = None, alpha: float = 2, gap_open: float = 1, rearrangement: float = 10_000, inversion: float = 5, lam: float = 3, eps: float = 2) -> tuple[list[int], float]:
+    """Best chain of blocks (s1, e1, s2, e2, orient, score) that come in order of the first axis, as :func:`glocal_chains` says.
+
+    A link costs its opening and, up to the cost of a rearrangement, ``lam`` for
+    each letter between the diagonals, on the reverse strand the antidiagonals,
+    and across strands one of both, but for the length of blocks that overlap.
+    So predecessors are searched in trees over diagonals and antidiagonals, of
+    which subtrees that are too far off or score too little are left out.
+    """
     if not rows:
         return [], 0.0
+    best, back = [float(alpha * r[5]) for r in rows], [-1] * len(rows)
+    own = {o: [i for i, r in enumerate(rows) if r[4] == o] for o in {r[4] for r in rows}}
+    place = {o: {i: n for n, i in enumerate(at)} for o, at in own.items()}
+    straight = {o: _Diagonals([rows[i][1] - rows[i][3] for i in at]) for o, at in own.items()}
+    reverse = {o: _Diagonals([rows[i][1] + rows[i][2] for i in at]) for o, at in own.items()}
+    slack = max(r[1] - r[0] for r in rows) + 2 * max(r[3] - r[2] for r in rows)
+    for i, c in enumerate(rows):
+        held = [best[i] - alpha * c[5]]
+        searched = [(straight, c[0] - c[2]), (reverse, c[0] + c[3])]
+        for o in own:
+            fixed, wide = (gap_open, 0) if o == c[4] else (gap_open + inversion, slack)
+            for trees, key in searched if o != c[4] else searched[:1] if o == 0 else searched[1:]:
+                for n in trees[o].near(key, rearrangement, lam, fixed, wide, held):
+                    j = own[o][n]
+                    p = rows[j]
+                    if (look_back is not None and j < i - look_back) or p[0] == c[0] or p[1] >= c[1] or (p[2] <= c[2] and p[3] >= c[3]):
+                        continue
+                    total = best[j] + alpha * c[5] - link_cost(p, c, gap_open, rearrangement, inversion, lam, eps)
+                    if total > best[i] or (total == best[i] and -1 < back[i] < j):
+                        best[i], back[i] = total, j
+                        held[0] = total - alpha * c[5]
+        for trees in (straight, reverse):
+            trees[c[4]].add(place[c[4]][i], best[i])
     at = max(range(len(rows)), key=lambda i: (best[i], -i))
     top, path = best[at], []
     while at >= 0:
@@ -156,9 +345,7 @@ def glocal_chains(blocks: DataFrame, key: str, look_back: int | None = None, gap
     """Best chain of blocks along the first axis where order and strand on the second may change at a cost.
 
     A block follows one that starts and ends before it; blocks that the other
-    contains on the second axis are no predecessors. Predecessors are tried from
-    the best score down, until none can pay its gap opening; ties go to the
-    nearest. ``look_back`` bounds them to the blocks just before (None: all).
+    contains on the second axis are no predecessors; ties go to the nearest. ``look_back`` bounds them to the blocks just before (None: all).
     """
     schema = f"{key} {blocks.schema[key].dataType.simpleString()}, step int, s1 bigint, e1 bigint, s2 bigint, e2 bigint, orient int, score bigint, chain_score double"
     costs = {"rearrangement": rearrangement, "inversion": inversion, "lam": lam, "eps": eps}
