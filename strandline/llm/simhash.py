@@ -43,7 +43,7 @@ BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
 #: Parts that are considered at most, and pairs that cost as much to compare as one row to shuffle.
 PARTS, ROW_COST = 4, 100
 #: Rows of a group that are compared directly.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 _U = np.uint64
 _ONE = _U(1)

@@ -86,7 +86,7 @@ def test_simhash_of_nothing(spark):
     assert [tuple(r) for r in simhash.simhash_groups(documents(spark, [(None, None, None)])).collect()] == [(None, "0" * 16, None)]
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 3])
+@pytest.mark.parametrize("bucket_rows", [1024, 3])
 @pytest.mark.parametrize("distance", [0, 1, 2])
 def test_links_of_dense_groups(spark, distance, bucket_rows):
     """Groups around few centres, with correlated bits, compared directly and by common neighbours."""
