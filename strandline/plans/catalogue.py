@@ -18,6 +18,7 @@ from strandline.operators import arrange as A
 from strandline.operators import bubbles as B
 from strandline.operators import chain as C
 from strandline.operators import graph as G
+from strandline.operators import graph_align as GA
 from strandline.operators import intervals as I
 from strandline.operators import layout as L
 from strandline.operators import match as M
@@ -862,3 +863,103 @@ def unplaced_contigs(spark, sf_dir):
     """Orders without a large line item."""
     placed = _t(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("ctg"))
     return A.unplaced(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("name")), placed)
+
+
+# ---------------------------------------------------------------- graphs aligned with graphs
+
+_COPIES = """b AS (SELECT item_id, text FROM benchmark WHERE length(text) > 80),
+v AS (SELECT item_id || 'a' AS path, text AS seq FROM b UNION ALL SELECT item_id || 'b', substring(text, 1, 40) || 'XX' || substring(text, 61) FROM b
+  UNION ALL SELECT item_id || 'c', substring(text, 1, 25) || 'YY' || substring(text, 31) FROM b)"""
+
+
+def _third_copies(spark, sf_dir) -> G.Graph:
+    """The graphs of all items with an edited copy, each aligned with a third copy that is edited elsewhere."""
+    b = _t(spark, sf_dir, "benchmark").where("length(text) > 80").select(F.col("item_id").cast("string").alias("group"), "text")
+    third = b.select(F.concat("group", F.lit("c")).alias("path"), F.expr("substring(text, 1, 25) || 'YY' || substring(text, 31)").alias("seq"))
+    base = _aligned_items(spark, sf_dir)
+    group = base.steps.select("path").distinct().unionByName(third.select("path")).select("path", F.expr("substring(path, 1, length(path) - 1)").alias("group"))
+    return GA.align_graphs(base, GA.linear(third), 12, group)
+
+
+@query(f"""WITH {_COPIES} SELECT path, length(seq) AS n, md5(seq) AS digest, right(path, 1) <> 'c' OR length(seq) > 2 AS shared FROM v""")
+def graph_aligned_paths(spark, sf_dir):
+    """Third copies aligned onto the graph of the first two: every path gives its text back, and all letters of a third copy that the item has are on nodes that they share, but for those beside an edit."""
+    g = _third_copies(spark, sf_dir)
+    size = g.nodes.select("node_id", F.length("seq").alias("n"))
+    visits = g.steps.select("path", "node_id").distinct()
+    first = visits.where("path like '%a'").select("node_id").distinct()
+    own = visits.join(first, "node_id").join(size, "node_id").groupBy("path").agg(F.sum("n").alias("common"))
+    rows = _path_digests(g).join(own, "path", "left")
+    return rows.select("path", "n", "digest", (~F.endswith("path", F.lit("c")) | (F.coalesce("common", F.lit(0)) >= F.col("n") - 2)).alias("shared"))
+
+
+_AROUND = ", al AS (SELECT node_id FROM s GROUP BY node_id HAVING count(DISTINCT path) >= 2)" + "".join(f""",
+{n} AS (SELECT al.node_id AS source, d.{there} AS node FROM al JOIN d ON d.{here} = al.node_id UNION SELECT {n}.source, d.{there} FROM {n} JOIN d ON d.{here} = {n}.node WHERE {n}.node NOT IN (FROM al)),
+{n}_end AS (SELECT source, node FROM {n} WHERE node IN (FROM al)), {n}_many AS (SELECT source FROM {n}_end GROUP BY source HAVING count(*) > 1),
+{n}_home AS (SELECT e.source, d.{here} AS node FROM {n}_end e JOIN {n}_many USING (source) JOIN d ON d.{there} = e.node
+  UNION SELECT h.source, d.{here} FROM {n}_home h JOIN d ON d.{there} = h.node WHERE h.node NOT IN (FROM al) OR (h.source, h.node) IN (FROM {n}_end))""" for n, here, there in (("after_", "src", "dst"), ("before_", "dst", "src")))
+
+
+@query(_LAYER_EDGES + _AROUND + " UNION ALL ".join(f" SELECT source, node AS node_id, '{part}' AS part FROM {n} WHERE node NOT IN (FROM al) AND (source NOT IN (FROM {n}_many) OR (source, node) IN (FROM {n}_home))" for n, part in (("after_", "trailing"), ("before_", "leading"))))
+def anchor_segments(spark, sf_dir):
+    """What leads to and trails every node that two users or more share, up to the next such nodes."""
+    g = _layered(spark, sf_dir)
+    aligned = g.steps.groupBy("node_id").agg(F.count_distinct("path").alias("n")).where("n >= 2").select("node_id")
+    return GA.segments(g.edges(), aligned, aligned)
+
+
+@query(_LAYER_EDGES + """, v AS (SELECT node_id, count(*) AS visits, count(DISTINCT path) AS paths, max(length(seq)) AS n FROM s GROUP BY node_id)
+SELECT CAST(sum(n * visits) AS BIGINT) AS letters, CAST(sum(CASE WHEN paths > 1 THEN n * visits ELSE 0 END) AS BIGINT) AS aligned, 100 * sum(CASE WHEN paths > 1 THEN n * visits ELSE 0 END) / sum(n * visits) AS share FROM v""")
+def alignment_identity(spark, sf_dir):
+    """Letters of the layered graphs that two users or more share."""
+    return GA.identity(_layered(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- as-of joins, subtraction, masks
+
+@query("""WITH p AS (SELECT user_id, ts AS mark_ts, max(event_id) AS mark_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
+SELECT e.event_id, p.mark_id FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.mark_ts""")
+def last_purchases(spark, sf_dir):
+    """Every event with its user's last purchase by then."""
+    e = _t(spark, sf_dir, "events")
+    marks = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("mark_ts"), F.col("event_id").alias("mark_id"))
+    return I.asof_join(e.select("user_id", "ts", "event_id"), marks, "ts", "mark_ts", ["user_id"], "left").select("event_id", "mark_id")
+
+
+_LEFT_OVER = f"""WITH i AS (SELECT i.*, o_orderstatus FROM ({_SPANS}) i JOIN orders USING (o_orderkey)), l AS (SELECT * FROM i WHERE o_orderstatus = 'F' AND s < e), r AS (SELECT * FROM i WHERE o_orderstatus <> 'F'),
+c AS (SELECT l.o_orderkey, l.s AS ls, l.e AS le, greatest(l.s, r.s) AS s, least(l.e, r.e) AS e FROM l JOIN r ON l.o_custkey = r.o_custkey AND r.s < l.e AND r.e > l.s),
+g AS (SELECT *, coalesce(max(e) OVER (PARTITION BY o_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ls) AS upto FROM c),
+x AS (SELECT o_orderkey, upto AS s, s AS e FROM g WHERE upto < s UNION ALL SELECT o_orderkey, max(e), le FROM c GROUP BY o_orderkey, le HAVING max(e) < le UNION ALL SELECT o_orderkey, s, e FROM l WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c))
+"""
+
+
+def _finished(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = _spans(spark, sf_dir).join(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    return rows.where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "s", "e"), rows.where("o_orderstatus <> 'F'").select("o_custkey", F.col("s").alias("s2"), F.col("e").alias("e2"))
+
+
+@query(_LEFT_OVER + "SELECT o_orderkey, s, e FROM x UNION ALL SELECT o_orderkey, NULL, NULL FROM l WHERE o_orderkey NOT IN (SELECT o_orderkey FROM x)")
+def interval_subtract(spark, sf_dir):
+    """What a customer's other orders leave of the intervals of finished ones; covered ones without bounds."""
+    return I.subtract(*_finished(spark, sf_dir), "s", "e", "s2", "e2", 10_000, ["o_custkey"], "outer").select("o_orderkey", "s", "e")
+
+
+@query(_LEFT_OVER + "SELECT o_orderkey, s, e FROM l WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c)")
+def interval_anti(spark, sf_dir):
+    """Finished orders whose interval no other order of the customer touches."""
+    return I.subtract(*_finished(spark, sf_dir), "s", "e", "s2", "e2", 10_000, ["o_custkey"], "anti").select("o_orderkey", "s", "e")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_orderkey >= c_custkey * 17 AND o_orderkey < c_custkey * 17 + 5)""")
+def interval_stab_anti(spark, sf_dir):
+    """Orders whose key lies in no customer's interval."""
+    ranges = _t(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 17).alias("s"), (F.col("c_custkey") * 17 + 5).alias("e"))
+    return I.stab_join(_t(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey", "s", "e", 64, how="anti")
+
+
+@query("""WITH c AS (SELECT doc_id, i, l[i] AS ch, coalesce(i > 1 AND l[i - 1] = 'e', false) OR coalesce(l[i + 1] = 'e', false) AS near FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, '') AS l FROM documents)))
+SELECT doc_id, md5(string_agg(CASE WHEN ch = 'e' AND near THEN 'N' ELSE ch END, '' ORDER BY i)) AS digest FROM c GROUP BY doc_id""")
+def masked_documents(spark, sf_dir):
+    """Documents with their runs of one letter masked."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return I.mask(docs, X.letter_runs(docs, "doc_id", "text", "e", 2), "doc_id", "text", "start", "end").where("text <> ''").select("doc_id", F.md5("text").alias("digest"))
