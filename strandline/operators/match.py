@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.intervals import islands
+from strandline.operators.suffix import shared_strings
 from strandline.session import spread
 
 #: Characters of a chunk, besides the overlap of k - 1.
@@ -159,29 +160,20 @@ def multi_matches(seqs: DataFrame, sample: str, key: str, seq: str, k: int, leas
     """Maximal matches of ``least`` or more samples: ``string, length, samples, occurrences``.
 
     A match is maximal if its occurrences differ in what comes before and in
-    what comes after (an end differs from everything). Without ``repeats`` it
-    occurs once in each of its samples. Two occurrences of a maximal match
-    differ on both sides, so candidates are pairwise maximal matches, which are
-    then counted everywhere.
+    what comes after (an end or a stop letter differs from everything). Without
+    ``repeats`` it occurs once in each of its samples. They are the intervals of
+    shared prefixes in the suffix order of all sequences, so that no two
+    occurrences are ever paired; what goes into the result are its rows alone.
     """
-    own = seqs.select(F.col(sample).alias("__sample"), F.col(key).alias("__key"), F.col(seq).alias("__seq"), F.struct(sample, key).alias("__id"))
-    at = hashed_kmers(own, "__id", "__seq", k, stop)
-    a, b = (at.select(F.col("key").alias(f"k{i}"), F.col("pos").alias(p), "h1", "h2") for i, p in ((1, "r_pos"), (2, "q_pos")))
-    apart = F.col(f"k1.{sample}") < F.col(f"k2.{sample}")
-    if repeats:
-        apart = (F.col("k1") < F.col("k2")) | ((F.col("k1") == F.col("k2")) & (F.col("r_pos") < F.col("q_pos")))
-    found = a.join(b, (a.h1 == b.h1) & (a.h2 == b.h2) & apart).select("k1", "r_pos", "k2", "q_pos")
-    text = own.select(F.col("__id").alias("k1"), F.col("__seq").alias("t1"))
-    strings = mems(found, "k1", "k2", k).join(text, "k1").select(F.substring("t1", (F.col("r_start") + 1).cast("int"), F.col("length").cast("int")).alias("string")).distinct()
-    first = hashed_kmers(strings.select("string", F.substring("string", 1, k).alias("__first")), "string", "__first", k).select(F.col("key").alias("string"), "h1", "h2")
-    where = at.join(first, ["h1", "h2"]).join(own.select(F.col("__id").alias("key"), F.col("__seq").alias("t")), "key")
-    hit = where.where(F.substring("t", (F.col("pos") + 1).cast("int"), F.char_length("string")) == F.col("string")).withColumn(sample, F.col(f"key.{sample}")).withColumn("of", F.col(f"key.{key}"))
-    left = F.when(F.col("pos") > 0, F.substring("t", F.col("pos").cast("int"), F.lit(1)))
-    right = F.nullif(F.substring("t", (F.col("pos") + F.char_length("string") + 1).cast("int"), F.lit(1)), F.lit(""))
-    differ = lambda c: F.count_distinct(c) + F.count_if(c.isNull()) > 1
-    grouped = hit.groupBy("string").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(sample).alias("samples"), (differ(left) & differ(right)).alias("maximal"), F.array_sort(F.collect_list(F.struct(F.col(sample), F.col("of").alias(key), "pos"))).alias("occurrences"))
+    found = shared_strings(seqs, sample, key, seq, k, repeats, stop)
+    differ = lambda c: F.count_distinct(c) + F.count_if(F.col(c).isNull()) > 1
+    place = F.struct(F.col("sample").alias(sample), F.col("key").alias(key), "pos")
+    grouped = found.groupBy("idx_from", "idx_to", "length").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample").alias("samples"), (differ("left") & differ("right")).alias("maximal"), F.array_sort(F.collect_list(place)).alias("occurrences"), F.min(F.struct("sample", "key", "pos")).alias("one"))
     once = F.lit(True) if repeats else F.col("n") == F.col("samples")
-    return grouped.where(once & (F.col("samples") >= least) & F.col("maximal")).select("string", F.char_length("string").cast("bigint").alias("length"), "samples", "occurrences")
+    kept = grouped.where(once & (F.col("samples") >= least) & F.col("maximal"))
+    text = seqs.select(F.col(sample).alias("__sample"), F.col(key).alias("__key"), F.col(seq).alias("__seq"))
+    rows = kept.join(text, (F.col("one.sample") == F.col("__sample")) & (F.col("one.key") == F.col("__key")))
+    return rows.select(F.substring("__seq", (F.col("one.pos") + 1).cast("int"), F.col("length").cast("int")).alias("string"), "length", "samples", "occurrences")
 
 
 def multi_mums(seqs: DataFrame, sample: str, key: str, seq: str, k: int, least: int = 2, stop: str = "") -> DataFrame:
