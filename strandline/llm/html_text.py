@@ -7,8 +7,9 @@ counts in how many different pages of a host each hash occurs; subtrees that
 recur are the site's template and are deleted, however many other pages the host
 has (a section's notice is on few of a large host's pages). Shapes count outside
 of articles only, and where no element marks the article for subtrees that are
-mostly links. What no count can show (hosts with few pages, blocks of one page)
-follows from element names, roles and class names. Running text inside an
+mostly links. On hosts with enough pages the counts alone decide; what they
+cannot show where a host has few follows from element names, roles and class
+names. Running text inside an
 article (paragraphs, headings, quotations) is never taken for template, so that
 passages which articles share stay.
 """
@@ -31,6 +32,8 @@ from strandline.session import materialise
 
 #: A subtree is template if it occurs in this many different pages of its host at least.
 MANY = 3
+#: Different pages of a host from which on counts alone decide what is template; and what stands for a host among its subtrees, whose hashes are odd.
+ENOUGH, HOST = 8, 0
 #: Template hashes that are sent to every executor (8 MB), the most frequent ones; the others are joined, equal pages in parts of so many copies.
 SENT_HASHES, COPIES = 1_000_000, 1024
 
@@ -54,7 +57,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status tablist".split())
 #: Words in class and id names of what surrounds an article.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot comment comments commentlist disqus respond replies reply discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager widget widgets toolbar skip hidden paywall disclaimer toc outbrain taboola".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar sidenav menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot comment comments commentlist disqus respond replies reply discussion feedback related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager widget widgets toolbar skip hidden paywall disclaimer toc outbrain taboola".split()
 )
 #: With one of these a class names a layout; after a word of NAMES these name a part of it.
 LAYOUT = frozenset("with without no has".split())
@@ -188,18 +191,18 @@ def _names_surroundings(name: str, running: bool) -> bool:
 
 def _named(node: Node) -> bool:
     running = node.tag in RUNNING
-    return any(_names_surroundings(name[:200], running) for name in [*node.attrs.get("class", "").split(), node.attrs.get("id", "")])
+    return any(_names_surroundings(name, running) for name in [*node.attrs.get("class", "").split(), node.attrs.get("id", "")])
 
 
-def surrounds(node: Node, article: bool) -> bool:
-    """Whether an element by itself is no main text."""
+def surrounds(node: Node, article: bool, guess: bool = True) -> bool:
+    """Whether an element by itself is no main text; with ``guess`` its class and id say so too."""
     a = node.attrs
     if node.tag in DROPPED or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
     if node.tag == "header" and not article:
         return True
     style = a.get("style", "").replace(" ", "").lower()
-    return "display:none" in style or "visibility:hidden" in style or (node.tag not in ("html", "body", "main") and bool(a) and _named(node))
+    return "display:none" in style or "visibility:hidden" in style or (guess and node.tag not in ("html", "body", "main") and bool(a) and _named(node))
 
 
 def _is_article(n: Node) -> bool:
@@ -210,12 +213,12 @@ def _is_main(n: Node) -> bool:
     return n.tag == "main" or n.attrs.get("role") == "main"
 
 
-def regions(nodes: list[Node]) -> tuple[list[Node], bool]:
+def regions(nodes: list[Node], guess: bool = True) -> tuple[list[Node], bool]:
     """Where the main text is, and whether articles or a main element mark it; elements outside main text are marked as dropped."""
     for n in nodes:
         up = n.parent
         article = up is not None and up.inside
-        n.dropped = up is not None and (up.dropped or surrounds(n, article))
+        n.dropped = up is not None and (up.dropped or surrounds(n, article, guess))
         n.inside = article or _is_article(n) or _is_main(n)
     for test in (_is_article, _is_main):
         under: set[int] = set()
@@ -338,14 +341,15 @@ class Known:
         return (i < len(self.sent) and int(self.sent[i]) == h) or h in self.more
 
 
-def extract(page: str, template: Container[int], names: bool = True) -> str:
+def extract(page: str, template: Container[int], names: bool = True, guess: bool = True) -> str:
     """The main text of a page, given the hashes of its site's template.
 
-    Without ``names`` the template alone decides: neither element and class
-    names nor the place of the article say what stays.
+    Without ``guess`` classes and ids say nothing: counts decide, and elements
+    that mean no main text wherever they stand. Without ``names`` the template
+    alone decides: neither elements nor the place of the article say what stays.
     """
     nodes = parse(page)
-    top, marked = regions(nodes)
+    top, marked = regions(nodes, guess)
     if template:
         hash_subtrees(nodes)
     if not names:
@@ -363,7 +367,7 @@ def host(url: str | None) -> str:
 
 
 def _host_hash(url: str | None) -> int:
-    return xxhash.xxh64_intdigest(host(url))
+    return xxhash.xxh64_intdigest(host(url)) & ~1
 
 
 def _subtrees(batches) -> Iterator[pa.RecordBatch]:
@@ -377,7 +381,7 @@ def _subtrees(batches) -> Iterator[pa.RecordBatch]:
                 top, marked = regions(nodes)
                 own = _host_hash(url)
                 pages.append((nodes[0].hash ^ own) - (1 << 63))
-                hashes.append(sorted({(h ^ own) - (1 << 63) for h in counted(nodes, marked, top)}))
+                hashes.append(sorted({(h ^ own) - (1 << 63) for h in (HOST, *counted(nodes, marked, top))}))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "page", "hashes"])
 
 
@@ -386,7 +390,10 @@ def _extract(sent):
         for rb in batches:
             for a in range(0, len(rb), 256):
                 part = rb.slice(a, 256)
-                texts = [extract(page or "", Known(_host_hash(url), sent.value, frozenset(more or ()))) for url, page, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+                texts = []
+                for url, page, more in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    known = Known(_host_hash(url), sent.value, frozenset(more or ()))
+                    texts.append(extract(page or "", known, names=HOST not in known))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -401,9 +408,10 @@ def _different(trees: DataFrame) -> DataFrame:
     return trees.groupBy("page").agg(F.first("hashes").alias("hashes")).select("page", F.explode("hashes").alias("hash"))
 
 
-def templates(trees: DataFrame, many: int = MANY) -> DataFrame:
-    """``(hash, n)``: the subtrees that recur on a host, and on how many of its different pages; pages with equal trees count as one."""
-    return _different(trees).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= many)
+def templates(trees: DataFrame, many: int = MANY, enough: int = ENOUGH) -> DataFrame:
+    """``(hash, n)``: the subtrees that recur on a host, and on how many of its different pages; pages with equal trees count as one. A host of ``enough`` pages has a hash of its own, an even one."""
+    least = F.when(F.pmod("hash", F.lit(2)) == 0, enough).otherwise(many)
+    return _different(trees).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def _sent_from(known: DataFrame) -> int:
@@ -417,9 +425,14 @@ def _sent_from(known: DataFrame) -> int:
     return 0
 
 
-def main_text(pages: DataFrame, many: int = MANY) -> DataFrame:
+def main_text(pages: DataFrame, many: int = MANY, enough: int = ENOUGH) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages(page_id, url, html)``.
 
+    Subtrees that recur on ``many`` different pages of their host go. On hosts
+    of ``enough`` pages that is all that decides; where a host has fewer, so
+    that little can recur, names and roles of elements, classes and the place of
+    the article decide too.
+
     A null html counts as empty and gives an empty text; a null or broken url
     belongs to a host of its own name, the empty one. Repeated rows, and rows
     without an id, each get a row; pages with equal trees count as one. Very
@@ -430,7 +443,7 @@ def main_text(pages: DataFrame, many: int = MANY) -> DataFrame:
     base = pages.select("page_id", "url", "html")
     kind = base.schema["page_id"].dataType.simpleString()
     trees = materialise(subtrees(base), "subtrees")
-    known = materialise(templates(trees, many), "templates")
+    known = materialise(templates(trees, many, enough), "templates")
     least = _sent_from(known)
     sent = np.sort(known.where(F.col("n") >= least).select("hash").toPandas()["hash"].to_numpy(np.int64))
     if not least:
@@ -439,7 +452,9 @@ def main_text(pages: DataFrame, many: int = MANY) -> DataFrame:
         found = _different(trees).join(known.where(F.col("n") < least).select("hash"), "hash").groupBy("page").agg(F.collect_list("hash").alias("template"))
         keys = trees.groupBy("key").agg(F.first("page").alias("page"), F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("parts"))
         lists = materialise(keys.join(found, "page").select("key", "parts", "template"), "lists")
-        dealt = base.withColumn("key", F.xxhash64("url", "html")).join(F.broadcast(lists.where("parts > 1").select("key", "parts")), "key", "left")
+        wide = lists.where("parts > 1").select("key", "parts")
+        wide = F.broadcast(wide) if wide.count() <= SENT_HASHES else wide
+        dealt = base.withColumn("key", F.xxhash64("url", "html")).join(wide, "key", "left")
         dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         rows = dealt.join(lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), ["key", "part"], "left").select("page_id", "url", "html", "template")
     return rows.mapInArrow(_extract(base.sparkSession.sparkContext.broadcast(sent)), f"page_id {kind}, url string, text string, n_chars bigint")

@@ -25,12 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import wordhash as W
+from strandline.operators.suffix import running
 from strandline.session import materialise
 
 #: Words of a block, times that a block may be taken, and weights in code-point order of the sources, repeating.
 BLOCK_WORDS, EPOCHS, WEIGHTS = 64, 3, (1, 2, 3)
-#: Output shards at most, and cells (shards x sources) of the plan made on the driver; both independent of the data's size.
-SHARDS, PLAN_CELLS = 4096, 4_000_000
+#: Output shards at most, sources that one task plans, and cells (shards x groups of sources) of the plan made on the driver; all independent of the data's size.
+SHARDS, GROUP, PLAN_CELLS = 4096, 512, 4_000_000
+#: Sources whose totals are sent to every task, at most.
+SENT_SOURCES = 10_000
 #: Slots of a row of the plan at most, and slots that one task makes, about.
 PLAN_SLOTS, TASK_SLOTS = 1 << 14, 1 << 20
 _U = np.uint64
@@ -59,15 +62,14 @@ def water_fill(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.least(roof.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def plan_slots(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots of each (shard, source): multinomial draws, with draws beyond a quota dealt again to sources short of theirs."""
+def plan_slots(quota: np.ndarray, shards: int | np.ndarray, *seed: int) -> np.ndarray:
+    """Slots of each (shard, source): multinomial draws, with draws beyond a quota dealt again to sources short of theirs; ``shards`` are as many of even size, or the slots of each."""
     total = int(quota.sum())
+    each = shards if isinstance(shards, np.ndarray) else np.diff(np.minimum(np.arange(shards + 1) * (total // shards) + np.minimum(np.arange(shards + 1), total % shards), total))
     if not total:
-        return np.zeros((shards, len(quota)), np.int64)
-    each = np.full(shards, total // shards, np.int64)
-    each[: total % shards] += 1
+        return np.zeros((len(each), len(quota)), np.int64)
     p = quota / total
-    drawn = np.stack([np.random.default_rng([seed, s]).multinomial(n, p) for s, n in enumerate(each)]).astype(np.int64)
+    drawn = np.stack([np.random.default_rng([*seed, s]).multinomial(n, p) for s, n in enumerate(each)]).astype(np.int64)
     before = np.cumsum(drawn, 0) - drawn
     kept = np.clip(quota - before, 0, drawn)
     freed = np.cumsum((drawn - kept).sum(1))
@@ -76,6 +78,43 @@ def plan_slots(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return kept + np.maximum(np.minimum(freed[:, None], short[None, :]) - lo, 0)
 
 
+_PLAN = "shard bigint, rank bigint, start bigint, n bigint, blocks bigint"
+
+
+def _planned(seed: int):
+    """Rows of the plan of each group's sources, from the group's slots of every shard."""
+
+    def run(batches):
+        for rb in batches:
+            for group, own, each in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                own = sorted((x["rank"], x["quota"], x["blocks"]) for x in own)
+                rank, quota, blocks = (np.array(x, np.int64) for x in zip(*own, strict=True))
+                counts = plan_slots(quota, np.array(each, np.int64), seed, 1 + group)
+                shard, who = np.nonzero(counts)
+                starts = (np.cumsum(counts, 0) - counts)[shard, who]
+                cols = (shard, rank[who], starts, counts[shard, who], blocks[who])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["shard", "rank", "start", "n", "blocks"])
+
+    return run
+
+
+def planned(sources: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """The plan's rows ``(shard, rank, start, n, blocks)`` for ``sources(rank, quota, blocks)``, and its slots.
+
+    A draw over all sources is one over groups of ``GROUP`` sources and one
+    within a group: the driver draws for the groups, a task for each one's
+    sources.
+    """
+    grouped = sources.groupBy(F.floor((F.col("rank") - 1) / GROUP).cast("bigint").alias("group"))
+    held = grouped.agg(F.sum("quota").alias("quota")).toPandas().sort_values("group")  # a row for GROUP sources
+    total = int(held.quota.sum())
+    shards = max(1, min(SHARDS, PLAN_CELLS // max(1, len(held)), math.ceil(total / 4096)))
+    each = plan_slots(held.quota.to_numpy(np.int64), shards, seed, 0)
+    sent = sources.sparkSession.createDataFrame(pd.DataFrame({"group": held.group.to_numpy(np.int64), "each": [x.tolist() for x in each.T]}), "group bigint, each array<bigint>")
+    own = grouped.agg(F.collect_list(F.struct("rank", "quota", "blocks")).alias("own"))
+    return own.join(sent, "group").select("group", "own", "each").mapInArrow(_planned(seed), _PLAN), total
+
+
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A keyed permutation of range(size), row by row: a four-round Feistel network with cycle walking."""
     x, size, key = index.astype(_U), size.astype(_U), key.astype(_U)
@@ -130,23 +169,20 @@ def _mix(docs: DataFrame, block_words: int, seed: int, epochs: int, weights: tup
     kind = base.schema["doc_id"].dataType.simpleString()
     sizes = materialise(base.mapInArrow(_count_words, f"doc_id {kind}, source string, size bigint, k1 bigint, k2 int"), "sizes")
 
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    totals = running(totals, ["last", "source"], F.lit(1).cast("bigint"), "before").withColumn("rank", F.col("before") + 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(order)).withColumn("weight", weight)
-    sources = materialise(water_fill(materialise(totals, "sources"), epochs), "targets")
-    held = sources.select("rank", "source_size", "target").toPandas().sort_values("rank")  # one row a source
-    size = held.source_size.to_numpy(np.int64)
-    blocks = -(-size // block_words)
-    quota = np.minimum(np.rint(held.target.to_numpy(float) * blocks / np.maximum(size, 1)).astype(np.int64), epochs * blocks)
-    shards = max(1, min(SHARDS, PLAN_CELLS // max(1, len(held)), math.ceil(int(quota.sum()) / 4096)))
-    counts = plan_slots(quota, shards, seed)
-    shard, who = np.nonzero(counts)
-    starts = (np.cumsum(counts, 0) - counts)[shard, who]
-    plan = pd.DataFrame({"shard": shard, "rank": held["rank"].to_numpy()[who].astype(np.int32), "start": starts, "n": counts[shard, who], "blocks": blocks[who]})
-    dealt = deal_slots(spark.createDataFrame(plan, "shard bigint, rank int, start bigint, n bigint, blocks bigint"), int(quota.sum()))
-    slots = dealt.select("shard", "slot", "rank", _permuted(seed)("slot", "blocks", F.col("rank").cast("bigint")).alias("block"))
-
-    rows = sizes.join(F.broadcast(sources.select(F.col("source").alias("own"), "rank", "source_size", "target")) if len(held) <= 10_000 else sources.select(F.col("source").alias("own"), "rank", "source_size", "target"), sizes.source.eqNullSafe(F.col("own"))).drop("own", "source")
+    sources = water_fill(materialise(totals.select("source", "source_size", "rank", weight.alias("weight")), "sources"), epochs)
+    blocks = F.ceil(F.col("source_size") / block_words).cast("bigint")
+    quota = F.least(F.rint(F.col("target") * blocks / F.greatest("source_size", F.lit(1))).cast("bigint"), epochs * blocks)
+    sources = materialise(sources.select("*", blocks.alias("blocks"), quota.alias("quota")), "targets")
+    plan, total = planned(sources, seed)
+    dealt = deal_slots(plan, total)
+    slots = dealt.select("shard", "slot", "rank", _permuted(seed)("slot", "blocks", "rank").alias("block"))
+
+    known = sources.select(F.col("source").alias("own"), "rank", "source_size", "target")
+    known = F.broadcast(known) if known.count() <= SENT_SOURCES else known
+    rows = sizes.join(known, sizes.source.eqNullSafe(F.col("own"))).drop("own", "source")
     buckets = max(1, math.isqrt(sizes.count()))  # as many buckets as rows in each: both windows below stay short
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k1", F.lit(seed)), F.lit(buckets)))  # of the whole row: rows that share an id, or have none, spread
     filled = rows.where("size > 0")
@@ -227,7 +263,7 @@ def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11
     held = pieces.groupBy("rank", "from").agg(F.flatten(F.collect_list(F.array("block", "first", "words"))).alias("cuts"))
     value = placed.select("k1", "k2", "rank", "from").join(held, ["rank", "from"]).select("k1", "k2", F.struct("rank", "from", "cuts").alias("value"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = _with_rows(docs.select("doc_id", "source", "text"), value, "__own").select("doc_id", "text", "__own.rank", "__own.from", "__own.cuts").mapInArrow(_cut, f"rank int, block bigint, `from` bigint, doc_id {kind}, first bigint, words bigint, text string")
+    texts = _with_rows(docs.select("doc_id", "source", "text"), value, "__own").select("doc_id", "text", "__own.rank", "__own.from", "__own.cuts").mapInArrow(_cut, f"rank bigint, block bigint, `from` bigint, doc_id {kind}, first bigint, words bigint, text string")
     whole = texts.groupBy("rank", "block").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from", "doc_id", "first", "words", "text"))).alias("pieces"))
     out = slots.join(whole.hint("merge"), ["rank", "block"]).join(sources.select("rank", "source"), "rank")
     return out.select("shard", "slot", "source", "words", F.transform("pieces", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["first"].alias("first"), x["words"].alias("words"), x["text"].alias("text"))).alias("pieces"))

@@ -312,3 +312,55 @@ def test_secret_network_reports_recall_by_kind(spark):
     rows = [(i, f"some words before {k} and words after, password = {k.upper()}x{i}" if i % 2 else f"the number {rng.randrange(10**19, 10**20)} and words", None) for i, k in enumerate(keys)]
     report = secrets.fit(documents(spark, rows)).report
     assert report["recall"] >= 0.97 and report["recall_hex"] >= 0.9 and report["recall_assign"] >= 0.9 and "recall_digits" in report and "recall_access" not in report
+
+
+# ------------------------------------------------------------------ mixes of many sources, templates by counts
+
+def test_plans_of_groups_of_sources_fill_every_quota(spark, monkeypatch):
+    from strandline.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rng = random.Random(9)
+    rows = [(r, rng.randint(0, 900), rng.randint(1, 50)) for r in range(1, 24)]
+    plan, total = mixing.planned(spark.createDataFrame(rows, "rank bigint, quota bigint, blocks bigint"), 5)
+    got = plan.collect()
+    assert total == sum(q for _, q, _ in rows)
+    for rank, quota, blocks in rows:
+        own = sorted((r.start, r.n, r.blocks) for r in got if r.rank == rank and r.n)
+        assert sum(n for _, n, _ in own) == quota and all(b == blocks for _, _, b in own)
+        assert [s for s, _, _ in own] == list(itertools.accumulate([0, *(n for _, n, _ in own)]))[: len(own)]
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, got))
+
+
+def test_mix_of_more_sources_than_a_group(spark, monkeypatch):
+    from strandline.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 2)
+    rng = random.Random(10)
+    rows = [(i, "w " * rng.randint(1, 200), rng.choice([None, "", *(f"s{j}" for j in range(20))])) for i in range(400)]
+    got = mixing.mixture(documents(spark, rows)).collect()
+    taken, target = collections.Counter(), {}
+    source = {i: s for i, _, s in rows}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        assert r.taken <= 3 * r.size
+    assert len(got) == 400 and len(target) == 22
+    assert all(abs(taken[s] - t) <= 64 + 0.02 * t for s, t in target.items())
+
+
+def test_counts_decide_where_hosts_have_enough_pages(spark):
+    from strandline.llm import html_text
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    size = collections.Counter(html_text.host(r.url) for r in pages.collect())
+    assert max(size.values()) >= html_text.ENOUGH > min(size.values())
+    found = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    without = {r.page_id: r.text for r in html_text.main_text(pages, many=1 << 30).collect()}
+    by_name = {r.page_id: r.text for r in html_text.main_text(pages, enough=1 << 30).collect()}
+    assert found == by_name  # both ways agree on this table
+    large = {r.page_id for r in pages.collect() if size[html_text.host(r.url)] >= html_text.ENOUGH}
+    assert {i for i in found if found[i] != without[i]} == large and len(large) > 50  # nothing but the counts cleans these
+    long_ = "x-" * 150 + "sidebar"
+    assert html_text.extract(f'<article><p>a</p><div class="{long_}">z</div></article>', set()) == "a"
