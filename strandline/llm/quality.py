@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import wordhash as W
-from strandline.llm.toxicity import fit_linear
+from strandline.llm.toxicity import fit_linear, in_order
 
 #: Documents that the scorer is fitted on, at most (the smallest hashes of doc_id), and hash bits of its features.
 TRAIN_ROWS, BITS = 20_000, 12
@@ -168,7 +168,7 @@ class Model:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``docs(doc_id, text)``: labellers on the votes of all, the scorer on about ``train_rows``, those whose hashes are smallest."""
     model = Model()
-    seen = docs.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 3 ** 11 patterns at most
+    seen = docs.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")  # 3 ** 11 patterns at most
     if not len(seen):
         return model
     patterns = (seen.code.to_numpy()[:, None] // 3 ** np.arange(len(LABELLERS))) % 3 - 1
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))  # hashes alone decide: nothing is sorted, equal rows count once
     share = min(1.0, train_rows / max(int(seen.n.sum()), 1))
     chosen = docs.select(key.alias("key"), "text").where(F.col("key") < int(share * (1 << 40))).groupBy("key").agg(F.first("text").alias("text"))
-    rows = chosen.select("text").mapInArrow(_examples, "shapes array<int>, counts array<int>, dense array<double>, votes array<tinyint>").toPandas()  # about train_rows
+    rows = in_order(chosen.select("text").mapInArrow(_examples, "shapes array<int>, counts array<int>, dense array<double>, votes array<tinyint>").toPandas())  # about train_rows
     dense = np.array(rows.dense.tolist()).reshape(-1, DENSE)
     model.mean, model.scale = (dense.mean(0), dense.std(0) + 1e-6) if len(dense) else (np.zeros(DENSE), np.ones(DENSE))
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["shapes"]])
@@ -218,7 +218,11 @@ def score(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def drop_bad(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that score below 0.5; columns stay as they are."""
+    """``docs`` without the rows that score below 0.5; columns stay as they are, whatever their names.
+
+    Null, empty and very long texts are scored as in :func:`score`, repeated
+    rows go or stay together, and an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), **options))
     at = docs.columns.index("text")
 

@@ -17,11 +17,13 @@ label, language, source or id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import wordhash as W
+from strandline.session import materialise
 
 #: Labelled rows that lexicons are mined from, at most (the smallest hashes of doc_id), and documents that the classifier is trained on, about (the smallest hashes of doc_id and text).
 TRAIN_ROWS, SAMPLE_ROWS = 20_000, 20_000
@@ -277,6 +279,12 @@ def fit_labels(codes: np.ndarray, n: np.ndarray, votes: np.ndarray, y: np.ndarra
     return LabelModel().fit(stacked, np.concatenate([n, weight]), np.concatenate([own.posterior(patterns), first]), known)
 
 
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows in the order of their values, so that sums over them do not depend on the order in which tasks end."""
+    keys = [tuple(tuple(x) if isinstance(x, (list, np.ndarray)) else x for x in r) for r in rows.itertuples(index=False)]
+    return rows.iloc[sorted(range(len(rows)), key=keys.__getitem__)].reset_index(drop=True)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on ``docs(doc_id, text)`` and the training rows ``labels(doc_id, toxic)``; votes are counted over all of ``docs``."""
     spark, model = docs.sparkSession, Model()
@@ -285,7 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, sample
     if held.y.nunique() < 2:
         return model
     ids = spark.createDataFrame(held, gold.schema)
-    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.least("y", F.lit(1)).alias("y"))
+    train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that repeat a labelled doc_id one
+    train = materialise(train.select("text", F.least("y", F.lit(1)).alias("y")), "labelled", rows=train_rows)
     counts = train.mapInArrow(_document_counts, "family int, id int, n0 bigint, n1 bigint").groupBy("family", "id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counts.where("family = -1").first()
     if total is None or not total.n0 or not total.n1:
@@ -296,10 +305,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, sample
     best = best.orderBy((F.col("n1") * F.col("odds")).desc(), "family", "id").limit(FEATURES).toPandas()
     model.lexicon = lexicon = Lexicon(best.id.to_numpy(np.int64), best.odds.to_numpy(float), best.family.to_numpy(np.int64), best.n1.to_numpy() <= least)
     sent = spark.sparkContext.broadcast(lexicon)  # 8 MB whatever the corpus
-    seen = docs.select("text").mapInArrow(_vote_counts(sent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 3 ** VOTERS patterns at most
+    seen = docs.select("text").mapInArrow(_vote_counts(sent), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")  # 3 ** VOTERS patterns at most
     kinds = "label int, feats array<int>, counts array<int>, dense array<double>, votes array<int>"
-    labelled = train.mapInArrow(_examples(sent), kinds).select("label", "votes").toPandas()  # train_rows at most
-    examples = sample(docs, sample_rows, int(seen.n.sum())).select("text", F.lit(0).alias("y")).mapInArrow(_examples(sent), kinds).toPandas()  # about sample_rows
+    labelled = in_order(train.mapInArrow(_examples(sent), kinds).select("label", "votes").toPandas())  # train_rows at most
+    examples = in_order(sample(docs, sample_rows, int(seen.n.sum())).select("text", F.lit(0).alias("y")).mapInArrow(_examples(sent), kinds).toPandas())  # about sample_rows
     model.labels = fit_labels(seen.code.to_numpy(), seen.n.to_numpy(float), np.array(labelled.votes.tolist()), labelled.label.to_numpy())
     target = model.labels.posterior(np.array(examples.votes.tolist()))
 
@@ -353,7 +362,12 @@ def _filter(sent, column: int, least: float):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """``docs`` without the rows whose score is ``least`` or more; columns stay as they are."""
+    """``docs`` without the rows whose score is ``least`` or more; columns stay as they are, whatever their names.
+
+    Scores are those of :func:`score`: null, empty and very long texts are
+    scored as there, repeated rows go or stay together, rows without an id are
+    scored like others, and an empty table stays empty.
+    """
     model = fit(docs.select("doc_id", "text"), labels.where(~held_out()), **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_filter(sent, docs.columns.index("text"), least), docs.schema)

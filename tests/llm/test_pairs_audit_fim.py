@@ -364,3 +364,21 @@ def test_counts_decide_where_hosts_have_enough_pages(spark):
     assert {i for i in found if found[i] != without[i]} == large and len(large) > 50  # nothing but the counts cleans these
     long_ = "x-" * 150 + "sidebar"
     assert html_text.extract(f'<article><p>a</p><div class="{long_}">z</div></article>', set()) == "a"
+
+
+# ------------------------------------------------------------------ training rows
+
+def test_training_rows_are_bounded_and_their_order_does_not_matter(spark):
+    from strandline.llm import quality, toxicity
+
+    docs = table(spark, "documents").select("doc_id", "text")
+    labels = table(spark, "labels")
+    one = labels.where("toxic = 1").first().doc_id
+    many = docs.unionByName(docs.where(F.col("doc_id") == one).crossJoin(spark.range(300)).select("doc_id", F.concat("text", F.lit(" "), F.col("id").cast("string")).alias("text")))
+    scores = lambda d, m, parts: sorted((r.doc_id, r.score) for r in m.score(d.repartition(parts), *([labels] if m is toxicity else [])).collect())
+    assert scores(many, toxicity, 1) == scores(many, toxicity, 7)  # to the last digit
+    assert scores(docs, quality, 1) == scores(docs, quality, 7)
+    empty = docs.limit(0)
+    assert toxicity.drop_toxic(empty, labels).count() == 0 and quality.drop_bad(empty).count() == 0
+    odd = documents(spark, ODD)
+    assert toxicity.drop_toxic(odd, labels).columns == odd.columns and quality.drop_bad(odd).columns == odd.columns
