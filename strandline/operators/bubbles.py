@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions.expr import allele_type, gap_cost, reverse_complement
 from strandline.operators.graph import Graph, components, offsets
 from strandline.operators.grouped import map_groups
+from strandline.operators.separators import pieces
 from strandline.session import materialise
 
 
@@ -115,23 +116,23 @@ def _scanned_superbubbles(nexts: dict[int, list[int]], into: dict[int, list[int]
 def superbubbles(graph: Graph) -> DataFrame:
     """``component, source, sink, inner``: minimal single-entry single-exit regions.
 
-    Only pairs that the same paths visit and that have an inner node count. A
-    component is folded as one group, in linear time if it has no cycle; which
-    paths visit its ends is joined afterwards.
+    Only pairs that the same paths visit and that have an inner node count. No
+    region reaches past a node that all paths visit, so that components are
+    folded in the pieces between these, in linear time where there is no cycle;
+    which paths visit a region's ends is joined afterwards.
     """
-    where = materialise(components(graph), "components")
-    lone = where.select("component", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"))
-    edges = graph.edges().select("src", "dst").distinct().join(where, F.col("src") == F.col("node_id")).select("component", "src", "dst")
+    nodes, links = pieces(graph)
+    lone = nodes.select("component", "piece", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"))
 
     def fold(cols: list[list]) -> list[tuple]:
         nexts: dict[int, list[int]] = {}
-        for s, d in zip(cols[1], cols[2], strict=True):
+        for s, d in zip(cols[2], cols[3], strict=True):
             own = nexts.setdefault(s, [])
             if d is not None:
                 own.append(d)
         return [(cols[0][0], *r) for r in find_superbubbles(nexts)]
 
-    found = map_groups(lone.unionByName(edges), ["component"], ["src", "dst"], fold, "component bigint, source bigint, sink bigint, inner array<bigint>")
+    found = map_groups(lone.unionByName(links), ["component", "piece"], ["src", "dst"], fold, "component bigint, source bigint, sink bigint, inner array<bigint>")
     found = materialise(found, "superbubbles")
     visits = graph.steps.select("node_id", "path").distinct()
     ends = found.select("source", "sink", F.explode(F.array("source", "sink")).alias("node_id"))

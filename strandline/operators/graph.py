@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,37 +238,7 @@ def layers_by_rounds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def longest_path(graph: Graph) -> DataFrame:
-    """For each component of an acyclic graph its longest path by letters other than N: ``component, path array, length``.
+    """For each component of an acyclic graph its longest path by letters other than N: ``component, path array, length``; folded over pieces between common nodes."""
+    from strandline.operators.separators import longest_paths
 
-    Layered dynamic programming is sequential, so a component is one group.
-    """
-    where = components(graph)
-    weight = graph.nodes.select("node_id", (F.length("seq") - base_count(F.upper("seq"), "N")).cast("bigint").alias("w"))
-    edges = graph.edges().select("src", "dst").join(where, F.col("src") == F.col("node_id")).select("component", "src", "dst")
-    rows = where.join(weight, "node_id").select("component", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"), "w").unionByName(edges.withColumn("w", F.lit(0).cast("bigint")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = {int(r.src): int(r.w) for r in pdf[pdf.dst.isna()].itertuples()}
-        nexts: dict[int, list[int]] = {n: [] for n in w}
-        into = dict.fromkeys(w, 0)
-        for r in pdf[pdf.dst.notna()].itertuples():
-            nexts[int(r.src)].append(int(r.dst))
-            into[int(r.dst)] += 1
-        best, back = dict(w), dict.fromkeys(w, None)
-        ready = sorted(n for n, k in into.items() if not k)
-        while ready:
-            n = ready.pop()
-            for m in sorted(nexts[n]):
-                if best[n] + w[m] > best[m]:
-                    best[m], back[m] = best[n] + w[m], n
-                into[m] -= 1
-                if not into[m]:
-                    ready.append(m)
-        at = min(w, key=lambda n: (-best[n], n))
-        length, path = best[at], []
-        while at is not None:
-            path.append(at)
-            at = back[at]
-        return pd.DataFrame({"component": [pdf.component.iloc[0]], "path": [path[::-1]], "length": [length]})
-
-    return rows.groupBy("component").applyInPandas(run, "component bigint, path array<bigint>, length bigint")
+    return longest_paths(graph)

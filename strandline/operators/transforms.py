@@ -11,6 +11,7 @@ from strandline.operators.chain import best_chain
 from strandline.operators.graph import Graph, contract, extract, offsets
 from strandline.operators.grouped import map_groups
 from strandline.operators.intervals import islands
+from strandline.operators.separators import distances
 from strandline.session import materialise
 
 
@@ -172,35 +173,7 @@ def refine(graph: Graph, min_alleles: int = 2, max_length: int | None = 10_000,
 
 def layers(graph: Graph) -> DataFrame:
     """``node_id, layer_offset``: the longest distance in letters from any start of an acyclic graph, as alignment columns need it."""
-    from strandline.operators.graph import components
-
-    where = components(graph)
-    size = graph.nodes.select("node_id", F.length("seq").cast("bigint").alias("n"))
-    lone = where.join(size, "node_id").select("component", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"), "n")
-    links = graph.edges().select("src", "dst").join(where, F.col("src") == F.col("node_id")).select("component", "src", "dst", F.lit(0).cast("bigint").alias("n"))
-
-    def fold(cols: list[list]) -> list[tuple]:
-        size, nexts, into = {}, {}, {}
-        for s, d, n in zip(*cols[1:], strict=True):
-            if d is None:
-                size[s] = n
-                nexts.setdefault(s, [])
-                into.setdefault(s, 0)
-            else:
-                nexts.setdefault(s, []).append(d)
-                into[d] = into.get(d, 0) + 1
-        at = dict.fromkeys(size, 0)
-        ready = [n for n in size if not into[n]]
-        while ready:
-            s = ready.pop()
-            for d in nexts[s]:
-                at[d] = max(at[d], at[s] + size[s])
-                into[d] -= 1
-                if not into[d]:
-                    ready.append(d)
-        return list(at.items())
-
-    return map_groups(lone.unionByName(links), ["component"], ["src", "dst"], fold, "node_id bigint, layer_offset bigint")
+    return distances(graph).withColumnRenamed("distance", "layer_offset")
 
 
 def dotplot_points(anchors: DataFrame) -> DataFrame:
