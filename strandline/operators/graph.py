@@ -19,13 +19,19 @@ from strandline.session import discard, materialise
 
 @dataclass
 class Graph:
-    """Node and step tables of one graph."""
+    """Node and step tables of one graph; ``links(src, ofrom, dst, oto)`` are edges that it has whether or not a path takes them."""
 
     nodes: DataFrame
     steps: DataFrame
+    links: DataFrame | None = None
 
     def edges(self) -> DataFrame:
-        return path_edges(self.steps)
+        own = path_edges(self.steps)
+        if self.links is None:
+            return own
+        keys = ["src", "ofrom", "dst", "oto"]
+        more = self.links.select(*keys).distinct().join(own.select(*keys), keys, "left_anti")
+        return own.unionByName(more.withColumn("paths", F.array().cast(own.schema["paths"].dataType)))
 
 
 def path_edges(steps: DataFrame) -> DataFrame:

@@ -132,3 +132,26 @@ def longest_paths(graph: Graph) -> DataFrame:
     own = map_groups(_rows(nodes, edges, weight), ["component", "piece"], ["src", "dst"], fold, "component bigint, piece int, own array<bigint>, n bigint")
     every = F.array_sort(F.collect_list(F.struct("piece", "own")))
     return own.groupBy("component").agg(F.flatten(F.transform(every, lambda x: x["own"])).alias("path"), F.sum("n").alias("length"))
+
+
+def parts(graph: Graph, limit: int) -> DataFrame:
+    """``component, part, node_id``: pieces of each component put together, in order, to parts of up to ``limit`` nodes.
+
+    A piece that has more is a part by itself. Separators at the border of two
+    parts are in both. Only the sizes of pieces are walked in order.
+    """
+    nodes, _ = pieces(graph)
+    size = nodes.where("role is null or role = 'sink'").groupBy("component", "piece").agg(F.count(F.lit(1)).alias("n"))
+
+    def fold(cols: list[list]) -> list[tuple]:
+        out, part, held = [], 0, 0
+        for component, piece, n in zip(*cols, strict=True):
+            entry = 1 if piece else 0  # the separator that it begins with
+            if held and held + n > limit:
+                part, held = part + 1, entry
+            held += n
+            out.append((component, piece, part))
+        return out
+
+    dealt = map_groups(size, ["component"], ["piece"], fold, "component bigint, piece int, part int")
+    return nodes.join(dealt, ["component", "piece"]).select("component", "part", "node_id").distinct()

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import Graph, layers_by_rounds
+from strandline.operators.graph import Graph
+from strandline.operators.separators import distances, parts
+from strandline.operators.suffix import running
+from strandline.session import materialise
 
 #: Letters in a line of a written FASTA record.
 WIDTH = 100
@@ -77,18 +80,23 @@ def read_gfa(spark: SparkSession, path: str, keep_original: bool = True) -> Grap
     """A graph from the segments and paths of a GFA file.
 
     Nodes that no path visits are dropped, unless the file has no paths at all;
-    so are ``*`` paths unless asked for. A step's ``overlap`` with the one
+    so are ``*`` paths unless asked for. Links between nodes that stay are edges
+    of the graph, taken by a path or not. A step's ``overlap`` with the one
     before is a column of the steps if the file has any but ``0M``.
     """
     t = gfa_tables(spark, path)
     nodes = t["segments"].select(node_ids(F.col("name")).alias("node_id"), "seq")
     paths = t["paths"] if keep_original else t["paths"].where("path not like '*%'")
     steps = paths.select("path", "step", node_ids(F.col("name")).alias("node_id"), "orient", "overlap")
+    links = t["links"].select(node_ids(F.col("src")).alias("src"), "ofrom", node_ids(F.col("dst")).alias("dst"), "oto")
     if not steps.where("overlap rlike '[1-9]'").take(1):
         steps = steps.drop("overlap")
     if not steps.take(1):
-        return Graph(nodes, steps)
-    return Graph(nodes.join(steps.select("node_id").distinct(), "node_id", "left_semi"), steps)
+        return Graph(nodes, steps, links)
+    used = steps.select("node_id").distinct()
+    for end in ("src", "dst"):
+        links = links.join(used.withColumnRenamed("node_id", end), end, "left_semi")
+    return Graph(nodes.join(used, "node_id", "left_semi"), steps, links)
 
 
 def gfa_lines(graph: Graph, links: DataFrame | None = None) -> DataFrame:
@@ -107,8 +115,8 @@ def gfa_lines(graph: Graph, links: DataFrame | None = None) -> DataFrame:
 
 def renumbered(graph: Graph) -> Graph:
     """The graph with node ids 1 .. n in topological order, ties by id; a cycle is an error."""
-    order = layers_by_rounds(graph.edges(), graph.nodes)
-    ids = order.select("node_id", F.row_number().over(Window.orderBy("layer", "node_id")).cast("bigint").alias("new"))  # ids alone, for a writer
+    ranked = running(distances(graph, letters=False), ["distance", "node_id"], F.lit(1).cast("bigint"), "before")
+    ids = materialise(ranked.select("node_id", (F.col("before") + 1).alias("new")), "ids")
     return Graph(graph.nodes.join(ids, "node_id").select(F.col("new").alias("node_id"), "seq"), graph.steps.join(ids, "node_id").select("path", "step", F.col("new").alias("node_id"), "orient"))
 
 
@@ -134,6 +142,15 @@ def gml_lines(graph: Graph) -> DataFrame:
     return n.unionByName(e)
 
 
+def gml_parts(graph: Graph, limit: int) -> DataFrame:
+    """``component, part, line``: GML nodes and edges in parts of up to ``limit`` nodes, for one file each; a part begins where all paths of a component meet, and that node is in both."""
+    cut = materialise(parts(graph, limit), "parts")
+    n = graph.nodes.join(cut, "node_id").select("component", "part", F.format_string('node [\n  id %d\n  seq "%s"\n  l %d\n]', "node_id", "seq", F.length("seq")).alias("line"))
+    ends = [cut.select("component", "part", F.col("node_id").alias(c)) for c in ("src", "dst")]
+    e = graph.edges().join(ends[0], "src").join(ends[1], ["component", "part", "dst"])
+    return n.unionByName(e.select("component", "part", F.format_string('edge [\n  source %d\n  target %d\n  paths "%s"\n]', "src", "dst", F.array_join("paths", ",")).alias("line")))
+
+
 def read_maf(spark: SparkSession, path: str) -> DataFrame:
     """``block, sample, start, size, strand, src_size, text`` of MAF alignment blocks with more than one row."""
     raw = spark.read.text(path, lineSep="\na").where(F.col("value").contains("\ns"))
@@ -192,8 +209,9 @@ def mfa_lines(aligned: DataFrame) -> DataFrame:
 
 def renamed_reads(seqs: DataFrame, template: str) -> DataFrame:
     """Records named ``template/number/0_length`` in order of their names, as long-read tools ask for."""
-    number = F.row_number().over(Window.orderBy("name"))
-    return seqs.select(F.concat_ws("/", F.lit(template), number.cast("string"), F.concat(F.lit("0_"), F.length("seq").cast("string"))).alias("name"), "seq")
+    ranked = running(seqs.select("name", "seq").withColumn("tie", F.monotonically_increasing_id()), ["name", "seq", "tie"], F.lit(1).cast("bigint"), "before")
+    number = (F.col("before") + 1).cast("string")
+    return ranked.select(F.concat_ws("/", F.lit(template), number, F.concat(F.lit("0_"), F.length("seq").cast("string"))).alias("name"), "seq")
 
 
 def aligned_graph(aligned: DataFrame) -> Graph:
