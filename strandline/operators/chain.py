@@ -148,20 +148,21 @@ class _Box:
             self.best[n] = score
             n = self.up[n]
 
-    def top(self, at: tuple, least: float, bound, exact) -> tuple[float, int] | None:
-        """The best ``score - exact(point)``, at least ``least``, and of equal ones the smallest index, of points that do not exceed ``at``; ``bound(low, high)`` is what a box costs at least."""
+    def top(self, at: tuple, least: float, bound, exact, floor: tuple | None = None) -> tuple[float, int] | None:
+        """The best ``score - exact(point)``, at least ``least``, and of equal ones the smallest index, of points that do not exceed ``at`` nor fall short of ``floor``; ``bound(low, high)`` is what a box costs at least."""
         out = None
+        outside = lambda low, high: any(x > y for x, y in zip(low, at, strict=True)) or (floor is not None and any(x < y for x, y in zip(high, floor, strict=True)))
         stack = [0]
         while stack:
             n = stack.pop()
             a, b, low, high, below = self.nodes[n]
-            if self.best[n] < least or any(x > y for x, y in zip(low, at, strict=True)) or self.best[n] - bound(low, high) < least:
+            if self.best[n] < least or outside(low, high) or self.best[n] - bound(low, high) < least:
                 continue
             if below:
                 stack += sorted(below, key=self.best.__getitem__)
                 continue
             for i in self.order[a:b]:
-                if self.score[i] is None or any(x > y for x, y in zip(self.points[i], at, strict=True)):
+                if self.score[i] is None or outside(self.points[i], self.points[i]):
                     continue
                 total = self.score[i] - exact(self.points[i])
                 if total > least or (total == least and (out is None or i < out[1])):
@@ -239,6 +240,76 @@ def best_chain(anchors: list[tuple], n: int = 2, match: float = 1.0, penalty: fl
     return path[::-1], top
 
 
+def convex_cost(gap: float, penalty: float) -> float:
+    """What a difference of two distances costs: its logarithm, as the convex model of :func:`strandline.functions.expr.gap_cost`."""
+    return penalty * math.log1p(gap)
+
+
+def peeled(anchors: list[tuple], least: int, window: int, penalty: float = 1.0) -> list[list[int]]:
+    """Local chains of anchors (s1, s2, length), best first: each anchor is in one at most.
+
+    An anchor follows one that ends before it on both axes, ``window`` letters
+    at most, or begins a chain anew; links cost :func:`convex_cost`. The best
+    end's chain is taken back to its beginning or to an anchor that is taken
+    already; what is left of a chain counts by its letters alone and stays if it
+    has ``least``.
+    """
+    if not anchors:
+        return []
+    order = sorted(range(len(anchors)), key=lambda i: anchors[i])
+    rows = [anchors[i] for i in order]
+    ends = [(r[0] + r[2], r[1] + r[2]) for r in rows]
+    score, back = [float(r[2]) for r in rows], [-1] * len(rows)
+    coming = [(e[0], i) for i, e in enumerate(ends)]
+    heapify(coming)
+    tree = _Box(ends)
+    for i, (s1, s2, n) in enumerate(rows):
+        while coming and coming[0][0] <= s1 and coming[0][1] < i:
+            j = heappop(coming)[1]
+            tree.add(j, score[j])
+        at = (s1, s2)
+        exact = lambda p: convex_cost(abs((s1 - p[0]) - (s2 - p[1])), penalty)  # noqa: E731, B023
+        bound = lambda low, high: convex_cost(max(0, low[0] - high[1] - s1 + s2, s1 - s2 - high[0] + low[1]), penalty)  # noqa: E731, B023
+        found = tree.top(at, 0.0, bound, exact, (s1 - window, s2 - window))
+        if found and found[0] > 0:
+            score[i], back[i] = n + found[0], found[1]
+    taken, out = [False] * len(rows), []
+    for end in sorted(range(len(rows)), key=lambda i: (-score[i], i)):
+        at, own = end, []
+        while at >= 0 and not taken[at]:
+            own.append(at)
+            at = back[at]
+        if own and sum(rows[i][2] for i in own) >= least:
+            for i in own:
+                taken[i] = True
+            out.append([order[i] for i in reversed(own)])
+    return out
+
+
+def local_chains(anchors: DataFrame, keys: list[str], least: int, window: int, penalty: float = 1.0) -> DataFrame:
+    """``keys, orient, chain, step, s1, s2, length, chain_length``: chains of each group and strand of ``anchors(s1, s2, length, orient)``, as :func:`peeled` says.
+
+    On the reverse strand a chain descends on the second axis. A strand of a
+    group is folded as one, in the order of the first axis.
+    """
+    kinds = ", ".join(f"`{k}` {anchors.schema[k].dataType.simpleString()}" for k in keys)
+    n = len(keys)
+
+    def fold(cols: list[list]) -> list[tuple]:
+        sign = -1 if cols[n][0] else 1
+        rows = list(zip(*cols[n + 1 :], strict=True))
+        turned = [(s1, s2 if sign > 0 else -s2 - m, m) for s1, s2, m in rows]
+        head = tuple(c[0] for c in cols[: n + 1])
+        out = []
+        for chain, own in enumerate(peeled(turned, least, window, penalty)):
+            total = sum(rows[i][2] for i in own)
+            out += [(*head, chain, step, *rows[i], total) for step, i in enumerate(own)]
+        return out
+
+    own = anchors.select(*keys, F.col("orient").cast("int").alias("orient"), *[F.col(c).cast("bigint").alias(c) for c in ("s1", "s2", "length")])
+    return map_groups(own, [*keys, "orient"], ["s1", "s2", "length"], fold, f"{kinds}, orient int, chain int, step int, s1 bigint, s2 bigint, length bigint, chain_length bigint")
+
+
 def colinear_chains(anchors: DataFrame, key: str, match: float = 1.0, penalty: float = 1.0) -> DataFrame:
     """Best chain of each group of anchors (r_start, q_start, length): the group's anchors on it with ``step`` and ``chain_score``."""
     schema = f"{key} {anchors.schema[key].dataType.simpleString()}, step int, r_start bigint, q_start bigint, length bigint, chain_score double"

@@ -216,6 +216,13 @@ def diagonal_clusters(spark, sf_dir):
     return C.cluster_diagonals(p, ["l_suppkey"])
 
 
+@query()
+def local_chains(spark, sf_dir):
+    """Local chains of each supplier's points on both strands, each point in one at most."""
+    p = _t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("s1"), (F.col("l_orderkey") - F.col("l_partkey") % 5 + 10).alias("s2"), F.col("l_quantity").cast("bigint").alias("length"), (F.col("l_linenumber") % 2).alias("orient"))
+    return C.local_chains(p, ["l_suppkey"], 50, 200)
+
+
 _BLOCKS = """SELECT l_orderkey, l_partkey AS s1, l_partkey + CAST(l_quantity AS BIGINT) AS e1, l_suppkey * 10 AS s2, l_suppkey * 10 + CAST(l_quantity AS BIGINT) AS e2, l_linenumber % 2 AS orient, CAST(l_quantity AS BIGINT) AS score FROM lineitem"""
 
 

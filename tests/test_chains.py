@@ -73,3 +73,51 @@ def test_chains_at_size():
     assert time.time() - began < 20 and len(path) > 5
     blocks = sorted((a, a + m, b, b + m, rng.randint(0, 1), m) for a, b, m in rows[:4000])
     assert time.time() - began < 40 and C.best_blocks(blocks)[0]
+
+
+def brute_peeled(rows, least, window, penalty):
+    """Chains by trying all predecessors, then taking the best ends in turn."""
+    order = sorted(range(len(rows)), key=lambda i: rows[i])
+    score, back = {}, {}
+    for at, i in enumerate(order):
+        s1, s2, n = rows[i]
+        most, back[i] = 0.0, None
+        for j in order[:at]:
+            d1, d2 = s1 - rows[j][0] - rows[j][2], s2 - rows[j][1] - rows[j][2]
+            if 0 <= d1 <= window and 0 <= d2 <= window:
+                total = score[j] - C.convex_cost(abs(d1 - d2), penalty)
+                if total > most:
+                    most, back[i] = total, j
+        score[i] = n + most
+    taken, out = set(), []
+    for end in sorted(order, key=lambda i: (-score[i], order.index(i))):
+        own, at = [], end
+        while at is not None and at not in taken:
+            own.append(at)
+            at = back[at]
+        if own and sum(rows[i][2] for i in own) >= least:
+            taken |= set(own)
+            out.append(own[::-1])
+    return out
+
+
+@pytest.mark.parametrize(("least", "window", "penalty"), [(1, 1000, 1), (8, 15, 1), (5, 8, 0)])
+def test_peeled_chains(least, window, penalty):
+    rng = random.Random(least)
+    for _ in range(150):
+        rows = sorted({(rng.randint(0, 60), rng.randint(0, 60), rng.randint(1, 5)) for _ in range(rng.randint(0, 35))})
+        rng.shuffle(rows)
+        got = C.peeled(rows, least, window, penalty)
+        assert got == brute_peeled(rows, least, window, penalty)
+        assert len({i for own in got for i in own}) == sum(map(len, got))
+
+
+def test_local_chains_of_both_strands(spark):
+    rng = random.Random(12)
+    forward = [("g", 10 * i, 10 * i + 3, 6, 0) for i in range(5)]
+    backward = [("g", 10 * i, 200 - 10 * i, 6, 1) for i in range(5)]
+    noise = [("h", rng.randrange(900), rng.randrange(900), 2, rng.randrange(2)) for _ in range(20)]
+    df = spark.createDataFrame(forward + backward + noise, "k string, s1 int, s2 int, length int, orient int")
+    got = C.local_chains(df, ["k"], 20, 50).orderBy("orient", "chain", "step").collect()
+    assert [(r.k, r.orient, r.chain, r.step, r.s1, r.s2, r.length, r.chain_length) for r in got] == [("g", o, 0, i, 10 * i, 10 * i + 3 if not o else 200 - 10 * i, 6, 30) for o in (0, 1) for i in range(5)]
+    assert C.local_chains(df.limit(0), ["k"], 1, 5).collect() == []
