@@ -92,9 +92,11 @@ def components(graph: Graph) -> DataFrame:
 
 
 def named_components(graph: Graph) -> DataFrame:
-    """``node_id, component, name``: components named by their paths in order, joined by ``_``, 200 characters at most."""
+    """``node_id, component, name``: components named by their paths in order, joined by ``_``; longer names than 200 characters are cut and end in the component, so that none coincide."""
     where = materialise(components(graph), "components")
-    names = graph.steps.join(where, "node_id").groupBy("component").agg(F.substring(F.array_join(F.array_sort(F.collect_set("path")).cast("array<string>"), "_"), 1, 200).alias("name"))
+    full = F.array_join(F.array_sort(F.collect_set("path")).cast("array<string>"), "_")
+    name = F.when(F.length(full) > 200, F.concat(F.substring(full, 1, 180), F.lit("_"), F.col("component").cast("string"))).otherwise(full)
+    names = graph.steps.join(where, "node_id").groupBy("component").agg(name.alias("name"))
     return where.join(names, "component").select("node_id", "component", "name")
 
 
@@ -112,6 +114,12 @@ def subgraph_of(graph: Graph, nodes: DataFrame) -> Graph:
     return Graph(graph.nodes.join(own, "node_id", "left_semi"), graph.steps.join(own, "node_id", "left_semi"))
 
 
+def by_samples(graph: Graph, least: int = 1, most: int | None = None) -> Graph:
+    """Nodes that ``least`` to ``most`` paths visit, and all steps on them."""
+    n = graph.steps.groupBy("node_id").agg(F.count_distinct("path").alias("n"))
+    return subgraph_of(graph, n.where(F.col("n").between(F.lit(least), F.lit(most)) if most is not None else F.col("n") >= least))
+
+
 def graph_counts(graph: Graph, is_original) -> DataFrame:
     """One row: ``nodes, edges, samples, components, structural_edges``."""
     edges = graph.edges()

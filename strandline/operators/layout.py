@@ -25,16 +25,20 @@ def anchors(ref: DataFrame, contigs: DataFrame, k: int, stop: str = "N") -> Data
     return out
 
 
-def place_contigs(ref: DataFrame, contigs: DataFrame, k: int = 20, max_dist: int = 30, min_cluster: int = 50, stop: str = "N") -> DataFrame:
+def place_contigs(ref: DataFrame, contigs: DataFrame, k: int = 20, max_dist: int = 30, min_cluster: int = 50, stop: str = "N", min_chain: int = 0, min_contig: int = 0) -> DataFrame:
     """Order and strand of contigs along their best reference: ``ref, ctg, orient, s1, e1, score, gap_before``.
 
     Blocks of each contig and reference are chained; the reference with the
     best chain wins, ties by name. ``gap_before`` is the distance from the end
-    of the contig placed before. What no chain places, :func:`arrange.unplaced`
-    names.
+    of the contig placed before. Contigs below ``min_contig`` letters and chains
+    whose blocks have less than ``min_chain`` matched letters are left out. What
+    no chain places, :func:`arrange.unplaced` names.
     """
+    contigs = contigs.where(F.length("seq") >= min_contig) if min_contig else contigs
     blocks = cluster_diagonals(anchors(ref, contigs, k, stop), ["ref", "ctg"], max_dist, min_cluster)
     chains = glocal_chains(blocks.withColumn("pair", F.concat_ws("\x1f", "ref", "ctg")), "pair")
+    if min_chain:
+        chains = chains.join(chains.groupBy("pair").agg(F.sum("score").alias("letters")).where(F.col("letters") >= min_chain).select("pair"), "pair", "left_semi")
     best = chains.groupBy("pair").agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.max("chain_score").alias("score"), F.max_by("orient", "score").alias("orient"))
     best = best.select(F.get(F.split("pair", "\x1f"), F.lit(0)).alias("ref"), F.get(F.split("pair", "\x1f"), F.lit(1)).alias("ctg"), "orient", "s1", "e1", "score")
     top = best.withColumn("rank", F.row_number().over(Window.partitionBy("ctg").orderBy(F.col("score").desc(), "ref"))).where("rank = 1").drop("rank")

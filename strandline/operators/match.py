@@ -186,6 +186,16 @@ def multi_mems(seqs: DataFrame, sample: str, key: str, seq: str, k: int, least:
     return multi_matches(seqs, sample, key, seq, k, least, True, stop)
 
 
+def same_samples(matches: DataFrame, sample: str) -> DataFrame:
+    """The matches of :func:`multi_matches` that occur in just the samples of the best one: that of most samples, then of most letters, then the first."""
+    names = F.array_sort(F.array_distinct(F.transform("occurrences", lambda o: o[sample])))
+    named = matches.withColumn("__names", names)
+    best = named.agg(F.max(F.struct("samples", "length")).alias("__m"))
+    top = best.select(F.col("__m.samples").alias("__s"), F.col("__m.length").alias("__l"))
+    first = named.join(F.broadcast(top), (F.col("samples") == F.col("__s")) & (F.col("length") == F.col("__l"))).agg(F.min_by("__names", "string").alias("__best"))  # one row
+    return named.join(F.broadcast(first), F.col("__names") == F.col("__best")).select(*matches.columns)
+
+
 def combinations(matches: DataFrame, sample: str) -> DataFrame:
     """Each match with every choice of one occurrence in each of its samples: ``string, length, places``."""
     names = F.array_sort(F.array_distinct(F.transform("occurrences", lambda o: o[sample])))

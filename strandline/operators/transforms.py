@@ -47,23 +47,27 @@ def _chained(anchors: DataFrame) -> DataFrame:
     return map_groups(anchors, ["gap"], ["anchor", "length"], fold, f"gap {kind}, anchor bigint, places array<struct<path: {path}, begin: bigint>>, length bigint")
 
 
-def recursive_align(seqs: DataFrame, k: int = 20) -> Graph:
+def recursive_align(seqs: DataFrame, k: int = 20, max_size: int | None = None) -> Graph:
     """Align ``seqs(path, seq)`` into a graph by rounds of exact anchors.
 
     Each round takes, in all open gaps at once, the best colinear chain of
     strings that every sequence holds exactly once; what lies between becomes
-    the gaps of the next round, until none has an anchor. Anchors are shared
-    nodes; what is left between them is shared where it is equal. The
+    the gaps of the next round, until none has an anchor, or in no sequence more
+    than ``max_size`` letters. Gaps carry their texts, so that no round reads
+    whole sequences again. Anchors are shared nodes; what is left between them
+    is shared where it is equal. The
     sequences of the paths come out as they went in. With a column ``group``
     only sequences of one group are aligned with each other.
     """
     group = F.col("group").cast("string") if "group" in seqs.columns else F.lit("g")
     base = materialise(seqs.select("path", F.col("seq").alias("whole"), group.alias("group")), "sequences")
-    gaps = base.select(F.col("group").alias("gap"), "path", F.lit(0).cast("bigint").alias("begin"), F.length("whole").cast("bigint").alias("end"))
+    gaps = base.select(F.col("group").alias("gap"), "path", F.lit(0).cast("bigint").alias("begin"), F.length("whole").cast("bigint").alias("end"), F.col("whole").alias("text"))
     base = base.drop("group")
     nodes, closed = None, None
     while True:  # every round closes gaps or cuts them, so that it ends
-        text = gaps.join(base, "path").select("gap", "path", "begin", F.expr("substring(whole, int(begin) + 1, int(end - begin))").alias("text"))
+        text = gaps.select("gap", "path", "begin", "text")
+        if max_size is not None:
+            text = text.join(gaps.groupBy("gap").agg(F.max(F.col("end") - F.col("begin")).alias("n")).where(F.col("n") > max_size).select("gap"), "gap", "left_semi")
         anchors = materialise(_chained(common_anchors(text, k)), "anchors")
         if not anchors.take(1):
             break
@@ -73,14 +77,15 @@ def recursive_align(seqs: DataFrame, k: int = 20) -> Graph:
         w = Window.partitionBy("gap", "path").orderBy("begin")
         edge = gaps.join(placed.select("gap").distinct(), "gap", "left_semi")
         stops = placed.select("gap", "path", "begin", "end").unionByName(edge.select("gap", "path", F.col("end").alias("begin"), F.col("end")))
-        start = edge.select("gap", "path", F.col("begin").alias("__b"))
+        start = edge.select("gap", "path", F.col("begin").alias("__b"), F.col("text").alias("__t"))
         ranked = stops.withColumn("i", F.row_number().over(w.orderBy("begin", "end"))).withColumn("prev", F.lag("end").over(w.orderBy("begin", "end")))
-        inner = ranked.join(start, ["gap", "path"]).select(F.concat_ws(".", "gap", F.col("i").cast("string")).alias("gap"), "path", F.coalesce("prev", "__b").alias("from"), F.col("begin").alias("to"))
+        inner = ranked.join(start, ["gap", "path"]).select(F.concat_ws(".", "gap", F.col("i").cast("string")).alias("gap"), "path", F.coalesce("prev", "__b").alias("from"), F.col("begin").alias("to"), "__b", "__t")
+        inner = inner.withColumn("text", F.expr("substring(__t, int(`from` - __b) + 1, int(`to` - `from`))"))
         still = gaps.join(placed.select("gap").distinct(), "gap", "left_anti")
         closed = still if closed is None else closed.unionByName(still)
-        gaps = materialise(inner.where("from < to").select("gap", "path", F.col("from").alias("begin"), F.col("to").alias("end")), "gaps")
+        gaps = materialise(inner.where("from < to").select("gap", "path", F.col("from").alias("begin"), F.col("to").alias("end"), "text"), "gaps")
     rest = gaps if closed is None else closed.unionByName(gaps)
-    rest = rest.where("begin < end").join(base, "path").select("gap", "path", "begin", "end", F.expr("substring(whole, int(begin) + 1, int(end - begin))").alias("seq"))
+    rest = rest.where("begin < end").select("gap", "path", "begin", "end", F.col("text").alias("seq"))
     parts = rest.select(F.concat_ws("=", "gap", F.md5("seq")).alias("name"), "path", "begin", "seq")
     if nodes is not None:
         cut = nodes.join(base, "path").select("name", "path", "begin", F.expr("substring(whole, int(begin) + 1, int(end - begin))").alias("seq"))
@@ -107,15 +112,25 @@ def chop(graph: Graph, k: int) -> tuple[DataFrame, DataFrame]:
     return nodes, merged.edges().select("src", "dst", F.lit(f"{k - 1}M").alias("cigar"))
 
 
-def unzip(graph: Graph, least: int) -> Graph:
+def unzip(graph: Graph, least: int, min_difference: int = 0, max_difference: int | None = None) -> Graph:
     """Move up to ``least`` letters of both flanks of every simple bubble into its alleles.
 
     A flank keeps half of its letters at least (less two), so that bubbles
     that share a node do not meet. Bubbles where a path begins or ends at a
-    flank stay. A direct way from source to sink becomes a node of the moved
+    flank stay, and so do those whose largest and smallest allele differ by less
+    than ``min_difference`` or more than ``max_difference`` letters. A direct way
+    from source to sink, an allele of no letters, becomes a node of the moved
     letters.
     """
-    b = simple_bubbles(graph.edges())
+    edges = graph.edges()
+    b = simple_bubbles(edges)
+    if min_difference or max_difference is not None:
+        direct = edges.select(F.col("src").alias("source"), F.col("dst").alias("sink")).distinct().join(b.select("source", "sink"), ["source", "sink"], "left_semi").withColumn("n", F.lit(0))
+        inner = b.select("source", "sink", F.explode("inner").alias("node_id")).join(graph.nodes, "node_id").select("source", "sink", F.length("seq").alias("n"))
+        size = inner.unionByName(direct).groupBy("source", "sink").agg((F.max("n") - F.min("n")).alias("difference"))
+        fits = F.col("difference") >= min_difference
+        fits = fits if max_difference is None else fits & (F.col("difference") <= max_difference)
+        b = b.join(size.where(fits).select("source", "sink"), ["source", "sink"], "left_semi")
     ends = graph.steps.groupBy("path").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
     outer = graph.steps.join(ends, "path")
     first = outer.where("step = lo").select(F.col("node_id").alias("sink")).distinct()

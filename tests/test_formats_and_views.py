@@ -86,3 +86,59 @@ def test_parts_of_bounded_size(spark, limit):
     lines = S.gml_parts(g, limit).collect()
     edges = {r.line for r in lines if r.line.startswith("edge")}
     assert edges == {r.line for r in S.gml_lines(g).collect() if r.line.startswith("edge")}  # every edge lies in a part
+
+
+# ------------------------------------------------------------------ filters
+
+def test_nodes_by_number_of_paths(small):
+    assert sorted(r.node_id for r in G.by_samples(small, 3).nodes.collect()) == [1, 4]
+    assert sorted(r.node_id for r in G.by_samples(small, 1, 2).nodes.collect()) == [2, 3]
+
+
+def test_long_component_names_differ(spark):
+    steps = [(f"{'n' * 110}{i}_{j}", 0, 10 * i, "+") for i in (1, 2) for j in (1, 2)]
+    g = G.Graph(spark.createDataFrame([(10, "A"), (20, "C")], "node_id bigint, seq string"), spark.createDataFrame(steps, "path string, step int, node_id bigint, orient string"))
+    names = {r.component: r.name for r in G.named_components(g).collect()}
+    assert len(set(names.values())) == 2 and all(n.endswith(str(c)) and len(n) <= 200 for c, n in names.items())
+
+
+def test_unzip_by_difference_of_alleles(spark):
+    from strandline.operators import transforms as X
+
+    nodes = [(1, "ACGTACGT"), (2, "G"), (3, "TT"), (4, "CCCCCCCC"), (5, "A"), (6, "AAAAAA"), (7, "GGGGGGGG")]
+    steps = [("x", i, n, "+") for i, n in enumerate([1, 2, 4, 5, 7])] + [("y", i, n, "+") for i, n in enumerate([1, 3, 4, 6, 7])]
+    g = G.Graph(spark.createDataFrame(nodes, "node_id bigint, seq string"), spark.createDataFrame(steps, "path string, step int, node_id bigint, orient string"))
+    size = lambda *a: {r.node_id: len(r.seq) for r in X.unzip(g, 2, *a).nodes.collect()}
+    before = {n: len(s) for n, s in nodes}
+    changed = lambda after: {n for n in before if after[n] != before[n]} & {2, 3, 5, 6}
+    assert changed(size()) == {2, 3, 5, 6} and changed(size(2)) == {5, 6} and changed(size(0, 2)) == {2, 3} and changed(size(2, 3)) == set()
+    whole = {r.path: r.seq for r in G.extract(g).collect()}
+    assert {r.path: r.seq for r in G.extract(X.unzip(g, 2, 0, 2)).collect()} == whole
+
+
+def test_alignment_stops_at_small_gaps_and_matches_of_the_best_samples(spark):
+    from strandline.operators import match as M
+    from strandline.operators import transforms as X
+
+    rng = random.Random(11)
+    root = "".join(rng.choices("ACGT", k=120))
+    rows = [("a", root), ("b", root[:60] + "T" + root[61:])]
+    df = spark.createDataFrame(rows, "path string, seq string")
+    assert X.recursive_align(df, 12, max_size=200).nodes.count() == 2  # nothing is aligned
+    g = X.recursive_align(df, 12, max_size=50)
+    assert {r.path: r.seq for r in G.extract(g).collect()} == dict(rows) and g.nodes.count() < 6 and len({r.node_id for r in g.steps.where("path = 'a'").collect()} & {r.node_id for r in g.steps.where("path = 'b'").collect()}) >= 2
+    texts = spark.createDataFrame([("p", 1, "ACGTTT"), ("q", 2, "GACGTTC"), ("r", 3, "TACGA"), ("p", 4, "GGCA"), ("q", 5, "AGGCT")], "s string, k int, t string")
+    found = M.multi_mums(texts, "s", "k", "t", 3)
+    best = {r.string for r in M.same_samples(found, "s").collect()}
+    assert best == {r.string for r in found.collect() if r.samples == 3} and best
+
+
+def test_small_contigs_and_chains_are_left_out(spark):
+    from strandline.operators import layout as L
+
+    rng = random.Random(12)
+    ref = "".join(rng.choices("ACGT", k=600))
+    contigs = [("long", ref[50:350]), ("short", ref[400:480])]
+    frames = spark.createDataFrame([("ref", ref)], "name string, seq string"), spark.createDataFrame(contigs, "name string, seq string")
+    names = lambda **o: sorted(r.ctg for r in L.place_contigs(*frames, k=20, **o).collect())
+    assert names() == ["long", "short"] and names(min_contig=100) == ["long"] and names(min_chain=200) == ["long"] and names(min_chain=1000) == []
