@@ -534,7 +534,16 @@ def variant_calls(spark, sf_dir):
     return B.calls(found, ["lane_0", "lane_1", "lane_2"])
 
 
-@query()
+_REGIONS = """, vis AS (SELECT node_id, min(step) AS step, list_sort(list(path)) AS p FROM s GROUP BY node_id),
+meet AS (SELECT x.node_id AS source, y.step, min(y.node_id) AS node FROM s x JOIN s y ON x.path = y.path AND y.step > x.step GROUP BY x.node_id, y.step HAVING count(DISTINCT y.node_id) = 1 AND count(*) = (SELECT len(p) FROM vis v WHERE v.node_id = x.node_id)),
+first_ AS (SELECT source, arg_min(node, step) AS sink, min(step) AS upto FROM meet GROUP BY source),
+span_ AS (SELECT source, sink, upto, v.p, v.step FROM first_ JOIN vis v ON v.node_id = source JOIN vis w ON w.node_id = sink WHERE v.p = w.p AND upto > v.step + 1),
+mid AS (SELECT g.source, g.sink, s.node_id, any_value(g.p) AS p FROM span_ g JOIN s ON s.path = g.p[1] OR list_contains(g.p, s.path) WHERE s.step > g.step AND s.step < g.upto GROUP BY g.source, g.sink, s.node_id),
+reg AS (SELECT source, sink, string_agg(mid.node_id, ',' ORDER BY mid.node_id) AS "inner" FROM mid JOIN vis v USING (node_id) GROUP BY source, sink HAVING bool_and(list_has_all(mid.p, v.p)))
+"""
+
+
+@query(_LAYER_EDGES + _COMPONENTS + _REGIONS + "SELECT DISTINCT component, source, sink, \"inner\" FROM reg JOIN s ON s.node_id = source JOIN k USING (path)")
 def superbubbles(spark, sf_dir):
     """Superbubbles of the layered graphs, nested ones included."""
     return B.superbubbles(_layered(spark, sf_dir)).withColumn("inner", F.array_join(F.col("inner").cast("array<string>"), ","))
