@@ -117,8 +117,9 @@ def unzip(graph: Graph, least: int, min_difference: int = 0, max_difference: int
 
     A flank keeps half of its letters at least (less two), so that bubbles
     that share a node do not meet. Bubbles where a path begins or ends at a
-    flank stay, and so do those whose largest and smallest allele differ by less
-    than ``min_difference`` or more than ``max_difference`` letters. A direct way
+    flank or in an allele stay, since its sequence would change, and so do those
+    whose largest and smallest allele differ by less than ``min_difference`` or
+    more than ``max_difference`` letters. A direct way
     from source to sink, an allele of no letters, becomes a node of the moved
     letters.
     """
@@ -136,6 +137,9 @@ def unzip(graph: Graph, least: int, min_difference: int = 0, max_difference: int
     first = outer.where("step = lo").select(F.col("node_id").alias("sink")).distinct()
     last = outer.where("step = hi").select(F.col("node_id").alias("source")).distinct()
     b = b.join(first, "sink", "left_anti").join(last, "source", "left_anti")
+    halves = first.select(F.col("sink").alias("node_id")).unionByName(last.select(F.col("source").alias("node_id")))
+    half = b.select("source", "sink", F.explode("inner").alias("node_id")).join(halves, "node_id", "left_semi").select("source", "sink")
+    b = b.join(half, ["source", "sink"], "left_anti")
     room = lambda c: F.least(F.lit(least), F.floor(F.greatest(F.length(c) - 2, F.lit(0)) / 2)).cast("int")
     seq = graph.nodes
     b = b.join(seq.select(F.col("node_id").alias("source"), F.col("seq").alias("a")), "source").join(seq.select(F.col("node_id").alias("sink"), F.col("seq").alias("z")), "sink")

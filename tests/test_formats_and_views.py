@@ -116,6 +116,19 @@ def test_unzip_by_difference_of_alleles(spark):
     assert {r.path: r.seq for r in G.extract(X.unzip(g, 2, 0, 2)).collect()} == whole
 
 
+def test_unzip_leaves_bubbles_where_a_path_begins_or_ends_in_an_allele(spark):
+    from strandline.operators import transforms as X
+
+    nodes = [(1, "ACGTACGT"), (2, "G"), (3, "TT"), (4, "CCCCCCCC"), (5, "A"), (6, "AAAAAA"), (7, "GGGGGGGG"), (8, "C"), (9, "T"), (10, "TTTTTTTT")]
+    walks = {"x": [1, 2, 4, 5, 7, 8, 10], "y": [1, 3, 4, 6, 7, 9, 10], "ends": [1, 2], "begins": [6, 7, 8, 10]}
+    steps = [(p, i, n, "+") for p, own in walks.items() for i, n in enumerate(own)]
+    g = G.Graph(spark.createDataFrame(nodes, "node_id bigint, seq string"), spark.createDataFrame(steps, "path string, step int, node_id bigint, orient string"))
+    moved = X.unzip(g, 2)
+    assert {r.path: r.seq for r in G.extract(moved).collect()} == {p: "".join(dict(nodes)[n] for n in own) for p, own in walks.items()}
+    after = {r.node_id: r.seq for r in moved.nodes.collect()}
+    assert {n for n, seq in nodes if after[n] != seq} == {7, 8, 9, 10}
+
+
 def test_alignment_stops_at_small_gaps_and_matches_of_the_best_samples(spark):
     from strandline.operators import match as M
     from strandline.operators import transforms as X
