@@ -6,6 +6,11 @@ smallest hash and the mantissa bits that follow. Bands of registers are
 candidate keys; a collision-corrected Jaccard estimate drops chance
 candidates; what is left is confirmed on the full sets.
 
+A small set leaves most buckets empty, so that a band often holds a single
+element and any common line makes a candidate, in groups that grow with the
+corpus. Bands of small sets are therefore of minima of the whole set under as
+many multipliers; sets about the border have both kinds.
+
 No group is ever expanded into all its pairs:
 
 1. texts with equal sets are one class (a digest, combined on the map side);
@@ -41,6 +46,8 @@ BUCKETS, REGISTER = 1 << BUCKET_BITS, np.uint16
 #: Bands of ROWS registers. At Jaccard 0.8 a pair shares none of the 32 bands with probability 5e-8.
 ROWS = 4
 BANDS = BUCKETS // ROWS
+#: Sets of up to SPARSE elements have bands of minima under multipliers; sets that could be linked with a larger one have bands of buckets (too).
+SPARSE = 256
 #: Standard deviations that an estimate may fall short of the threshold before a candidate is dropped.
 SLACK = 4.5
 #: Bytes of sets that one block of a band group holds, and its members.
@@ -145,8 +152,8 @@ def linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(s) + len(t) - both)
 
 
-def _features(k: int, sketches: bool):
-    """doc_id, set size and digest of each text, with its sketch if asked for."""
+def _features(k: int, ratio: tuple[int, int] | None = None):
+    """doc_id, set size and digest of each text, with its keys if a threshold is given."""
 
     def run(batches):
         for rb in batches:
@@ -154,8 +161,8 @@ def _features(k: int, sketches: bool):
             for a in range(0, len(texts), 512):
                 sets = list(shingle_sets(texts.slice(a, 512), k))
                 cols = {"doc_id": ids.slice(a, 512), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())}
-                if sketches:
-                    cols["sketch"] = pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, sketch(sets), strict=True)], pa.binary())
+                if ratio is not None:
+                    cols["keys"] = pa.array([x.tobytes() if len(s) else None for s, x in zip(sets, all_keys(sets, sketch(sets), *ratio), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_pydict(cols)
 
     return run
@@ -172,23 +179,45 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return W.combine([band.ravel(), *(parts[:, :, i].ravel() for i in range(ROWS))]).reshape(parts.shape[:2]), (parts != 0).any(-1)
 
 
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, BUCKETS, dtype=_U) * _U(2) + _U(1)
+
+
+def all_keys(sets: list[np.ndarray], regs: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The keys of each set's bands of buckets, then those of its bands of minima; 0 where it has no such band.
+
+    Two sets that the threshold can link have all bands of one kind in common:
+    both are small, or the smaller one has ``num / den`` of SPARSE elements at least.
+    """
+    keys, some = band_keys(regs)
+    size = np.array([len(s) for s in sets])
+    out = np.zeros((len(sets), 2 * BANDS), _U)
+    out[:, :BANDS] = np.where(some & (den * size >= num * SPARSE)[:, None], keys, 0)
+    small = np.flatnonzero((size > 0) & (size <= SPARSE))
+    if len(small):
+        minima = np.stack([(sets[i][:, None] * _ODD).min(0) for i in small]).reshape(len(small), BANDS, ROWS)
+        band = np.broadcast_to(np.arange(BANDS, 2 * BANDS, dtype=_U), minima.shape[:2])
+        out[small, BANDS:] = W.combine([band.ravel(), *(minima[:, :, i].ravel() for i in range(ROWS))]).reshape(minima.shape[:2])
+    return out
+
+
 def _bands(batches):
     for rb in batches:
         for a in range(0, len(rb), 1024):
             part = rb.slice(a, 1024)
-            keys, some = band_keys(_rows(part.column(1)))
-            row, col = np.nonzero(some)
+            keys = _rows(part.column(1), _U)
+            row, col = np.nonzero(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys[row, col].view(np.int64)), part.column(0).take(pa.array(row))], ["key", "rep"])
 
 
-def _sets(k: int):
+def _sets(k: int, ratio: tuple[int, int]):
     def run(batches):
         for rb in batches:
             for a in range(0, len(rb), 512):
                 part = rb.slice(a, 512)
                 sets = list(shingle_sets(part.column(1), k))
-                held = [s.tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) if x else None for x in held], pa.binary()), pa.array(held, pa.binary()), pa.array([r.tobytes() for r in sketch(sets)], pa.binary())], ["digest", "elements", "sketch"])
+                held, regs = [s.tobytes() for s in sets], sketch(sets)
+                found = [[xxhash.xxh3_128_digest(x) if x else None for x in held], held, [r.tobytes() for r in regs], [x.tobytes() for x in all_keys(sets, regs, *ratio)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in found], ["digest", "elements", "sketch", "keys"])
 
     return run
 
@@ -240,9 +269,9 @@ def _open_pairs(cols: list[list], num: int, den: int) -> Iterator[tuple[int, np.
     key, bi, bj, rep, comp, block = (np.array(c) for c in cols[:6])
     regs = np.frombuffer(b"".join(cols[6]), REGISTER).reshape(len(rep), -1)
     size = np.array(cols[7])
-    keys, some = band_keys(regs)
-    band = int(np.flatnonzero((keys[0].view(np.int64) == key[0]) & some[0])[0])
-    keys = np.where(some, keys, np.arange(len(rep), dtype=_U)[:, None])[:, :band]  # an empty band is shared with no one
+    keys = np.frombuffer(b"".join(cols[8]), _U).reshape(len(rep), -1)
+    band = int(np.flatnonzero(keys[0].view(np.int64) == key[0])[0])
+    keys = np.where(keys != 0, keys, np.arange(len(rep), dtype=_U)[:, None])[:, :band]  # an empty band is shared with no one
     for i in np.flatnonzero(block == bi[0]):
         j = np.flatnonzero((block == bj[0]) & (comp != comp[i]) & ((rep > rep[i]) | (bi[0] != bj[0])))
         j = j[~(keys[j] == keys[i]).any(1)]
@@ -273,7 +302,7 @@ def _forest(num: int, den: int):
     def run(batches):
         for cols in _groups(batches, 3):
             rep, comp = cols[3], cols[4]
-            sets = [np.frombuffer(x, _U) for x in cols[8]]
+            sets = [np.frombuffer(x, _U) for x in cols[9]]
             up = {c: c for c in comp}
 
             def root(c, up=up):
@@ -319,14 +348,14 @@ def _count() -> Column:
 
 def _blocks(rows: DataFrame, sets: DataFrame, full: bool) -> DataFrame:
     """Rows of band groups dealt to pairs of blocks, sorted by them, with sketches and, if ``full``, sets."""
-    size = F.octet_length("sketch") + (F.octet_length("elements") if full else F.lit(0))
-    own = sets.select("rep", "sketch", (F.octet_length("elements") / 8).cast("bigint").alias("size"), *(["elements"] if full else []), size.alias("bytes"))
+    size = F.octet_length("sketch") + F.octet_length("keys") + (F.octet_length("elements") if full else F.lit(0))
+    own = sets.select("rep", "sketch", (F.octet_length("elements") / 8).cast("bigint").alias("size"), "keys", *(["elements"] if full else []), size.alias("bytes"))
     rows = rows.join(own.select("rep", "bytes"), "rep")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
     cut = _meet(rows, rows.groupBy("key").agg(_count(), blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     one = cut.where("blocks = 1").select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "rep", "comp", "block")
     many = cut.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "rep", "comp", "block")
-    wide = one.unionByName(many).join(own, "rep").select("key", "bi", "bj", "rep", "comp", "block", "sketch", "size", *(["elements"] if full else []))
+    wide = one.unionByName(many).join(own, "rep").select("key", "bi", "bj", "rep", "comp", "block", "sketch", "size", "keys", *(["elements"] if full else []))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as configured: little to read, much to compare
     return wide.repartition(tasks, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
 
@@ -356,9 +385,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     base = docs.select(F.col("doc_id").cast(kind), "text")
     hashed = f"doc_id {kind}, n_shingles bigint, digest binary"
     node = F.xxhash64("digest")
-    feats = base.mapInArrow(_features(shingle, True), f"{hashed}, sketch binary")
-    classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")).withColumn("rep", node), "classes")
-    bands = classes.select("rep", "sketch").mapInArrow(_bands, "key bigint, rep bigint")
+    feats = base.mapInArrow(_features(shingle, (num, den)), f"{hashed}, keys binary")
+    classes = materialise(feats.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")).withColumn("rep", node), "classes")
+    bands = classes.select("rep", "keys").mapInArrow(_bands, "key bigint, rep bigint")
     heads = bands.groupBy("key").agg(_count(), F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last").drop("last")
     groups = materialise(_meet(bands, heads, "key").where("rep <> leader").select("key", "rep", "leader"), "bands")
     held = groups.count()
@@ -366,9 +395,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     pairs = materialise(groups.select("leader", "rep").distinct(), "pairs", rows=held)
     ids = pairs.select(F.col("leader").alias("rep")).unionByName(pairs.select("rep")).distinct()
     firsts = classes.join(ids, "rep", "left_semi").select(F.col("doc_id").alias("__first")).distinct()
-    sets = materialise(base.join(firsts.hint("shuffle_hash"), base.doc_id == firsts["__first"], "left_semi").mapInArrow(_sets(shingle), "digest binary, elements binary, sketch binary").select(node.alias("rep"), "elements", "sketch"), "sets")
+    sets = materialise(base.join(firsts.hint("shuffle_hash"), base.doc_id == firsts["__first"], "left_semi").mapInArrow(_sets(shingle, (num, den)), "digest binary, elements binary, sketch binary, keys binary").select(node.alias("rep"), "elements", "sketch", "keys"), "sets")
     if sets.count() != ids.count():  # doc_ids repeat, some with other texts
-        sets = materialise(sets.join(ids, "rep", "left_semi").groupBy("rep").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")), "sets")
+        sets = materialise(sets.join(ids, "rep", "left_semi").groupBy("rep").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "sets")
     salts = materialise(pairs.groupBy("leader").agg(_count(), F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts")), "salts", rows=held)
     members = _meet(pairs, salts, "leader").select("leader", F.pmod(F.xxhash64("rep"), "salts").cast("int").alias("salt"), F.col("rep").alias("member"))
     rows = members.join(sets, members.member == sets.rep).select("leader", "salt", "member", "elements", "sketch")
@@ -388,14 +417,14 @@ def near_groups(docs: DataFrame, shingle: int = 3, num: int = 85, den: int = 100
     links = links.unionByName(more)
     again = repeated(base)
     if again.head(1):  # rows of a doc_id are one document, so their texts are linked
-        own = base.join(again.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_features(shingle, False), hashed)
+        own = base.join(again.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_features(shingle), hashed)
         own = materialise(own.where("n_shingles > 0").select("doc_id", node.alias("rep")).distinct(), "repeated")
         links = links.unionByName(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
     final = connected_components(links)
     placed = classes.join(final, classes.rep == final.node, "left").select("digest", "rep", "doc_id", "copies", F.coalesce("component", "rep").alias("component"))
     least = placed.groupBy("component").agg(_count(), F.min("doc_id").alias("component_id"))
     label = materialise(_meet(placed, least, "component").select("digest", "rep", "component_id", "copies"), "label")
-    sizes = base.mapInArrow(_features(shingle, False), hashed)  # cheaper to read again than to keep
+    sizes = base.mapInArrow(_features(shingle), hashed)  # cheaper to read again than to keep
     total = label.agg(F.sum("copies")).first()[0] or 0
     hot = label.where(F.col("copies") * HOT > total).select("digest", F.col("component_id").alias("known"))  # fewer than HOT rows
     sizes = sizes.join(F.broadcast(hot), "digest", "left")

@@ -798,3 +798,18 @@ def test_chat_digests_match_brute_force(spark):
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert g.formatted_chars == sum(len(chat.format_turn(r, x)[0]) for _, r, x in turns)
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_small_texts_that_share_a_line_are_no_candidates():
+    """Bands of small sets hold no single elements: a common line alone makes few candidates, near copies always meet."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    lone = [np.unique(np.concatenate([line, rng.integers(0, 1 << 63, 20, dtype=np.uint64)])) for _ in range(200)]
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (30, 210, 250, 256, 280, 310)]
+    near = [s[: -max(1, len(s) // 6)] for s in base]  # five sixths; sizes on both sides of the border
+    keys = lambda sets: near_dedup.all_keys(sets, near_dedup.sketch(sets), 80, 100)
+    got = keys(lone)
+    shared = sum(bool(((got[i] == got[j]) & (got[i] != 0)).any()) for i in range(200) for j in range(i))
+    assert shared < 0.05 * 200 * 199 / 2
+    for a, b in zip(keys(base), keys(near), strict=True):
+        assert ((a == b) & (a != 0)).any()
