@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import match
 from strandline.operators.chain import best_chain
+from strandline.operators.components import connected_components
 from strandline.operators.graph import Graph
 from strandline.operators.grouped import map_groups
 from strandline.operators.intervals import asof_join, islands
@@ -214,14 +215,14 @@ def _reach(edges: DataFrame, stops: DataFrame, start: DataFrame, through: DataFr
     front, i = rows(f"{at}/round=0"), 0
     while front.take(1):  # every round is a folder of its own, so that no plan grows with the rounds
         i += 1
-        ways = front.join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
-        ways.join(rows(at), ["source", "node"], "left_anti").write.parquet(f"{at}/round={i}")
+        ways = front.join(edges.hint("merge"), F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
+        ways.join(rows(at).hint("merge"), ["source", "node"], "left_anti").write.parquet(f"{at}/round={i}")
         step = rows(f"{at}/round={i}")
-        front = step.join(stops, "node", "left_anti")
+        front = step.join(stops.hint("merge"), "node", "left_anti")
         if through is not None:
-            front = front.unionByName(step.join(through, ["source", "node"], "left_semi"))
-    found = rows(at).join(start, ["source", "node"], "left_anti")
-    return found.join(stops, "node", "left_anti"), found.join(stops, "node", "left_semi")
+            front = front.unionByName(step.join(through.hint("merge"), ["source", "node"], "left_semi"))
+    found = rows(at).join(start.hint("merge"), ["source", "node"], "left_anti")
+    return found.join(stops.hint("merge"), "node", "left_anti"), found.join(stops.hint("merge"), "node", "left_semi")
 
 
 def segments(edges: DataFrame, aligned: DataFrame, sources: DataFrame) -> DataFrame:
@@ -231,10 +232,23 @@ def segments(edges: DataFrame, aligned: DataFrame, sources: DataFrame) -> DataFr
     walks along ``edges(src, dst)`` go on to the nearest aligned nodes; where
     they meet more than one, only nodes between the source and these count,
     since others belong to ways that do not come from it. ``part`` is "leading"
-    or "trailing"; what is neither is parallel to the source. All sources walk
-    at once, a round for each node that the longest walk passes.
+    or "trailing"; what is neither is parallel to the source. Stretches of
+    nodes that are not aligned and only follow each other are one node first. All
+    sources walk at once, a round for each such node that the longest walk
+    passes; no table goes through the driver.
     """
     e = materialise(edges.select("src", "dst").distinct(), "edges")
+    anchors = aligned.select(F.col("node_id").alias("__anchor")).distinct()
+    free = e
+    for c in ("src", "dst"):
+        free = free.join(anchors.hint("merge"), F.col(c) == F.col("__anchor"), "left_anti")
+    outs = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("src")
+    ins = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("dst")
+    unary = free.join(outs.hint("merge"), "src", "left_semi").join(ins.hint("merge"), "dst", "left_semi")
+    stretch = materialise(connected_components(unary), "stretches")
+    for c in ("src", "dst"):
+        e = e.join(stretch.hint("merge"), F.col(c) == F.col("node"), "left").withColumn(c, F.coalesce("component", c)).drop("node", "component")
+    e = materialise(e.where("src <> dst").select("src", "dst").distinct(), "edges")
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     stops = materialise(aligned.select(F.col("node_id").alias("node")).distinct(), "stops")
     start = materialise(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node")).distinct(), "sources")
@@ -242,9 +256,9 @@ def segments(edges: DataFrame, aligned: DataFrame, sources: DataFrame) -> DataFr
     for part, there, home in (("trailing", e, back), ("leading", back, e)):
         passed, met = (materialise(x, part) for x in _reach(there, stops, start))
         many = met.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("source")
-        ends = materialise(met.join(many, "source", "left_semi"), "ends")
+        ends = materialise(met.join(many.hint("merge"), "source", "left_semi"), "ends")
         returned, _ = _reach(home, stops, ends, ends)
-        own = passed.join(many, "source", "left_anti").unionByName(passed.join(many, "source", "left_semi").join(returned, ["source", "node"], "left_semi"))
+        own = passed.join(many.hint("merge"), "source", "left_anti").unionByName(passed.join(many.hint("merge"), "source", "left_semi").join(returned.hint("merge"), ["source", "node"], "left_semi"))
         own = own.select("source", F.col("node").alias("node_id"), F.lit(part).alias("part"))
         out = own if out is None else out.unionByName(own)
-    return out
+    return out.join(stretch.hint("merge"), F.col("node_id") == F.col("component"), "left").select("source", F.coalesce("node", "node_id").alias("node_id"), "part")
