@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from strandline.operators.intervals import islands
 from strandline.operators.separators import distances
 from strandline.session import materialise
 
+#: Runs of a letter in a batch, about.
+RUNS = 1 << 16
+
 
 def common_anchors(parts: DataFrame, k: int) -> DataFrame:
     """``gap, anchor, places``: strings of k letters or more that occur exactly once in every part of a gap.
@@ -203,9 +209,20 @@ def dotplot_points(anchors: DataFrame) -> DataFrame:
 
 
 def letter_runs(seqs: DataFrame, key: str, text: str, letter: str, least: int = 1) -> DataFrame:
-    """``key, start, end``: runs of a letter, by splitting rather than by position."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"({letter}+|[^{letter}]+)"), F.lit(1))
-    rows = seqs.select(key, F.posexplode(pieces).alias("i", "piece"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = rows.withColumn("end", F.sum(F.length("piece").cast("bigint")).over(w)).withColumn("start", F.col("end") - F.length("piece"))
-    return ended.where(F.startswith("piece", F.lit(letter)) & (F.length("piece") >= least)).select(key, "start", "end")
+    """``key, start, end``: runs of a letter, ``least`` times or more; found where the text lies, so that nothing is shuffled."""
+    pattern = re.compile(f"{re.escape(letter)}{{{least},}}")
+
+    def run(batches):
+        for rb in batches:
+            at, starts, ends = [], [], []
+            for i, whole in enumerate(rb.column(1).to_pylist()):
+                for m in pattern.finditer(whole or ""):
+                    at.append(i)
+                    starts.append(m.start())
+                    ends.append(m.end())
+                if len(at) >= RUNS or i + 1 == len(rb):
+                    yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["key", "start", "end"])
+                    at, starts, ends = [], [], []
+
+    kind = seqs.schema[key].dataType.simpleString()
+    return seqs.select(key, text).mapInArrow(run, f"key {kind}, start bigint, end bigint").withColumnRenamed("key", key)
