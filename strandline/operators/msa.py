@@ -12,12 +12,15 @@ import random
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.grouped import map_groups
+
 #: Gap opening and extension, and match emission, of the pair model.
 OPEN, EXTEND, SAME = 0.03, 0.5, 0.85
+#: Letters of alleles whose alignment is kept for bubbles of the same alleles, at most, and such alignments of a worker.
+SHORT, HELD = 1024, 1024
 
 
 def posterior(a: str, b: str) -> np.ndarray:
@@ -173,13 +176,20 @@ def align_alleles(alleles: DataFrame, bubble: str, aligner: Callable[[list[str]]
     """
     kind = alleles.schema[bubble].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        distinct = sorted(set(pdf.seq))
-        rows, conf = aligner(distinct)
-        at = dict(zip(distinct, rows, strict=True))
-        return pd.DataFrame({bubble: pdf[bubble], "path": pdf.path, "aligned": [at[s] for s in pdf.seq], "conf": [conf] * len(pdf)})
-
-    return alleles.select(bubble, "path", "seq").groupBy(bubble).applyInPandas(run, f"{bubble} {kind}, path string, aligned string, conf array<int>")
+    def fold(cols: list[list]) -> list[tuple]:
+        distinct = tuple(sorted(set(cols[2])))
+        held = getattr(fold, "held", None)  # short alleles that this worker has aligned; the same ones come again and again
+        if held is None:
+            held = fold.held = {}
+        found = held.get(distinct)
+        if found is None:
+            found = aligner(list(distinct))
+            if sum(map(len, distinct)) <= SHORT and len(held) < HELD:
+                held[distinct] = found
+        at = dict(zip(distinct, found[0], strict=True))
+        return [(b, p, at[s], found[1]) for b, p, s in zip(*cols, strict=True)]
+
+    return map_groups(alleles.select(bubble, "path", "seq"), [bubble], ["path", "seq"], fold, f"{bubble} {kind}, path string, aligned string, conf array<int>")
 
 
 def columns_to_nodes(aligned: DataFrame, key: str, path: str, text: str, conf: str | None = None, min_conf: float = 0) -> DataFrame:
