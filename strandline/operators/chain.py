@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strandline.functions.expr import block_gap_cost
 from strandline.operators.grouped import map_groups
 from strandline.operators.intervals import islands
+from strandline.session import dealt
 
 
 def cluster_diagonals(anchors: DataFrame, partition: list[str], max_dist: int = 30, min_cluster: int = 50, by_span: bool = False) -> DataFrame:
@@ -29,7 +30,7 @@ def cluster_diagonals(anchors: DataFrame, partition: list[str], max_dist: int =
     e1, e2 = F.col("s1") + F.col("length"), F.col("s2") + F.col("length")
     diag = F.when(F.col("orient") == 0, F.col("s1") - F.col("s2")).otherwise(F.col("s1") + e2)
     keys = [*partition, "orient", "diag"]
-    rows = anchors.withColumn("e1", e1).withColumn("e2", e2).withColumn("diag", diag)
+    rows = dealt(anchors.withColumn("e1", e1).withColumn("e2", e2).withColumn("diag", diag), *keys)
     w = Window.partitionBy(*keys).orderBy("s1", "length")
     runs = islands(rows, keys, ["s1", "length"], F.col("s1") - F.lag("e1").over(w) >= max_dist)
     out = runs.groupBy(*keys, "island").agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"), F.sum("length").alias("score"))
@@ -40,15 +41,14 @@ def cluster_diagonals(anchors: DataFrame, partition: list[str], max_dist: int =
 
 def merge_consecutive(blocks: DataFrame, partition: list[str], same: list[str] | None = None) -> DataFrame:
     """Blocks that are neighbours on both axes, with one orientation and equal in the columns ``same``, become one."""
-    rank1 = F.row_number().over(Window.partitionBy(*partition).orderBy("s1", "e1", "s2"))
     rank2 = F.row_number().over(Window.partitionBy(*partition).orderBy("s2", "e2", "s1"))
-    ranked = blocks.withColumn("r1", rank1).withColumn("r2", rank2)
-    w = Window.partitionBy(*partition).orderBy("r1")
+    ranked = dealt(blocks, *partition).withColumn("r2", rank2)
+    w = Window.partitionBy(*partition).orderBy("s1", "e1", "s2")
     step = F.when(F.col("orient") == 0, F.lit(1)).otherwise(F.lit(-1))
     new = (F.col("orient") != F.lag("orient").over(w)) | (F.col("r2") - F.lag("r2").over(w) != step)
     for c in same or []:
         new = new | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    runs = islands(ranked, partition, ["r1"], new)
+    runs = islands(ranked, partition, ["s1", "e1", "s2"], new)
     return runs.groupBy(*partition, "island", *(same or [])).agg(F.min("s1").alias("s1"), F.max("e1").alias("e1"), F.min("s2").alias("s2"), F.max("e2").alias("e2"), F.first("orient").alias("orient"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("blocks")).drop("island")
 
 
@@ -245,6 +245,23 @@ def convex_cost(gap: float, penalty: float) -> float:
     return penalty * math.log1p(gap)
 
 
+def _follow(rows: list[tuple], ends: list[tuple], score: list[float], back: list[int], first: int, last: int, window: int, penalty: float) -> None:
+    """Best predecessors of the anchors ``first`` to ``last`` among themselves, in order."""
+    coming = [(ends[i][0], i) for i in range(first, last)]
+    heapify(coming)
+    tree = _Box(ends[first:last])
+    for i in range(first, last):
+        s1, s2, n = rows[i]
+        while coming and coming[0][0] <= s1 and coming[0][1] < i:
+            j = heappop(coming)[1]
+            tree.add(j - first, score[j])
+        exact = lambda p: convex_cost(abs((s1 - p[0]) - (s2 - p[1])), penalty)  # noqa: E731, B023
+        bound = lambda low, high: convex_cost(max(0, low[0] - high[1] - s1 + s2, s1 - s2 - high[0] + low[1]), penalty)  # noqa: E731, B023
+        found = tree.top((s1, s2), 0.0, bound, exact, (s1 - window, s2 - window))
+        if found and found[0] > 0:
+            score[i], back[i] = n + found[0], found[1] + first
+
+
 def peeled(anchors: list[tuple], least: int, window: int, penalty: float = 1.0) -> list[list[int]]:
     """Local chains of anchors (s1, s2, length), best first: each anchor is in one at most.
 
@@ -260,19 +277,14 @@ def peeled(anchors: list[tuple], least: int, window: int, penalty: float = 1.0)
     rows = [anchors[i] for i in order]
     ends = [(r[0] + r[2], r[1] + r[2]) for r in rows]
     score, back = [float(r[2]) for r in rows], [-1] * len(rows)
-    coming = [(e[0], i) for i, e in enumerate(ends)]
-    heapify(coming)
-    tree = _Box(ends)
-    for i, (s1, s2, n) in enumerate(rows):
-        while coming and coming[0][0] <= s1 and coming[0][1] < i:
-            j = heappop(coming)[1]
-            tree.add(j, score[j])
-        at = (s1, s2)
-        exact = lambda p: convex_cost(abs((s1 - p[0]) - (s2 - p[1])), penalty)  # noqa: E731, B023
-        bound = lambda low, high: convex_cost(max(0, low[0] - high[1] - s1 + s2, s1 - s2 - high[0] + low[1]), penalty)  # noqa: E731, B023
-        found = tree.top(at, 0.0, bound, exact, (s1 - window, s2 - window))
-        if found and found[0] > 0:
-            score[i], back[i] = n + found[0], found[1]
+    stretch, far = [0], -math.inf  # where each stretch that no window reaches into begins
+    for i, (s1, _, _) in enumerate(rows):
+        if i and s1 - window > far:
+            stretch.append(i)
+        far = max(far, ends[i][0])
+    for first, last in zip(stretch, [*stretch[1:], len(rows)], strict=True):
+        if last - first > 1:
+            _follow(rows, ends, score, back, first, last, window, penalty)
     taken, out = [False] * len(rows), []
     for end in sorted(range(len(rows)), key=lambda i: (-score[i], i)):
         at, own = end, []
