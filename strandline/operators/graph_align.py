@@ -235,7 +235,7 @@ def segments(edges: DataFrame, aligned: DataFrame, sources: DataFrame) -> DataFr
     or "trailing"; what is neither is parallel to the source. Stretches of
     nodes that are not aligned and only follow each other are one node first. All
     sources walk at once, a round for each such node that the longest walk
-    passes; no table goes through the driver.
+    passes; the joins of the walks are shuffled, not broadcast.
     """
     e = materialise(edges.select("src", "dst").distinct(), "edges")
     anchors = aligned.select(F.col("node_id").alias("__anchor")).distinct()
