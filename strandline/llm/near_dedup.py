@@ -54,7 +54,7 @@ SLACK = 4.5
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 2048
 #: Members that are held against one copy of their group's smallest.
 STAR_ROWS = 512
-#: Keys of more than one in HOT of all rows: there are fewer than HOT, so that a list of them can be broadcast. Parts that the rows of one are dealt to.
+#: Keys of more than one in HOT of all rows: there are fewer than HOT, so that a list of them can be sent. Parts that the rows of one are dealt to.
 HOT, SALTS = 1000, 64
 
 _U = np.uint64
@@ -329,16 +329,16 @@ def _meet(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
     Counts are combined on the map side. A key of more than one in HOT of all
     rows, of which there are fewer than HOT, is dealt to ``SALTS`` parts by a
-    hash of ``rep``, so that no group's rows come together in one task.
+    hash of ``rep``, so that no group's rows come together in one task. Their
+    list stands in the plan: rows are joined once, with ``found``.
     """
     seen = Observation()
     found = materialise(found.observe(seen, F.sum("n").alias("total")), "found")
     total = seen.get.get("total") or 0
-    hot = F.broadcast(found.where(F.col("n") * HOT > total).select(key, F.lit(SALTS).alias("__parts")))
-    salt = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(SALTS)).cast("int")
-    left = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__parts").isNotNull(), salt).otherwise(F.lit(0))).drop("__parts")
-    every = F.when(F.col("__parts").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = found.drop("n").join(hot, key, "left").withColumn("__salt", F.explode(every)).drop("__parts")
+    hot = [r[0] for r in found.where(F.col("n") * HOT > total).select(key).collect()]
+    parts = F.when(F.col(key).isin(hot), F.lit(SALTS)).otherwise(F.lit(1))
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64("rep", F.lit(7)), parts).cast("int"))
+    right = found.drop("n").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 

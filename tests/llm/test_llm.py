@@ -116,6 +116,16 @@ def test_collision_chances_match_draws():
     assert near_dedup.sketch([np.arange(5, dtype=np.uint64)]).dtype.itemsize == 2
 
 
+def test_rows_meet_their_groups_in_one_join(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    rows = spark.createDataFrame([(7, i) for i in range(200)] + [(8 + i % 50, 1000 + i) for i in range(100)] + [(99, 5)], "key bigint, rep bigint")
+    found = rows.groupBy("key").agg(near_dedup._count(), F.min("rep").alias("leader")).where("n > 1")
+    met = near_dedup._meet(rows, found, "key")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "LeftOuter" not in plan
+    assert sorted(map(tuple, met.collect())) == sorted([(7, i, 0) for i in range(200)] + [(8 + i % 50, 1000 + i, 1000 + i % 50) for i in range(100)])
+
+
 def test_copies_of_one_text_take_the_broadcast_way(spark, monkeypatch):
     rows = [(i, "the same text again and again", "s") for i in range(60)] + [(100 + i, f"text number {i} of few words {i}", "s") for i in range(20)] + [(200, "", "s"), (201, None, "s")]
     want = {r.doc_id: r.component_id for r in near_dedup.near_groups(documents(spark, rows)).collect()}
