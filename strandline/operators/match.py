@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from strandline.operators.intervals import islands
 from strandline.operators.suffix import shared_strings
-from strandline.session import spread
+from strandline.session import dealt, spread
 
 #: Characters of a chunk, besides the overlap of k - 1.
 CHUNK = 256
 #: k-mers of a reference that are sent to every task, at most (16 MB); positions that are hashed at once.
 SENT_KMERS, POSITIONS = 1_000_000, 1 << 16
+#: Different k-mers that a task counts before it passes them on, k-mers that wait to be merged with them, and parts that they are dealt to.
+HELD_KMERS, WAITING, PARTS = 1 << 22, 1 << 21, 1024
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -48,6 +50,17 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def _pair(own: np.ndarray, k: int) -> list[np.ndarray]:
+    """Two hashes of each k-mer of up to POSITIONS + k - 1 letters."""
+    pair = []
+    for base in _BASES:
+        up, down = _powers(base, POSITIONS + k)
+        sums = np.zeros(len(own) + 1, _U)
+        np.cumsum(_spread(own + _U(base >> 7)) * up[: len(own)], out=sums[1:])
+        pair.append(_spread((sums[k:] - sums[:-k]) * down[: len(own) - k + 1]))
+    return pair
+
+
 def rolling(text: str, k: int, stop: str = "") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions of the k-mers of a text without a letter of ``stop``, and two hashes of each, in bounded pieces."""
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -56,12 +69,7 @@ def rolling(text: str, k: int, stop: str = "") -> Iterator[tuple[np.ndarray, np.
         own = letters[a : a + POSITIONS + k - 1].astype(_U)
         n = len(own) - k + 1
         pos = np.arange(a, a + n)
-        pair = []
-        for base in _BASES:
-            up, down = _powers(base, POSITIONS + k)
-            sums = np.zeros(len(own) + 1, _U)
-            np.cumsum(_spread(own + _U(base >> 7)) * up[: len(own)], out=sums[1:])
-            pair.append(_spread((sums[k:] - sums[:-k]) * down[:n]).view(np.int64))
+        pair = [h.view(np.int64) for h in _pair(own, k)]
         if bad is not None:
             seen = np.concatenate(([0], np.cumsum(bad[a : a + len(own)])))
             fine = seen[k:] == seen[:-k]
@@ -93,21 +101,142 @@ def hashed_kmers(df: DataFrame, key: str, seq: str, k: int, stop: str = "", sent
     return spread(df.select(F.col(key).alias("key"), F.col(seq).alias("seq"))).mapInArrow(_hashed(k, stop, sent), f"key {kind}, pos bigint, h1 bigint, h2 bigint")
 
 
+def _named(texts: list[str | None], k: int, stop: str) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+    """The k-mers of texts by name, in bounded pieces.
+
+    A k-mer whose letters fit into 64 bits together (k = 8: Latin-1) is named
+    by them, any other (a wide one) by 128 bits of hash, the last of them set.
+    """
+    letters = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum([len(t or "") for t in texts])
+    bits, barred = 64 // k, [ord(c) for c in stop]
+    for a in range(0, len(letters) - k + 1, POSITIONS):
+        own = letters[a : a + POSITIONS + k - 1]
+        first = np.zeros(len(own) + 1, bool)  # letters that begin a text
+        first[ends[np.searchsorted(ends, a) : np.searchsorted(ends, a + len(own), "right")] - a] = True
+        held = lambda marks, skip=0: (seen := np.concatenate(([0], np.cumsum(marks))))[k:] != seen[skip : len(seen) - k + skip]  # noqa: E731  whether a k-mer has a mark, after its first letters
+        fine = ~held(first[:-1], 1)
+        if barred:
+            fine &= ~held(np.isin(own, barred))
+        wide = held(own >> bits > 0) if bits < 32 else np.zeros(len(fine), bool)
+        own = own.astype(_U)
+        if (narrow := fine & ~wide).any():
+            name = np.zeros(len(fine), _U)
+            for i in range(k):
+                name = (name << _U(bits)) | own[i : len(fine) + i]
+            yield False, (name[narrow],)
+        if (wide := fine & wide).any():
+            h1, h2 = _pair(own, k)
+            yield True, (h1[wide], h2[wide] | _U(1))
+
+
+class _Tally:
+    """Different names in order and how often each was added."""
+
+    def __init__(self, width: int):
+        self.keys, self.n = (np.zeros(0, _U),) * width, np.zeros(0, np.int64)
+        self.waiting, self.rows = [], 0
+
+    def add(self, keys: tuple[np.ndarray, ...], n: np.ndarray | None = None) -> None:
+        """Names, each once for ``n`` of None."""
+        self.waiting.append((keys, n))
+        self.rows += len(keys[0])
+        if self.rows >= WAITING:
+            self.merge()
+
+    def merge(self) -> None:
+        plain, summed = ([x for x in self.waiting if (x[1] is None) == none] for none in (True, False))
+        self.waiting, self.rows = [], 0
+        if plain:
+            summed.append(self._sums(tuple(map(np.concatenate, zip(*(x[0] for x in plain), strict=True))), None))
+        if summed:
+            summed.append((self.keys, self.n))
+            self.keys, self.n = self._sums(tuple(map(np.concatenate, zip(*(x[0] for x in summed), strict=True))), np.concatenate([x[1] for x in summed]))
+
+    @staticmethod
+    def _sums(keys: tuple[np.ndarray, ...], n: np.ndarray | None) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        if n is None and len(keys) == 1:
+            keys = (np.sort(keys[0]),)
+        else:
+            order = np.lexsort(keys[::-1])
+            keys, n = tuple(x[order] for x in keys), None if n is None else n[order]
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+        at = np.flatnonzero(new)
+        return tuple(x[at] for x in keys), np.diff(at, append=len(new)) if n is None else np.add.reduceat(n, at)
+
+
+def _packed(keys: tuple[np.ndarray, ...], n: np.ndarray) -> bytes:
+    """Ordered names as differences, and their counts: equal bytes of the numbers side by side, compressed."""
+    cols = [np.diff(keys[0], prepend=_U(0)), *keys[1:], n.astype(_U)]
+    return pa.compress(b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in cols), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, rows: int, width: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, 8 * rows * (width + 1), codec="zstd", asbytes=True), np.uint8).reshape(width + 1, 8, rows)
+    cols = [np.ascontiguousarray(x.T).view(_U).ravel() for x in raw]
+    return (np.cumsum(cols[0], dtype=_U), *cols[1:-1]), cols[-1].view(np.int64)
+
+
 def _counted(k: int, stop: str):
+    """``part, wide, n, data``: the k-mers of a partition of texts, counted and dealt to parts.
+
+    Names that differ in their last letters only are in one part, where they lie close.
+    """
+    ending = _U(64 // k * min(3, k // 2))
+
+    def leave(tally: _Tally, wide: bool) -> Iterator[pa.RecordBatch]:
+        part = ((tally.keys[0] if wide else _spread(tally.keys[0] >> ending)) % _U(PARTS)).astype(np.int16)
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(PARTS + 1))
+        rows = [(i, wide, b - a, _packed(tuple(x[order[a:b]] for x in tally.keys), tally.n[order[a:b]])) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["part", "wide", "n", "data"])
+
     def run(batches):
+        held = [_Tally(1), _Tally(2)]
         for rb in batches:
-            parts = [p for text in rb.column(0).to_pylist() for p in rolling(text or "", k, stop)]
-            if parts:
-                h1, h2 = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-                _, first, n = np.unique(h1 ^ (h2 >> 1), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[first]), pa.array(h2[first]), pa.array(n.astype(np.int64))], ["h1", "h2", "n"])
+            for wide, keys in _named(rb.column(0).to_pylist(), k, stop):
+                held[wide].add(keys)
+                if len(held[wide].n) >= HELD_KMERS:
+                    held[wide].merge()
+                    yield from leave(held[wide], wide)
+                    held[wide] = _Tally(1 + wide)
+        for wide, tally in enumerate(held):
+            tally.merge()
+            yield from leave(tally, bool(wide))
 
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the k-mers of each part, of rows sorted by ``part, wide``."""
+
+    def leave(tally: _Tally) -> pa.RecordBatch:
+        tally.merge()
+        h1, h2 = tally.keys if len(tally.keys) > 1 else (tally.keys[0], np.zeros(len(tally.n), _U))
+        return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(tally.n)], ["h1", "h2", "n"])
+
+    now, tally = None, None
+    for rb in batches:
+        for part, wide, n, data in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            if (part, wide) != now:
+                if tally is not None:
+                    yield leave(tally)
+                now, tally = (part, wide), _Tally(1 + wide)
+            tally.add(*_unpacked(data, n, 1 + wide))
+    if tally is not None:
+        yield leave(tally)
+
+
 def kmer_counts(df: DataFrame, seq: str, k: int, stop: str = "") -> DataFrame:
-    """``h1, h2, n``: how often each k-mer occurs, counted within Arrow batches before the shuffle."""
-    return spread(df.select(seq)).mapInArrow(_counted(k, stop), "h1 bigint, h2 bigint, n bigint").groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    """``h1, h2, n``: how often each k-mer occurs.
+
+    Tasks count what they read, up to HELD_KMERS different k-mers at a time;
+    ordered runs of them are shuffled, a few bytes for each, and merged.
+    """
+    runs = spread(df.select(seq)).mapInArrow(_counted(k, stop), "part int, wide boolean, n bigint, data binary")
+    return dealt(runs, "part", "wide").sortWithinPartitions("part", "wide").mapInArrow(_together, "h1 bigint, h2 bigint, n bigint")
 
 
 def kmers(df: DataFrame, keys: list[str], seq: str, k: int, chunk: int = CHUNK) -> DataFrame:

@@ -1,10 +1,14 @@
 """Work that grows no faster than the tables: what a step reads, passes on and repeats."""
 
+import collections
 import random
 
+import pyarrow as pa
+
 from strandline.operators import chain as C
 from strandline.operators import graph as G
 from strandline.operators import graph_align as GA
+from strandline.operators import match as M
 from strandline.operators import msa
 from strandline.operators import transforms as X
 
@@ -64,3 +68,22 @@ def test_equal_alleles_are_aligned_once(spark):
 
     found = msa.align_alleles(spark.createDataFrame(rows, "b int, path string, seq string").coalesce(1), "b", counted).collect()
     assert len(found) == 100 and len({r.aligned for r in found}) == 2 and calls.value < 50
+
+
+def test_kmer_counts_pass_on_few_bytes(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(40)] + ["", None, "short", "é" * 9, "a漢字b" * 5, "\0" * 12, "\0" * 8 + "漢", "abcdefgh", "abcdefg", "h"]
+    plain = lambda k, stop="": sorted(collections.Counter(t[i : i + k] for t in texts if t for i in range(len(t) - k + 1) if not set(stop) & set(t[i : i + k])).values())
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    packed = sum(len(x) for rb in M._counted(8, "")([df.toArrow().to_batches()[0]]) for x in rb.column("data").to_pylist())
+    assert packed < 8 * len(plain(8))  # in rows of two hashes and a count 24 bytes each
+    monkeypatch.setattr(M, "PARTS", 16)
+    assert sorted(r.n for r in M.kmer_counts(df, "t", 8).collect()) == plain(8)
+    for name, n in (("POSITIONS", 50), ("HELD_KMERS", 600), ("WAITING", 300)):
+        monkeypatch.setattr(M, name, n)
+    for k, stop in ((1, ""), (2, "a"), (8, ""), (8, "漢c"), (40, ""), (70, "j")):
+        got = [rb for rb in M._counted(k, stop)([df.toArrow().to_batches()[0]])]
+        rows = sorted((r["part"], r["wide"], r["n"], r["data"]) for rb in got for r in rb.to_pylist())
+        merged = M._together([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["part", "wide", "n", "data"])]) if rows else []
+        assert sorted(n for rb in merged for n in rb.column("n").to_pylist()) == plain(k, stop), (k, stop)
