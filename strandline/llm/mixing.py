@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -110,7 +109,7 @@ def planned(sources: DataFrame, seed: int) -> tuple[DataFrame, int]:
     total = int(held.quota.sum())
     shards = max(1, min(SHARDS, PLAN_CELLS // max(1, len(held)), math.ceil(total / 4096)))
     each = plan_slots(held.quota.to_numpy(np.int64), shards, seed, 0)
-    sent = sources.sparkSession.createDataFrame(pd.DataFrame({"group": held.group.to_numpy(np.int64), "each": [x.tolist() for x in each.T]}), "group bigint, each array<bigint>")
+    sent = sources.sparkSession.createDataFrame(pa.table({"group": pa.array(held.group.to_numpy(np.int64)), "each": pa.array(list(each.T), pa.list_(pa.int64()))}))
     own = grouped.agg(F.collect_list(F.struct("rank", "quota", "blocks")).alias("own"))
     return own.join(sent, "group").select("group", "own", "each").mapInArrow(_planned(seed), _PLAN), total
 
@@ -146,12 +145,17 @@ def deal_slots(plan: DataFrame, total: int) -> DataFrame:
 
 
 def _permuted(seed: int):
-    @F.pandas_udf("bigint")
-    def run(slot: pd.Series, blocks: pd.Series, source: pd.Series) -> pd.Series:
-        k, n = slot.to_numpy(np.int64), blocks.to_numpy(np.int64)
-        own = source.to_numpy(np.int64).astype(_U)
-        epoch = (k // n).astype(_U)
-        return pd.Series(permute(k % n, n, W.mix(own * _U(0xD1342543DE82EF95) + epoch + W.mix(np.full(len(k), seed, _U)))))
+    """Rows ``(shard, rank, blocks, slot)`` to ``(shard, slot, rank, block)``.
+
+    Not a UDF in a column: a join on ``block`` filters it, and the filter would
+    have a copy of its own, with a second Python worker in every task.
+    """
+
+    def run(batches):
+        for rb in batches:
+            own, n, k = (rb.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            key = W.mix(own.astype(_U) * _U(0xD1342543DE82EF95) + (k // n).astype(_U) + W.mix(np.full(len(k), seed, _U)))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(3), rb.column(1), pa.array(permute(k % n, n, key), pa.int64())], ["shard", "slot", "rank", "block"])
 
     return run
 
@@ -178,7 +182,7 @@ def _mix(docs: DataFrame, block_words: int, seed: int, epochs: int, weights: tup
     sources = materialise(sources.select("*", blocks.alias("blocks"), quota.alias("quota")), "targets")
     plan, total = planned(sources, seed)
     dealt = deal_slots(plan, total)
-    slots = dealt.select("shard", "slot", "rank", _permuted(seed)("slot", "blocks", "rank").alias("block"))
+    slots = dealt.mapInArrow(_permuted(seed), "shard bigint, slot bigint, rank bigint, block bigint")
 
     known = sources.select(F.col("source").alias("own"), "rank", "source_size", "target")
     known = F.broadcast(known) if known.count() <= SENT_SOURCES else known

@@ -134,7 +134,7 @@ def _document_counts(batches):
                 for c in (0, 1):
                     counts[c, f] += np.bincount(pair[y == c] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
         seen += np.bincount(label, minlength=2)[:2]
-    f, i = np.nonzero(counts.sum(0))
+    f, i = np.nonzero(counts.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1).astype(np.int32)), pa.array(np.append(i, 0).astype(np.int32)), pa.array(np.append(counts[0, f, i], seen[0]).astype(np.int64)), pa.array(np.append(counts[1, f, i], seen[1]).astype(np.int64))], ["family", "id", "n0", "n1"])
 
 
@@ -289,10 +289,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, sample
     """Fit on ``docs(doc_id, text)`` and the training rows ``labels(doc_id, toxic)``; votes are counted over all of ``docs``."""
     spark, model = docs.sparkSession, Model()
     gold = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    held = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toPandas()  # train_rows at most
-    if held.y.nunique() < 2:
+    held = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).toArrow()  # train_rows at most
+    if len(held["y"].unique()) < 2:
         return model
-    ids = spark.createDataFrame(held, gold.schema)
+    ids = spark.createDataFrame(held, gold.schema)  # Arrow is read by the JVM; rows of pandas would start Python workers of another kind, which stay beside those of mapInArrow
     train = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that repeat a labelled doc_id one
     train = materialise(train.select("text", F.least("y", F.lit(1)).alias("y")), "labelled", rows=train_rows)
     counts = train.mapInArrow(_document_counts, "family int, id int, n0 bigint, n1 bigint").groupBy("family", "id").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))

@@ -61,6 +61,32 @@ def test_run_gives_the_stages_result(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "packing"]
 
 
+def python_at_once(df):
+    """Python nodes that a task of the plan runs at once, at most."""
+    most = 0
+
+    def below(node):
+        nonlocal most
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return below(node.initialPlan())
+        nodes = sum(below(node.children().apply(i)) for i in range(node.children().size())) + name.startswith(("MapInArrow", "ArrowEvalPython", "BatchEvalPython"))
+        most = max(most, nodes)
+        return 0 if "Exchange" in name else nodes
+
+    below(df._jdf.queryExecution().executedPlan())
+    return most
+
+
+def test_tasks_of_the_stages_have_one_python_worker(spark, monkeypatch):
+    """Workers stay when a task has ended, each as large as it has ever been, so a second one for a task doubles what an executor holds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows made by Python workers of another kind"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert python_at_once(stage(spark, docs, SF)) == 1
+    assert mixing.repeat_documents(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
