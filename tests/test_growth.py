@@ -1,16 +1,21 @@
 """Work that grows no faster than the tables: what a step reads, passes on and repeats."""
 
 import collections
+import os
 import random
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from strandline.operators import bubbles as B
 from strandline.operators import chain as C
 from strandline.operators import graph as G
 from strandline.operators import graph_align as GA
 from strandline.operators import match as M
 from strandline.operators import msa
 from strandline.operators import transforms as X
+from strandline.session import materialise
 
 
 def _steps(spark, walks):
@@ -87,3 +92,33 @@ def test_kmer_counts_pass_on_few_bytes(spark, monkeypatch):
         rows = sorted((r["part"], r["wide"], r["n"], r["data"]) for rb in got for r in rb.to_pylist())
         merged = M._together([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["part", "wide", "n", "data"])]) if rows else []
         assert sorted(n for rb in merged for n in rb.column("n").to_pylist()) == plain(k, stop), (k, stop)
+
+
+@pytest.fixture(scope="module")
+def ladder(spark):
+    """Three paths through 3,000 bubbles, the third by a direct way, from files that are much smaller than their rows; the bytes of the files."""
+    rows = spark.range(6001).select(F.explode(F.array(*map(F.lit, "abc"))).alias("path"), F.col("id").cast("int").alias("step"))
+    rows = rows.where("path <> 'c' or step % 2 = 0").select("path", "step", F.expr("2 * step + int(path = 'b' and step % 2 = 1)").cast("bigint").alias("node_id"), F.lit("+").alias("orient"))
+    own = materialise(rows.withColumn("seq", F.when(F.col("node_id") % 2 == 1, "G").otherwise("A")).coalesce(1), "ladder")
+    at = own._strandline_path.removeprefix("file://")
+    size = sum(os.path.getsize(f"{at}/{f}") for f in os.listdir(at) if f.endswith(".parquet"))
+    assert size < 8 * own.count()
+    return G.Graph(own.groupBy("node_id").agg(F.first("seq").alias("seq")), own.select("path", "step", "node_id", "orient")), size
+
+
+READS = {
+    "variants": (B.variants, 9000),
+}
+
+
+@pytest.mark.parametrize("name", READS)
+def test_no_table_of_a_graph_is_broadcast_for_its_small_files(spark, ladder, name):
+    graph, size = ladder
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    try:
+        found = READS[name][0](graph)
+        assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == READS[name][1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
