@@ -108,6 +108,7 @@ def ladder(spark):
 
 READS = {
     "variants": (B.variants, 9000),
+    "variant_calls": (lambda g: B.calls(B.variants(g), ["a", "b", "c"]), 3000),
 }
 
 
