@@ -108,6 +108,7 @@ def ladder(spark):
 
 READS = {
     "variants": (B.variants, 9000),
+    "component_stats": (lambda g: B.component_stats(g, B.marked_bubbles(g)).where("simple_bubbles = 3000 and chain_nodes = 3001"), 1),
     "variant_calls": (lambda g: B.calls(B.variants(g), ["a", "b", "c"]), 3000),
 }
 
