@@ -109,6 +109,7 @@ def ladder(spark):
 READS = {
     "variants": (B.variants, 9000),
     "component_stats": (lambda g: B.component_stats(g, B.marked_bubbles(g)).where("simple_bubbles = 3000 and chain_nodes = 3001"), 1),
+    "filtered_variants": (lambda g: B.variant_report(g, min_diff=1, kind="indel").where("calls['a'] = 0 and calls['c'] = 1"), 3000),
     "variant_calls": (lambda g: B.calls(B.variants(g), ["a", "b", "c"]), 3000),
 }
 
