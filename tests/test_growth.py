@@ -111,6 +111,7 @@ READS = {
     "component_stats": (lambda g: B.component_stats(g, B.marked_bubbles(g)).where("simple_bubbles = 3000 and chain_nodes = 3001"), 1),
     "filtered_variants": (lambda g: B.variant_report(g, min_diff=1, kind="indel").where("calls['a'] = 0 and calls['c'] = 1"), 3000),
     "indel_wiggles": (lambda g: B.indel_wiggle(g).where("left = 0 and right = 0"), 3000),
+    "variant_table": (lambda g: B.variant_report(g).where("pos_end - pos_start in (0, 1) and type = 'indel'"), 3000),
     "variant_calls": (lambda g: B.calls(B.variants(g), ["a", "b", "c"]), 3000),
 }
 
