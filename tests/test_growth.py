@@ -112,6 +112,7 @@ READS = {
     "filtered_variants": (lambda g: B.variant_report(g, min_diff=1, kind="indel").where("calls['a'] = 0 and calls['c'] = 1"), 3000),
     "indel_wiggles": (lambda g: B.indel_wiggle(g).where("left = 0 and right = 0"), 3000),
     "variant_table": (lambda g: B.variant_report(g).where("pos_end - pos_start in (0, 1) and type = 'indel'"), 3000),
+    "vcf_records": (lambda g: B.vcf_lines(B.variant_report(g), ["a", "b", "c"]).where("line like '%\\tAA\\tA,AG\\t%\\t0:2\\t2:2\\t1:1'"), 3000),
     "variant_calls": (lambda g: B.calls(B.variants(g), ["a", "b", "c"]), 3000),
 }
 
